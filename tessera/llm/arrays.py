@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are held as arrays at a time; a longer text is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: The id that stands for a null one inside the operators: after all others.
 NULL_ID = (1 << 63) - 1
 

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .superkmer import Spec, repeated_spans
 
-#: Words of a minimiser: longer ones are rarer, shorter ones make longer super-k-mers.
-MINIMISER_WORDS = 5
+#: Words of a minimiser: longer ones are rarer, shorter ones make longer super-k-mers, with fewer words sent twice.
+MINIMISER_WORDS = 3
 
 
 def repeats_by_sort(k: int):

@@ -32,7 +32,9 @@ SEGMENT_BITS = 14
 #: A class is crowded above this many times the middle class and this many m-grams.
 CROWDED_TIMES, CROWDED_LEAST = 8, 64
 #: Raw bytes of packed strings that a bucket should have.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
+#: Raw bytes of packed strings that a task holds before it compresses them by bucket.
+HELD_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -180,7 +182,7 @@ def all_grams(spec: Spec) -> Callable:
 
 def pack(arrays: list[np.ndarray], text: bytes) -> bytes:
     head = np.array([len(x) for x in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(x.tobytes() for x in arrays) + text)
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(x.tobytes() for x in arrays) + text)
 
 
 def unpack(packed: bytes, kinds: list[type]) -> tuple[list[np.ndarray], bytes]:
@@ -211,6 +213,8 @@ def dealer(spec: Spec, bitmap: bytes, buckets: int) -> Callable:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowded = flags(bitmap)
+        held: dict[int, list] = {}
+        size = 0
         for ids, data, offsets in text_pieces(batches):
             runs = runs_of(data, offsets, spec, crowded)
             if runs is None:
@@ -224,12 +228,10 @@ def dealer(spec: Spec, bitmap: bytes, buckets: int) -> Callable:
             same = later.copy()
             b, e = runs.begin, runs.end
             same[later] = [raw[b[x] : e[x]] == raw[b[y] : e[y]] for x, y in zip(order[later], lead[later])]
-            repeat = order[same]
-            stay = order[~same]
-            out_bucket, out_doc, out = [], [], []
+            repeat, stay = order[same], order[~same]
             if len(repeat):
                 out_doc, out = span_rows(doc[repeat], runs.start[repeat], runs.count[repeat])
-                out_bucket, out_doc = (buckets + np.abs(out_doc) % buckets).tolist(), out_doc.tolist()
+                yield dealt((buckets + np.abs(out_doc) % buckets).tolist(), out_doc.tolist(), out)
             home = (A.mixed(runs.key[stay]) % np.uint64(buckets)).astype(np.int64)
             by = np.lexsort((runs.start[stay], doc[stay], home))
             stay, home = stay[by], home[by]
@@ -237,10 +239,21 @@ def dealer(spec: Spec, bitmap: bytes, buckets: int) -> Callable:
             for lo, hi in zip(edge, np.append(edge[1:], len(home))):
                 own = stay[lo:hi]
                 text = b"".join([raw[x:y] for x, y in zip(b[own].tolist(), e[own].tolist())])
-                out.append(pack([doc[own], runs.start[own].astype(np.int32), runs.count[own].astype(np.int32), (e[own] - b[own]).astype(np.int32), runs.key[own]], text))
-                out_bucket.append(int(home[lo]))
-                out_doc.append(0)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(out_bucket, pa.int32()), "doc_id": pa.array(out_doc, pa.int64()), "packed": pa.array(out, pa.binary())})
+                size += len(text) + 28 * len(own)
+                held.setdefault(int(home[lo]), []).append(([doc[own], runs.start[own].astype(np.int32), runs.count[own].astype(np.int32), (e[own] - b[own]).astype(np.int32), runs.key[own]], text))
+            del runs, doc, order, content, raw, head, lead, later, same, stay, home
+            if size > HELD_BYTES:
+                yield flushed(held)
+                held, size = {}, 0
+        if held:
+            yield flushed(held)
+
+    def dealt(bucket: list[int], doc: list[int], out: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "doc_id": pa.array(doc, pa.int64()), "packed": pa.array(out, pa.binary())})
+
+    def flushed(held: dict[int, list]) -> pa.RecordBatch:
+        out = [pack([np.concatenate(x) for x in zip(*(p[0] for p in parts))], b"".join(p[1] for p in parts)) for parts in held.values()]
+        return dealt(list(held), [0] * len(out), out)
 
     return deal
 
