@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import chat_format, license_scan, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op5_chat_format": chat_format.op5_chat_format,
+    "op7_license_scan": license_scan.op7_license_scan,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
+    "op5_chat_format": chat_format.ORACLE,
+    "op7_license_scan": license_scan.ORACLE,
 }
