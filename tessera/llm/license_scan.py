@@ -56,19 +56,24 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     segments = df.select(F.col(id_col).alias("doc_id"), F.split(text, "\n").alias("_lines"), text.alias("_text"))
     segments = segments.select("doc_id", F.posexplode(F.concat(F.array(F.col("_text")), F.when(F.size("_lines") > 1, F.col("_lines")).otherwise(F.array().cast("array<string>")))).alias("segment", "s"))
-    words = segments.select("doc_id", "segment", segment_words(F.col("s")).alias("w"))
-    words = words.where(F.size("w") >= 2)
-    grams = words.select("doc_id", "segment", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).alias("g"))
-    grams = grams.where((F.size("g") >= low) & (F.size("g") <= high) & (F.size(F.filter("g", lambda x: x.isin(known))) >= F.size("g") * (least / 2)))
-    best = None
-    for name, own in shapes:
-        shared = F.size(F.array_intersect("g", F.array(*map(F.lit, own))))
-        fits = (F.size("g") >= len(own) * least / (2 - least)) & (F.size("g") <= len(own) * (2 - least) / least)
-        score = F.when(fits, F.round(2.0 * shared / (F.size("g") + len(own)), 4)).otherwise(F.lit(0.0))
-        entry = F.struct((-score).alias("d"), F.lit(name).alias("n"))
-        best = [entry] if best is None else [*best, entry]
-    scored = grams.select("doc_id", "segment", F.least(*best).alias("b"))
-    return scored.where(F.col("b.d") <= -least).select("doc_id", "segment", F.col("b.n").alias("license"), (-F.col("b.d")).alias("dice"))
+
+    def grams(w: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))
+
+    def best(g: Column) -> Column:
+        entries = []
+        for name, own in shapes:
+            fits = (F.size(g) >= len(own) * least / (2 - least)) & (F.size(g) <= len(own) * (2 - least) / least)
+            score = F.round(2.0 * F.size(F.array_intersect(g, F.array(*map(F.lit, own)))) / (F.size(g) + len(own)), 4)
+            entries.append(F.struct(F.when(fits, -score).otherwise(F.lit(0.0)).alias("d"), F.lit(name).alias("n")))
+        return F.least(*entries)
+
+    # each step binds what it computes to a lambda's variable, so that nothing is computed twice; explode keeps what matches
+    bags = F.transform(F.filter(F.array(segment_words(F.col("s"))), lambda w: F.size(w) >= 2), grams)
+    near = F.filter(bags, lambda g: (F.size(g) >= low) & (F.size(g) <= high) & (F.size(F.filter(g, lambda x: x.isin(known))) >= F.size(g) * (least / 2)))
+    found = F.filter(F.transform(near, best), lambda b: b["d"] <= -least)
+    scored = segments.select("doc_id", "segment", F.explode(found).alias("b"))
+    return scored.select("doc_id", "segment", F.col("b.n").alias("license"), (-F.col("b.d")).alias("dice"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
