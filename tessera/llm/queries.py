@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, quality_rules, substring_dedup
+from . import bpe, chat_format, license_scan, quality_rules, substring_dedup, token_files
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_bpe": bpe.op3_bpe,
     "op5_chat_format": chat_format.op5_chat_format,
+    "op6_token_files": token_files.op6_token_files,
     "op7_license_scan": license_scan.op7_license_scan,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
