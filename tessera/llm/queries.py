@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, license_scan, quality_rules, substring_dedup, token_files
+from . import bpe, chat_format, license_scan, quality_rules, substring_dedup, suffix_dedup, token_files
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_token_files": token_files.op6_token_files,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
