@@ -28,6 +28,8 @@ STEPS = 3
 #: Squared Mahalanobis distance: the chi-square law with four degrees of freedom passes it once in 1e9.
 CUTOFF = 50.0
 LEAST_ROWS = 50
+#: A table with a row for each group is broadcast up to this many rows, which are counted first.
+BROADCAST_GROUPS = 20_000
 #: The least standard deviation of each value, in thousandths.
 FLOORS = (60, 100, 100, 100)
 D = len(FLOORS)
@@ -100,16 +102,22 @@ def with_distance(vectors: DataFrame, estimate: DataFrame, how: str = "inner") -
     return out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, D)), F.col("y0") * F.col("y0")))
 
 
+def per_group(df: DataFrame) -> DataFrame:
+    """df, a row for each group, computed; to be broadcast if it is small, so that a hot group stays where it is."""
+    df = saved(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
+
+
 def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     """A row of PARAMETERS for each group: centre and Cholesky factor of the scatter."""
-    medians = vectors.groupBy(*KEYS).agg(F.count("*").alias("rows"), *(F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in range(D)))
+    medians = per_group(vectors.groupBy(*KEYS).agg(F.count("*").alias("rows"), *(F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in range(D))))
     spread = vectors.join(medians, KEYS).groupBy(*KEYS).agg(F.first("rows").alias("rows"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(D)), *(F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), F.lit(0.5)).alias(f"a{i}") for i in range(D)))
     zero = F.lit(0.0)
-    estimate = saved(spread.select(*KEYS, "rows", *(f"m{i}" for i in range(D)), *((F.greatest(F.col(f"a{i}") * 1.4826, F.lit(float(FLOORS[i]))) if i == j else zero).alias(f"l{i}{j}") for i in range(D) for j in range(i + 1))))
+    estimate = per_group(spread.select(*KEYS, "rows", *(f"m{i}" for i in range(D)), *((F.greatest(F.col(f"a{i}") * 1.4826, F.lit(float(FLOORS[i]))) if i == j else zero).alias(f"l{i}{j}") for i in range(D) for j in range(i + 1))))
     for _ in range(steps):
         far = with_distance(vectors, estimate).withColumn("step", F.floor(F.log1p("d2") * 1000))
         reach = far.groupBy(*KEYS).agg(F.percentile("step", F.lit(SHARE)).alias("reach"))
-        near = far.join(reach, KEYS).where(F.col("step") <= F.ceil("reach"))
+        near = far.join(per_group(reach), KEYS).where(F.col("step") <= F.ceil("reach"))
         sums = near.groupBy(*KEYS).agg(F.first("rows").alias("rows"), F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(D)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(D) for j in range(i + 1)))
         mean = lambda i: F.col(f"s{i}") / F.col("n")
         cov = {(i, j): (F.col(f"s{i}{j}") / F.col("n") - mean(i) * mean(j)) * CONSISTENCY + (float(FLOORS[i] ** 2) if i == j else 0.0) for i in range(D) for j in range(i + 1)}
@@ -117,7 +125,7 @@ def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
         out = sums.withColumns(center)
         for columns in then:
             out = out.withColumns(columns)
-        estimate = saved(out.select(*PARAMETERS))
+        estimate = per_group(out.select(*PARAMETERS))
     return estimate
 
 
@@ -128,7 +136,7 @@ def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     vectors = saved(vector(stats.withColumn("base_failed", failed)))
     passed = vectors.where(~F.col("base_failed")).select(*KEYS, *(f"x{i}" for i in range(D)))
-    judged = with_distance(vectors, estimates(passed).where(F.col("rows") >= least_rows), "left")
+    judged = with_distance(vectors, per_group(estimates(passed).where(F.col("rows") >= least_rows)), "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
     return judged.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("d2", 3).alias("distance2"))
 
