@@ -33,7 +33,7 @@ from .pretokens import Encoder
 #: The symbol that ends a word.
 END = 256
 #: Bytes of text that are encoded at a time.
-TEXT_PIECE = 4 << 20
+TEXT_PIECE = 1 << 20
 _MEMO_BITS = 20
 
 
@@ -68,7 +68,14 @@ class PrefixBpe:
         self._pair_rank = self.rank[[made[k] for k in self._pairs.tolist()]]
         self._memo_key = np.full(1 << _MEMO_BITS, -1, np.int64)
         self._memo = np.zeros(1 << _MEMO_BITS, bool)
-        self._automaton({i: ([letter[c] for c in (t.removesuffix(suffix) if t.endswith(suffix) else t)] + [END] * t.endswith(suffix)) for t, i in vocab.items()})
+        self._symbols = lambda: self._automaton({i: ([letter[c] for c in (t.removesuffix(suffix) if t.endswith(suffix) else t)] + [END] * t.endswith(suffix)) for t, i in vocab.items()})
+
+    def prepared(self) -> PrefixBpe:
+        """self with its automaton, which only encoding needs."""
+        if self._symbols:
+            self._symbols()
+            self._symbols = None
+        return self
 
     def _automaton(self, tokens: dict[int, list[int]]) -> None:
         """go: the state after a symbol; best: the longest token that ends there; shorter: the next one."""
@@ -195,7 +202,7 @@ def encode_rows(encoder: Encoder, batch: pa.RecordBatch, piece: int = TEXT_PIECE
 
 def _encoded(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path)
+        bpe = vocabulary(path).prepared()
         encoder = Encoder(bpe.encode_words, bpe.added)
         for batch in batches:
             for rows, ids, counts in encode_rows(encoder, batch):

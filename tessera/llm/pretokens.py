@@ -71,7 +71,7 @@ class Encoder:
     encode_words(words) gives the ids of all words (one array) and how many each has.
     """
 
-    def __init__(self, encode_words: Callable, added: dict[str, int], most: int = 1_000_000):
+    def __init__(self, encode_words: Callable, added: dict[str, int], most: int = 250_000):
         self.encode_words, self.added, self.most = encode_words, added, most
         self.cut = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.clear()
@@ -82,7 +82,7 @@ class Encoder:
 
     def learn(self, keys: list[bytes]) -> np.ndarray:
         """Where in the cache each of these words is (UTF-32 bytes)."""
-        if len(self.known) > self.most:
+        if len(self.known) > self.most:  # a bound on memory; what is gone is encoded anew
             self.clear()
         new = list(dict.fromkeys(k for k in keys if k not in self.known))
         if new:
