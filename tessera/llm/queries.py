@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, license_scan, quality_rules, substring_dedup, suffix_dedup, token_files
+from . import bpe, chat_format, decontaminate, license_scan, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_files
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_bpe": bpe.op3_bpe,
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_token_files": token_files.op6_token_files,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
