@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, license_scan, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_files
+from . import bpe, chat_format, decontaminate, jaccard_join, license_scan, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_files
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_bpe": bpe.op3_bpe,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_token_files": token_files.op6_token_files,
     "op7_license_scan": license_scan.op7_license_scan,

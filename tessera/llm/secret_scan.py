@@ -50,7 +50,7 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (x + y * 0.5, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
-PLACE |= dict(zip('~!@#$%^&*()_+{}|:"<>?', map(PLACE.get, "`1234567890-=[]\;',./")))
+PLACE |= dict(zip('~!@#$%^&*()_+{}|:"<>?', map(PLACE.get, r"`1234567890-=[]\;',./")))
 
 
 def _near(a: str, b: str) -> bool:
