@@ -163,6 +163,19 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return A.documents(df, id_col, text_col).mapInArrow(scan, schema).withColumn("doc_id", A.outer_id())
 
 
+def mask_secrets(df: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """df with secrets masked in its texts (nulls stay), and length_col, where there is one, as the new length in characters."""
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if t is None or not (x := find_secrets(t)) else masked(t, x) for t in batch.column(text_col).to_pylist()]
+            at = batch.schema.get_field_index(text_col)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    out = df.mapInArrow(mask, df.schema)
+    return out.withColumn(length_col, F.length(text_col).cast(df.schema[length_col].dataType)) if length_col in df.columns else out
+
+
 def digests(found: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

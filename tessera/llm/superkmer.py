@@ -211,7 +211,67 @@ def span_rows(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np
 def dealer(spec: Spec, bitmap: bytes, buckets: int) -> Callable:
     """A mapInArrow function: packed strings by bucket; at buckets and above, spans already known to repeat."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Runs]]:
+        crowded = flags(bitmap)
+        for ids, data, offsets in text_pieces(batches):
+            runs = runs_of(data, offsets, spec, crowded)
+            if runs is not None:
+                yield ids, runs
+
+    return lambda batches: deal_runs(found(batches), spec, buckets)
+
+
+def deal_runs(found: Iterator[tuple[np.ndarray, Runs]], spec: Spec, buckets: int) -> Iterator[pa.RecordBatch]:
+    held: dict[int, list] = {}
+    size = 0
+    for ids, runs in found:
+        doc = ids[runs.row]
+        order = np.lexsort((runs.start, doc, runs.content))
+        content, raw = runs.content[order], runs.data.tobytes()
+        head = np.append(True, content[1:] != content[:-1])
+        lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]  # of each, the first with that content
+        later = (doc[order] > doc[lead]) | ((doc[order] == doc[lead]) & (runs.start[order] > runs.start[lead]) & spec.within)
+        same = later.copy()
+        b, e = runs.begin, runs.end
+        same[later] = [raw[b[x] : e[x]] == raw[b[y] : e[y]] for x, y in zip(order[later], lead[later])]
+        repeat, stay = order[same], order[~same]
+        if len(repeat):
+            out_doc, out = span_rows(doc[repeat], runs.start[repeat], runs.count[repeat])
+            yield _dealt((buckets + np.abs(out_doc) % buckets).tolist(), out_doc.tolist(), out)
+        home = (A.mixed(runs.key[stay]) % np.uint64(buckets)).astype(np.int64)
+        by = np.lexsort((runs.start[stay], doc[stay], home))
+        stay, home = stay[by], home[by]
+        edge = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else np.zeros(0, np.int64)
+        for lo, hi in zip(edge, np.append(edge[1:], len(home))):
+            own = stay[lo:hi]
+            text = b"".join([raw[x:y] for x, y in zip(b[own].tolist(), e[own].tolist())])
+            size += len(text) + 28 * len(own)
+            held.setdefault(int(home[lo]), []).append(([doc[own], runs.start[own].astype(np.int32), runs.count[own].astype(np.int32), (e[own] - b[own]).astype(np.int32), runs.key[own]], text))
+        del runs, doc, order, content, raw, head, lead, later, same, stay, home
+        if size > HELD_BYTES:
+            yield _flushed(held)
+            held, size = {}, 0
+    if held:
+        yield _flushed(held)
+
+
+def _dealt(bucket: list[int], doc: list[int], out: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "doc_id": pa.array(doc, pa.int64()), "packed": pa.array(out, pa.binary())})
+
+
+def _flushed(held: dict[int, list]) -> pa.RecordBatch:
+    out = [pack([np.concatenate(x) for x in zip(*(p[0] for p in parts))], b"".join(p[1] for p in parts)) for parts in held.values()]
+    return _dealt(list(held), [0] * len(out), out)
+
+
+#: doc_id as steps, low and high bits of the minimiser, first window and windows of each run.
+SEEN = [np.int64, np.uint32, np.uint32, np.int32, np.uint16]
+
+
+def _seen(spec: Spec, bitmap: bytes, buckets: int) -> Callable:
+    """A mapInArrow function: the runs of all texts, without their bytes, by bucket."""
+
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowded = flags(bitmap)
         held: dict[int, list] = {}
         size = 0
@@ -220,42 +280,104 @@ def dealer(spec: Spec, bitmap: bytes, buckets: int) -> Callable:
             if runs is None:
                 continue
             doc = ids[runs.row]
-            order = np.lexsort((runs.start, doc, runs.content))
-            content, raw = runs.content[order], runs.data.tobytes()
-            head = np.append(True, content[1:] != content[:-1])
-            lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]  # of each, the first with that content
-            later = (doc[order] > doc[lead]) | ((doc[order] == doc[lead]) & (runs.start[order] > runs.start[lead]) & spec.within)
-            same = later.copy()
-            b, e = runs.begin, runs.end
-            same[later] = [raw[b[x] : e[x]] == raw[b[y] : e[y]] for x, y in zip(order[later], lead[later])]
-            repeat, stay = order[same], order[~same]
-            if len(repeat):
-                out_doc, out = span_rows(doc[repeat], runs.start[repeat], runs.count[repeat])
-                yield dealt((buckets + np.abs(out_doc) % buckets).tolist(), out_doc.tolist(), out)
-            home = (A.mixed(runs.key[stay]) % np.uint64(buckets)).astype(np.int64)
-            by = np.lexsort((runs.start[stay], doc[stay], home))
-            stay, home = stay[by], home[by]
-            edge = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else np.zeros(0, np.int64)
+            home = (A.mixed(runs.key) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(home, kind="stable")
+            home = home[by]
+            edge = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
             for lo, hi in zip(edge, np.append(edge[1:], len(home))):
-                own = stay[lo:hi]
-                text = b"".join([raw[x:y] for x, y in zip(b[own].tolist(), e[own].tolist())])
-                size += len(text) + 28 * len(own)
-                held.setdefault(int(home[lo]), []).append(([doc[own], runs.start[own].astype(np.int32), runs.count[own].astype(np.int32), (e[own] - b[own]).astype(np.int32), runs.key[own]], text))
-            del runs, doc, order, content, raw, head, lead, later, same, stay, home
-            if size > HELD_BYTES:
-                yield flushed(held)
+                own = by[lo:hi]
+                held.setdefault(int(home[lo]), []).append((doc[own], runs.key[own], runs.start[own], runs.count[own]))
+            size += len(doc)
+            if size > HELD_BYTES // 16:
+                yield out(held)
                 held, size = {}, 0
         if held:
-            yield flushed(held)
+            yield out(held)
+
+    def out(held: dict[int, list]) -> pa.RecordBatch:
+        packed = []
+        for parts in held.values():
+            doc, key, start, count = (np.concatenate(x) for x in zip(*parts))
+            packed.append(pack([np.diff(doc, prepend=0), key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint32), start.astype(np.int32), count.astype(np.uint16)], b""))
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(list(held), pa.int32()), "packed": pa.array(packed, pa.binary())})
+
+    return see
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    bucket, held = -1, []
+    for batch in batches:
+        for b, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist()):
+            if b != bucket and held:
+                yield bucket, held
+                held = []
+            bucket = b
+            held.append(packed)
+    if held:
+        yield bucket, held
+
+
+def _shared(homes: int) -> Callable:
+    """A mapInArrow function: the runs whose minimiser several documents have, by their document's bucket."""
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, packed in _by_bucket(batches):
+            parts = [unpack(x, SEEN)[0] for x in packed]
+            doc = np.concatenate([np.cumsum(p[0]) for p in parts])
+            low, high, start, count = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
+            key = high.astype(np.uint64) << np.uint64(32) | low
+            by = np.argsort(key)
+            key, doc, start, count = key[by], doc[by], start[by], count[by]
+            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            several = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
+            keep = np.repeat(several, np.diff(np.append(heads, len(key))))
+            key, doc, start, count = key[keep], doc[keep], start[keep], count[keep]
+            home = (A.mixed(doc.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+            by = np.lexsort((start, doc, home))
+            key, doc, start, count, home = key[by], doc[by], start[by], count[by], home[by]
+            edge = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else np.zeros(0, np.int64)
+            out = [pack([np.diff(doc[a:b], prepend=0), key[a:b], start[a:b], count[a:b]], b"") for a, b in zip(edge, np.append(edge[1:], len(home)))]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(home[edge], pa.int32()), "packed": pa.array(out, pa.binary())})
 
-    def dealt(bucket: list[int], doc: list[int], out: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "doc_id": pa.array(doc, pa.int64()), "packed": pa.array(out, pa.binary())})
+    return share
 
-    def flushed(held: dict[int, list]) -> pa.RecordBatch:
-        out = [pack([np.concatenate(x) for x in zip(*(p[0] for p in parts))], b"".join(p[1] for p in parts)) for parts in held.values()]
-        return dealt(list(held), [0] * len(out), out)
 
-    return deal
+def _of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document: its shared runs."""
+    for _, packed in _by_bucket(batches):
+        parts = [unpack(x, [np.int64, np.uint64, np.int32, np.uint16])[0] for x in packed]
+        doc = np.concatenate([np.cumsum(p[0]) for p in parts])
+        key, start, count = (np.concatenate([p[i] for p in parts]) for i in range(1, 4))
+        by = np.lexsort((start, doc))
+        doc, key, start, count = doc[by], key[by], start[by], count[by]
+        heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        out = [pack([key[a:b], start[a:b], count[a:b]], b"") for a, b in zip(heads, np.append(heads[1:], len(doc)))]
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[heads], pa.int64()), "runs": pa.array(out, pa.binary())})
+
+
+def _shared_dealer(spec: Spec, buckets: int) -> Callable:
+    """A mapInArrow function over (doc_id, text, runs), as dealer; tokens are bytes."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Runs]]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            data, offsets = A.flat(batch.column("text"))
+            packed = batch.column("runs").to_pylist()
+            for lo, hi in A.pieces(data, offsets):
+                parts = [unpack(x, [np.uint64, np.int32, np.uint16])[0] for x in packed[lo:hi]]
+                key, start, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
+                row = np.repeat(np.arange(hi - lo), [len(p[0]) for p in parts])
+                count = count.astype(np.int64)
+                own = data[offsets[lo] : offsets[hi]]
+                length = np.diff(offsets[lo : hi + 1])
+                fits = start + count + spec.k - 1 <= length[row]  # else of another row with this id
+                key, start, count, row = key[fits], start[fits], count[fits], row[fits]
+                begin = offsets[lo:hi][row] - offsets[lo] + start
+                end = begin + count + spec.k - 1
+                content = A.mixed(A.range_hash(A.prefix_hash(A._BYTE[own]), begin, end)) + count.astype(np.uint64)
+                yield ids[lo:hi], Runs(row, start, count, key, own, begin, end, content)
+
+    return lambda batches: deal_runs(found(batches), spec, buckets)
 
 
 def gatherer(buckets: int, repeats: Callable) -> Callable:
@@ -289,10 +411,27 @@ def gatherer(buckets: int, repeats: Callable) -> Callable:
 
 
 def repeated_spans(docs: DataFrame, spec: Spec, repeats: Callable, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, spans: array of binary): the windows of each text that repeat, as int32 pairs (first window, windows)."""
+    """(doc_id, spans: array of binary): the windows of each text that repeat, as int32 pairs (first window, windows).
+
+    Windows of words travel at once.  Windows of bytes are many more: first only
+    their minimisers travel, and then the strings of those that several documents have.
+    """
     bitmap, size = crowded_classes(docs, all_grams(spec))
-    swell = 1 + (spec.k - 1) / (1 + (spec.k - spec.m + 1) / 2)
-    buckets = max(1, min((1 << 30) - 1, round(size * swell / bucket_bytes)))
-    dealt = docs.mapInArrow(dealer(spec, bitmap, buckets), DEALT)
+    windows = 1 + (spec.k - spec.m + 1) / 2  # of a run, on average
+    swell = 1 + (spec.k - 1) / windows
+    if spec.words:
+        buckets = _count(size * swell / bucket_bytes)
+        dealt = docs.mapInArrow(dealer(spec, bitmap, buckets), DEALT)
+    else:
+        buckets, homes = _count(size / windows * 20 / bucket_bytes), _count(size / bucket_bytes)
+        seen = docs.mapInArrow(_seen(spec, bitmap, buckets), "bucket int, packed binary")
+        shared = seen.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(homes), "bucket int, packed binary")
+        runs = shared.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_of_documents, "doc_id long, runs binary")
+        buckets = homes
+        dealt = docs.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(_shared_dealer(spec, buckets), DEALT)
     met = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gatherer(buckets, repeats), "doc_id long, spans binary")
     return met.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+
+
+def _count(x: float) -> int:
+    return max(1, min((1 << 30) - 1, round(x)))
