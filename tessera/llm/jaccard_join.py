@@ -2,11 +2,13 @@
 
 Method: prefix-tree join.  A set is its texts' distinct shingles of five words; all
 sets are ordered by one global order (crowded hash classes last, then the hash).
-By the prefix bound, two sets that can link share one of the first
-n - ceil(t * n) + 1 shingles of each.  For each such shingle the sets that have it
-gather around one of them, its hub; a set has few hubs, as near copies share most
-shingles, so a set goes to a few clusters and not to one for each shingle, and two sets with a
-common prefix shingle still meet in a cluster.  There the sets are stored in a
+With l = n - ceil(t * n) + 1, two sets that can link share the smaller of their l
+among the first 2 * l - 1 shingles of each; so a set that has fewer such shingles in
+common with any others, for the smallest partner it may have, links with nothing
+and goes no further.  For each prefix shingle the sets that have it gather around
+one of them, its hub; a set has few hubs, as near copies share most shingles, so it
+goes to a few clusters and not to one for each shingle, and two sets with a common
+prefix shingle still meet in a cluster.  There the sets are stored in a
 trie (frequent shingles first, so that near copies share long paths).  A query
 walks it, adding up what it shares with each path once for all sets below, and
 leaves a subtree when the shingles that remain can't reach the least overlap.  The
@@ -94,32 +96,42 @@ def _ids(width: int):
     return ids
 
 
-def _prefixes(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle, set id and size for the prefix of each distinct set."""
+def least_shared(n, percent: int):
+    """l of a set of n shingles (numbers or columns): the prefix bound is 2 * l - 1 shingles."""
+    return n + (-percent * n) // 100 + 1
+
+
+def _prefixes(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of the prefix of each distinct set, and set id, size and prefix length of each."""
     _, one = np.unique(sets.id, return_index=True)
     one = one[sets.size[one] > 0]
     size = sets.size[one]
-    length = size - -(-percent * size // 100) + 1
-    return sets.order[A.ranges(sets.first[one], length)], np.repeat(sets.id[one], length), np.repeat(size, length)
+    length = np.minimum(size, 2 * least_shared(size, percent) - 1)
+    return sets.order[A.ranges(sets.first[one], length)], sets.id[one], size, length
 
 
 _CROWDED = np.uint64(1) << np.uint64(63)
-_KINDS = [np.uint64, np.int64, np.int32]
+#: Set ids, sizes, number of shingles of each, and 32 bits of the shingles (which the bucket completes; a false match only adds a candidate).
+_KINDS = [np.int64, np.int32, np.int32, np.uint32]
 
 
 def _prefix_dealer(width: int, percent: int, bitmap: bytes, buckets: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowded = flags(bitmap)
         for _, data, offsets in text_pieces(batches):
-            token, sid, size = _prefixes(Sets(data, offsets, width, crowded), percent)
+            token, sid, size, length = _prefixes(Sets(data, offsets, width, crowded), percent)
+            owner = np.repeat(np.arange(len(sid)), length)
             keep = token < _CROWDED
-            token, sid, size = token[keep], sid[keep], size[keep]
-            home = (A.mixed(token) % np.uint64(buckets)).astype(np.int64)
+            token, owner = A.mixed(token[keep]), owner[keep]
+            home = (token % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(home, kind="stable")
-            home = home[by]
+            home, token, owner = home[by], (token[by] >> np.uint64(32)).astype(np.uint32), owner[by]
             edge = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else np.zeros(0, np.int64)
-            parts = [by[a:b] for a, b in zip(edge, np.append(edge[1:], len(home)))]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(home[edge], pa.int32()), "packed": pa.array([pack([token[x], sid[x], size[x].astype(np.int32)], b"") for x in parts], pa.binary())})
+            out = []
+            for a, b in zip(edge, np.append(edge[1:], len(home))):
+                own, count = np.unique(owner[a:b], return_counts=True)
+                out.append(pack([sid[own], size[own].astype(np.int32), count.astype(np.int32), token[a:b]], b""))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(home[edge], pa.int32()), "packed": pa.array(out, pa.binary())})
 
     return deal
 
@@ -128,16 +140,17 @@ def _crowded_rows(width: int, percent: int, bitmap: bytes):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowded = flags(bitmap)
         for _, data, offsets in text_pieces(batches):
-            token, sid, _ = _prefixes(Sets(data, offsets, width, crowded), percent)
+            token, sid, size, length = _prefixes(Sets(data, offsets, width, crowded), percent)
+            sid, size = np.repeat(sid, length), np.repeat(size, length)
             keep = token >= _CROWDED
             if keep.any():
-                yield pa.RecordBatch.from_pydict({"token": pa.array(token[keep].view(np.int64), pa.int64()), "sid": pa.array(sid[keep], pa.int64()), "priority": pa.array(A.mixed(sid[keep].view(np.uint64)).view(np.int64), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"token": pa.array(token[keep].view(np.int64), pa.int64()), "sid": pa.array(sid[keep], pa.int64()), "n": pa.array(size[keep], pa.int64()), "priority": pa.array(A.mixed(sid[keep].view(np.uint64)).view(np.int64), pa.int64())})
 
     return rows
 
 
-def hub_pairs(token: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hub and member of each shingle's sets; sets whose sizes can't link are kept apart."""
+def hub_pairs(token: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hub, member, its size, and how many shingles it has in common around the hub (which is a member too); sets whose sizes can't link are kept apart."""
     by = np.lexsort((sid, size, token))
     token, sid, size = token[by], sid[by], size[by].astype(np.int64)
     new = np.ones(len(token), bool)
@@ -148,22 +161,28 @@ def hub_pairs(token: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int
     heads = np.flatnonzero(head)
     count = np.diff(np.append(heads, len(token)))
     keep = np.repeat(count > 1, count)
-    sid, heads, count = sid[keep], np.cumsum(count[count > 1]) - count[count > 1], count[count > 1]
+    sid, size, heads, count = sid[keep], size[keep], np.cumsum(count[count > 1]) - count[count > 1], count[count > 1]
     if not len(sid):
-        return sid, sid
+        return sid, sid, size, size
     priority = A.mixed(sid.view(np.uint64))
     lowest = np.repeat(np.minimum.reduceat(priority, heads), count)
     hub = np.repeat(sid[priority == lowest], count)
-    other = hub != sid
-    pairs = np.unique(np.stack((hub[other], sid[other]), 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    by = np.lexsort((sid, hub))
+    hub, sid, size = hub[by], sid[by], size[by]
+    heads = np.flatnonzero(np.append(True, (hub[1:] != hub[:-1]) | (sid[1:] != sid[:-1])))
+    return hub[heads], sid[heads], size[heads], np.diff(np.append(heads, len(hub)))
+
+
+PAIRS = "hub long, sid long, n long, shared long"
 
 
 def _bucket_pairs(percent: int):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(held: list[bytes]) -> pa.RecordBatch:
-            hub, sid = hub_pairs(*(np.concatenate(x) for x in zip(*(unpack(p, _KINDS)[0] for p in held))), percent)
-            return pa.RecordBatch.from_pydict({"hub": pa.array(hub, pa.int64()), "sid": pa.array(sid, pa.int64())})
+            parts = [unpack(p, _KINDS)[0] for p in held]
+            token = np.concatenate([p[3] for p in parts])
+            sid, size = (np.concatenate([np.repeat(p[i], p[2]) for p in parts]) for i in range(2))
+            return pa.RecordBatch.from_pydict(dict(zip(("hub", "sid", "n", "shared"), (pa.array(x, pa.int64()) for x in hub_pairs(token, sid, size, percent)))))
 
         bucket, held = -1, []
         for batch in batches:
@@ -334,7 +353,7 @@ def _clusters(percent: int):
             sids = list(rows)
             sets = [np.frombuffer(rows[s][1], np.uint64) for s in sids]
             asked = {i for i, s in enumerate(sids) if rows[s][0] == 2}
-            first = [i for i, s in enumerate(sids) if rows[s][0] == 0]
+            first = [i for i, s in enumerate(sids) if rows[s][0] == 0]  # none where the hub itself can't link with anything
             links, rest = linked(sets, [], percent, asked) if asked else linked(sets, first, percent)
             open_ = [] if asked else rest
             u, v = [sids[a] for a, _ in links], [sids[b] for _, b in links]
@@ -361,25 +380,29 @@ def link_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
     bitmap, size = crowded_classes(docs, hashes_for(width))
     buckets = max(1, round(size / BUCKET_TEXT))
     dealt = docs.mapInArrow(_prefix_dealer(width, percent, bitmap, buckets), "bucket int, packed binary")
-    plain = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pairs(percent), "hub long, sid long")
-    crowded = docs.mapInArrow(_crowded_rows(width, percent, bitmap), "token long, sid long, priority long")
-    hubs = crowded.groupBy("token").agg(F.min(F.struct("priority", "sid")).alias("h"))
-    more = crowded.join(hubs, "token").where(F.col("sid") != F.col("h.sid")).select(F.col("h.sid").alias("hub"), "sid")
-    pairs = saved(plain.union(more).distinct())
-    counts = pairs.groupBy("hub").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("blocks"))
-    sids = pairs.select("sid").union(pairs.select(F.col("hub").alias("sid"))).distinct()
+    plain = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pairs(percent), PAIRS)
+    crowded = docs.mapInArrow(_crowded_rows(width, percent, bitmap), "token long, sid long, n long, priority long").distinct()
+    hubs = crowded.groupBy("token").agg(F.min(F.struct("priority", "sid")).alias("h"), F.count("*").alias("sets")).where("sets > 1")
+    more = crowded.join(hubs, "token").select(F.col("h.sid").alias("hub"), "sid", "n", F.lit(1).cast("long").alias("shared"))
+    every = saved(plain.unionAll(more).groupBy("hub", "sid").agg(F.first("n").alias("n"), F.sum("shared").alias("shared")))
+    smallest = F.floor((percent * F.col("n") + 99) / 100)  # the least size that can link with n
+    able = every.groupBy("sid").agg(F.first("n").alias("n"), F.sum("shared").alias("shared")).where(F.col("shared") >= smallest + F.floor(-percent * smallest / 100) + 1).select("sid")
+    pairs = every.select("hub", "sid").join(able, "sid", "left_semi")
+    counts = pairs.groupBy("hub").agg(F.count("*").alias("sets")).where("sets > 1").select("hub", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks"))
+    counts = saved(counts)
+    pairs = saved(pairs.join(counts, "hub"))
+    sids = pairs.select("sid").distinct()
     sets = docs.mapInArrow(_wanted_sets(width, wanted_bitmap(sids)), "sid long, members binary").groupBy("sid").agg(F.first("members").alias("members"))
-    sets = saved(sets.join(sids, "sid", "left_semi"))
     wide = counts.where(F.col("blocks") > 1)
     block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    members = pairs.join(counts, "hub").select("hub", block.alias("block"), "sid", F.lit(1).alias("role"))
-    seats = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("sid"), F.lit(0).alias("role"))
+    members = pairs.where("sid <> hub").select("hub", block.alias("block"), "sid", F.lit(1).alias("role"))
+    seats = pairs.where("sid = hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", F.lit(0).alias("role"))
 
     def compared(cells: DataFrame) -> DataFrame:
         key = ["hub", "block", "asking"]
         return cells.join(sets, "sid").select(*CELLS).repartition(*key).sortWithinPartitions(*key).mapInArrow(_clusters(percent), "hub long, u long, v long")
 
-    first = saved(compared(members.union(seats).withColumn("asking", F.lit(-1))))
+    first = saved(compared(members.unionAll(seats).withColumn("asking", F.lit(-1))))
     links = first.where(F.col("v").isNotNull()).select("u", "v")
     left = first.where(F.col("v").isNull()).select("hub", F.col("u").alias("sid")).join(wide, "hub").select("hub", "sid", "blocks", block.alias("asking"))
     if left.isEmpty():
