@@ -77,6 +77,24 @@ def nearest(vectors: DataFrame, key: str, column: str, k: int, block: int = 2000
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def part_cosines(parts: Sequence[tuple[int, int]]):
+    """A vectorised function of two vector columns: the cosine of each slice (first, last from 1)."""
+
+    @F.pandas_udf("array<double>")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=object)
+        x, y = (np.stack(v.to_numpy()).astype(np.float64) for v in (a, b))
+        out = []
+        for lo, hi in parts:
+            p, q = x[:, lo - 1 : hi], y[:, lo - 1 : hi]
+            norm = np.sqrt((p * p).sum(1) * (q * q).sum(1))
+            out.append(np.divide((p * q).sum(1), norm, out=np.zeros(len(p)), where=norm > 0))
+        return pd.Series(list(np.stack(out, 1)))
+
+    return of
+
+
 def pair_score(parts: Sequence[tuple[Column, Column]]) -> Column:
     """The mean over features of the mean of two clipped signals; a missing one counts as 0."""
     clip = lambda c: F.least(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
@@ -86,20 +104,20 @@ def pair_score(parts: Sequence[tuple[Column, Column]]) -> Column:
     return F.round(total / len(parts), 4)
 
 
-def category(score: Column) -> Column:
-    return F.when(score >= NEAR, "near_duplicate").when(score >= WEAK, "weak_similar")
+def category(score: Column, near: float = NEAR, weak: float = WEAK) -> Column:
+    return F.when(score >= near, "near_duplicate").when(score >= weak, "weak_similar")
 
 
-def top_pairs(scored: DataFrame, key: str, other: str, k: int = 3) -> DataFrame:
+def top_pairs(scored: DataFrame, key: str, other: str, k: int = 3, near: float = NEAR, weak: float = WEAK) -> DataFrame:
     """The k best categorised pairs of each key, ranked."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), other)
-    return scored.withColumn("category", category(F.col("score"))).where("category IS NOT NULL").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("category", category(F.col("score"), near, weak)).where("category IS NOT NULL").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def refresh(kept: DataFrame, scored: DataFrame, changed: DataFrame, key: str, other: str, k: int = 3) -> DataFrame:
+def refresh(kept: DataFrame, scored: DataFrame, changed: DataFrame, key: str, other: str, k: int = 3, near: float = NEAR, weak: float = WEAK) -> DataFrame:
     """Top pairs after some keys changed: only keys that changed, or whose pairs touch a changed one, are ranked anew."""
     touched = changed.select(key).union(kept.join(changed.select(F.col(key).alias(other)), other, "left_semi").select(key)).union(scored.join(changed.select(F.col(key).alias(other)), other, "left_semi").select(key)).distinct()
-    return kept.join(touched, key, "left_anti").unionByName(top_pairs(scored.join(touched, key, "left_semi"), key, other, k).select(kept.columns))
+    return kept.join(touched, key, "left_anti").unionByName(top_pairs(scored.join(touched, key, "left_semi"), key, other, k, near, weak).select(kept.columns))
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators import search as S
 from ..operators import similarity as M
 from ..sources.shared import saved
 from .registry import query
@@ -57,10 +56,13 @@ def scored(t):
     pairs = reduce(lambda a, b: a.union(b), near).distinct()
     side = lambda k: t.embeddings.select(F.col("vec_id").alias(k), F.col("embedding").alias(f"_{k}"))
     both = pairs.join(side("key"), "key").join(side("other"), "other")
-    part = lambda k, lo, hi: F.slice(F.col(f"_{k}"), lo, hi - lo + 1)
-    cos = {n: S.cosine(part("key", *r), part("other", *r)) for n, r in PARTS.items()}
-    whole = S.cosine(F.col("_key"), F.col("_other"))
-    return both.select("key", "other", M.pair_score([(c, whole) for c in cos.values()]).alias("score"))
+    cos = M.part_cosines([*PARTS.values(), (1, 64)])(F.col("_key"), F.col("_other"))
+    each = both.select("key", "other", cos.alias("c"))
+    return each.select("key", "other", M.pair_score([(F.get("c", F.lit(i)), F.get("c", F.lit(len(PARTS)))) for i in range(len(PARTS))]).alias("score"))
+
+
+#: The table's vectors are spread out: categories begin lower than the defaults.
+CLOSE, LOOSE = 0.40, 0.25
 
 
 _SCORED = "cand AS (" + " UNION ".join(f"SELECT key, other FROM ({_TOP.format(c=_cos('a', 'b', p))}) WHERE rank <= 50 AND score > 0" for p in PARTS) + "), sc AS (SELECT key, other, round((" + " + ".join(f"(least(greatest({_cos('a', 'b', p)}, 0), 1) + least(greatest(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 1)) / 2" for p in PARTS) + ") / 3, 4) AS score FROM cand JOIN embeddings a ON a.vec_id = key JOIN embeddings b ON b.vec_id = other)"
@@ -71,12 +73,12 @@ def pair_score(t):
     return scored(t)
 
 
-_TOP3 = "top3 AS (SELECT * FROM (SELECT key, other, score, CASE WHEN score >= 0.9 THEN 'near_duplicate' ELSE 'weak_similar' END AS category, row_number() OVER (PARTITION BY key ORDER BY score DESC, other)::INT AS rank FROM sc WHERE score >= 0.6) WHERE rank <= 3)"
+_TOP3 = "top3 AS (SELECT * FROM (SELECT key, other, score, CASE WHEN score >= 0.4 THEN 'near_duplicate' ELSE 'weak_similar' END AS category, row_number() OVER (PARTITION BY key ORDER BY score DESC, other)::INT AS rank FROM sc WHERE score >= 0.25) WHERE rank <= 3)"
 
 
 @query("similar_topk", f"WITH {_SCORED}, {_TOP3} SELECT * FROM top3")
 def similar_topk(t):
-    return M.top_pairs(scored(t), "key", "other")
+    return M.top_pairs(scored(t), "key", "other", near=CLOSE, weak=LOOSE)
 
 
 @query("similar_incremental", f"WITH {_SCORED}, {_TOP3} SELECT * FROM top3")
@@ -85,12 +87,12 @@ def similar_incremental(t):
     changed = t.embeddings.where("label = 3").select(F.col("vec_id").alias("key"))
     every = saved(scored(t))
     old = every.join(changed, "key", "left_anti").join(changed.select(F.col("key").alias("other")), "other", "left_anti").select("key", "other", "score")
-    return M.refresh(M.top_pairs(old, "key", "other"), every, changed, "key", "other")
+    return M.refresh(M.top_pairs(old, "key", "other", near=CLOSE, weak=LOOSE), every, changed, "key", "other", near=CLOSE, weak=LOOSE)
 
 
 @query("kth_threshold", f"WITH {_SCORED}, {_TOP3} SELECT e.vec_id AS key, CASE WHEN count(t.other) = 3 THEN min(t.score) ELSE 0 END AS threshold FROM embeddings e LEFT JOIN top3 t ON t.key = e.vec_id GROUP BY 1")
 def kth_threshold(t):
-    top = M.top_pairs(scored(t), "key", "other").groupBy("key").agg(F.count("*").alias("n"), F.min("score").alias("m"))
+    top = M.top_pairs(scored(t), "key", "other", near=CLOSE, weak=LOOSE).groupBy("key").agg(F.count("*").alias("n"), F.min("score").alias("m"))
     return t.embeddings.select(F.col("vec_id").alias("key")).join(top, "key", "left").select("key", F.when(F.col("n") == 3, F.col("m")).otherwise(0.0).alias("threshold"))
 
 
