@@ -2,13 +2,16 @@
 
 Method: prefix-tree join.  A set is its texts' distinct shingles of five words; all
 sets are ordered by one global order (crowded hash classes last, then the hash).
-With l = n - ceil(t * n) + 1, two sets that can link share the smaller of their l
-among the first 2 * l - 1 shingles of each; so a set that has fewer such shingles in
-common with any others, for the smallest partner it may have, links with nothing
-and goes no further.  For each prefix shingle the sets that have it gather around
-one of them, its hub; a set has few hubs, as near copies share most shingles, so it
-goes to a few clusters and not to one for each shingle, and two sets with a common
-prefix shingle still meet in a cluster.  There the sets are stored in a
+Neighbours in a set's order make its links of two shingles.  Between two sets that
+have c shingles in common, each shingle that only one has parts one pair of common
+neighbours at most, so they have c - 1 less those links in common: ``least_links`` of n.
+So the first of their common links, in one global order of links, is among the
+first (n - 1) - least_links(n) + 1 links of each, its prefix.  One shingle that unrelated
+texts happen to share makes no common link, so few unrelated sets meet.
+For each prefix link the sets that have it gather around
+one of them, its hub; a set has few hubs, as near copies share most links, so it
+goes to a few clusters and not to one for each link, and two sets with a common
+prefix link still meet in a cluster.  There the sets are stored in a
 trie (frequent shingles first, so that near copies share long paths).  A query
 walks it, adding up what it shares with each path once for all sets below, and
 leaves a subtree when the shingles that remain can't reach the least overlap.  The
@@ -16,7 +19,7 @@ hub is the first query; sets that it links are in its class, and only the others
 are queries in their turn.
 
 Equal sets are one set throughout (a 64-bit fingerprint and the size stand for
-it).  Crowded shingles get their hub by a combining aggregate and a join instead
+it).  Crowded links (of two crowded shingles) get their hub by a combining aggregate and a join instead
 of a bucket; a cluster of more than ``BLOCK`` sets is cut into blocks, each with the
 hub, and the sets that the hub doesn't link are compared with every block.
 
@@ -96,22 +99,26 @@ def _ids(width: int):
     return ids
 
 
-def least_shared(n, percent: int):
-    """l of a set of n shingles (numbers or columns): the prefix bound is 2 * l - 1 shingles."""
-    return n + (-percent * n) // 100 + 1
+def least_links(n, percent: int):
+    """The links that a set of n shingles has in common with any set that it links with, at least."""
+    return -(-n * (2 * percent - 100) // 100) - 1
 
 
 def _prefixes(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles of the prefix of each distinct set, and set id, size and prefix length of each."""
+    """Links in the prefix of each distinct set that may link with another, and set id, size and prefix length of each."""
     _, one = np.unique(sets.id, return_index=True)
-    one = one[sets.size[one] > 0]
+    one = one[sets.size[one] * (100 - percent) >= percent]  # fewer shingles than that: only an equal set would do
     size = sets.size[one]
-    length = np.minimum(size, 2 * least_shared(size, percent) - 1)
-    return sets.order[A.ranges(sets.first[one], length)], sets.id[one], size, length
+    at = A.ranges(sets.first[one], size - 1)
+    owner = np.repeat(np.arange(len(one)), size - 1)
+    link = (A.mixed(A.mixed(sets.order[at]) + sets.order[at + 1]) >> np.uint64(1)) | (sets.order[at] & _CROWDED)
+    link = link[np.lexsort((link, owner))]
+    length = np.minimum(size - 1, size - least_links(size, percent))
+    return link[A.ranges(np.cumsum(size - 1) - (size - 1), length)], sets.id[one], size, length
 
 
 _CROWDED = np.uint64(1) << np.uint64(63)
-#: Set ids, sizes, number of shingles of each, and 32 bits of the shingles (which the bucket completes; a false match only adds a candidate).
+#: Set ids, sizes, number of links of each, and 32 bits of the links (which the bucket completes; a false match only adds a candidate).
 _KINDS = [np.int64, np.int32, np.int32, np.uint32]
 
 
@@ -140,17 +147,17 @@ def _crowded_rows(width: int, percent: int, bitmap: bytes):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowded = flags(bitmap)
         for _, data, offsets in text_pieces(batches):
-            token, sid, size, length = _prefixes(Sets(data, offsets, width, crowded), percent)
-            sid, size = np.repeat(sid, length), np.repeat(size, length)
+            token, sid, _, length = _prefixes(Sets(data, offsets, width, crowded), percent)
+            sid = np.repeat(sid, length)
             keep = token >= _CROWDED
             if keep.any():
-                yield pa.RecordBatch.from_pydict({"token": pa.array(token[keep].view(np.int64), pa.int64()), "sid": pa.array(sid[keep], pa.int64()), "n": pa.array(size[keep], pa.int64()), "priority": pa.array(A.mixed(sid[keep].view(np.uint64)).view(np.int64), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"token": pa.array(token[keep].view(np.int64), pa.int64()), "sid": pa.array(sid[keep], pa.int64()), "priority": pa.array(A.mixed(sid[keep].view(np.uint64)).view(np.int64), pa.int64())})
 
     return rows
 
 
-def hub_pairs(token: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hub, member, its size, and how many shingles it has in common around the hub (which is a member too); sets whose sizes can't link are kept apart."""
+def hub_pairs(token: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hub and member (the hub is a member too); sets whose sizes can't link are kept apart."""
     by = np.lexsort((sid, size, token))
     token, sid, size = token[by], sid[by], size[by].astype(np.int64)
     new = np.ones(len(token), bool)
@@ -163,17 +170,17 @@ def hub_pairs(token: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int
     keep = np.repeat(count > 1, count)
     sid, size, heads, count = sid[keep], size[keep], np.cumsum(count[count > 1]) - count[count > 1], count[count > 1]
     if not len(sid):
-        return sid, sid, size, size
+        return sid, sid
     priority = A.mixed(sid.view(np.uint64))
     lowest = np.repeat(np.minimum.reduceat(priority, heads), count)
     hub = np.repeat(sid[priority == lowest], count)
     by = np.lexsort((sid, hub))
-    hub, sid, size = hub[by], sid[by], size[by]
+    hub, sid = hub[by], sid[by]
     heads = np.flatnonzero(np.append(True, (hub[1:] != hub[:-1]) | (sid[1:] != sid[:-1])))
-    return hub[heads], sid[heads], size[heads], np.diff(np.append(heads, len(hub)))
+    return hub[heads], sid[heads]
 
 
-PAIRS = "hub long, sid long, n long, shared long"
+PAIRS = "hub long, sid long"
 
 
 def _bucket_pairs(percent: int):
@@ -182,7 +189,7 @@ def _bucket_pairs(percent: int):
             parts = [unpack(p, _KINDS)[0] for p in held]
             token = np.concatenate([p[3] for p in parts])
             sid, size = (np.concatenate([np.repeat(p[i], p[2]) for p in parts]) for i in range(2))
-            return pa.RecordBatch.from_pydict(dict(zip(("hub", "sid", "n", "shared"), (pa.array(x, pa.int64()) for x in hub_pairs(token, sid, size, percent)))))
+            return pa.RecordBatch.from_pydict(dict(zip(("hub", "sid"), (pa.array(x, pa.int64()) for x in hub_pairs(token, sid, size, percent)))))
 
         bucket, held = -1, []
         for batch in batches:
@@ -381,13 +388,10 @@ def link_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
     buckets = max(1, round(size / BUCKET_TEXT))
     dealt = docs.mapInArrow(_prefix_dealer(width, percent, bitmap, buckets), "bucket int, packed binary")
     plain = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pairs(percent), PAIRS)
-    crowded = docs.mapInArrow(_crowded_rows(width, percent, bitmap), "token long, sid long, n long, priority long").distinct()
+    crowded = docs.mapInArrow(_crowded_rows(width, percent, bitmap), "token long, sid long, priority long").distinct()
     hubs = crowded.groupBy("token").agg(F.min(F.struct("priority", "sid")).alias("h"), F.count("*").alias("sets")).where("sets > 1")
-    more = crowded.join(hubs, "token").select(F.col("h.sid").alias("hub"), "sid", "n", F.lit(1).cast("long").alias("shared"))
-    every = saved(plain.unionAll(more).groupBy("hub", "sid").agg(F.first("n").alias("n"), F.sum("shared").alias("shared")))
-    smallest = F.floor((percent * F.col("n") + 99) / 100)  # the least size that can link with n
-    able = every.groupBy("sid").agg(F.first("n").alias("n"), F.sum("shared").alias("shared")).where(F.col("shared") >= smallest + F.floor(-percent * smallest / 100) + 1).select("sid")
-    pairs = every.select("hub", "sid").join(able, "sid", "left_semi")
+    more = crowded.join(hubs, "token").select(F.col("h.sid").alias("hub"), "sid")
+    pairs = saved(plain.unionAll(more).distinct())
     counts = pairs.groupBy("hub").agg(F.count("*").alias("sets")).where("sets > 1").select("hub", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks"))
     counts = saved(counts)
     pairs = saved(pairs.join(counts, "hub"))
@@ -418,7 +422,10 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_shingles and component_id: the smallest id that links lead to, itself included.
 
     Two texts link when 100 * intersection >= percent * union of their sets.
+    percent is 67 to 100: below, sets of three shingles may link without a common link.
     """
+    if not 67 <= percent <= 100:
+        raise ValueError("percent is 67 to 100")
     docs = A.documents(df, id_col, text_col)
     ids = saved(docs.mapInArrow(_ids(width), "doc_id long, n long, sid long"))
     least = ids.where(F.col("n") > 0).groupBy("sid").agg(F.min("doc_id").alias("least"))
