@@ -11,7 +11,8 @@ texts happen to share makes no common link, so few unrelated sets meet.
 For each prefix link the sets that have it gather around
 one of them, its hub; a set has few hubs, as near copies share most links, so it
 goes to a few clusters and not to one for each link, and two sets with a common
-prefix link still meet in a cluster.  There the sets are stored in a
+prefix link still meet in a cluster.  A cluster whose sets all are in another one
+too is left out.  In each that remains the sets are stored in a
 trie (frequent shingles first, so that near copies share long paths).  A query
 walks it, adding up what it shares with each path once for all sets below, and
 leaves a subtree when the shingles that remain can't reach the least overlap.  The
@@ -45,7 +46,7 @@ from .superkmer import CLASS_BITS, SEGMENT_BITS, class_counts, crowded_classes,
 
 SHINGLE, PERCENT = 5, 80
 #: Bytes of text for each bucket of prefix shingles, and sets in a block of a cluster.
-BUCKET_TEXT, BLOCK = 16 << 20, 512
+BUCKET_TEXT, BLOCK = 32 << 20, 512
 _SHORT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -241,11 +242,23 @@ def _wanted_sets(width: int, bitmap: bytes):
             _, one = np.unique(own.id, return_index=True)
             one = one[(own.size[one] > 0) & wanted[_class(own.id[one])]]
             if len(one):
-                yield pa.RecordBatch.from_pydict({"sid": pa.array(own.id[one], pa.int64()), "members": pa.array([own.order[own.first[i] : own.first[i + 1]].tobytes() for i in one], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"sid": pa.array(own.id[one], pa.int64()), "members": pa.array([packed_shingles(own.order[own.first[i] : own.first[i + 1]]) for i in one], pa.binary())})
 
     return sets
 
 
+def packed_shingles(order: np.ndarray) -> bytes:
+    """The upper 48 bits of 62-bit hashes, which tell the shingles of a few sets apart; the least first."""
+    values = np.unique((order << np.uint64(1)) >> np.uint64(16))
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked_shingles(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 class Trie:
     """Sets as paths of shingles, frequent ones first; equal beginnings are one path."""
 
@@ -358,7 +371,7 @@ def _clusters(percent: int):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(hub: int, rows: dict[int, tuple[int, bytes]]) -> pa.RecordBatch:
             sids = list(rows)
-            sets = [np.frombuffer(rows[s][1], np.uint64) for s in sids]
+            sets = [unpacked_shingles(rows[s][1]) for s in sids]
             asked = {i for i, s in enumerate(sids) if rows[s][0] == 2}
             first = [i for i, s in enumerate(sids) if rows[s][0] == 0]  # none where the hub itself can't link with anything
             links, rest = linked(sets, [], percent, asked) if asked else linked(sets, first, percent)
@@ -381,6 +394,19 @@ def _clusters(percent: int):
     return join
 
 
+def largest_clusters(pairs: DataFrame) -> DataFrame:
+    """(hub, sid, sets): clusters of two sets or more whose sets aren't all in a larger one; of equal ones the least hub's.
+
+    A set has at most as many hubs as links in its prefix, so this counts pairs of a set's own hubs, not of a cluster's sets.
+    """
+    sizes = pairs.groupBy("hub").agg(F.count("*").alias("sets")).where("sets > 1")
+    own = saved(pairs.join(sizes, "hub"))
+    several = own.groupBy("sid").agg(F.collect_list(F.struct("hub", "sets")).alias("hubs")).where(F.size("hubs") > 1)
+    each = several.select(F.explode("hubs").alias("x"), "hubs").select("x.hub", "x.sets", F.explode("hubs").alias("y")).where("y.sets > sets OR y.sets = sets AND y.hub < hub")
+    inside = each.select("hub", "sets", F.col("y.hub").alias("other")).groupBy("hub", "other").agg(F.count("*").alias("n"), F.first("sets").alias("all")).where("n = all").select(F.col("hub")).distinct()
+    return own.join(inside, "hub", "left_anti")
+
+
 def link_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v): links between set ids, enough of them for the classes of all links."""
     spark = docs.sparkSession
@@ -391,13 +417,10 @@ def link_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
     crowded = docs.mapInArrow(_crowded_rows(width, percent, bitmap), "token long, sid long, priority long").distinct()
     hubs = crowded.groupBy("token").agg(F.min(F.struct("priority", "sid")).alias("h"), F.count("*").alias("sets")).where("sets > 1")
     more = crowded.join(hubs, "token").select(F.col("h.sid").alias("hub"), "sid")
-    pairs = saved(plain.unionAll(more).distinct())
-    counts = pairs.groupBy("hub").agg(F.count("*").alias("sets")).where("sets > 1").select("hub", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks"))
-    counts = saved(counts)
-    pairs = saved(pairs.join(counts, "hub"))
+    pairs = saved(largest_clusters(saved(plain.unionAll(more).distinct())).select("hub", "sid", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")))
     sids = pairs.select("sid").distinct()
     sets = docs.mapInArrow(_wanted_sets(width, wanted_bitmap(sids)), "sid long, members binary").groupBy("sid").agg(F.first("members").alias("members"))
-    wide = counts.where(F.col("blocks") > 1)
+    wide = pairs.where("sid = hub AND blocks > 1").select("hub", "blocks")
     block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     members = pairs.where("sid <> hub").select("hub", block.alias("block"), "sid", F.lit(1).alias("role"))
     seats = pairs.where("sid = hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", F.lit(0).alias("role"))
