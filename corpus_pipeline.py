@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import bpe_decode, bpe_encode
+from tessera.llm.bpe import bpe_encode
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.quality_rules import quality_rules
@@ -48,7 +48,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded of each document."""
-    return bpe_decode(bpe_encode(docs))
+    return bpe_encode(docs, with_decoded=True)
 
 
 STAGES = [

@@ -200,7 +200,12 @@ def encode_rows(encoder: Encoder, batch: pa.RecordBatch, piece: int = TEXT_PIECE
         yield batch.slice(lo, hi - lo), ids, counts
 
 
-def _encoded(path: str):
+def _decoded(text: list[bytes], ids: list[int], edge: list[int]) -> list[str]:
+    """The tokens of each row's ids with a space between."""
+    return [b" ".join(map(text.__getitem__, ids[a:b])).decode() for a, b in zip(edge[:-1], edge[1:])]
+
+
+def _encoded(path: str, with_decoded: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path).prepared()
         encoder = Encoder(bpe.encode_words, bpe.added)
@@ -208,15 +213,22 @@ def _encoded(path: str):
             for rows, ids, counts in encode_rows(encoder, batch):
                 edge = np.concatenate(([0], np.cumsum(counts))) * 4
                 raw = ids.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array([raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary())})
+                out = {"doc_id": rows.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array([raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary())}
+                if with_decoded:
+                    out["decoded"] = pa.array(_decoded(bpe.text, np.frombuffer(raw, "<u4").tolist(), (edge // 4).tolist()), pa.string())
+                yield pa.RecordBatch.from_pydict(out)
 
     return encode
 
 
-def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of each text."""
+def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of each text.
+
+    With with_decoded also what bpe_decode makes of the ids, in the same Python
+    worker: one that held the vocabulary for each would double an executor's memory.
+    """
     docs = A.documents(df, id_col, text_col)
-    return docs.mapInArrow(_encoded(path or public_tokenizers.path("word_bpe_49k.json")), "doc_id long, n_tokens long, ids binary").withColumn("doc_id", A.outer_id())
+    return docs.mapInArrow(_encoded(path or public_tokenizers.path("word_bpe_49k.json"), with_decoded), "doc_id long, n_tokens long, ids binary" + ", decoded string" * with_decoded).withColumn("doc_id", A.outer_id())
 
 
 def bpe_decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -231,12 +243,11 @@ def bpe_decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) ->
             for lo, hi in A.pieces(data, offsets, TEXT_PIECE):
                 ids = np.frombuffer(data[offsets[lo] : offsets[hi]].tobytes(), "<u4").tolist()
                 edge = ((offsets[lo : hi + 1] - offsets[lo]) // 4).tolist()
-                out = [b" ".join(map(text.__getitem__, ids[a:b])).decode() for a, b in zip(edge[:-1], edge[1:])]
+                out = _decoded(text, ids, edge)
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return df.mapInArrow(decode, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return bpe_decode(encoded).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_decoded=True).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -145,6 +145,7 @@ def test_bpe_equals_the_library(docs, library):
         ids = library.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(bytes(got[i].ids), "<u4").tolist() == ids, i
         assert got[i].decoded == library.decode(ids, skip_special_tokens=False), i
+    assert sorted(map(str, bpe.bpe_encode(docs, with_decoded=True).collect())) == sorted(map(str, got.values()))
 
 
 def test_token_files(spark, docs, library, tmp_path):
