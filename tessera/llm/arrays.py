@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are held as arrays at a time; a longer text is a piece of its own.
 PIECE_BYTES = 2 << 20
+#: Bytes of an Arrow batch that goes to Python; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 #: The id that stands for a null one inside the operators: after all others.
 NULL_ID = (1 << 63) - 1
 
@@ -32,7 +34,11 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) without nulls: a null text is empty, a null id is NULL_ID."""
+    """(doc_id, text) without nulls: a null text is empty, a null id is NULL_ID.
+
+    Batches for Python are bounded by bytes, as long texts would make one of thousands of rows too large; the session keeps the bound.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -65,7 +71,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, n of each at least."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            x = np.full(max(n, PIECE_BYTES + (PIECE_BYTES >> 2)), base, np.uint64)
+            x = np.full(max(n + (n >> 2), 1 << 18), base, np.uint64)
             x[0] = 1
             _powers[k] = np.multiply.accumulate(x)
     return _powers[0][:n], _powers[1][:n]

@@ -32,8 +32,10 @@ from .pretokens import Encoder
 
 #: The symbol that ends a word.
 END = 256
+_SYMBOL_BITS = 9
+_SYMBOLS = (1 << _SYMBOL_BITS) - 1
 #: Bytes of text that are encoded at a time.
-TEXT_PIECE = 1 << 20
+TEXT_PIECE = 1 << 18
 _MEMO_BITS = 20
 
 
@@ -78,33 +80,53 @@ class PrefixBpe:
         return self
 
     def _automaton(self, tokens: dict[int, list[int]]) -> None:
-        """go: the state after a symbol; best: the longest token that ends there; shorter: the next one."""
-        children: list[dict[int, int]] = [{}]
-        own = [-1]
+        """Edges by state and symbol; fail: the state of the longest other suffix; best: the longest token that ends in a state; shorter: the next one.
+
+        Edges and suffix links take a hundredth of the memory of a full table of states and symbols.
+        """
+        edges: dict[int, int] = {}
+        entry, depth, own = [0], [0], [-1]
         self.size = np.zeros(len(self.text), np.int64)  # in bytes, without END
         for i, symbols in tokens.items():
             state = 0
             for s in symbols:
-                if s not in children[state]:
-                    children[state][s] = len(children)
-                    children.append({})
+                key = state << _SYMBOL_BITS | s
+                if key not in edges:
+                    edges[key] = len(own)
+                    entry.append(key)
+                    depth.append(depth[state] + 1)
                     own.append(-1)
-                state = children[state][s]
+                state = edges[key]
             own[state] = i
             self.size[i] = len(symbols) - (symbols[-1] == END)
-        self.go = np.zeros((len(children), END + 1), np.int32)
-        self.best, self.shorter = np.full(len(children), -1, np.int32), np.full(len(self.text), -1, np.int32)
-        queue = [(0, 0)]
-        for state, fail in queue:
-            if state:
-                self.go[state] = self.go[fail]
-                self.best[state] = self.best[fail]
-                if own[state] >= 0:
-                    self.shorter[own[state]] = self.best[fail]
-                    self.best[state] = own[state]
-            for s, child in children[state].items():
-                queue.append((child, int(self.go[fail, s]) if state else 0))
-                self.go[state, s] = child
+        fail, best, self.shorter = [0] * len(own), [-1] * len(own), np.full(len(self.text), -1, np.int32)
+        for state in np.argsort(depth, kind="stable")[1:].tolist():  # shorter ones first
+            parent, symbol = entry[state] >> _SYMBOL_BITS, entry[state] & _SYMBOLS
+            while parent:
+                parent = fail[parent]
+                if (parent << _SYMBOL_BITS | symbol) in edges:
+                    fail[state] = edges[parent << _SYMBOL_BITS | symbol]
+                    break
+            best[state] = best[fail[state]]
+            if own[state] >= 0:
+                self.shorter[own[state]] = best[state]
+                best[state] = own[state]
+        self.fail, self.best = np.array(fail, np.int32), np.array(best, np.int32)
+        self._edges = np.array(sorted(edges), np.int32)
+        self._targets = np.array([edges[k] for k in self._edges.tolist()], np.int32)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states after one more symbol each."""
+        out = np.zeros(len(state), np.int32)
+        todo = np.arange(len(state))
+        while len(todo):
+            key = state << _SYMBOL_BITS | symbol[todo]
+            at = np.minimum(np.searchsorted(self._edges, key), len(self._edges) - 1)
+            hit = self._edges[at] == key
+            out[todo[hit]] = self._targets[at[hit]]
+            on = ~hit & (state > 0)
+            todo, state = todo[on], self.fail[state[on]]
+        return out
 
     def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of the merge of each pair, or a large number."""
@@ -157,9 +179,10 @@ class PrefixBpe:
         for i in range(1, int(size.max(initial=0)) + 1):
             n = int(np.searchsorted(-ordered, -i, "right"))  # words with i bytes at least
             word = order[:n]
-            step = self.go[state[:n], data[begin[word] + i - 1]]
-            state[:n] = step
-            at = np.where(size[word] == i, self.go[step, END], step)
+            at = self.step(state[:n], data[begin[word] + i - 1].astype(np.int32))
+            state[:n] = at
+            ends = np.flatnonzero(size[word] == i)
+            at[ends] = self.step(at[ends], np.full(len(ends), END, np.int32))
             token = self.best[at]
             todo = np.arange(n)
             while len(todo):
