@@ -48,6 +48,11 @@ def payload_filter(t):
     return t.events.where(I.payload_filter("k:42", "props", "event_id") & (F.col("event_id") < 5000)).select("event_id", "props")
 
 
+@query("payload_filter_whole", """SELECT event_id, props FROM events WHERE json_extract_string(props, '$.k') = '42'""")
+def payload_filter_whole(t):
+    return t.events.where(I.payload_filter("k:42", "props", "event_id")).select("event_id", "props")
+
+
 @query("last_wins", "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
 def last_wins(t):
     return S.last_by_id(t.events.select("user_id", "event_id", "event_type", "value"), "user_id", F.col("event_id")).select("user_id", "event_type", "value")

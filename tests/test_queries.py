@@ -23,6 +23,15 @@ def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+def test_payload_filter_reads_the_whole_table(spark):
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.1"
+    events = spark.read.parquet(f"{sf}/events.parquet").where(F.get_json_object("props", "$.k") == "42")
+    got = [r.event_id for r in registry.QUERIES["payload_filter_whole"](spark, sf).collect()]
+    assert sorted(got) == sorted(r.event_id for r in events.collect()) and max(got) >= 5000
+
+
 def test_entry_and_names():
     import __spark_entry__ as entry
 
