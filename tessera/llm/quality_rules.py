@@ -9,12 +9,15 @@ and percentiles are exact, the same for any partitioning, and combined before th
 shuffle; a group of any size comes down to one row.  DataFrame functions only.
 
 Results for odd input: a null or empty text has no words and fails the base rules;
-a null language or source counts as the empty one; groups of fewer than
-``LEAST_ROWS`` texts reject none; repeated rows each have a result; a null id is kept.
+a null language or source counts as the empty one; a group of fewer than
+``LEAST_ROWS`` texts is judged by the estimate of its language, and where that has
+fewer too, by that of all texts; repeated rows each have a result; a null id is kept.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,14 +132,33 @@ def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     return estimate
 
 
+def every_estimate(vectors: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """A row of PARAMETERS for each group: its own estimate, or that of its language or of all texts where fewer than least_rows are in it."""
+    groups = vectors.groupBy(*KEYS).agg(F.count("*").alias("own"))
+    langs = groups.groupBy("_lang").agg(F.sum("own").alias("all"))
+    level = F.when(F.col("own") >= least_rows, 0).when(F.col("all") >= least_rows, 1).otherwise(2)
+    groups = per_group(groups.join(langs, "_lang").select(*KEYS, level.alias("level")))
+    levels = {r.level for r in groups.select("level").distinct().collect()} or {0}
+    out = []
+    for n in sorted(levels):
+        own = groups.where(F.col("level") == n)
+        rows = vectors.join(own.select(*KEYS), KEYS) if n == 0 else vectors.join(F.broadcast(own.select("_lang").distinct()), "_lang", "left_semi") if n == 1 else vectors
+        pool = {"_source": F.lit("")} if n else {}
+        pool |= {"_lang": F.lit("")} if n == 2 else {}
+        found = estimates(rows.withColumns(pool) if pool else rows)
+        to = own.select(*(F.col(k).alias(f"_own{k}") for k in KEYS), *(pool.get(k, F.col(k)).alias(k) for k in KEYS))
+        out.append(to.join(found, KEYS).drop(*KEYS).withColumnsRenamed({f"_own{k}": k for k in KEYS}).select(*PARAMETERS))
+    return reduce(DataFrame.union, out)
+
+
 def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ("doc_id",), least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF) -> DataFrame:
-    """The columns ``keep`` of df with its statistics, base_failed, distance2 (null where there is no estimate) and kept."""
+    """The columns ``keep`` of df with its statistics, base_failed, distance2 (null only where the base rules leave no text of its group) and kept."""
     own = df.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.coalesce(F.col(lang_col), F.lit("")).alias("_lang"), F.coalesce(F.col(source_col), F.lit("")).alias("_source"), F.col(text_col).alias("_text"))
     stats = statistics(own, "_text").drop("_text")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     vectors = saved(vector(stats.withColumn("base_failed", failed)))
     passed = vectors.where(~F.col("base_failed")).select(*KEYS, *(f"x{i}" for i in range(D)))
-    judged = with_distance(vectors, per_group(estimates(passed).where(F.col("rows") >= least_rows)), "left")
+    judged = with_distance(vectors, per_group(every_estimate(passed, least_rows)), "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
     return judged.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("d2", 3).alias("distance2"))
 

@@ -286,6 +286,18 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert all(got[i].kept for i in [*range(300), *range(2000, 2300)]) and not any(got[1000 + i].kept for i in range(20))
 
 
+def test_small_groups_have_verdicts(spark):
+    """On given rows all groups are small; junk in a rare source goes as it would in a large one."""
+    got = quality_rules.op10_quality_rules(spark, X.SF).collect()
+    assert all(r.distance2 is not None for r in got if not r.base_failed) and any(not r.base_failed for r in got)
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(max(1, round(rng.gauss(5, 1))))) for _ in range(n))
+    rows = [(i, say(rng.randrange(40, 200)), "en", f"rare{i % 40}", None) for i in range(300)]
+    rows += [(1000, say(60).replace(" ", " ## $$ "), "en", "rare1", None), (1001, say(60).replace(" ", " ## $$ "), "xx", "rare1", None), (1002, say(60), "xx", "rare1", None)]
+    got = X.by_id(quality_rules.quality_rules(X.frame(spark, rows)).collect())
+    assert {i for i, r in got.items() if not r.kept} == {1000, 1001}
+
+
 def test_distances_equal_numpy(spark):
     rows = X.own_documents()
     vectors = quality_rules.vector(quality_rules.statistics(X.frame(spark, rows).selectExpr("doc_id", "coalesce(lang, '') _lang", "coalesce(source, '') _source", "text"))).drop("text").persist()
