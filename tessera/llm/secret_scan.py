@@ -4,7 +4,10 @@ Fixed patterns find assignments, access keys and long hexadecimal runs.  Values
 a credential context that the patterns leave (shorter ones, other key names) are
 weighed by a guess cost: dynamic programming over the value finds its cheapest
 segmentation into words, dates, repeats, keyboard walks and brute-force spans, in
-powers of ten of guesses.  A value that costs ``LEAST_COST`` or more is a secret.
+powers of ten of guesses.  A value that costs ``LEAST_COST`` or more is a secret, and
+so is a shorter one of 6 characters or more that costs as much as brute force over
+all of it.  Where a pattern's span ends inside a value, the whole value is a guess
+span too, so that no rest of it stays.
 
 Results for odd input: a null or empty text has no spans; repeated rows each have
 a result; a null id is kept; values longer than ``LONGEST`` are weighed by their
@@ -125,7 +128,11 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
             end = start + len(m[2].rstrip(".!?)"))
             while span and span[2] <= m.start():
                 span = next(edges, None)
-            if (not span or span[0] >= end) and end - start >= 6 and cost(text[start:end]) >= LEAST_COST:
+            if span and span[0] <= start < span[2]:  # the base pattern's value: what it leaves of it goes too
+                end = start + len(m[2].rstrip(".?)"))
+                if end > span[2]:
+                    out.append((start, 3, end))
+            elif end - start >= 6 and cost(text[start:end]) >= min(LEAST_COST, end - start):
                 out.append((start, 3, end))
     return sorted(out)
 

@@ -121,6 +121,13 @@ def test_guessable_values_are_no_secrets():
     assert [k for _, k, _ in secret_scan.find_secrets("pwd: vT7#qLz92pX and pwd: letmein")] == [3]
 
 
+@pytest.mark.parametrize("text", ["password=CorrectHorse12&Battery99!", "x token: 'abcdefABCDEF12@tail' y", "secret=abcdefghijkl#m", "password=CorrectHorse12!", "pwd: xK9#mP", "pwd=ab&token=ABCDEFGHIJKLMN"])
+def test_no_rest_of_a_value_stays(text):
+    found = secret_scan.find_secrets(text)
+    assert not re.search(r"[&@#!]|Battery|tail|xK9|ab&", secret_scan.masked(text, found))
+    assert [(a, kind, b) for a, k, b in found if (kind := secret_scan.KINDS[k]) != "guess"] == [(a, kind, b) for a, _, kind, b in base_spans(text)]
+
+
 def test_masking(spark):
     out = X.by_id(secret_scan.mask_secrets(X.frame(spark, ROWS)).collect())
     assert out[100_000].text is None
