@@ -1,13 +1,14 @@
 """From raw documents to token ids: rules, near copies, benchmarks, secrets, tokens.
 
 Each stage takes all that the one before kept, as written to Parquet.  Rows that
-share a doc_id are one document: what drops one of them drops all.  Null ids are
-compared as equal.
+share a doc_id are one document: what drops one of them drops all.  A row with a
+null id is a document of its own, after all others.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,28 +18,29 @@ from tessera.llm.decontaminate import decontaminate
 from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.secret_scan import mask_secrets
-from tessera.llm.storage import shared_folder
+from tessera.llm.storage import apart, given_id, shared_folder
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the ids in ``gone``."""
-    ids = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_gone"]), "left_anti")
+def _without(docs: DataFrame, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs but for the ids that ``gone`` gives of them."""
+    own, least = apart(docs)
+    out = own.join(gone(own).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return out if own is docs else out.withColumn("doc_id", given_id(least).cast(docs.schema["doc_id"].dataType))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the outlier rule reject go."""
-    return _without(docs, quality_rules(docs).where(~F.col("kept")))
+    return _without(docs, lambda own: quality_rules(own).where(~F.col("kept")))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id stays."""
-    return _without(docs, jaccard_join(docs).where(~F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    return _without(docs, lambda own: jaccard_join(own).where(~F.col("component_id").eqNullSafe(F.col("doc_id"))))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return _without(docs, lambda own: decontaminate(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .arrays import NULL_ID
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,3 +28,26 @@ def saved(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def apart(df: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, int]:
+    """df with an id of its own in each row that has none, and the least of these.
+
+    The rows without an id are written once, so that each keeps its own in every
+    scan.  Their ids are the last ones before NULL_ID, and df's own are to be smaller.
+    """
+    own = df.withColumn(id_col, F.col(id_col).cast("bigint"))
+    nulls = own.where(F.col(id_col).isNull())
+    if nulls.isEmpty():
+        return df, NULL_ID
+    nulls = saved(nulls.withColumn(id_col, F.monotonically_increasing_id()))
+    parts = nulls.agg(F.max(F.shiftright(id_col, 33))).first()[0] + 1
+    row, part = F.col(id_col).bitwiseAND((1 << 33) - 1), F.shiftright(id_col, 33)
+    nulls = nulls.withColumn(id_col, F.lit(NULL_ID - 1) - row * parts - part)
+    least = nulls.agg(F.min(id_col)).first()[0]
+    return own.where(F.col(id_col).isNotNull()).union(nulls), least
+
+
+def given_id(least: int, id_col: str = "doc_id") -> Column:
+    """The id as it was before apart()."""
+    return F.when(F.col(id_col) < least, F.col(id_col)).alias(id_col)

@@ -4,8 +4,8 @@ Method: super-k-mer partitioning (see superkmer); in its bucket each packed stri
 is cut into windows, whose hashes are sorted; equal neighbours are compared byte
 by byte, so the counts are exact.
 
-Results for odd input: a null text has no words; a null id stands after all others
-and comes back null; repeated rows of one id are one document, each with a result;
+Results for odd input: a null text has no words; a row with a null id is a
+document of its own after all others, and comes back null; repeated rows of one id are one document, each with a result;
 a text of fewer than k words loses nothing; other columns are left out.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .storage import apart, given_id
 from .superkmer import Spec, repeated_spans
 
 #: Words of a minimiser: longer ones are rarer, shorter ones make longer super-k-mers, with fewer words sent twice.
@@ -119,11 +120,12 @@ def substring_dedup(df: DataFrame, k: int = 20, id_col: str = "doc_id", text_col
     A word goes if a window of k words over it also starts earlier: in a smaller
     id, or earlier in the same text.  Windows are judged on the input.
     """
+    df, least = apart(df.select(id_col, text_col), id_col)
     docs = A.documents(df, id_col, text_col)
     spans = repeated_spans(docs, Spec(k, min(minimiser, k), True, True), repeats_by_sort(k))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     out = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(remover(k, with_text), schema)
-    return out.withColumn("doc_id", A.outer_id())
+    return out.withColumn("doc_id", given_id(least))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

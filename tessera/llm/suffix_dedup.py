@@ -14,8 +14,8 @@ match and the rounds are as many as a packed string is long.  Equal strings are
 folded before (the smallest document stays), and a string that is alone with its
 minimiser has nothing to match.
 
-Results for odd input: a null text has no bytes; a null id stands after all others
-and comes back null; rows with one id are one document, each with a result; texts
+Results for odd input: a null text has no bytes; a row with a null id is a
+document of its own after all others, and comes back null; rows with one id are one document, each with a result; texts
 under k bytes lose nothing; other columns are left out.
 """
 
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import arrays as A
 from .substring_dedup import covered
+from .storage import apart, given_id
 from .superkmer import Spec, repeated_spans
 
 MINIMISER_BYTES = 20
@@ -223,10 +224,11 @@ def suffix_dedup(df: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: s
 
     A byte goes if a string of k bytes over it also starts in a document with a smaller id.
     """
+    df, least = apart(df.select(id_col, text_col), id_col)
     docs = A.documents(df, id_col, text_col)
     spans = repeated_spans(docs, Spec(k, min(minimiser, k), False, False), repeats_by_suffixes(k))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_bytes
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remover(k, with_bytes), schema).withColumn("doc_id", A.outer_id())
+    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remover(k, with_bytes), schema).withColumn("doc_id", given_id(least))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, jaccard_join, queries, secret_scan
+from tessera.llm import chat_format, jaccard_join, queries, secret_scan, substring_dedup, suffix_dedup
 
 from ..compare import as_text, oracle_rows
 from . import fixtures as X
@@ -58,6 +60,25 @@ def test_pipeline(spark):
         assert empty.columns == given and empty.count() == 0
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    one, copied, three, short = say(60), say(60), say(60), say(5)
+    leak = say(60) + " " + spark.read.parquet(f"{X.SF}/benchmark.parquet").first().text
+    rows = [(i, x, "en", "web", None) for i, x in enumerate([one, say(60)])] + [(None, x, "en", "web", None) for x in (None, short, one, copied, copied, leak, three)]
+    docs = X.frame(spark, rows)
+    for i, (_, stage) in enumerate(P.STAGES[:3]):
+        docs = stage(spark, docs, X.SF).persist()
+        got = sorted(r.text for r in docs.collect() if r.doc_id is None)
+        assert got == sorted([[one, copied, copied, leak, three], [copied, leak, three], [copied, three]][i])
+    assert {r.doc_id for r in docs.collect()} == {0, 1, None}
+    for operator, k in ((substring_dedup.substring_dedup, "kept_text"), (suffix_dedup.suffix_dedup, "kept_bytes")):
+        got = operator(X.frame(spark, rows)).collect()
+        assert sorted(r[k] if k == "kept_text" else bytes(r[k]).decode() for r in got if r.doc_id is None) == sorted(["", short, "", copied, "", leak, three])
+
+
 def test_below_its_least_percent(spark):
     with pytest.raises(ValueError):
         jaccard_join.jaccard_join(X.frame(spark, []), percent=50)
