@@ -7,16 +7,22 @@ diagonals that overlap by e; bands that reach the bound are verified by banded
 alignment, all of a piece together.  Bytes are compared after A-Z are lower-cased
 and runs of white space made one space.
 
+Besides a whole item, its parts of ``PART`` bytes, one every ``STRIDE`` bytes, are
+looked for in the same way, with the edits for their own length; so a text that
+quotes PART + STRIDE - 1 bytes of a longer item word for word is always found.
+Items of fewer than q bytes are matched exactly, where they don't go on as a word.
+
 The items go to all tasks in blocks of ``BLOCK_BYTES`` at most: their size is
 taken first, and a larger benchmark is scanned block by block.
 
-Results for odd input: null and empty texts and items match nothing, nor do items
-of fewer than q bytes; repeated rows and items each give rows; null ids are kept;
-of overlapping passages of one item the nearest stays; other columns are left out.
+Results for odd input: null and empty texts and items match nothing; repeated rows and items each give rows; null ids are kept;
+of overlapping passages of one item the nearest stays, of the whole item before those
+of its parts; other columns are left out.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,8 +36,14 @@ from . import arrays as A
 Q = 8
 #: Edits for each byte of an item.
 RATE = 0.1
+#: Bytes of the parts of a longer item, and from one part to the next.
+PART, STRIDE = 128, 32
 #: Normalised bytes of items that are sent to a task, and shared q-grams that are held at a time.
 BLOCK_BYTES, HELD = 4 << 20, 1 << 21
+#: Bytes that a word goes on with.
+WORD = b"0123456789abcdefghijklmnopqrstuvwxyz"
+IN_WORD = np.zeros(256, bool)
+IN_WORD[list(WORD)] = True
 _TABLE_BITS = 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -144,6 +156,31 @@ class Items:
         return best >> 20, low + (best & (one - 1)), low + size + where
 
 
+    def short(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, item and start (from the row's start) of each item of fewer than Q bytes that isn't a part of a longer word."""
+        found = []
+        raw = data.tobytes() if (self.size < Q).any() else b""
+        for item in np.flatnonzero((self.size > 0) & (self.size < Q)).tolist():
+            own = self.data[item].tobytes()
+            at = np.array([m.start() for m in re.finditer(b"(?=" + re.escape(own) + b")", raw)], np.int64)
+            row = np.searchsorted(offsets, at, "right") - 1
+            end = at + len(own)
+            good = end <= offsets[row + 1]
+            if own[0] in WORD:
+                good &= (at == offsets[row]) | ~IN_WORD[data[np.maximum(at - 1, 0)]]
+            if own[-1] in WORD:
+                good &= (end >= offsets[row + 1]) | ~IN_WORD[data[np.minimum(end, len(data) - 1)]]
+            found += [(r, item, a) for r, a in zip(row[good].tolist(), (at - offsets[row])[good].tolist())]
+        return tuple(np.array([x[k] for x in found], np.int64) for k in range(3))
+
+
+def parts(text: bytes) -> list[bytes]:
+    """The parts of an item of more than PART normalised bytes."""
+    data = normalised(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tobytes()
+    last = len(data) - PART
+    return [data[i : i + PART] for i in [*range(0, last, STRIDE), last]] if last > 0 else []
+
+
 def scanner(texts: list[bytes], base: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(texts)
@@ -154,17 +191,21 @@ def scanner(texts: list[bytes], base: int):
                 raw, at = all_data[all_offsets[lo] : all_offsets[hi]], all_offsets[lo : hi + 1] - all_offsets[lo]
                 data, offsets, source = normalised(raw, at)
                 rows, which, diagonals = items.bands(data, offsets)
-                for first in range(0, len(rows), 256):
+                exact = items.short(data, offsets)
+                for first in range(0, max(len(rows), min(1, len(exact[0]))), 256):
                     part = slice(first, first + 256)
                     row, item, diagonal = rows[part], which[part], diagonals[part]
-                    edits, start, end = items.align(data, offsets, row, item, diagonal)
+                    edits, start, end = items.align(data, offsets, row, item, diagonal) if len(row) else (np.zeros(0, np.int64),) * 3
+                    if first == 0:
+                        row, item = np.append(row, exact[0]), np.append(item, exact[1])
+                        edits, start, end = np.append(edits, np.zeros_like(exact[2])), np.append(start, exact[2]), np.append(end, exact[2] + items.size[exact[1]])
                     good = edits <= items.edits[item]
                     row, item, edits = row[good], item[good], edits[good]
                     source_end = np.append(source, len(raw))
                     start, end = source[offsets[row] + start[good]], source_end[offsets[row] + end[good] - 1] + 1
                     lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80))) if len(row) else None
                     if len(row):
-                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[lo + row], pa.int64()), "item": pa.array(base + item, pa.int64()), "start": pa.array(lead[start] - lead[at[row]], pa.int64()), "end": pa.array(lead[end] - lead[at[row]], pa.int64()), "edits": pa.array(edits, pa.int64())})
+                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[lo + row], pa.int64()), "entry": pa.array(base + item, pa.int64()), "start": pa.array(lead[start] - lead[at[row]], pa.int64()), "end": pa.array(lead[end] - lead[at[row]], pa.int64()), "edits": pa.array(edits, pa.int64())})
 
     return scan
 
@@ -172,9 +213,9 @@ def scanner(texts: list[bytes], base: int):
 def nearest(found: DataFrame) -> DataFrame:
     """Of overlapping passages of one item in one text, the nearest."""
     keys = ["doc_id", "item"]
-    runs = found.select(*keys, F.struct("edits", "start", "end").alias("p")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("all"))
+    runs = found.select(*keys, F.struct("part", "edits", "start", "end").alias("p")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("all"))
     free = lambda kept, p: ~F.exists(kept, lambda x: (x["start"] < p["end"]) & (p["start"] < x["end"]))
-    kept = F.aggregate("all", F.array().cast("array<struct<edits:bigint,start:bigint,end:bigint>>"), lambda acc, p: F.when(free(acc, p), F.concat(acc, F.array(p))).otherwise(acc))
+    kept = F.aggregate("all", F.array().cast("array<struct<part:int,edits:bigint,start:bigint,end:bigint>>"), lambda acc, p: F.when(free(acc, p), F.concat(acc, F.array(p))).otherwise(acc))
     return runs.select(*keys, F.explode(kept).alias("p")).select(*keys, "p.start", "p.end", "p.edits")
 
 
@@ -182,19 +223,24 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """doc_id, item_id, start, end (code points of the text) and edits of each passage near a benchmark item."""
     docs = A.documents(df, id_col, text_col)
     bench = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first().n
+    pieces = F.when(F.octet_length("text") > PART, F.ceil((F.octet_length("text") - PART) / STRIDE) + 1).otherwise(0)
+    size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 64 + pieces * (PART + 64)), F.lit(0)).alias("n")).first().n
     blocks = -(-size // block_bytes)
-    found, names, base = [], [], 0
+    found, names, entries, base = [], [], [], 0
     for block in range(blocks):
         items = bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect() if blocks > 1 else bench.orderBy("item_id", "text").collect()  # block_bytes or about that
-        found.append(docs.mapInArrow(scanner([r.text.encode() for r in items], base), "doc_id long, item long, start long, end long, edits long"))
+        texts = [(i, 0, r.text.encode()) for i, r in enumerate(items)]
+        texts += [(i, 1, x) for i, _, text in texts for x in parts(text)]
+        found.append(docs.mapInArrow(scanner([x for _, _, x in texts], len(entries)), "doc_id long, entry long, start long, end long, edits long"))
+        entries += [(len(entries) + j, base + i, part) for j, (i, part, _) in enumerate(texts)]
         names += [(base + i, r.item_id) for i, r in enumerate(items)]
         base += len(items)
     spark = df.sparkSession
     kind = benchmark.schema[item_col].dataType.simpleString()
     if not names:
         return spark.createDataFrame([], f"doc_id long, item_id {kind}, start long, end long, edits long")
-    passages = nearest(reduce(DataFrame.union, found))
+    of = spark.createDataFrame(entries, "entry long, item long, part int")
+    passages = nearest(reduce(DataFrame.union, found).join(F.broadcast(of), "entry"))
     labels = spark.createDataFrame(names, f"item long, item_id {kind}")
     return passages.join(labels, "item").select(A.outer_id(), "item_id", "start", "end", "edits")
 

@@ -254,6 +254,18 @@ def test_decontaminate(spark):
     assert decontaminate.decontaminate(X.frame(spark, rows), bench.where("item_id < 0")).count() == 0
 
 
+def test_decontaminate_finds_parts_and_short_items(spark):
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefgh    ") for _ in range(n)).strip()
+    long = "x" + say(700) + "x"
+    bench = spark.createDataFrame([(1, long), (2, "tiny q?"), (3, "日本")], "item_id long, text string")
+    texts = {1: say(50) + " " + long[200:380] + " " + say(50), 2: long[-180:], 3: say(300), 4: "a Tiny\nq? b", 5: "atiny q?", 6: "x日本y", 7: say(9) + long, 8: "tiny q?"}
+    got = decontaminate.decontaminate(X.frame(spark, [(i, t, None, None, None) for i, t in texts.items()]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (4, 2), (6, 3), (7, 1), (8, 2)}
+    by = {r.doc_id: texts[r.doc_id][r.start : r.end] for r in got}
+    assert by[4] == "Tiny\nq?" and by[6] == "日本" and len(by[7]) >= len(long) and long[220:360] in texts[1]
+
+
 def test_license_scan_equals_sql(spark):
     got = license_scan.op7_license_scan(spark, X.SF).toPandas()
     assert as_text(got) == as_text(oracle_rows(license_scan.ORACLE, X.SF)) and len(got)
