@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
+
 
 def closure(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
     """node, level: what is reached from seeds (node) in at most ``depth`` steps, seeds included, each at its least level.
 
-    Level by level; nodes seen before go no further, so cycles end.  The lineage
-    of each level is that of the one before and one join; depth bounds it.
+    Level by level; nodes seen before go no further, so cycles end.  Each level is
+    written once and read by the later ones, so a level's plan is two joins over
+    files however deep it is.  A null node has no edges.
     """
-    step = edges.select(F.col("src").alias("node"), F.col("dst"))
-    front = seeds.select("node").distinct().withColumn("level", F.lit(0))
+    step = saved(edges.select(F.col("src").alias("node"), F.col("dst")).distinct())
+    front = saved(seeds.select("node").distinct().withColumn("level", F.lit(0)))
     seen = front
     for level in range(1, depth + 1):
-        front = front.join(step, "node").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("level", F.lit(level))
+        reached = front.join(step, "node").select(F.col("dst").alias("node")).distinct()
+        front = saved(reached.join(seen, "node", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             break
         seen = seen.unionAll(front)
