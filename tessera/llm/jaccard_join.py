@@ -17,17 +17,26 @@ trie (frequent shingles first, so that near copies share long paths).  A query
 walks it, adding up what it shares with each path once for all sets below, and
 leaves a subtree when the shingles that remain can't reach the least overlap.  The
 hub is the first query; sets that it links are in its class, and only the others
-are queries in their turn.
+are queries in their turn, which leave out subtrees of sets that are in their class
+already.  A cluster gives the links of a spanning forest: fewer than its sets.
 
 Equal sets are one set throughout (a 64-bit fingerprint and the size stand for
-it).  Crowded links (of two crowded shingles) get their hub by a combining aggregate and a join instead
-of a bucket; a cluster of more than ``BLOCK`` sets is cut into blocks, each with the
-hub, and the sets that the hub doesn't link are compared with every block.
+it).  Crowded links (of two crowded shingles) get their hub by a combining aggregate and
+joins instead of a bucket: links of very many sets by a broadcast table of ``HEAVY_LINKS``
+rows at most, the others by a shuffle.  A cluster of more than ``BLOCK`` sets is cut into
+blocks, each with the hub; a set that isn't in the hub's class after its own block is
+compared with every other block (those that are need no link to each other).
+
+Sets are told apart by 63 bits: among N different sets two are taken as equal with a
+chance of about N * N / 2**64 (10**9 sets: one in 18; beyond 10**10 a few pairs are to be expected).
+Shingles inside the tries are told apart by 48 bits (see the README).
 
 Results for odd input: a null text, or one without words, has an empty set and
 links with nothing; a text of fewer than five words has its whole sequence as its
-shingle; repeated rows are copies of each other; a null id stands after all others and
-comes back null, its class too; other columns are left out.
+shingle; a very long text is one set, in a piece of its own; repeated rows are copies of
+each other; each row with a null id is a document of its own after all others and
+comes back null, its class too if it has no id in it; an empty table gives an empty one;
+of equal priorities the smaller set id is the hub; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,12 +50,14 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .components import components
-from .storage import saved
+from .storage import apart, given_id, saved
 from .superkmer import CLASS_BITS, SEGMENT_BITS, class_counts, crowded_classes, flags, pack, text_pieces, unpack
 
 SHINGLE, PERCENT = 5, 80
 #: Bytes of text for each bucket of prefix shingles, and sets in a block of a cluster.
 BUCKET_TEXT, BLOCK = 32 << 20, 512
+#: A crowded link is heavy above this many sets (HEAVY_SETS), or more, so that there are HEAVY_LINKS of them at most.
+HEAVY_SETS, HEAVY_LINKS = 1024, 100_000
 _SHORT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -237,12 +248,13 @@ def _class(sid: np.ndarray) -> np.ndarray:
 def _wanted_sets(width: int, bitmap: bytes):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = flags(bitmap)
-        for _, data, offsets in text_pieces(batches):
+        for doc, data, offsets in text_pieces(batches):
             own = Sets(data, offsets, width, None)
-            _, one = np.unique(own.id, return_index=True)
+            by = np.lexsort((doc, own.id))
+            one = by[np.append(True, own.id[by[1:]] != own.id[by[:-1]])]  # of each set the smallest document
             one = one[(own.size[one] > 0) & wanted[_class(own.id[one])]]
             if len(one):
-                yield pa.RecordBatch.from_pydict({"sid": pa.array(own.id[one], pa.int64()), "members": pa.array([packed_shingles(own.order[own.first[i] : own.first[i + 1]]) for i in one], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"sid": pa.array(own.id[one], pa.int64()), "least": pa.array(doc[one], pa.int64()), "members": pa.array([packed_shingles(own.order[own.first[i] : own.first[i + 1]]) for i in one], pa.binary())})
 
     return sets
 
@@ -281,7 +293,10 @@ class Trie:
             differ = a[:n] != b[:n]
             self.shared.append(int(differ.argmax()) if differ.any() else n)
         self.shared.append(0)
+        self.root = list(range(len(sets)))
+        self.classes = len(sets)
         self.nodes = self._build()
+        self.one_class = [-1] * len(self.nodes)
 
     def _build(self) -> list[tuple]:
         """(depth of its first shingle, depth after its last, a set below, children, least and largest size below, number of the set that ends here or -1)."""
@@ -317,10 +332,33 @@ class Trie:
             sizes = [self.size[nodes[x][6]]] if nodes[x][6] >= 0 else []
             low, high = [nodes[c][4] for c in nodes[x][3]] + sizes, [nodes[c][5] for c in nodes[x][3]] + sizes
             nodes[x][4], nodes[x][5] = int(min(low)), int(max(high))
+        self.upward = done[::-1]
         return [tuple(x) for x in nodes]
 
+    def top(self, x: int) -> int:
+        """The set that stands for the class of x, by the links so far."""
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def joined(self, x: int, y: int) -> bool:
+        """Puts the classes of x and y together; whether they were apart."""
+        x, y = self.top(x), self.top(y)
+        self.root[max(x, y)] = min(x, y)
+        self.classes -= x != y
+        return x != y
+
+    def note_classes(self) -> None:
+        """Notes the subtrees whose sets are all in one class; as classes only grow, they stay so."""
+        for x in self.upward:
+            below = {self.one_class[c] if self.one_class[c] < 0 else self.top(self.one_class[c]) for c in self.nodes[x][3]}
+            if self.nodes[x][6] >= 0:
+                below.add(self.top(self.order[self.nodes[x][6]]))
+            self.one_class[x] = below.pop() if len(below) == 1 else -1
+
     def query(self, which: int) -> list[int]:
-        """The sets that link with set ``which``."""
+        """The sets that link with set ``which``, but for those of subtrees noted to be in its class."""
         own = self.paths[which]
         n, p = len(own), self.percent
         inside = np.zeros(self.width, bool)
@@ -329,6 +367,8 @@ class Trie:
         while todo:
             x, overlap = todo.pop()
             start, end, some, children, low, high, here = self.nodes[x]
+            if self.one_class[x] >= 0 and self.top(self.one_class[x]) == self.top(which):
+                continue
             if 100 * high < p * n or 100 * n < p * low:
                 continue
             path = self.paths[self.order[some]]
@@ -344,52 +384,60 @@ class Trie:
 
 
 def linked(sets: list[np.ndarray], first: list[int], percent: int, queries: set[int] | None = None) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links that keep the classes of all links among the sets, and the sets that no query of ``first`` links.
+    """Links of a spanning forest of the classes of all links among the sets, and the sets outside the class of ``first``.
 
-    Queries are ``first`` and then all others that those don't link; or only ``queries``.
+    Queries are ``first`` (one set or none) and then all others that it doesn't link; or only ``queries``.
     """
     if len(sets) < 2:
         return [], []
     trie = Trie(sets, percent)
     links, near = [], set(first)
     for q in first:
-        for x in trie.query(q):
-            links.append((q, x))
-            near.add(x)
+        near.update(trie.query(q))
+        links += [(q, x) for x in near if trie.joined(q, x)]
     rest = [q for q in range(len(sets)) if q not in near] if queries is None else sorted(queries)
-    for q in rest:
-        links += [(q, x) for x in trie.query(q)]
-    return links, rest
+    for n, q in enumerate(rest):
+        if trie.classes == 1:
+            break
+        if n & (n - 1) == 0:
+            trie.note_classes()
+        links += [(q, x) for x in trie.query(q) if trie.joined(q, x)]
+    return links, [x for x in range(len(sets)) if not first or trie.top(x) != trie.top(first[0])]
 
 
-CELLS = ["hub", "block", "asking", "sid", "role", "members"]
+CELLS = ["hub", "block", "asking", "blocks", "sid", "least", "role", "members"]
+LINKS = "hub long, blocks int, a long, b long, open long"
 
 
 def _clusters(percent: int):
-    """mapInArrow over CELLS sorted by hub, block and asking. role: 0 hub, 1 member, 2 a query of the block ``asking`` (else -1)."""
+    """mapInArrow over CELLS sorted by hub, block and asking. role: 0 hub, 1 member, 2 a query of the block ``asking`` (else -1).
+
+    Gives links (a, b) between the smallest documents of sets, and with several blocks the sets (open) that other blocks are to be asked for.
+    """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(hub: int, rows: dict[int, tuple[int, bytes]]) -> pa.RecordBatch:
-            sids = list(rows)
-            sets = [unpacked_shingles(rows[s][1]) for s in sids]
-            asked = {i for i, s in enumerate(sids) if rows[s][0] == 2}
-            first = [i for i, s in enumerate(sids) if rows[s][0] == 0]  # none where the hub itself can't link with anything
-            links, rest = linked(sets, [], percent, asked) if asked else linked(sets, first, percent)
-            open_ = [] if asked else rest
-            u, v = [sids[a] for a, _ in links], [sids[b] for _, b in links]
-            return pa.RecordBatch.from_pydict({"hub": pa.array([hub] * (len(u) + len(open_)), pa.int64()), "u": pa.array(u + [sids[i] for i in open_], pa.int64()), "v": pa.array(v + [None] * len(open_), pa.int64())})
+        def found(hub: int, blocks: int, rows: dict[int, tuple[int, int, bytes]]) -> pa.RecordBatch:
+            sids, least = list(rows), [x[1] for x in rows.values()]
+            sets = [unpacked_shingles(x[2]) for x in rows.values()]
+            asked = {i for i, x in enumerate(rows.values()) if x[0] == 2}
+            first = [i for i, x in enumerate(rows.values()) if x[0] == 0]
+            links, outside = linked(sets, [], percent, asked) if asked else linked(sets, first, percent)
+            open_ = [sids[i] for i in outside] if blocks > 1 and not asked else []
+            n, none = len(links) + len(open_), [None] * len(open_)
+            a, b = [least[x] for x, _ in links], [least[y] for _, y in links]
+            return pa.RecordBatch.from_pydict({"hub": pa.array([hub] * n, pa.int64()), "blocks": pa.array([blocks] * n, pa.int32()), "a": pa.array(a + none, pa.int64()), "b": pa.array(b + none, pa.int64()), "open": pa.array([None] * len(links) + open_, pa.int64())})
 
         key, held = None, {}
         for batch in batches:
-            for hub, block, asking, sid, role, members in zip(*(batch.column(c).to_pylist() for c in CELLS)):
-                if (hub, block, asking) != key and held:
-                    yield found(key[0], held)
+            for hub, block, asking, blocks, sid, least, role, members in zip(*(batch.column(c).to_pylist() for c in CELLS)):
+                if (hub, block, asking, blocks) != key and held:
+                    yield found(key[0], key[3], held)
                     held = {}
-                key = (hub, block, asking)
+                key = (hub, block, asking, blocks)
                 if sid not in held or role != 1:
-                    held[sid] = (role, members)
+                    held[sid] = (role, least, members)
         if held:
-            yield found(key[0], held)
+            yield found(key[0], key[3], held)
 
     return join
 
@@ -408,37 +456,44 @@ def largest_clusters(pairs: DataFrame) -> DataFrame:
 
 
 def link_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v): links between set ids, enough of them for the classes of all links."""
-    spark = docs.sparkSession
+    """(a, b): links between the smallest documents of different sets, enough of them for the classes of all links."""
     bitmap, size = crowded_classes(docs, hashes_for(width))
     buckets = max(1, round(size / BUCKET_TEXT))
     dealt = docs.mapInArrow(_prefix_dealer(width, percent, bitmap, buckets), "bucket int, packed binary")
     plain = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pairs(percent), PAIRS)
-    crowded = docs.mapInArrow(_crowded_rows(width, percent, bitmap), "token long, sid long, priority long").distinct()
-    hubs = crowded.groupBy("token").agg(F.min(F.struct("priority", "sid")).alias("h"), F.count("*").alias("sets")).where("sets > 1")
-    more = crowded.join(hubs, "token").select(F.col("h.sid").alias("hub"), "sid")
+    more = _crowded_pairs(docs.mapInArrow(_crowded_rows(width, percent, bitmap), "token long, sid long, priority long"))
     pairs = saved(largest_clusters(saved(plain.unionAll(more).distinct())).select("hub", "sid", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")))
-    sids = pairs.select("sid").distinct()
-    sets = docs.mapInArrow(_wanted_sets(width, wanted_bitmap(sids)), "sid long, members binary").groupBy("sid").agg(F.first("members").alias("members"))
-    wide = pairs.where("sid = hub AND blocks > 1").select("hub", "blocks")
+    wanted = wanted_bitmap(pairs.select("sid").distinct())
+    sets = docs.mapInArrow(_wanted_sets(width, wanted), "sid long, least long, members binary").groupBy("sid").agg(F.min("least").alias("least"), F.first("members").alias("members"))
     block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    members = pairs.where("sid <> hub").select("hub", block.alias("block"), "sid", F.lit(1).alias("role"))
-    seats = pairs.where("sid = hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", F.lit(0).alias("role"))
+    members = pairs.where("sid <> hub").select("hub", "blocks", block.alias("block"), "sid", F.lit(1).alias("role"))
+    seats = pairs.where("sid = hub").select("hub", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", F.lit(0).alias("role"))
 
     def compared(cells: DataFrame) -> DataFrame:
         key = ["hub", "block", "asking"]
-        return cells.join(sets, "sid").select(*CELLS).repartition(*key).sortWithinPartitions(*key).mapInArrow(_clusters(percent), "hub long, u long, v long")
+        return cells.join(sets, "sid").select(*CELLS).repartition(*key).sortWithinPartitions(*key).mapInArrow(_clusters(percent), LINKS)
 
-    first = saved(compared(members.unionAll(seats).withColumn("asking", F.lit(-1))))
-    links = first.where(F.col("v").isNotNull()).select("u", "v")
-    left = first.where(F.col("v").isNull()).select("hub", F.col("u").alias("sid")).join(wide, "hub").select("hub", "sid", "blocks", block.alias("asking"))
+    first = saved(compared(members.unionByName(seats).withColumn("asking", F.lit(-1))))
+    links = first.where(F.col("a").isNotNull()).select("a", "b")
+    left = first.where(F.col("open").isNotNull()).select("hub", "blocks", F.col("open").alias("sid"))
     if left.isEmpty():
         return links
+    left = left.withColumn("asking", block)
     others = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("asking"))).alias("block")
-    asked = left.select("hub", "sid", "asking", others).withColumn("role", F.lit(2))
+    asked = left.select("hub", "blocks", "sid", "asking", others).withColumn("role", F.lit(2))
     there = members.join(left.select("hub", "blocks", "asking").distinct().select("hub", "asking", others), ["hub", "block"])
     second = compared(there.unionByName(asked))
-    return links.union(second.where(F.col("v").isNotNull()).select("u", "v"))
+    return links.union(second.where(F.col("a").isNotNull()).select("a", "b"))
+
+
+def _crowded_pairs(rows: DataFrame) -> DataFrame:
+    """(hub, sid) of crowded links: rows (token, sid, priority) with the set of least priority of each token."""
+    rows = saved(rows.distinct())
+    limit = max(HEAVY_SETS, -(-rows.count() // HEAVY_LINKS))  # so many rows have HEAVY_LINKS tokens above it at most
+    hubs = saved(rows.groupBy("token").agg(F.min(F.struct("priority", "sid")).alias("h"), F.count("*").alias("sets")).where("sets > 1").select("token", F.col("h.sid").alias("hub"), "sets"))
+    heavy, light = hubs.where(F.col("sets") > limit).drop("sets"), hubs.where(F.col("sets") <= limit).drop("sets")
+    heavy = F.broadcast(heavy)
+    return rows.join(heavy, "token").select("hub", "sid").unionAll(rows.join(heavy, "token", "left_anti").join(light, "token").select("hub", "sid"))
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -449,16 +504,15 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if not 67 <= percent <= 100:
         raise ValueError("percent is 67 to 100")
+    df, low = apart(df.select(id_col, text_col), id_col)
     docs = A.documents(df, id_col, text_col)
     ids = saved(docs.mapInArrow(_ids(width), "doc_id long, n long, sid long"))
     least = ids.where(F.col("n") > 0).groupBy("sid").agg(F.min("doc_id").alias("least"))
-    links = link_pairs(docs, width, percent)
-    ends = links.join(least.select(F.col("sid").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("sid").alias("v"), F.col("least").alias("b")), "v")
-    classes = components(ends.select("a", "b"))
+    classes = components(link_pairs(docs, width, percent))
     named = least.join(classes, least["least"] == classes["node"], "left").select("sid", F.coalesce("component", "least").alias("component_id"))
     out = ids.join(named, "sid", "left")
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(A.outer_id(), F.col("n").alias("n_shingles"), F.nullif(own, F.lit(A.NULL_ID)).alias("component_id"))
+    own = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return own.select(given_id(low), "n_shingles", given_id(low, "component_id"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

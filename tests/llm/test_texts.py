@@ -215,6 +215,31 @@ def test_trie_finds_the_links_of_every_pair():
         assert set(trie.query(i)) == want
 
 
+def test_clusters_give_a_forest():
+    """A chain of near copies, of which the hub links few: all are in one class, by fewer links than sets."""
+    chain = [np.arange(i, i + 100).astype(np.uint64) for i in range(40)]
+    links, outside = jaccard_join.linked(chain, [20], 80)
+    assert len(links) == len(chain) - 1 and not outside
+    alone = [*chain, np.arange(900, 950).astype(np.uint64)]
+    links, outside = jaccard_join.linked(alone, [0], 80)
+    assert len(links) == len(chain) - 1 and outside == [40]
+
+
+def test_crowded_links_of_many_and_of_few_sets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HEAVY_SETS", 5)
+    rows = [(t, s, -s) for t, n in ((1, 30), (2, 5), (3, 2), (4, 1)) for s in range(n)] * 2
+    got = sorted(tuple(r) for r in jaccard_join._crowded_pairs(spark.createDataFrame(rows, "token long, sid long, priority long")).collect())
+    assert got == sorted((n - 1, s) for n in (30, 5, 2) for s in range(n))
+
+
+def test_jaccard_join_keeps_rows_without_an_id_apart(spark):
+    rng = random.Random(4)
+    one, two = (" ".join(rng.choice("abcdefghij") for _ in range(30)) for _ in range(2))
+    rows = [(1, one), (2, two), (None, one), (None, two), (None, "x y z"), (None, "x y z"), (None, None)]
+    got = jaccard_join.jaccard_join(X.frame(spark, [(*r, None, None, None) for r in rows])).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted([("1", "1"), ("2", "2"), ("None", "1"), ("None", "2")] + [("None", "None")] * 3)
+
+
 def edits_inside(item: str, text: str) -> int:
     """The least edit distance of item to any passage of text."""
     row = [0] * (len(text) + 1)
