@@ -4,9 +4,11 @@ Method: super-k-mer partitioning (see superkmer); in its bucket each packed stri
 is cut into windows, whose hashes are sorted; equal neighbours are compared byte
 by byte, so the counts are exact.
 
-Results for odd input: a null text has no words; a row with a null id is a
-document of its own after all others, and comes back null; repeated rows of one id are one document, each with a result;
-a text of fewer than k words loses nothing; other columns are left out.
+Results for odd input: a null text has no words; each row with a null id is a
+document of its own after all others, and comes back null; repeated rows of one id are
+one document, each with a result; a text of fewer than k words loses nothing; a very
+long text is a piece of its own; of equal windows the smallest id's stays, in it the
+earliest; an empty table gives an empty one; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -75,12 +77,12 @@ def repeats_by_sort(k: int):
 
 
 def covered(first: np.ndarray, lengths: np.ndarray, spans: list, k: int) -> np.ndarray:
-    """Which tokens repeated windows cover. first: of each text; spans: a list of packed (window, windows) pairs for each."""
+    """Which tokens repeated windows cover. first: of each text; spans: packed (window, windows) pairs for each, or None."""
     n = int(first[-1]) if len(first) else 0
     row = [i for i, x in enumerate(spans) if x]
     if not row:
         return np.zeros(n, bool)
-    raw = [b"".join(spans[i]) for i in row]
+    raw = [spans[i] for i in row]
     pairs = np.frombuffer(b"".join(raw), np.int32).reshape(-1, 2).astype(np.int64)
     owner = np.repeat(np.array(row), [len(x) // 8 for x in raw])
     begin = np.minimum(pairs[:, 0], lengths[owner])

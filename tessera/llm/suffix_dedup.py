@@ -3,26 +3,27 @@
 Method: column-wise construction of the Burrows-Wheeler transform and the common
 prefixes of many strings at once.  Round r inserts, for every string, its suffix
 of r symbols into the sorted list of all suffixes so far: the symbol before the
-last suffix and its rank in the transform give the place.  The list (symbol
-before, owner, length, common prefix with the one above) lies in a sequential
-file that each round reads once to rank and once to merge into the next file; it
-stays in memory while small.  Neighbours in the final list with a common prefix
-of k bytes or more share a k-byte string.
+last suffix and its rank in the transform give the place, and the least common
+prefix between two places of the round before gives the new one.  Each round reads
+the list's columns in sequence and writes the next ones.  Neighbours in the final
+list with a common prefix of k bytes or more share a k-byte string.
 
 The strings are super-k-mers (see superkmer), so a bucket holds all that can
-match and the rounds are as many as a packed string is long.  Equal strings are
-folded before (the smallest document stays), and a string that is alone with its
-minimiser has nothing to match.
-
-Results for odd input: a null text has no bytes; a row with a null id is a
-document of its own after all others, and comes back null; rows with one id are one document, each with a result; texts
-under k bytes lose nothing; other columns are left out.
+match and the rounds are as many as a packed string is long; a bucket's lists are
+of whole minimisers and of about LIST_BYTES, so they stay in memory, and nothing is
+written to a folder of the executor.  Equal strings are folded before (the smallest
+document stays), and a string that is alone with its minimiser has nothing to match.
+
+Results for odd input: a null text has no bytes; each row with a null id is a
+document of its own after all others, and comes back null; rows with one id are one
+document, each with a result; texts under k bytes lose nothing; a very long text is a
+piece of its own; of equal strings in one document none goes; an empty table gives an
+empty one; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,113 +36,61 @@ from .storage import apart, given_id
 from .superkmer import Spec, repeated_spans
 
 MINIMISER_BYTES = 20
-#: Suffixes of a block of the sequential file, and bytes that a file keeps in memory.
-BLOCK, IN_MEMORY = 1 << 19, 64 << 20
-_KINDS = (np.uint8, np.int32, np.int32, np.uint8)
-
-
-class Blocks:
-    """A sequential file of blocks of the suffix list."""
-
-    def __init__(self):
-        self.file = tempfile.SpooledTemporaryFile(max_size=IN_MEMORY)
-
-    def write(self, columns: list[np.ndarray]) -> None:
-        for lo in range(0, len(columns[0]), BLOCK):
-            part = [c[lo : lo + BLOCK] for c in columns]
-            self.file.write(len(part[0]).to_bytes(8, "little"))
-            for c in part:
-                self.file.write(c.tobytes())
-
-    def read(self) -> Iterator[list[np.ndarray]]:
-        self.file.seek(0)
-        while head := self.file.read(8):
-            n = int.from_bytes(head, "little")
-            yield [np.frombuffer(self.file.read(n * np.dtype(kind).itemsize), kind) for kind in _KINDS]
-
-    def close(self) -> None:
-        self.file.close()
-
-
-def common_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    """How many bytes from a and from b are equal, up to k. data has 8 bytes more than any range."""
-    wide = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))
-    out = np.full(len(a), k, np.int64)
-    live = np.arange(len(a))
-    for at in range(0, k, 8):
-        differ = wide[a[live] + at] ^ wide[b[live] + at]
-        if k - at < 8:
-            differ &= np.uint64((1 << 8 * (k - at)) - 1)
-        off = differ != 0
-        low = differ[off] & (~differ[off] + np.uint64(1))
-        out[live[off]] = at + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
-        live = live[~off]
-    return out
+#: Bytes of strings in one suffix list (strings with one minimiser are in one list, however many they are).
+LIST_BYTES = 128 << 10
 
 
 def suffix_groups(data: np.ndarray, begin: np.ndarray, length: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, offset and group number of the suffixes that share k bytes with another, in sorted order."""
-    n = len(length)
-    end = begin + length
-    padded = np.concatenate((data, np.zeros(k + 8, np.uint8)))
-    before = lambda i, r: np.where(length[i] > r, data[np.maximum(end[i] - r - 1, 0)] + 1, 0).astype(np.uint8)
-    every = np.arange(n)
-    old = Blocks()
-    old.write([before(every, 0), every.astype(np.int32), np.zeros(n, np.int32), np.zeros(n, np.uint8)])
-    totals = np.bincount(before(every, 0), minlength=256)
-    active, place = every, every
-    for r in range(1, int(length.max(initial=0)) + 1):
-        keep = length[active] >= r
-        active, place = active[keep], place[keep]
-        seen = n + np.cumsum(np.append(0, totals[1:]))[:-1]  # the first place of suffixes that begin with a symbol, and then the next free
-        seen = np.append(0, seen)
-        start, ranked = 0, []
-        for symbols, *_ in old.read():
-            own = slice(np.searchsorted(place, start), np.searchsorted(place, start + len(symbols)))
-            order = np.argsort(symbols, kind="stable")
-            counts = np.bincount(symbols, minlength=256)
-            to = np.empty(len(symbols), np.int64)
-            to[order] = np.repeat(seen[:256] - (np.cumsum(counts) - counts), counts) + np.arange(len(symbols))
-            ranked.append(to[place[own] - start])
-            seen[:256] += counts
-            start += len(symbols)
-        new_place = np.concatenate(ranked) if ranked else place
-        by = np.argsort(new_place)
-        active, place = active[by], new_place[by]
-        column = before(active, r)
-        slot = place - np.arange(len(place))
-        new, start, above = Blocks(), 0, (-1, 0)
-        total, blocks = int(totals.sum()), 0
-        for block in old.read():
-            stop = start + len(block[0])
-            own = slice(np.searchsorted(slot, start), np.searchsorted(slot, stop) if stop < total else len(slot))
-            at = slot[own] - start
-            merged = [np.insert(c, at, v) for c, v in zip(block, (column[own], active[own], np.full(len(at), r), np.zeros(len(at))))]
-            if r >= k:
-                touched = at + np.arange(len(at))
-                touched = np.unique(np.concatenate((touched, touched + 1, [0])))
-                touched = touched[touched < len(merged[0])]
-                owner, size = np.append(above[0], merged[1]), np.append(above[1], merged[2])
-                low = np.minimum(size[touched], size[touched + 1]) >= k
-                merged[3][touched] = 0
-                pair = touched[low]
-                merged[3][pair] = common_prefix(padded, end[owner[pair]] - size[pair], end[owner[pair + 1]] - size[pair + 1], k)
-            above = (merged[1][-1], merged[2][-1])
-            new.write(merged)
-            start, blocks = stop, blocks + 1
-        old.close()
-        old = new
-        totals = totals + np.bincount(column, minlength=256)
-    owners, sizes, joins = [], [], []
-    for _, owner, size, common in old.read():
-        owners.append(owner)
-        sizes.append(size)
-        joins.append(common >= k)
-    old.close()
-    owner, size, join = (np.concatenate(x) for x in (owners, sizes, joins))
+    """Owner, offset and group number of the suffixes that share k bytes with another, in sorted order.
+
+    The list's columns: the symbol before a suffix (0: none), its owner and
+    length, its common prefix with the suffix above (k at most), and whether its
+    owner goes on from it.  Sorting the list by the symbol before, stably, gives
+    the next list but for the empty suffixes at its head; what is new in it is
+    inserted, and each new neighbourhood gets its common prefix from the round
+    before: one more than the least between the two places that it comes from.
+    """
+    n, end, most = len(length), begin + length, int(length.max(initial=0))
+    common_of, suffix_of = np.min_scalar_type(k + 1), np.min_scalar_type(n * (most + 1))
+    symbol = data[end - 1] + np.uint8(1)  # no byte of UTF-8 is 255
+    suffix = np.arange(n).astype(suffix_of) * suffix_of.type(most + 1)  # owner and length in one
+    common, goes_on = np.zeros(n, common_of), np.ones(n, bool)
+    for r in range(1, most + 1):
+        order = np.argsort(symbol, kind="stable")
+        ended = int(np.count_nonzero(symbol == 0))
+        new = np.flatnonzero(goes_on[order])
+        to = new + (n - ended)
+        taken = suffix[order[new]]
+        own = taken // suffix_of.type(most + 1)
+        before = np.where(length[own] > r, data[np.maximum(end[own] - r - 1, 0)] + np.uint8(1), np.uint8(0))
+        touched = np.zeros(len(order) + 1, bool)
+        touched[new] = touched[new + 1] = True
+        touched[: ended + 1] = False
+        at = np.flatnonzero(touched[:-1])
+        high, low = order[at], order[at - 1]
+        value = np.zeros(len(at), common_of)
+        same = np.flatnonzero(symbol[high] == symbol[low])
+        same = same[np.argsort(-low[same])]  # from the end, so that reduceat does nothing between two ranges
+        if len(same):
+            edges = np.stack((low[same] + 1, high[same] + 1), 1).ravel()
+            value[same] = np.minimum(np.minimum.reduceat(np.append(common, common_of.type(0)), edges)[::2] + common_of.type(1), k)
+        old = np.ones(len(order) + len(new), bool)
+        old[to] = False
+
+        def merged(column: np.ndarray, added) -> np.ndarray:
+            out = np.empty(len(old), column.dtype)
+            out[old] = column
+            out[to] = added
+            return out
+
+        symbol, suffix, common = merged(symbol, before), merged(suffix, taken + suffix_of.type(1)), merged(common, 0)
+        common[at + (n - ended)] = value
+        goes_on = np.zeros(len(old), bool)
+        goes_on[to] = before > 0
+    join = common >= k
     inside = join | np.append(join[1:], False)
-    group = np.cumsum(~join)[inside]
-    return owner[inside], length[owner[inside]] - size[inside], group
+    owner, size = np.divmod(suffix[inside].astype(np.int64), most + 1)
+    return owner, length[owner] - size, np.cumsum(~join)[inside]
 
 
 def repeats_by_suffixes(k: int):
@@ -151,20 +100,29 @@ def repeats_by_suffixes(k: int):
         offset = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
         begin = offset[:-1]
         data = np.frombuffer(text, np.uint8)
-        place: dict[bytes, int] = {}
-        one = np.fromiter((place.setdefault(text[a:b], len(place)) for a, b in zip(begin.tolist(), offset[1:].tolist())), np.int64, len(doc))
-        least = np.full(len(place), A.NULL_ID, np.int64)
+        strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(offset), pa.py_buffer(text)])
+        one = strings.dictionary_encode().indices.to_numpy().astype(np.int64)
+        kinds = int(one.max(initial=-1)) + 1
+        least = np.full(kinds, A.NULL_ID, np.int64)
         np.minimum.at(least, one, doc)
-        first = np.zeros(len(place), np.int64)
+        first = np.zeros(kinds, np.int64)
         first[one[::-1]] = np.arange(len(one))[::-1]
         whole = doc > least[one]
         by = np.argsort(key[first], kind="stable")
-        kinds, sizes = np.unique(key[first][by], return_counts=True)
-        chosen = np.sort(by[np.repeat(sizes > 1, sizes)])  # distinct strings that share a minimiser with others
+        _, sizes = np.unique(key[first][by], return_counts=True)
+        chosen, sizes = by[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]  # distinct strings that share a minimiser with others, by minimiser
         out = [(doc[whole], start[whole].astype(np.int64), count[whole].astype(np.int64))]
         if len(chosen):
-            lead = first[chosen]
-            owner, at, group = suffix_groups(data, begin[lead], length[lead].astype(np.int64), k)
+            edge = np.append(0, np.cumsum(sizes))
+            total = np.append(0, np.cumsum(length[first[chosen]], dtype=np.int64))[edge]
+            parts, lo = [], 0
+            while lo < len(sizes):  # lists of whole minimisers
+                hi = max(lo + 1, int(np.searchsorted(total, total[lo] + LIST_BYTES, "right")) - 1)
+                lead = first[chosen[edge[lo] : edge[hi]]]
+                found = suffix_groups(data, begin[lead], length[lead].astype(np.int64), k)
+                parts.append((found[0] + edge[lo], found[1], found[2] + total[lo] + edge[lo]))
+                lo = hi
+            owner, at, group = (np.concatenate(x) for x in zip(*parts))
             if len(owner):
                 order = np.argsort(group, kind="stable")
                 owner, at, group = owner[order], at[order], group[order]

@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import arrays as A
 
@@ -35,6 +34,8 @@ CROWDED_TIMES, CROWDED_LEAST = 8, 64
 BUCKET_BYTES = 6 << 20
 #: Raw bytes of packed strings that a task holds before it compresses them by bucket.
 HELD_BYTES = 32 << 20
+#: Bytes of text of the documents whose runs or spans come back to one place (their home).
+HOME_TEXT = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -194,22 +195,24 @@ def unpack(packed: bytes, kinds: list[type]) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-#: doc_id, first token, windows, bytes and minimiser of each packed string.
-KINDS = [np.int64, np.int32, np.int32, np.int32, np.uint64]
-DEALT = "bucket int, doc_id long, packed binary"
+#: Of each packed string: doc_id as steps, first token, windows, bytes beyond those of one a token, 32 bits of the minimiser.
+KINDS = [np.int64, np.int32, np.int32, np.int32, np.uint32]
+#: Of each span: doc_id as steps, first window, windows.
+SPANS = [np.int64, np.int32, np.int32]
+DEALT = "bucket int, packed binary"
 
 
-def span_rows(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """A row for each id: its (first window, windows) pairs as int32."""
-    order = np.lexsort((start, ids))
-    ids, pairs = ids[order], np.stack((start[order], count[order]), 1).astype(np.int32)
-    heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
-    raw, edge = pairs.tobytes(), np.append(heads, len(ids)) * 8
-    return ids[heads], [raw[a:b] for a, b in zip(edge[:-1], edge[1:])]
+def spans_by_home(ids: np.ndarray, start: np.ndarray, count: np.ndarray, homes: int) -> tuple[np.ndarray, list[bytes]]:
+    """Homes, and for each the packed spans of its documents."""
+    home = (A.mixed(ids.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+    by = np.lexsort((start, ids, home))
+    ids, start, count, home = ids[by], start[by].astype(np.int32), count[by].astype(np.int32), home[by]
+    edge = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else np.zeros(0, np.int64)
+    return home[edge], [pack([np.diff(ids[a:b], prepend=0), start[a:b], count[a:b]], b"") for a, b in zip(edge, np.append(edge[1:], len(home)))]
 
 
-def dealer(spec: Spec, bitmap: bytes, buckets: int) -> Callable:
-    """A mapInArrow function: packed strings by bucket; at buckets and above, spans already known to repeat."""
+def dealer(spec: Spec, bitmap: bytes, buckets: int, homes: int) -> Callable:
+    """A mapInArrow function: packed strings by bucket; at buckets and above, by home, spans already known to repeat."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Runs]]:
         crowded = flags(bitmap)
@@ -218,10 +221,10 @@ def dealer(spec: Spec, bitmap: bytes, buckets: int) -> Callable:
             if runs is not None:
                 yield ids, runs
 
-    return lambda batches: deal_runs(found(batches), spec, buckets)
+    return lambda batches: deal_runs(found(batches), spec, buckets, homes)
 
 
-def deal_runs(found: Iterator[tuple[np.ndarray, Runs]], spec: Spec, buckets: int) -> Iterator[pa.RecordBatch]:
+def deal_runs(found: Iterator[tuple[np.ndarray, Runs]], spec: Spec, buckets: int, homes: int) -> Iterator[pa.RecordBatch]:
     held: dict[int, list] = {}
     size = 0
     for ids, runs in found:
@@ -236,8 +239,8 @@ def deal_runs(found: Iterator[tuple[np.ndarray, Runs]], spec: Spec, buckets: int
         same[later] = [raw[b[x] : e[x]] == raw[b[y] : e[y]] for x, y in zip(order[later], lead[later])]
         repeat, stay = order[same], order[~same]
         if len(repeat):
-            out_doc, out = span_rows(doc[repeat], runs.start[repeat], runs.count[repeat])
-            yield _dealt((buckets + np.abs(out_doc) % buckets).tolist(), out_doc.tolist(), out)
+            home, out = spans_by_home(doc[repeat], runs.start[repeat], runs.count[repeat], homes)
+            yield _dealt(buckets + home, out)
         home = (A.mixed(runs.key[stay]) % np.uint64(buckets)).astype(np.int64)
         by = np.lexsort((runs.start[stay], doc[stay], home))
         stay, home = stay[by], home[by]
@@ -246,7 +249,8 @@ def deal_runs(found: Iterator[tuple[np.ndarray, Runs]], spec: Spec, buckets: int
             own = stay[lo:hi]
             text = b"".join([raw[x:y] for x, y in zip(b[own].tolist(), e[own].tolist())])
             size += len(text) + 28 * len(own)
-            held.setdefault(int(home[lo]), []).append(([doc[own], runs.start[own].astype(np.int32), runs.count[own].astype(np.int32), (e[own] - b[own]).astype(np.int32), runs.key[own]], text))
+            count = runs.count[own]
+            held.setdefault(int(home[lo]), []).append(([doc[own], runs.start[own].astype(np.int32), count.astype(np.int32), (e[own] - b[own] - count - (spec.k - 1)).astype(np.int32), runs.key[own].astype(np.uint32)], text))
         del runs, doc, order, content, raw, head, lead, later, same, stay, home
         if size > HELD_BYTES:
             yield _flushed(held)
@@ -255,17 +259,20 @@ def deal_runs(found: Iterator[tuple[np.ndarray, Runs]], spec: Spec, buckets: int
         yield _flushed(held)
 
 
-def _dealt(bucket: list[int], doc: list[int], out: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "doc_id": pa.array(doc, pa.int64()), "packed": pa.array(out, pa.binary())})
+def _dealt(bucket: list[int] | np.ndarray, out: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "packed": pa.array(out, pa.binary())})
 
 
 def _flushed(held: dict[int, list]) -> pa.RecordBatch:
-    out = [pack([np.concatenate(x) for x in zip(*(p[0] for p in parts))], b"".join(p[1] for p in parts)) for parts in held.values()]
-    return _dealt(list(held), [0] * len(out), out)
+    out = []
+    for parts in held.values():
+        doc, *others = (np.concatenate(x) for x in zip(*(p[0] for p in parts)))
+        out.append(pack([np.diff(doc, prepend=0), *others], b"".join(p[1] for p in parts)))
+    return _dealt(list(held), out)
 
 
-#: doc_id as steps, low and high bits of the minimiser, first window and windows of each run.
-SEEN = [np.int64, np.uint32, np.uint32, np.int32, np.uint16]
+#: Of each run: doc_id as steps, 32 bits of the minimiser (two minimisers of a bucket that share them only add candidates), first window, windows.
+SEEN = [np.int64, np.uint32, np.int32, np.uint16]
 
 
 def _seen(spec: Spec, bitmap: bytes, buckets: int) -> Callable:
@@ -298,7 +305,7 @@ def _seen(spec: Spec, bitmap: bytes, buckets: int) -> Callable:
         packed = []
         for parts in held.values():
             doc, key, start, count = (np.concatenate(x) for x in zip(*parts))
-            packed.append(pack([np.diff(doc, prepend=0), key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint32), start.astype(np.int32), count.astype(np.uint16)], b""))
+            packed.append(pack([np.diff(doc, prepend=0), key.astype(np.uint32), start.astype(np.int32), count.astype(np.uint16)], b""))
         return pa.RecordBatch.from_pydict({"bucket": pa.array(list(held), pa.int32()), "packed": pa.array(packed, pa.binary())})
 
     return see
@@ -324,9 +331,8 @@ def _shared(homes: int) -> Callable:
         for _, packed in _by_bucket(batches):
             parts = [unpack(x, SEEN)[0] for x in packed]
             doc = np.concatenate([np.cumsum(p[0]) for p in parts])
-            low, high, start, count = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
-            key = high.astype(np.uint64) << np.uint64(32) | low
-            by = np.argsort(key)
+            key, start, count = (np.concatenate([p[i] for p in parts]) for i in range(1, 4))
+            by = np.argsort(key, kind="stable")
             key, doc, start, count = key[by], doc[by], start[by], count[by]
             heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             several = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
@@ -345,7 +351,7 @@ def _shared(homes: int) -> Callable:
 def _of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document: its shared runs."""
     for _, packed in _by_bucket(batches):
-        parts = [unpack(x, [np.int64, np.uint64, np.int32, np.uint16])[0] for x in packed]
+        parts = [unpack(x, SEEN)[0] for x in packed]
         doc = np.concatenate([np.cumsum(p[0]) for p in parts])
         key, start, count = (np.concatenate([p[i] for p in parts]) for i in range(1, 4))
         by = np.lexsort((start, doc))
@@ -355,7 +361,7 @@ def _of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[heads], pa.int64()), "runs": pa.array(out, pa.binary())})
 
 
-def _shared_dealer(spec: Spec, buckets: int) -> Callable:
+def _shared_dealer(spec: Spec, buckets: int, homes: int) -> Callable:
     """A mapInArrow function over (doc_id, text, runs), as dealer; tokens are bytes."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Runs]]:
@@ -364,10 +370,10 @@ def _shared_dealer(spec: Spec, buckets: int) -> Callable:
             data, offsets = A.flat(batch.column("text"))
             packed = batch.column("runs").to_pylist()
             for lo, hi in A.pieces(data, offsets):
-                parts = [unpack(x, [np.uint64, np.int32, np.uint16])[0] for x in packed[lo:hi]]
+                parts = [unpack(x, SEEN[1:])[0] for x in packed[lo:hi]]
                 key, start, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
                 row = np.repeat(np.arange(hi - lo), [len(p[0]) for p in parts])
-                count = count.astype(np.int64)
+                key, count = key.astype(np.uint64), count.astype(np.int64)
                 own = data[offsets[lo] : offsets[hi]]
                 length = np.diff(offsets[lo : hi + 1])
                 fits = start + count + spec.k - 1 <= length[row]  # else of another row with this id
@@ -377,60 +383,67 @@ def _shared_dealer(spec: Spec, buckets: int) -> Callable:
                 content = A.mixed(A.range_hash(A.prefix_hash(A._BYTE[own]), begin, end)) + count.astype(np.uint64)
                 yield ids[lo:hi], Runs(row, start, count, key, own, begin, end, content)
 
-    return lambda batches: deal_runs(found(batches), spec, buckets)
+    return lambda batches: deal_runs(found(batches), spec, buckets, homes)
 
 
-def gatherer(buckets: int, repeats: Callable) -> Callable:
-    """A mapInArrow function over partitions sorted by bucket.
+def gatherer(spec: Spec, buckets: int, homes: int, repeats: Callable) -> Callable:
+    """A mapInArrow function over partitions sorted by bucket: packed spans by home.
 
     repeats(doc, start, count, length, key, text) gives (doc, first window, windows) of the repeated windows of a bucket.
     """
 
-    def spans(packed: list[bytes]) -> pa.RecordBatch:
-        parts = [unpack(x, KINDS) for x in packed]
-        found = repeats(*(np.concatenate(x) for x in zip(*(p[0] for p in parts))), b"".join(p[1] for p in parts))
-        ids, out = span_rows(*found)
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "spans": pa.array(out, pa.binary())})
-
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = -1, []
-        for batch in batches:
-            for b, d, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                if b >= buckets:
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([d], pa.int64()), "spans": pa.array([packed], pa.binary())})
-                    continue
-                if b != bucket and held:
-                    yield spans(held)
-                    held = []
-                bucket = b
-                held.append(packed)
-        if held:
-            yield spans(held)
+        for bucket, packed in _by_bucket(batches):
+            if bucket >= buckets:
+                yield _dealt([bucket - buckets] * len(packed), packed)
+                continue
+            parts = [unpack(x, KINDS) for x in packed]
+            doc = np.concatenate([np.cumsum(p[0][0]) for p in parts])
+            start, count, length, key = (np.concatenate([p[0][i] for p in parts]) for i in range(1, 5))
+            found = repeats(doc, start, count, length + count + (spec.k - 1), key, b"".join(p[1] for p in parts))
+            yield _dealt(*spans_by_home(*found, homes))
 
     return collect
 
 
+def _spans_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document: its (first window, windows) pairs as int32."""
+    for _, packed in _by_bucket(batches):
+        parts = [unpack(x, SPANS)[0] for x in packed]
+        doc = np.concatenate([np.cumsum(p[0]) for p in parts])
+        start, count = (np.concatenate([p[i] for p in parts]) for i in range(1, 3))
+        by = np.lexsort((start, doc))
+        doc, raw = doc[by], np.stack((start[by], count[by]), 1).tobytes()
+        heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+        edge = np.append(heads, len(doc)) * 8
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[heads], pa.int64()), "spans": pa.array([raw[a:b] for a, b in zip(edge[:-1], edge[1:])], pa.binary())})
+
+
 def repeated_spans(docs: DataFrame, spec: Spec, repeats: Callable, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, spans: array of binary): the windows of each text that repeat, as int32 pairs (first window, windows).
+    """(doc_id, spans): the windows of each text that repeat, as int32 pairs (first window, windows).
 
     Windows of words travel at once.  Windows of bytes are many more: first only
     their minimisers travel, and then the strings of those that several documents have.
+    Spans go back packed by home of their documents, and are a row for each document there.
     """
     bitmap, size = crowded_classes(docs, all_grams(spec))
     windows = 1 + (spec.k - spec.m + 1) / 2  # of a run, on average
     swell = 1 + (spec.k - 1) / windows
+    homes = _count(size / HOME_TEXT)
+
+    def by_bucket(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket").sortWithinPartitions("bucket")
+
     if spec.words:
         buckets = _count(size * swell / bucket_bytes)
-        dealt = docs.mapInArrow(dealer(spec, bitmap, buckets), DEALT)
+        dealt = docs.mapInArrow(dealer(spec, bitmap, buckets, homes), DEALT)
     else:
-        buckets, homes = _count(size / windows * 20 / bucket_bytes), _count(size / bucket_bytes)
-        seen = docs.mapInArrow(_seen(spec, bitmap, buckets), "bucket int, packed binary")
-        shared = seen.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(homes), "bucket int, packed binary")
-        runs = shared.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_of_documents, "doc_id long, runs binary")
-        buckets = homes
-        dealt = docs.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(_shared_dealer(spec, buckets), DEALT)
-    met = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gatherer(buckets, repeats), "doc_id long, spans binary")
-    return met.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+        seen = docs.mapInArrow(_seen(spec, bitmap, _count(size / windows * 20 / bucket_bytes)), DEALT)
+        runs = by_bucket(by_bucket(seen).mapInArrow(_shared(homes), DEALT)).mapInArrow(_of_documents, "doc_id long, runs binary")
+        buckets = _count(size / bucket_bytes)
+        dealt = docs.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(_shared_dealer(spec, buckets, homes), DEALT)
+    met = by_bucket(dealt).mapInArrow(gatherer(spec, buckets, homes, repeats), DEALT)
+    return by_bucket(met).mapInArrow(_spans_of_documents, "doc_id long, spans binary")
 
 
 def _count(x: float) -> int:
