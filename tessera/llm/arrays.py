@@ -8,11 +8,12 @@ of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 equals
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are held as arrays at a time; a longer text is a piece of its own.
@@ -34,12 +35,19 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) without nulls: a null text is empty, a null id is NULL_ID.
+    """(doc_id, text) without nulls: a null text is empty, a null id is NULL_ID. Batches for Python are bounded (bound_batches)."""
+    bound_batches(df.sparkSession)
+    return df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
 
-    Batches for Python are bounded by bytes, as long texts would make one of thousands of rows too large; the session keeps the bound.
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds batches for Python by bytes, as long texts would make one of thousands of rows too large.
+
+    The plan reads the setting when it runs, so the session keeps it; a smaller bound of the caller's stays.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", str(spark.conf.get(name, None) or "")) or BATCH_BYTES + 1) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def outer_id(name: str = "doc_id") -> Column:

@@ -2,24 +2,31 @@
 
 Fixed patterns find assignments, access keys and long hexadecimal runs.  Values in
 a credential context that the patterns leave (shorter ones, other key names) are
-weighed by a guess cost: dynamic programming over the value finds its cheapest
-segmentation into words, dates, repeats, keyboard walks and brute-force spans, in
-powers of ten of guesses.  A value that costs ``LEAST_COST`` or more is a secret, and
+weighed by a guess cost: dynamic programming over the whole value finds its cheapest
+segmentation into words, dates, repeats (of ``LONGEST_UNIT`` characters at most),
+keyboard walks and brute-force spans, in powers of ten of guesses.  Words are the fixed
+ones below and then those of a public tokenizer's vocabulary, most frequent first.  A value that costs ``LEAST_COST`` or more is a secret, and
 so is a shorter one of 6 characters or more that costs as much as brute force over
 all of it.  Where a pattern's span ends inside a value, the whole value is a guess
 span too, so that no rest of it stays.
 
 Results for odd input: a null or empty text has no spans; repeated rows each have
-a result; a null id is kept; values longer than ``LONGEST`` are weighed by their
-parts of that length, whose costs add up; other columns are left out.
+a result; a null id is kept; a value of any length is weighed whole, in steps that grow with
+its length; of segmentations that cost the same the cost counts, not which one it is; an
+empty table gives an empty one; other columns are left out (``secret_scan``) or stay as
+they are, whatever their names (``mask_secrets``).
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +44,7 @@ CONTEXT = re.compile(r"""(password|passwd|passphrase|pwd|secret|token|api[_-]?ke
 #: One of these, in lower case, is in every text that ASSIGN or CONTEXT match.
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "api", "credential", "auth")
 LEAST_COST = 8.0
-LONGEST = 128
+LONGEST_UNIT = 64
 #: Words that guessing starts with, most common first.
 WORDS = """password admin welcome letmein monkey dragon master login secret token user guest root test default changeme
 qwerty abc summer winter spring autumn love iloveyou sunshine princess football baseball shadow michael jordan superman
@@ -47,8 +54,6 @@ server system manager public private demo temp example sample company office hom
 banana silver golden purple yellow green black white red blue happy lucky star angel baby money power magic music
 rock tiger lion eagle wolf bear snake phoenix london paris berlin madrid boston texas america england france germany
 key api pass word pwd auth the and for you with this that none null true false""".split()
-RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST_WORD = max(map(len, WORDS))
 LEET = str.maketrans("013457@$!", "oieastasi")
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -56,29 +61,60 @@ PLACE = {c: (x + y * 0.5, y) for y, row in enumerate(ROWS) for x, c in enumerate
 PLACE |= dict(zip('~!@#$%^&*()_+{}|:"<>?', map(PLACE.get, r"`1234567890-=[]\;',./")))
 
 
+@lru_cache(maxsize=2)
+def ranks(path: str) -> tuple[dict[str, int], int]:
+    """The rank of each word, from 1, and the length of the longest: WORDS and then the vocabulary's whole words of three letters or more."""
+    vocabulary = json.loads(Path(path).read_text(encoding="utf-8"))["model"]["vocab"]
+    ends = sorted((i, t.removesuffix("</w>")) for t, i in vocabulary.items() if t.endswith("</w>"))
+    every = dict.fromkeys([*WORDS, *(w for _, w in ends if len(w) >= 3 and w.isalpha())])
+    return {w: i for i, w in enumerate(every, 1)}, max(map(len, every))
+
+
+def words_path() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _near(a: str, b: str) -> bool:
     p, q = PLACE.get(a), PLACE.get(b)
     return bool(p and q and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1)
 
 
-def matches(value: str) -> Iterator[tuple[int, int, float]]:
+def repeats(value: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, unit): for each unit length the longest runs of whole units, from their start and up to their end."""
+    n = len(value)
+    for unit in range(1, min(LONGEST_UNIT, n // 2) + 1):
+        i = 0
+        while i + 2 * unit <= n:
+            j = i
+            while j + unit < n and value[j] == value[j + unit]:
+                j += 1
+            if j - i >= unit:
+                whole = (j - i + unit) // unit * unit
+                yield i, i + whole, unit
+                if i + whole < j + unit:
+                    yield j + unit - whole, j + unit, unit
+            i = j + 1
+
+
+def matches(value: str, path: str | None = None) -> Iterator[tuple[int, int, float]]:
     """(start, end, log10 of guesses) of the words, dates, repeats and keyboard walks in a value."""
-    low = value.lower()
+    rank_of, longest = ranks(path or words_path())
+    low = value.lower() if len(value.lower()) == len(value) else value
     plain = low.translate(LEET)
     n = len(value)
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
+        for j in range(i + 3, min(n, i + longest) + 1):
+            rank = rank_of.get(low[i:j]) or rank_of.get(plain[i:j])
             if rank:
                 part = value[i:j]
                 upper = sum(c.isupper() for c in part)
                 shape = 0 if not upper else math.log10(2) if part[0].isupper() and upper == 1 or upper == len(part) else math.log10(sum(math.comb(len(part), k) for k in range(1, upper + 1)) + 1)
-                swapped = sum(a != b for a, b in zip(low[i:j], plain[i:j])) if low[i:j] not in RANK else 0
+                swapped = sum(a != b for a, b in zip(low[i:j], plain[i:j])) if low[i:j] not in rank_of else 0
                 yield i, j, math.log10(rank + 1) + shape + swapped * math.log10(2)
     for m in DATE.finditer(low):
         yield m.start(), m.end(), math.log10(120) if len(m[0]) == 4 else math.log10(365 * 120) + (len(m[0]) > 8) * math.log10(4)
-    for m in re.finditer(r"(.+?)\1+", value, re.DOTALL):
-        yield m.start(), m.end(), min(len(m[1]), cost(m[1]) if len(m[1]) < len(value) else len(m[1])) + math.log10(len(m[0]) // len(m[1]) + 1)
+    for i, j, unit in repeats(value):
+        yield i, j, _unit_cost(value[i : i + unit], path) + math.log10((j - i) // unit + 1)
     i = 0
     while i < n - 2:
         j, turns, last = i + 1, 1, None
@@ -92,15 +128,18 @@ def matches(value: str) -> Iterator[tuple[int, int, float]]:
         i = max(i + 1, j - 1)
 
 
-def cost(value: str) -> float:
+@lru_cache(maxsize=4096)
+def _unit_cost(unit: str, path: str | None) -> float:
+    return cost(unit, path)
+
+
+def cost(value: str, path: str | None = None) -> float:
     """log10 of the guesses for the cheapest segmentation of a value.
 
     A brute-force span costs ten guesses a character, and each further segment twice as many.
     """
-    if len(value) > LONGEST:
-        return sum(cost(value[i : i + LONGEST]) for i in range(0, len(value), LONGEST))
     ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, guesses in matches(value):
+    for i, j, guesses in matches(value, path):
         ends.setdefault(j, []).append((i, guesses))
     step = math.log10(2)
     best = [0.0]
@@ -112,7 +151,7 @@ def cost(value: str) -> float:
     return best[-1]
 
 
-def find_secrets(text: str) -> list[tuple[int, int, int]]:
+def find_secrets(text: str, path: str | None = None) -> list[tuple[int, int, int]]:
     """(start, kind as listed, end) of all spans, in order."""
     low = text.lower()
     out = [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -132,7 +171,7 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
                 end = start + len(m[2].rstrip(".?)"))
                 if end > span[2]:
                     out.append((start, 3, end))
-            elif end - start >= 6 and cost(text[start:end]) >= min(LEAST_COST, end - start):
+            elif end - start >= 6 and cost(text[start:end], path) >= min(LEAST_COST, end - start):
                 out.append((start, 3, end))
     return sorted(out)
 
@@ -150,8 +189,9 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id and spans (array of kind, start, end in code points) of each text, and masked_text with with_text."""
+def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, path: str | None = None) -> DataFrame:
+    """doc_id and spans (array of kind, start, end in code points) of each text, and masked_text with with_text. path: a vocabulary for words."""
+    path = path or words_path()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -160,7 +200,7 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             data, offsets = A.flat(column)
             for lo, hi in A.pieces(data, offsets):
                 texts = column.slice(lo, hi - lo).to_pylist()
-                found = [find_secrets(t) for t in texts]
+                found = [find_secrets(t, path) for t in texts]
                 out = {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "spans": pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in x] for x in found], kind)}
                 if with_text:
                     out["masked_text"] = pa.array([masked(t, x) if x else t for t, x in zip(texts, found)], pa.string())
@@ -170,12 +210,14 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return A.documents(df, id_col, text_col).mapInArrow(scan, schema).withColumn("doc_id", A.outer_id())
 
 
-def mask_secrets(df: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+def mask_secrets(df: DataFrame, text_col: str = "text", length_col: str = "n_chars", path: str | None = None) -> DataFrame:
     """df with secrets masked in its texts (nulls stay), and length_col, where there is one, as the new length in characters."""
+    path = path or words_path()
+    A.bound_batches(df.sparkSession)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None or not (x := find_secrets(t)) else masked(t, x) for t in batch.column(text_col).to_pylist()]
+            texts = [t if t is None or not (x := find_secrets(t, path)) else masked(t, x) for t in batch.column(text_col).to_pylist()]
             at = batch.schema.get_field_index(text_col)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
