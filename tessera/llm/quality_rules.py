@@ -1,17 +1,22 @@
 """Quality rules: robust multivariate outliers per language and source.
 
 Method: minimum covariance determinant.  Each text gives a vector of transformed
-statistics; for each (language, source) the estimate starts from medians and
-median deviations, and concentration steps then take mean and covariance of the
-``SHARE`` rows nearest to the last estimate.  A text whose Mahalanobis distance
-from the final estimate passes ``CUTOFF`` is rejected.  The vectors are integers (thousandths), so sums
-and percentiles are exact, the same for any partitioning, and combined before the
-shuffle; a group of any size comes down to one row.  DataFrame functions only.
+statistics.  For each (language, source) there are three starts: medians and median
+deviations; mean and covariance of all rows; and those of the half that lies in the
+smallest box around the medians.  From each, concentration steps take mean and
+covariance of the ``SHARE`` rows nearest to the last estimate until no determinant
+falls any more, and the start that ends with the least one is the estimate.  A text
+whose Mahalanobis distance from it passes ``CUTOFF`` is rejected.  The vectors are
+integers (thousandths), so sums and percentiles are exact, the same for any
+partitioning, and combined before the shuffle; a group of any size comes down to one
+row for each start.  DataFrame functions only.
 
 Results for odd input: a null or empty text has no words and fails the base rules;
 a null language or source counts as the empty one; a group of fewer than
 ``LEAST_ROWS`` texts is judged by the estimate of its language, and where that has
-fewer too, by that of all texts; repeated rows each have a result; a null id is kept.
+fewer too, by that of all texts; of starts with one determinant the first counts; repeated
+rows each have a result; a null id is kept; very long texts are taken whole; an empty
+table gives an empty one; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +32,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 #: The part of a group's rows that an estimate is taken from, and how its covariance then grows to fit a normal law with four values.
 SHARE, CONSISTENCY = 0.75, 1.485
-STEPS = 3
+#: Concentration goes on while a determinant's logarithm falls by more than FALL; each step lowers it, and STEPS ends a circle of ties.
+FALL, STEPS = 1e-3, 50
+#: The starts, in the order in which ties are settled.
+STARTS = ("medians", "means", "box")
 #: Squared Mahalanobis distance: the chi-square law with four degrees of freedom passes it once in 1e9.
 CUTOFF = 50.0
 LEAST_ROWS = 50
 #: A table with a row for each group is broadcast up to this many rows, which are counted first.
 BROADCAST_GROUPS = 20_000
-#: The least standard deviation of each value, in thousandths.
+#: A ridge: the standard deviation, in thousandths, whose square is added to each value's variance, so that a group of equal rows has an estimate.
 FLOORS = (60, 100, 100, 100)
 D = len(FLOORS)
 
@@ -111,25 +119,59 @@ def per_group(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
 
 
-def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
-    """A row of PARAMETERS for each group: centre and Cholesky factor of the scatter."""
+def fitted(rows: DataFrame, consistency: float) -> DataFrame:
+    """PARAMETERS, start and the determinant's logarithm of the rows of each group and start, by exact sums."""
+    wide = lambda c: F.sum(c.cast("decimal(20,0)")).cast("double")  # noqa: E731  sums of any number of rows
+    x = [F.col(f"x{i}") for i in range(D)]
+    sums = rows.groupBy(*KEYS, "start").agg(F.first("rows").alias("rows"), F.count("*").alias("n"), *(wide(x[i]).alias(f"s{i}") for i in range(D)), *(wide(x[i] * x[j]).alias(f"s{i}{j}") for i in range(D) for j in range(i + 1)))
+    mean = lambda i: F.col(f"s{i}") / F.col("n")
+    cov = {(i, j): (F.col(f"s{i}{j}") / F.col("n") - mean(i) * mean(j)) * consistency + (float(FLOORS[i] ** 2) if i == j else 0.0) for i in range(D) for j in range(i + 1)}
+    center, then = factor([mean(i) for i in range(D)], cov)
+    out = sums.withColumns(center)
+    for columns in then:
+        out = out.withColumns(columns)
+    return with_determinant(out)
+
+
+def with_determinant(estimate: DataFrame) -> DataFrame:
+    return estimate.select(*PARAMETERS, "start", sum((F.log(f"l{i}{i}") for i in range(1, D)), F.log("l00")).alias("det"))
+
+
+def nearest(rows: DataFrame, share: float) -> DataFrame:
+    """Of each group and start the share of rows with the least step."""
+    reach = rows.groupBy(*KEYS, "start").agg(F.percentile("step", F.lit(share)).alias("reach"))
+    return rows.join(per_group(reach), [*KEYS, "start"]).where(F.col("step") <= F.ceil("reach"))
+
+
+def started(vectors: DataFrame, starts: tuple[str, ...]) -> DataFrame:
+    """The first estimate of each group for each start."""
+    names = [f"m{i}" for i in range(D)]
     medians = per_group(vectors.groupBy(*KEYS).agg(F.count("*").alias("rows"), *(F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in range(D))))
-    spread = vectors.join(medians, KEYS).groupBy(*KEYS).agg(F.first("rows").alias("rows"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(D)), *(F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), F.lit(0.5)).alias(f"a{i}") for i in range(D)))
-    zero = F.lit(0.0)
-    estimate = per_group(spread.select(*KEYS, "rows", *(f"m{i}" for i in range(D)), *((F.greatest(F.col(f"a{i}") * 1.4826, F.lit(float(FLOORS[i]))) if i == j else zero).alias(f"l{i}{j}") for i in range(D) for j in range(i + 1))))
+    off = [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(D)]
+    spread = vectors.join(medians, KEYS).groupBy(*KEYS).agg(*(F.first(c).alias(c) for c in ("rows", *names)), *(F.percentile(off[i], F.lit(0.5)).alias(f"a{i}") for i in range(D)))
+    scale = [F.greatest(F.col(f"a{i}") * 1.4826, F.lit(float(FLOORS[i]))) for i in range(D)]
+    spread = per_group(spread.select(*KEYS, "rows", *names, *(scale[i].alias(f"a{i}") for i in range(D))))
+    out = []
+    for n, start in enumerate(starts):
+        if start == "medians":
+            out.append(with_determinant(spread.select(*KEYS, "rows", *names, *((F.col(f"a{i}") if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(D) for j in range(i + 1)), F.lit(n).alias("start"))))
+        else:
+            rows = vectors.join(spread, KEYS).withColumns({"start": F.lit(n), "step": F.floor(F.greatest(*(off[i] / F.col(f"a{i}") for i in range(D))) * 1000)})
+            out.append(fitted(rows if start == "means" else nearest(rows, 0.5), 1.0))
+    return per_group(reduce(DataFrame.union, out))
+
+
+def estimates(vectors: DataFrame, steps: int = STEPS, starts: tuple[str, ...] = STARTS[:1]) -> DataFrame:
+    """A row of PARAMETERS for each group: centre and Cholesky factor of the scatter with the least determinant that the starts lead to."""
+    estimate, group = started(vectors, starts), [*KEYS, "start"]
     for _ in range(steps):
         far = with_distance(vectors, estimate).withColumn("step", F.floor(F.log1p("d2") * 1000))
-        reach = far.groupBy(*KEYS).agg(F.percentile("step", F.lit(SHARE)).alias("reach"))
-        near = far.join(per_group(reach), KEYS).where(F.col("step") <= F.ceil("reach"))
-        sums = near.groupBy(*KEYS).agg(F.first("rows").alias("rows"), F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(D)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(D) for j in range(i + 1)))
-        mean = lambda i: F.col(f"s{i}") / F.col("n")
-        cov = {(i, j): (F.col(f"s{i}{j}") / F.col("n") - mean(i) * mean(j)) * CONSISTENCY + (float(FLOORS[i] ** 2) if i == j else 0.0) for i in range(D) for j in range(i + 1)}
-        center, then = factor([mean(i) for i in range(D)], cov)
-        out = sums.withColumns(center)
-        for columns in then:
-            out = out.withColumns(columns)
-        estimate = per_group(out.select(*PARAMETERS))
-    return estimate
+        before, estimate = estimate, per_group(fitted(nearest(far, SHARE), CONSISTENCY))
+        fell = estimate.join(before.select(*group, F.col("det").alias("_before")), group).agg(F.max(F.col("_before") - F.col("det")).alias("most"), F.min(F.col("_before") - F.col("det")).alias("least")).first()
+        if fell.most is None or max(fell.most, -fell.least) <= FALL:
+            break
+    best = estimate.groupBy(*KEYS).agg(F.min(F.struct("det", "start")).alias("best")).select(*KEYS, "best.start")
+    return per_group(estimate.join(per_group(best), group).select(*PARAMETERS))
 
 
 def every_estimate(vectors: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -145,7 +187,7 @@ def every_estimate(vectors: DataFrame, least_rows: int = LEAST_ROWS) -> DataFram
         rows = vectors.join(own.select(*KEYS), KEYS) if n == 0 else vectors.join(F.broadcast(own.select("_lang").distinct()), "_lang", "left_semi") if n == 1 else vectors
         pool = {"_source": F.lit("")} if n else {}
         pool |= {"_lang": F.lit("")} if n == 2 else {}
-        found = estimates(rows.withColumns(pool) if pool else rows)
+        found = estimates(rows.withColumns(pool) if pool else rows, starts=STARTS)
         to = own.select(*(F.col(k).alias(f"_own{k}") for k in KEYS), *(pool.get(k, F.col(k)).alias(k) for k in KEYS))
         out.append(to.join(found, KEYS).drop(*KEYS).withColumnsRenamed({f"_own{k}": k for k in KEYS}).select(*PARAMETERS))
     return reduce(DataFrame.union, out)
