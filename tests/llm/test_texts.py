@@ -116,6 +116,40 @@ def test_guess_cost_is_the_least(value):
     assert secret_scan.cost(value) == pytest.approx(all_costs(value))
 
 
+@pytest.mark.parametrize("n", [100, 129, 300, 5000])
+def test_long_values_are_weighed_whole(n):
+    """One letter or one word over and over stays cheap, a random value dear, whatever the length."""
+    rng = random.Random(n)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789#%") for _ in range(n))
+    assert secret_scan.cost("a" * n) == pytest.approx(min(1 + np.log10(n + 1), n))
+    assert secret_scan.cost(("summer" * n)[:n]) < secret_scan.LEAST_COST
+    assert secret_scan.cost(noise) > 0.7 * n
+    assert not secret_scan.find_secrets(f"pwd: {'z' * n}") and secret_scan.find_secrets(f"pwd: {noise}")
+
+
+def test_repeats_are_those_of_every_unit():
+    rng = random.Random(6)
+    for _ in range(200):
+        value = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 14)))
+        found = set(secret_scan.repeats(value))
+        assert all(value[i:j] == value[i : i + unit] * ((j - i) // unit) and j - i >= 2 * unit for i, j, unit in found)
+        for i in range(len(value)):
+            for unit in range(1, len(value)):
+                for times in range(2, (len(value) - i) // unit + 1):
+                    if value[i : i + unit * times] == value[i : i + unit] * times:  # inside one that is given, or across it
+                        assert any(a <= i + unit and i <= b and b - a >= unit * times for a, b, u in found if u == unit)
+
+
+def test_planted_credentials_are_found_and_words_are_not():
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#%"
+    secret = ["".join(rng.choice(letters) for _ in range(rng.randrange(9, 40))).strip("!") + "x" for _ in range(300)]
+    caught = sum(bool(secret_scan.find_secrets(f"the passphrase is {x} for now")) for x in secret)
+    assert caught >= 0.99 * len(secret)
+    for plain in ("required", "information", "important", "Authorization", "summer2019", "20240131", "qwertyuiop"):
+        assert not secret_scan.find_secrets(f"the password is {plain} for now")
+
+
 def test_guessable_values_are_no_secrets():
     assert secret_scan.cost("Password123") < secret_scan.LEAST_COST < secret_scan.cost("vT7#qLz92pX")
     assert [k for _, k, _ in secret_scan.find_secrets("pwd: vT7#qLz92pX and pwd: letmein")] == [3]
@@ -359,3 +393,42 @@ def test_distances_equal_numpy(spark):
         low = np.array([[e.get(f"l{i}{j}", 0.0) for j in range(4)] for i in range(4)])
         np.testing.assert_allclose([e[f"m{i}"] for i in range(4)], near.mean(0), rtol=1e-6, atol=1e-6)
         np.testing.assert_allclose(low @ low.T, cov, rtol=1e-6, atol=1e-3)
+
+
+def least_determinant(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter of rows by concentration from three starts, the plain way."""
+    ridge = np.diag(np.square(quality_rules.FLOORS, dtype=float))
+    fit = lambda rows, grow: (rows.mean(0), np.cov(rows.T, bias=True).reshape(4, 4) * grow + ridge if len(rows) > 1 else ridge)
+    center = np.median(x, 0)
+    scale = np.maximum(np.median(abs(x - center), 0) * 1.4826, quality_rules.FLOORS)
+    box = np.floor((abs(x - center) / scale).max(1) * 1000)
+    ends = []
+    for center, cov in [(center, np.diag(scale**2)), fit(x, 1.0), fit(x[box <= np.ceil(np.percentile(box, 50))], 1.0)]:
+        det = np.inf
+        while True:
+            step = np.floor(np.log1p(np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)) * 1000)
+            center, cov = fit(x[step <= np.ceil(np.percentile(step, 100 * quality_rules.SHARE))], quality_rules.CONSISTENCY)
+            last, det = det, np.linalg.slogdet(cov)[1] / 2
+            if abs(last - det) <= 1e-9:
+                break
+        ends.append((det, center, cov))
+    return min(ends, key=lambda e: e[0])[1:]
+
+
+def test_verdicts_equal_numpy(spark):
+    """Two populations in one source, and rows that would draw a mean away: distances and verdicts as the plain way has them."""
+    rng = random.Random(14)
+    say = lambda n, size, noise: " ".join("".join(rng.choice("abcdefghij") for _ in range(max(1, round(rng.gauss(size, 2))))) + ("#" if rng.random() < noise else "") for _ in range(n))
+    rows = [(i, say(rng.randrange(30, 200), 5, 0.02), "en", "web", None) for i in range(160)]
+    rows += [(1000 + i, say(rng.randrange(30, 200), 9, 0.6), "en", "web", None) for i in range(40)]
+    rows += [(2000 + i, say(rng.randrange(30, 200), 6, 0.1), "en", "wiki", None) for i in range(80)]
+    got = X.by_id(quality_rules.quality_rules(X.frame(spark, rows)).collect())
+    for source in ("web", "wiki"):
+        ids = [r[0] for r in rows if r[3] == source and not got[r[0]].base_failed]
+        values = [(np.log(got[i].word_chars / got[i].n_words), np.sqrt(got[i].n_symbols / got[i].n_words), np.sqrt(got[i].n_dup_lines), np.sqrt(got[i].n_repeat_words / got[i].n_words)) for i in ids]
+        x = np.floor(np.array(values) * 1000 + 0.5)
+        center, cov = least_determinant(x)
+        d2 = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
+        assert [got[i].kept for i in ids] == (d2 <= quality_rules.CUTOFF).tolist()
+        np.testing.assert_allclose([got[i].distance2 for i in ids], d2, rtol=0.02, atol=0.02)
+    assert not all(got[1000 + i].kept for i in range(40)) and all(got[i].kept for i in range(160))
