@@ -22,8 +22,8 @@ already.  A cluster gives the links of a spanning forest: fewer than its sets.
 
 Equal sets are one set throughout (a 64-bit fingerprint and the size stand for
 it).  Crowded links (of two crowded shingles) get their hub by a combining aggregate and
-joins instead of a bucket: links of very many sets by a broadcast table of ``HEAVY_LINKS``
-rows at most, the others by a shuffle.  A cluster of more than ``BLOCK`` sets is cut into
+joins instead of a bucket: links of very many sets by a broadcast table of ``HEAVY_KEYS``
+rows at most, the others by a shuffle; pairs find the size of their hub's cluster likewise.  A cluster of more than ``BLOCK`` sets is cut into
 blocks, each with the hub; a set that isn't in the hub's class after its own block is
 compared with every other block (those that are need no link to each other).
 
@@ -56,8 +56,8 @@ from .superkmer import CLASS_BITS, SEGMENT_BITS, class_counts, crowded_classes,
 SHINGLE, PERCENT = 5, 80
 #: Bytes of text for each bucket of prefix shingles, and sets in a block of a cluster.
 BUCKET_TEXT, BLOCK = 32 << 20, 512
-#: A crowded link is heavy above this many sets (HEAVY_SETS), or more, so that there are HEAVY_LINKS of them at most.
-HEAVY_SETS, HEAVY_LINKS = 1024, 100_000
+#: A crowded link or a hub is heavy above this many sets (HEAVY_SETS), or more, so that there are HEAVY_KEYS of them at most.
+HEAVY_SETS, HEAVY_KEYS = 1024, 100_000
 _SHORT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -442,17 +442,24 @@ def _clusters(percent: int):
     return join
 
 
+def with_size(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """rows (saved) joined with sizes (saved; key, sets and more columns), sets being the rows of a key, so that a heavy key's rows stay where they are."""
+    limit = max(HEAVY_SETS, -(-rows.count() // HEAVY_KEYS))  # so many rows have HEAVY_KEYS keys above it at most
+    heavy, light = F.broadcast(sizes.where(F.col("sets") > limit)), sizes.where(F.col("sets") <= limit)
+    return rows.join(heavy, key).unionByName(rows.join(heavy, key, "left_anti").join(light, key))
+
+
 def largest_clusters(pairs: DataFrame) -> DataFrame:
-    """(hub, sid, sets): clusters of two sets or more whose sets aren't all in a larger one; of equal ones the least hub's.
+    """(hub, sid, sets) of saved pairs: clusters of two sets or more whose sets aren't all in a larger one; of equal ones the least hub's.
 
     A set has at most as many hubs as links in its prefix, so this counts pairs of a set's own hubs, not of a cluster's sets.
     """
-    sizes = pairs.groupBy("hub").agg(F.count("*").alias("sets")).where("sets > 1")
-    own = saved(pairs.join(sizes, "hub"))
+    sizes = saved(pairs.groupBy("hub").agg(F.count("*").alias("sets")).where("sets > 1"))
+    own = saved(with_size(pairs, "hub", sizes))
     several = own.groupBy("sid").agg(F.collect_list(F.struct("hub", "sets")).alias("hubs")).where(F.size("hubs") > 1)
     each = several.select(F.explode("hubs").alias("x"), "hubs").select("x.hub", "x.sets", F.explode("hubs").alias("y")).where("y.sets > sets OR y.sets = sets AND y.hub < hub")
     inside = each.select("hub", "sets", F.col("y.hub").alias("other")).groupBy("hub", "other").agg(F.count("*").alias("n"), F.first("sets").alias("all")).where("n = all").select(F.col("hub")).distinct()
-    return own.join(inside, "hub", "left_anti")
+    return with_size(pairs, "hub", saved(sizes.join(inside, "hub", "left_anti")))
 
 
 def link_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -489,11 +496,8 @@ def link_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def _crowded_pairs(rows: DataFrame) -> DataFrame:
     """(hub, sid) of crowded links: rows (token, sid, priority) with the set of least priority of each token."""
     rows = saved(rows.distinct())
-    limit = max(HEAVY_SETS, -(-rows.count() // HEAVY_LINKS))  # so many rows have HEAVY_LINKS tokens above it at most
     hubs = saved(rows.groupBy("token").agg(F.min(F.struct("priority", "sid")).alias("h"), F.count("*").alias("sets")).where("sets > 1").select("token", F.col("h.sid").alias("hub"), "sets"))
-    heavy, light = hubs.where(F.col("sets") > limit).drop("sets"), hubs.where(F.col("sets") <= limit).drop("sets")
-    heavy = F.broadcast(heavy)
-    return rows.join(heavy, "token").select("hub", "sid").unionAll(rows.join(heavy, "token", "left_anti").join(light, "token").select("hub", "sid"))
+    return with_size(rows, "token", hubs).select("hub", "sid")
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
