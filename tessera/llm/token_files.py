@@ -5,7 +5,9 @@ ids of some whole documents, end to end, in 2 or 4 bytes each, and two Elias-Fan
 sequences: where each document ends, and the document ids.  A sequence of n
 values up to u takes about 2 + log2(u / n) bits a value: the low bits side by
 side, the high bits in unary.  Every SAMPLE-th one of the unary part has its
-32-bit position stored; select(i) starts there and counts on.
+32-bit position stored; select(i) starts there and counts on.  Starts and ends of a
+record's documents are read by select_each, which does the same for many places at
+once: set bits before each byte of the unary part, and a table of places in a byte.
 
 The records of a folder are written by range of document id, so (shard, record)
 is their order; the start of a document is the ids of the shards before, of the
@@ -13,8 +15,8 @@ records before in its shard, and its offset in the record.
 
 Results for odd input: a null or empty text has the end id alone; a null id comes
 last and back as null; repeated rows each have an entry, those of one id in any
-order (which their results show only in start); no rows, no records; other
-columns are left out.
+order (which their results show only in start); a very long text is a record of its
+own; no rows, no records; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,6 +46,12 @@ RECORD_IDS = 1 << 20
 _HEAD = struct.Struct("<qqqqq")
 
 
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+#: Set bits of each byte, and where its first, second, ... set bit is.
+ONES = _BITS.sum(1).astype(np.uint8)
+PLACES = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.int64)
+
+
 class EliasFano:
     """A non-decreasing sequence of integers in near-minimal space."""
 
@@ -72,11 +80,6 @@ class EliasFano:
         at = _HEAD.size
         return cls(n, base, bits, np.frombuffer(raw, np.uint8, low, at), np.frombuffer(raw, np.uint8, high, at + low), np.frombuffer(raw, np.uint32, -1, at + low + high) if n else np.zeros(0, np.uint32))
 
-    def _low(self, i: np.ndarray) -> np.ndarray:
-        bits = np.unpackbits(self.low, bitorder="little")
-        at = i[:, None] * self.low_bits + np.arange(self.low_bits)
-        return (bits[at].astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64) if self.low_bits else np.zeros(len(i), np.uint64)
-
     def select(self, i: int) -> int:
         """The i-th value, by the sampled position before it."""
         if not 0 <= i < self.n:
@@ -95,11 +98,28 @@ class EliasFano:
         low = (window >> first % 8) & ((1 << self.low_bits) - 1)
         return (high << self.low_bits | low) + self.base
 
+    def select_each(self, i: np.ndarray) -> np.ndarray:
+        """The values at several places."""
+        if not len(i):
+            return np.zeros(0, np.int64)
+        if i.min() < 0 or i.max() >= self.n:
+            raise IndexError(i)
+        until = np.cumsum(ONES[self.high], dtype=np.int64)
+        byte = np.searchsorted(until, i, "right")
+        inside = i - (until[byte] - ONES[self.high[byte]])
+        high = (byte * 8 + PLACES[self.high[byte], inside] - i).astype(np.uint64)
+        first = i * self.low_bits
+        padded = np.concatenate((self.low, np.zeros(17, np.uint8))).tobytes()
+        words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        shift = (first % 8).astype(np.uint64)
+        low = words[first // 8] >> shift
+        low |= (words[first // 8 + 1] >> np.uint64(56)) << (np.uint64(64) - np.maximum(shift, 1)) if self.low_bits > 56 else np.uint64(0)
+        low &= np.uint64((1 << self.low_bits) - 1)
+        return ((high << np.uint64(self.low_bits) | low) + np.uint64(self.base % (1 << 64))).astype(np.int64)
+
     def values(self) -> np.ndarray:
         """All values in order."""
-        i = np.arange(self.n)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
-        return (((ones - i).astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)) + np.uint64(self.base % (1 << 64))).astype(np.int64)
+        return self.select_each(np.arange(self.n))
 
 
 @lru_cache(2)
@@ -165,8 +185,9 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             first, width, raw, ends, docs = (batch.column(c)[row].as_py() for c in ("first", "width", "ids", "ends", "docs"))
-            stops = EliasFano.loads(ends).values()
-            starts = np.concatenate(([0], stops[:-1]))
+            boundary = EliasFano.loads(ends)
+            at = np.arange(boundary.n)
+            stops, starts = boundary.select_each(at), np.append(0, boundary.select_each(at[:-1]))
             wide = np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()
             own = [wide[4 * a : 4 * b] for a, b in zip(starts.tolist(), stops.tolist())]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(EliasFano.loads(docs).values(), pa.int64()), "start": pa.array(first + starts, pa.int64()), "n_tokens": pa.array(stops - starts, pa.int64()), "ids": pa.array(own, pa.binary())})
