@@ -66,11 +66,11 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` bytes each."""
+def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE_BYTES, rows: int = 1 << 31) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes each, and of ``rows`` at most."""
     row, n = 0, len(offsets) - 1
     while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
+        end = min(row + rows, max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1))
         yield row, end
         row = end
 

@@ -9,7 +9,10 @@ and runs of white space made one space.
 
 Besides a whole item, its parts of ``PART`` bytes, one every ``STRIDE`` bytes, are
 looked for in the same way, with the edits for their own length; so a text that
-quotes PART + STRIDE - 1 bytes of a longer item word for word is always found.
+quotes PART + STRIDE - 1 bytes of a longer item word for word is always found.  An
+item of more than ``LONG`` bytes is looked for by its parts alone: of its adjacent parts
+one at least has no more edits than its own length allows wherever the whole item has,
+so nothing that the whole would find is lost, and alignment holds bounded rows.
 Items of fewer than q bytes are matched exactly, where they don't go on as a word.
 
 The items go to all tasks in blocks of ``BLOCK_BYTES`` at most: their size is
@@ -17,7 +20,8 @@ taken first, and a larger benchmark is scanned block by block.
 
 Results for odd input: null and empty texts and items match nothing; repeated rows and items each give rows; null ids are kept;
 of overlapping passages of one item the nearest stays, of the whole item before those
-of its parts; other columns are left out.
+of its parts; very long texts are pieces of their own; empty tables give empty ones; other
+columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ Q = 8
 RATE = 0.1
 #: Bytes of the parts of a longer item, and from one part to the next.
 PART, STRIDE = 128, 32
+#: Normalised bytes above which an item is looked for by its parts alone.
+LONG = 4096
 #: Normalised bytes of items that are sent to a task, and shared q-grams that are held at a time.
 BLOCK_BYTES, HELD = 4 << 20, 1 << 21
 #: Bytes that a word goes on with.
@@ -71,6 +77,7 @@ class Items:
 
     def __init__(self, texts: list[bytes]):
         raw = [normalised(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+        raw = [x if len(x) <= LONG else x[:0] for x in raw]  # by its parts
         self.data, self.size = raw, np.array([len(x) for x in raw], np.int64)
         self.edits = np.minimum((self.size * RATE).astype(np.int64), np.maximum(self.size - Q, 0) // Q)
         self.bound = self.size - Q + 1 - Q * self.edits
@@ -187,7 +194,7 @@ def scanner(texts: list[bytes], base: int):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             all_data, all_offsets = A.flat(batch.column("text"))
-            for lo, hi in A.pieces(all_data, all_offsets):
+            for lo, hi in A.pieces(all_data, all_offsets, rows=(1 << 31) // max(1, len(texts))):  # row and item share 31 bits
                 raw, at = all_data[all_offsets[lo] : all_offsets[hi]], all_offsets[lo : hi + 1] - all_offsets[lo]
                 data, offsets, source = normalised(raw, at)
                 rows, which, diagonals = items.bands(data, offsets)
