@@ -205,6 +205,8 @@ def test_elias_fano(values):
     packed = token_files.EliasFano.loads(token_files.EliasFano.of(np.array(values, np.int64)).dumps())
     assert packed.values().tolist() == values
     assert [packed.select(i) for i in range(len(values))] == values
+    some = np.arange(len(values))[::3]
+    assert packed.select_each(some).tolist() == values[::3]
     with pytest.raises(IndexError):
         packed.select(len(values))
 
@@ -325,6 +327,22 @@ def test_decontaminate_finds_parts_and_short_items(spark):
     assert by[4] == "Tiny\nq?" and by[6] == "日本" and len(by[7]) >= len(long) and long[220:360] in texts[1]
 
 
+def test_decontaminate_finds_whole_long_items_by_their_parts(spark):
+    """Near copies of an item above LONG, edited all over within its budget, and texts that only share its words."""
+    rng = random.Random(19)
+    say = lambda n: "".join(rng.choice("abcdefgh    ") for _ in range(n)).strip()
+    item = say(decontaminate.LONG + 900)
+    near = list(item)
+    for at in rng.sample(range(len(near)), int(len(near) * decontaminate.RATE * 0.9)):
+        near[at] = rng.choice("xyz")
+    words = item.split()
+    rng.shuffle(words)
+    rows = [(1, "".join(near)), (2, say(60) + item + say(60)), (3, " ".join(words)), (4, say(6000)), (5, item[:100])]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.decontaminate(X.frame(spark, [(*r, None, None, None) for r in rows]), bench).collect()
+    assert {r.doc_id for r in got} == {1, 2}
+
+
 def test_license_scan_equals_sql(spark):
     got = license_scan.op7_license_scan(spark, X.SF).toPandas()
     assert as_text(got) == as_text(oracle_rows(license_scan.ORACLE, X.SF)) and len(got)
