@@ -21,9 +21,18 @@ def inverted_index(rows: DataFrame, key: str, fields: Sequence[str]) -> DataFram
     return each.select(key, "field", F.explode("terms").alias("term")).groupBy(key, "field", "term").agg(F.count("*").alias("tf"))
 
 
-def keyword(index: DataFrame, key: str, query: str, limit: int = 2000) -> DataFrame:
-    """key, score, rank of the rows with all terms of the query in one field; score: sum of 1 + ln(tf) over those fields."""
+def among(rows: DataFrame, key: str, candidates: DataFrame | None) -> DataFrame:
+    """rows whose key candidates (a table with that column) hold; all rows where there are none."""
+    return rows if candidates is None else rows.join(candidates.select(key), key, "left_semi")
+
+
+def keyword(index: DataFrame, key: str, query: str, limit: int = 2000, candidates: DataFrame | None = None) -> DataFrame:
+    """key, score, rank of the rows with all terms of the query in one field; score: sum of 1 + ln(tf) over those fields.
+
+    Only candidates are ranked, so that the limit never leaves one out for a row that isn't.
+    """
     terms = sorted(set(query.lower().split()) - set(STOP_WORDS))
+    index = among(index, key, candidates)
     hits = index.where(F.col("term").isin(*terms)).groupBy(key, "field").agg(F.count("*").alias("n"), F.sum(1 + F.log("tf")).alias("s"))
     scored = hits.where(F.col("n") == len(terms)).groupBy(key).agg(F.round(F.sum("s"), 6).alias("score"))
     return ranked(scored, key, limit)
@@ -44,12 +53,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
-def semantic(vectors: DataFrame, key: str, column: Column, query: Sequence[float], limit: int = 200) -> DataFrame:
-    """key, score, rank of the nearest vectors by cosine."""
+def semantic(vectors: DataFrame, key: str, column: Column, query: Sequence[float], limit: int = 200, candidates: DataFrame | None = None) -> DataFrame:
+    """key, score, rank of the nearest vectors by cosine, among the candidates where given."""
     literal = F.array(*(F.lit(float(x)) for x in query))
+    vectors = among(vectors, key, candidates)
     return ranked(vectors.select(key, F.round(cosine(column, literal), 6).alias("score")), key, limit)
 
 
+def semantic_named(
+    vectors: DataFrame, key: str, columns: dict[str, Column], query: dict[str, Sequence[float]], limit: int = 200, candidates: DataFrame | None = None
+) -> DataFrame:
+    """key, score, rank: the nearest by each named vector that the query has one for, fused by rank."""
+    return fuse([semantic(vectors, key, columns[name], query[name], limit, candidates) for name in columns if name in query], key)
+
+
+def hybrid(
+    index: DataFrame, vectors: DataFrame, key: str, query: str, columns: dict[str, Column], vector: dict[str, Sequence[float]] | None, candidates: DataFrame | None = None
+) -> DataFrame:
+    """Keyword and semantic search fused by rank; keyword search alone without a query vector."""
+    found = keyword(index, key, query, candidates=candidates)
+    return found if vector is None else fuse([found, semantic_named(vectors, key, columns, vector, candidates=candidates)], key)
+
+
 def fuse(lists: Sequence[DataFrame], key: str, limit: int = 2000) -> DataFrame:
     """Reciprocal rank fusion: the sum of 1 / (RRF_K + rank) over the lists."""
     out = lists[0].select(key, "rank")

@@ -18,9 +18,9 @@ def as_of(df: DataFrame, at: Column) -> DataFrame:
     return df.where((F.col("tx_from") <= at) & (F.col("tx_to").isNull() | (F.col("tx_to") > at)))
 
 
-def version_list(df: DataFrame, key: str) -> DataFrame:
-    """The versions of each key, numbered from the oldest."""
-    return df.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy("tx_from", "event_id")))
+def version_list(df: DataFrame, key: str, order: Sequence[str] = ("tx_from",)) -> DataFrame:
+    """The versions of each key, numbered from the oldest; order: columns that leave no ties."""
+    return df.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
 def version_diff(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -42,19 +42,24 @@ def delta(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> D
     return joined.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), kind.alias("change"))
 
 
-def merge(versions: DataFrame, incoming: DataFrame, key: str, columns: Sequence[str], now: Column, close_missing: bool = False) -> DataFrame:
+def merge(versions: DataFrame, incoming: DataFrame, key: str | Sequence[str], columns: Sequence[str], now: Column, close_missing: bool = False) -> DataFrame:
     """Versions after a dump: changed keys (and missing ones, with close_missing) are closed, new and changed ones get a current row.
 
     One pass: closed and kept rows come from one outer join, opened ones from its other side.
+    A key may be several columns.
     """
-    dump = incoming.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_there"))
-    joined = versions.withColumn("_had", F.lit(True)).join(dump, (F.col(key) == F.col("_key")) & F.col("tx_to").isNull(), "full_outer")
-    differs = reduce(lambda a, b: a | b, (~F.col(c).eqNullSafe(F.col(f"_new_{c}")) for c in columns))
+    keys = [key] if isinstance(key, str) else list(key)
+    dump = incoming.select(*(F.col(k).alias(f"_key_{k}") for k in keys), *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_there"))
+    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_key_{k}") for k in keys))
+    joined = versions.withColumn("_had", F.lit(True)).join(dump, same & F.col("tx_to").isNull(), "full_outer")
+    differs = reduce(lambda a, b: a | b, (~F.col(c).eqNullSafe(F.col(f"_new_{c}")) for c in columns), F.lit(False))
     open_now = F.col("_had") & F.col("tx_to").isNull()
     close = open_now & ((F.col("_there") & differs) | (F.lit(close_missing) & F.col("_there").isNull()))
     is_new = F.col("_had").isNull() | (F.coalesce(F.col("_there"), F.lit(False)) & differs)
-    kept = F.when(F.col("_had"), F.struct(F.col(key), *(F.col(c) for c in columns), F.col("tx_from"), F.when(F.coalesce(close, F.lit(False)), now).otherwise(F.col("tx_to")).alias("tx_to")))
-    opened = F.when(is_new & F.col("_there"), F.struct(F.col("_key").alias(key), *(F.col(f"_new_{c}").alias(c) for c in columns), now.alias("tx_from"), F.lit(None).cast(versions.schema["tx_to"].dataType).alias("tx_to")))
+    end = F.when(F.coalesce(close, F.lit(False)), now).otherwise(F.col("tx_to")).alias("tx_to")
+    kept = F.when(F.col("_had"), F.struct(*keys, *columns, "tx_from", end))
+    none = F.lit(None).cast(versions.schema["tx_to"].dataType).alias("tx_to")
+    opened = F.when(is_new & F.col("_there"), F.struct(*(F.col(f"_key_{k}").alias(k) for k in keys), *(F.col(f"_new_{c}").alias(c) for c in columns), now.alias("tx_from"), none))
     return joined.select(F.inline(F.array_compact(F.array(kept, opened))))
 
 
@@ -87,3 +92,68 @@ def disappeared_rows(versions: DataFrame, incoming: DataFrame, key: str, columns
     """New current rows for keys that a dump lacks: the same values, with ``status`` as inactive where there is such a column."""
     gone = current(versions).join(incoming.select(key), key, "left_anti")
     return gone.select(key, *(F.lit("Inactive").alias(c) if c == status else F.col(c) for c in columns), now.alias("tx_from"), F.lit(None).cast(versions.schema["tx_to"].dataType).alias("tx_to"))
+
+
+def export_at(control: DataFrame, criteria: DataFrame, parent: DataFrame, at: Column, columns: Sequence[str], parent_columns: Sequence[str]) -> DataFrame:
+    """export_as_of with every table (tx_from, tx_to) as it stood at a time: rows, criteria, parents and their criteria."""
+    drop = lambda df: as_of(df, at).drop("tx_from", "tx_to")
+    return export_as_of(drop(control), drop(criteria), drop(parent), columns, parent_columns)
+
+
+def snapshot_at(versions: DataFrame, edges: DataFrame, key: str, at: Column, columns: Sequence[str], parent_columns: Sequence[str]) -> DataFrame:
+    """The versions that began exactly at a time, with their parent then and its columns then.
+
+    at: a literal, or a column of versions for each row's own time.  edges: (parent_id, child_id, tx_from, tx_to).
+    Without a parent the columns are null; of several parents the least counts.
+    """
+    own = versions.where(F.col("tx_from") == at).select(F.col(key).alias("_key"), F.col("tx_from").alias("_at"), *columns)
+    held = (F.col("tx_from") <= F.col("_at")) & (F.col("tx_to").isNull() | (F.col("tx_to") > F.col("_at")))
+    up = own.select("_key", "_at").join(edges, F.col("child_id") == F.col("_key")).where(held).groupBy("_key", "_at").agg(F.min("parent_id").alias("parent_id"))
+    above = versions.select(F.col(key).alias("_id"), "tx_from", "tx_to", *(F.col(c).alias(f"parent_{c}") for c in parent_columns))
+    then = up.join(above, F.col("parent_id") == F.col("_id")).where(held).select("_key", "_at", "parent_id", *(f"parent_{c}" for c in parent_columns))
+    out = own.join(up.withColumnRenamed("parent_id", "_parent"), ["_key", "_at"], "left").join(then.drop("parent_id"), ["_key", "_at"], "left")
+    return out.select(F.col("_key").alias(key), F.col("_at").alias("tx_from"), *columns, F.col("_parent").alias("parent_id"), *(f"parent_{c}" for c in parent_columns))
+
+
+def diff_versions(versions: DataFrame, edges: DataFrame, key: str, first: Column, second: Column, columns: Sequence[str], parent_columns: Sequence[str]) -> DataFrame:
+    """key, field, before, after of two versions of each key, the parent and its columns as of each."""
+    a, b = (snapshot_at(versions, edges, key, at, columns, parent_columns) for at in (first, second))
+    return version_diff(a, b, key, [*columns, "parent_id", *(f"parent_{c}" for c in parent_columns)])
+
+
+def merge_children(edges: DataFrame, incoming: DataFrame, nodes: DataFrame, now: Column) -> DataFrame:
+    """Edge versions (parent_id, child_id, tx_from, tx_to) after a dump of the tree.
+
+    incoming: the dump's edges; nodes (node_id): all nodes of the dump.  A parent
+    whose children are other ones than before has all its edges closed and the dump's
+    opened; a node that the dump lacks has its edges closed in both directions.
+    """
+    open_now = current(edges).select("parent_id", "child_id")
+    fresh = incoming.select("parent_id", "child_id").where("parent_id IS NOT NULL AND child_id IS NOT NULL").distinct()
+    there = nodes.select(F.col("node_id").alias("parent_id")).distinct()
+    lost, won = open_now.join(fresh, ["parent_id", "child_id"], "left_anti"), fresh.join(open_now, ["parent_id", "child_id"], "left_anti")
+    differs = lost.select("parent_id").join(there, "parent_id", "left_semi").union(won.select("parent_id")).distinct()
+    gone = open_now.select(F.explode(F.array("parent_id", "child_id")).alias("node_id")).distinct().join(nodes.select("node_id"), "node_id", "left_anti")
+    mark = lambda df, c, name: df.select(F.col(c).alias(name), F.lit(True).alias(f"_{name}"))
+    marked = edges.join(mark(differs.union(gone), "parent_id", "parent_id").distinct(), "parent_id", "left").join(mark(gone, "node_id", "child_id"), "child_id", "left")
+    ends = F.col("tx_to").isNull() & (F.col("_parent_id").isNotNull() | F.col("_child_id").isNotNull())
+    closed = marked.select("parent_id", "child_id", "tx_from", F.when(ends, now).otherwise(F.col("tx_to")).alias("tx_to"))
+    none = F.lit(None).cast(edges.schema["tx_to"].dataType).alias("tx_to")
+    # an edge whose child went is opened again only if the dump has it, and then the child is in the dump
+    opened = fresh.join(differs, "parent_id", "left_semi").select("parent_id", "child_id", now.alias("tx_from"), none)
+    return closed.unionByName(opened)
+
+
+def deferred(pending: DataFrame, known: DataFrame, ends: Sequence[str] = ("parent_id", "child_id"), key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Edges whose ends are all known by now, and those that wait for one."""
+    ready = pending
+    for end in ends:
+        ready = ready.join(known.select(F.col(key).alias(end)), end, "left_semi")
+    ready = ready.select(*pending.columns)
+    return ready, pending.join(ready.select(*ends), list(ends), "left_anti")
+
+
+def theme_parents(rows: DataFrame, themes: DataFrame) -> DataFrame:
+    """rows (theme_id, parent_source, ...) with parent_id: the active theme (theme_id, source, status, position) of that source, the last by position; null without one."""
+    last = themes.where(F.col("status") == "Active").groupBy(F.col("source").alias("parent_source")).agg(F.max_by("theme_id", F.struct("position", "theme_id")).alias("parent_id"))
+    return rows.join(last, "parent_source", "left").select(*rows.columns, "parent_id")

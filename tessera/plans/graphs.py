@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import explore as E
 from ..operators import graph as G
 from .registry import query
 
@@ -53,10 +54,9 @@ def tree_levels(t):
 
 @query("taxonomy_tree", "SELECT p.o_orderkey AS id, count(c.o_orderkey) AS n_expired, coalesce(min(c.o_orderkey), -1) AS first FROM orders p LEFT JOIN orders c ON c.o_orderkey - c.o_orderkey % 5 = p.o_orderkey AND c.o_orderkey % 5 <> 0 AND c.o_orderstatus = 'F' WHERE p.o_orderkey % 5 = 0 AND p.o_orderstatus = 'O' GROUP BY 1")
 def taxonomy_tree(t):
-    active = t.control.where("level = 'Level 1' AND status = 'Active'").select("id")
-    expired = t.parent.join(t.control.where("status = 'Expired'").select(F.col("id").alias("child_id")), "child_id").select(F.col("parent_id").alias("id"), "child_id")
-    nested = active.join(expired, "id", "left").groupBy("id").agg(F.array_sort(F.collect_list("child_id")).alias("expired"))
-    return nested.select("id", F.size("expired").cast("long").alias("n_expired"), F.coalesce(F.get("expired", F.lit(0)), F.lit(-1)).alias("first"))
+    themes = t.control.where("level = 'Level 1' AND status = 'Active' OR level = 'Level 2' AND status = 'Expired'").select("id", "status")
+    forest = E.theme_forest(themes, t.parent.select(F.col("parent_id").alias("src"), F.col("child_id").alias("dst")))
+    return forest.select("id", F.size("expired").cast("long").alias("n_expired"), F.coalesce(F.get("expired", F.lit(0)), F.lit(-1)).alias("first"))
 
 
 @query("scope_union", "SELECT id, node_id FROM v_owns UNION SELECT id, node_id FROM v_related")
@@ -105,9 +105,19 @@ def sidebar_candidates(t):
 
 @query("toolbar_filter", "SELECT id, level, created_on FROM v_control WHERE status = 'Active' AND key_control AND level IN ('Level 1', 'Level 2') AND created_on >= TIMESTAMP '1996-01-01' AND created_on <= TIMESTAMP '1999-12-31' AND id IN (SELECT id FROM v_similar)")
 def toolbar_filter(t):
-    at = F.col("created_on")
-    keep = (F.col("status") == "Active") & F.coalesce("key_control", F.lit(False)) & F.col("level").isin("Level 1", "Level 2") & (at >= F.lit("1996-01-01").cast("timestamp_ntz")) & (at <= F.lit("1999-12-31").cast("timestamp_ntz"))
-    return t.control.where(keep).join(t.similar, "id", "left_semi").select("id", "level", "created_on")
+    asked = E.Toolbar(active_only=True, key_control=True, level1=True, level2=True, date_from="1996-01-01", date_to="1999-12-31", has_similar=True)
+    return E.toolbar(t.control, asked, t.similar).select("id", "level", "created_on")
+
+
+@query("toolbar_open", "SELECT id, status, level FROM v_control WHERE NOT coalesce(key_control, FALSE) AND created_on >= TIMESTAMP '1998-01-01'")
+def toolbar_open(t):
+    """Neither level: any level."""
+    return E.toolbar(t.control, E.Toolbar(key_control=False, date_from="1998-01-01")).select("id", "status", "level")
+
+
+@query("toolbar_one_level", "SELECT id FROM v_control WHERE status = 'Active' AND level = 'Level 1'")
+def toolbar_one_level(t):
+    return E.toolbar(t.control, E.Toolbar(active_only=True, level1=True)).select("id")
 
 
 @query("criteria_no_filter", """SELECT b.id, b.level FROM v_control b LEFT JOIN v_criteria c ON c.id = b.id LEFT JOIN v_parent p ON p.child_id = b.id LEFT JOIN v_criteria u ON u.id = p.parent_id
@@ -125,8 +135,7 @@ def cascade_suggest(t):
 @query("edge_expand", "SELECT e.src, e.dst, a.name AS src_name, b.name AS dst_name FROM v_edge e LEFT JOIN v_node a ON a.node_id = e.src LEFT JOIN v_node b ON b.node_id = e.dst WHERE e.dst LIKE 'nation:%' OR e.dst LIKE 'supplier:%'")
 def edge_expand(t):
     part = t.edge.where(F.col("dst").startswith("nation:") | F.col("dst").startswith("supplier:"))
-    name = lambda c: t.node.select(F.col("node_id").alias(c), F.col("name").alias(f"{c}_name"))
-    return part.join(name("src"), "src", "left").join(name("dst"), "dst", "left").select("src", "dst", "src_name", "dst_name")
+    return E.edge_expand(part, t.node)
 
 
 @query("relationships_hydrate", """SELECT b.id, (SELECT min(parent_id) FROM v_parent p WHERE p.child_id = b.id) AS parent_id, coalesce(k.n, 0) AS n_children, o.node_id AS owner, n.name AS owner_name, coalesce(r.n, 0) AS n_related, coalesce(h.themes, '') AS themes
@@ -156,22 +165,21 @@ def fk_dropped(t):
 ask AS (SELECT p_partkey AS id, p_brand AS source, CASE WHEN p_partkey % 4 = 0 THEN 'UNKNOWN' ELSE p_type END AS name FROM part)
 SELECT a.id, coalesce(c.theme, o.theme) AS theme FROM ask a LEFT JOIN cat c ON c.source = a.source AND c.name = a.name LEFT JOIN one o ON o.source = a.source WHERE coalesce(c.theme, o.theme) IS NOT NULL""")
 def theme_resolve(t):
-    cat = t.part.where("p_partkey % 17 = 0").select(F.col("p_brand").alias("source"), F.col("p_type").alias("name")).distinct().withColumn("theme", F.concat_ws("|", "source", "name"))
-    one = cat.groupBy("source").agg(F.count("*").alias("n"), F.min("theme").alias("only")).where("n = 1").drop("n")
-    ask = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("source"), F.when(F.col("p_partkey") % 4 == 0, "UNKNOWN").otherwise(F.col("p_type")).alias("name"))
-    return ask.join(cat, ["source", "name"], "left").join(one, "source", "left").select("id", F.coalesce("theme", "only").alias("theme")).where("theme IS NOT NULL")
+    cat = t.part.where("p_partkey % 17 = 0").select(F.col("p_brand").alias("source"), F.col("p_type").alias("name")).distinct()
+    name = F.when(F.col("p_partkey") % 4 == 0, "UNKNOWN").otherwise(F.col("p_type"))
+    ask = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("source"), name.alias("name"))
+    found = E.theme_resolve(ask, cat.withColumn("theme", F.concat_ws("|", "source", "name")))
+    return found.select("id", "theme").where("theme IS NOT NULL")
 
 
 @query("pair_exclusion", "SELECT id, similar_id, score FROM v_similar s WHERE NOT EXISTS (SELECT 1 FROM v_parent p WHERE least(p.parent_id, p.child_id) = least(s.id, s.similar_id) AND greatest(p.parent_id, p.child_id) = greatest(s.id, s.similar_id))")
 def pair_exclusion(t):
-    low, high = F.least("id", "similar_id"), F.greatest("id", "similar_id")
-    family = t.parent.select(F.least("parent_id", "child_id").alias("_a"), F.greatest("parent_id", "child_id").alias("_b"))
-    return t.similar.withColumns({"_a": low, "_b": high}).join(family, ["_a", "_b"], "left_anti").select("id", "similar_id", "score")
+    return E.without_family(t.similar.select("id", "similar_id", "score"), t.parent, "id", "similar_id")
 
 
 @query("node_search", "SELECT node_id, name FROM v_node WHERE name ILIKE '%r#0000000_4%' OR node_id ILIKE '%nation:1%' ORDER BY name, node_id LIMIT 50")
 def node_search(t):
-    return t.node.where(F.col("name").ilike("%r#0000000_4%") | F.col("node_id").ilike("%nation:1%")).orderBy("name", "node_id").limit(50)
+    return E.node_search(t.node, "r#0000000_4", "nation:1")
 
 
 @query("group_results", "SELECT CASE WHEN coalesce(frequency, '') = '' THEN 'Unknown' ELSE frequency END AS label, count(*) AS n, min(id) AS first FROM v_base GROUP BY 1")
@@ -182,9 +190,19 @@ def group_results(t):
 
 @query("page_slice", "SELECT id, total, total > 150 AS has_more FROM (SELECT id, row_number() OVER (ORDER BY price DESC, id) AS rn, count(*) OVER () AS total FROM v_base) WHERE rn > 100 AND rn <= 150")
 def page_slice(t):
-    total = t.base.agg(F.count("*").alias("total"))
-    page = t.base.select("id", "price").orderBy(F.desc("price"), "id").offset(100).limit(50)
-    return page.crossJoin(F.broadcast(total)).select("id", "total", (F.col("total") > 150).alias("has_more"))
+    page = E.page_slice(t.base.select("id", "price"), [F.desc("price"), "id"], E.cursor(100), 50)
+    return page.select("id", "total", "has_more")
+
+
+@query("page_cursor", """SELECT id, total, total > 75 AS has_more, CASE WHEN total > 75 THEN to_base64('75'::BLOB) END AS next_cursor
+FROM (SELECT id, row_number() OVER (ORDER BY created_on, id) AS rn, count(*) OVER () AS total FROM v_base) WHERE rn > 50 AND rn <= 75""")
+def page_cursor(t):
+    return E.page_slice(t.base.select("id", "created_on"), ["created_on", "id"], E.cursor(50), 25).drop("created_on")
+
+
+@query("counted_page", "SELECT c_custkey, count(*) OVER () AS total FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 50")
+def counted_page(t):
+    return E.counted_page(t.customer.select("c_custkey"), ["c_custkey"], 3, 25)
 
 
 @query("browse_all", "SELECT id, 0.0::DOUBLE AS score, row_number() OVER (ORDER BY id) AS rank FROM v_base ORDER BY id LIMIT 2000")
@@ -195,4 +213,49 @@ def browse_all(t):
 
 @query("readiness_missing", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) ORDER BY 1 LIMIT 20")
 def readiness_missing(t):
-    return t.control.select("id").join(t.criteria, "id", "left_anti").orderBy("id").limit(20)
+    return E.missing(t.control, t.criteria, "id")
+
+def _list_sql(table, key, shown, name):
+    return f"LEFT JOIN (SELECT k AS id, string_agg(s, ',' ORDER BY s) AS {name} FROM (SELECT DISTINCT {key} AS k, {shown} AS s FROM {table}) GROUP BY 1) {name} ON {name}.id = b.id"
+
+
+@query("relations_all", f"""SELECT b.id, coalesce(parents, '') AS parents, coalesce(children, '') AS children, coalesce(owners, '') AS owners, coalesce(related, '') AS related, coalesce(themes, '') AS themes FROM v_base b
+{_list_sql("v_parent p LEFT JOIN v_control c ON c.id = p.parent_id", "child_id", "concat(p.parent_id, '/', c.status)", "parents")}
+{_list_sql("v_parent p LEFT JOIN v_control c ON c.id = p.child_id", "parent_id", "concat(p.child_id, '/', c.status)", "children")}
+{_list_sql("v_owns o LEFT JOIN v_node n ON n.node_id = o.node_id", "o.id", "concat(o.node_id, '/', coalesce(n.name, '-'))", "owners")}
+{_list_sql("v_related o LEFT JOIN v_node n ON n.node_id = o.node_id", "o.id", "concat(o.node_id, '/', coalesce(n.name, '-'))", "related")}
+{_list_sql("v_theme", "id", "theme", "themes")}""")
+def relations_all(t):
+    """All five relations of the base rows; shown as sorted texts."""
+    found = E.relations(t.base.select("id"), t.parent, t.owns, t.related, t.theme, t.node, t.control)
+
+    def shown(name, *fields):
+        texts = F.transform(name, lambda x: F.concat_ws("/", *(F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields)))
+        return F.array_join(F.array_sort(texts), ",").alias(name)
+
+    return found.select("id", shown("parents", "parent_id", "status"), shown("children", "child_id", "status"), shown("owners", "node_id", "name"), shown("related", "node_id", "name"), shown("themes", "theme"))
+
+
+@query("group_members", """WITH p AS (SELECT id, frequency, row_number() OVER (ORDER BY price DESC, id) AS rank FROM v_base QUALIFY rank <= 100)
+SELECT CASE WHEN coalesce(frequency, '') = '' THEN 'Unknown' ELSE frequency END AS label, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS members FROM p GROUP BY 1""")
+def group_members(t):
+    top = t.base.orderBy(F.desc("price"), "id").limit(100).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("price"), "id")))
+    return E.grouped(top, "frequency").withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
+
+@query("cascade_all", """WITH f AS (SELECT * FROM v_unit WHERE function_node = 'nation:4'), l AS (SELECT * FROM v_unit WHERE location_node IN ('nation:3', 'nation:7'))
+SELECT 'unit' AS facet, CAST(unit_id AS VARCHAR) AS value FROM f UNION SELECT 'unit', CAST(unit_id AS VARCHAR) FROM l UNION SELECT 'location', location_node FROM f UNION SELECT 'function', function_node FROM l
+UNION SELECT 'entity', entity_id FROM v_link WHERE split_part(entity_id, ':', 2) IN ('3', '7') UNION SELECT 'location', location_node FROM v_unit WHERE split_part(location_node, ':', 2) = '5'""")
+def cascade_all(t):
+    entities = t.spark.range(1).select(F.lit("entity:5").alias("entity_id"))
+    return E.cascade(t.unit, t.link, _seed(t, "nation:4"), _seed(t, "nation:3", "nation:7"), entities)
+
+
+@query("scope_mask", "SELECT id, status = 'Active' AND coalesce(key_control, FALSE) AS in_scope FROM v_control")
+def scope_mask(t):
+    return t.control.select("id", E.in_scope(None).alias("in_scope"))
+
+
+@query("details", "SELECT c.id, c.status, c.level, e.c_what, e.c_frequency FROM v_control c LEFT JOIN v_criteria e ON e.id = c.id WHERE c.id IN (2, 4, 11, 123)")
+def details(t):
+    return E.detail(t.control, t.criteria, [2, 4, 11, 123], ["status", "level"], ["c_what", "c_frequency"])

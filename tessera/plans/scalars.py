@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import explore as E
 from .registry import query
 
 
@@ -81,8 +82,7 @@ def theme_pick(t):
 
 @query("feature_mask", "SELECT c.id, status = 'Active' AND coalesce(key_control, FALSE) AND level = 'Level 1' AND nullif(trim(frequency), '') IS NOT NULL AS mask FROM v_control c")
 def feature_mask(t):
-    eligible = (F.col("status") == "Active") & F.coalesce("key_control", F.lit(False)) & (F.col("level") == "Level 1")
-    return t.control.select("id", (eligible & X.feature_hash(F.col("frequency")).isNotNull()).alias("mask"))
+    return t.control.select("id", E.feature_mask(F.col("frequency")).alias("mask"))
 
 
 @query("id_sequence", "SELECT strftime(ts, '%Y') AS year, concat('UPL-', strftime(ts, '%Y'), '-', lpad(CAST(count(*) + 1 AS VARCHAR), 5, '0')) AS next FROM events GROUP BY 1, strftime(ts, '%Y')")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import explore as E
 from ..operators import graph as G
 from ..operators import search as S
 from .registry import query
@@ -77,12 +78,12 @@ def similar_by_id(t):
 
 @query("entity_detail", "SELECT c.id, c.status, c.level, c.price, e.c_what, e.c_evidence FROM v_control c LEFT JOIN v_criteria e ON e.id = c.id WHERE c.id = 123")
 def entity_detail(t):
-    return t.control.where("id = 123").select("id", "status", "level", "price").join(t.criteria.select("id", "c_what", "c_evidence"), "id", "left")
+    return E.detail(t.control, t.criteria, [123], ["status", "level", "price"], ["c_what", "c_evidence"])
 
 
 @query("entity_brief", "SELECT id, status, price FROM v_control WHERE id IN (1, 5, 9, 42, 77)")
 def entity_brief(t):
-    return t.control.where(F.col("id").isin(1, 5, 9, 42, 77)).select("id", "status", "price")
+    return E.brief(t.control, [1, 5, 9, 42, 77], ["status", "price"])
 
 
 @query("docs_search", "SELECT doc_id, score, snippet FROM (SELECT doc_id, (CASE WHEN contains(lower(source), 'src1') THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(text), 'src1') THEN 1.0 ELSE 0 END + CASE WHEN contains(lower(source), 'the') THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(text), 'the') THEN 1.0 ELSE 0 END)::DOUBLE AS score, substr(text, greatest(instr(lower(text), 'src1') - 20, 1), 60) AS snippet FROM documents WHERE (contains(lower(source), 'src1') OR contains(lower(text), 'src1')) AND (contains(lower(source), 'the') OR contains(lower(text), 'the'))) ORDER BY score DESC, doc_id LIMIT 20")
@@ -94,4 +95,70 @@ def docs_search(t):
 def search_in_facet(t):
     good = t.labels.where("quality = 1").select(F.col("doc_id").alias("id"))
     english = t.documents.where("lang = 'en'").select(F.col("doc_id").alias("id"))
-    return keyword(t).join(G.all_of(good, english).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "score")
+    inside = G.all_of(good, english).withColumnRenamed("id", "doc_id")
+    return S.keyword(index(t), "doc_id", "thth erer", candidates=inside).select("doc_id", "score")
+
+
+def english(t):
+    return t.documents.where("lang = 'en'").select("doc_id")
+
+
+_ENGLISH = "(SELECT doc_id FROM documents WHERE lang = 'en')"
+_RANKED = "SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM"
+
+
+@query("search_keyword_candidates", f"WITH {_INDEX}, {_KEYWORD} SELECT doc_id, score, rank FROM ({_RANKED} (SELECT doc_id, score FROM kw WHERE doc_id IN {_ENGLISH})) WHERE rank <= 5")
+def search_keyword_candidates(t):
+    """A limit that bites: the five best of the candidates."""
+    return S.keyword(index(t), "doc_id", "thth erer", 5, english(t))
+
+
+_OWN_COS = f"SELECT vec_id AS doc_id, round({_COS}, 6) AS score FROM embeddings WHERE vec_id IN {_ENGLISH}"
+
+
+@query("search_semantic_candidates", f"SELECT doc_id, score, rank FROM ({_RANKED} ({_OWN_COS})) WHERE rank <= 20")
+def search_semantic_candidates(t):
+    """The twenty nearest of the candidates, which needn't be among the twenty nearest of all."""
+    vectors = t.embeddings.withColumnRenamed("vec_id", "doc_id")
+    return S.semantic(vectors, "doc_id", F.col("embedding"), VECTOR, 20, english(t))
+
+
+PARTS = {"what": (1, 21), "why": (22, 42), "where": (43, 63)}
+
+
+def named(part):
+    lo, hi = PARTS[part]
+    return F.slice("embedding", lo, hi - lo + 1)
+
+
+def _named_sql(part, where="TRUE"):
+    lo, hi = PARTS[part]
+    own = f"list_transform(range({lo - 1}, {hi}), lambda i: CASE WHEN i % 2 = 1 THEN 1.0::DOUBLE ELSE -0.5::DOUBLE END)"
+    return f"SELECT doc_id, rank FROM ({_RANKED} (SELECT vec_id AS doc_id, round(list_cosine_similarity(embedding[{lo}:{hi}]::DOUBLE[], {own}), 6) AS score FROM embeddings WHERE {where})) WHERE rank <= 200"
+
+
+def _fused_sql(lists):
+    every = " UNION ALL ".join(lists)
+    return f"{_RANKED} (SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM ({every}) GROUP BY 1)"
+
+
+def _by_part(t, parts, candidates=None):
+    vectors = t.embeddings.withColumnRenamed("vec_id", "doc_id")
+    return S.semantic_named(vectors, "doc_id", {p: named(p) for p in PARTS}, {p: VECTOR[PARTS[p][0] - 1 : PARTS[p][1]] for p in parts}, candidates=candidates)
+
+
+@query("search_semantic_named", f"SELECT * FROM ({_fused_sql([_named_sql(p) for p in PARTS])}) WHERE rank <= 2000")
+def search_semantic_named(t):
+    return _by_part(t, PARTS)
+
+
+_HYBRID = f"""WITH {_INDEX}, {_KEYWORD}, own AS (SELECT doc_id, rank FROM ({_RANKED} (SELECT doc_id, score FROM kw WHERE doc_id IN {_ENGLISH})) WHERE rank <= 2000),
+vec AS (SELECT doc_id, rank FROM ({_fused_sql([_named_sql(p, f"vec_id IN {_ENGLISH}") for p in ("what", "why")])}))"""
+
+
+@query("search_hybrid_candidates", f"{_HYBRID} SELECT * FROM ({_fused_sql(['SELECT doc_id, rank FROM own', 'SELECT doc_id, rank FROM vec'])}) WHERE rank <= 2000")
+def search_hybrid_candidates(t):
+    """Both lists are of candidates before they are cut and fused."""
+    vectors = t.embeddings.withColumnRenamed("vec_id", "doc_id")
+    vector = {p: VECTOR[PARTS[p][0] - 1 : PARTS[p][1]] for p in ("what", "why")}
+    return S.hybrid(index(t), vectors, "doc_id", "thth erer", {p: named(p) for p in PARTS}, vector, english(t))

@@ -36,7 +36,7 @@ def temporal_as_of(t):
 
 @query("version_list", "SELECT *, row_number() OVER (PARTITION BY id ORDER BY tx_from, event_id) AS version FROM v_version")
 def version_list(t):
-    return T.version_list(t.version, "id")
+    return T.version_list(t.version, "id", ["tx_from", "event_id"])
 
 
 @query("version_diff", f"WITH a AS ({_state_sql(AT)}), b AS ({_state_sql(LATER)}) " + " UNION ALL ".join(f"SELECT a.id, '{c}' AS field, a.{c} AS before, b.{c} AS after FROM a JOIN b ON a.id = b.id WHERE a.{c} IS DISTINCT FROM b.{c}" for c in ("state", "props")))
@@ -151,3 +151,70 @@ def latest_by_key(t):
 def predecessor_check(t):
     before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
     return t.events.where("event_type <> 'view'").select("event_id", "user_id", before.alias("before"), F.coalesce(before != "error", F.lit(True)).alias("may_run"))
+
+
+EXPORT_AT = "1999-12-31 23:59:59.999999"
+
+
+def _held(table):
+    return f"(SELECT * FROM {table} WHERE tx_from <= TIMESTAMP '{EXPORT_AT}' AND (tx_to IS NULL OR tx_to > TIMESTAMP '{EXPORT_AT}'))"
+
+
+@query("export_at_time", f"""WITH c AS {_held('v_control_v')}, e AS {_held('v_criteria_v')}, p AS (SELECT child_id, min(parent_id) AS parent_id FROM {_held('v_parent_v')} GROUP BY 1)
+SELECT c.id, c.status, c.frequency, e.c_frequency, e.c_evidence, CASE WHEN u.id IS NOT NULL THEN p.parent_id END AS parent_id, u.c_what AS parent_c_what, u.c_why AS parent_c_why
+FROM c JOIN e ON e.id = c.id LEFT JOIN p ON p.child_id = c.id LEFT JOIN e u ON u.id = p.parent_id""")
+def export_at_time(t):
+    """Rows, criteria, parents and their criteria, all as they stood at one time."""
+    out = T.export_at(t.control_v.drop("level"), t.criteria_v, t.parent_v, stamp(EXPORT_AT), ["c_frequency", "c_evidence"], ["c_what", "c_why"])
+    return out.select("id", "status", "frequency", "c_frequency", "c_evidence", "parent_id", "parent_c_what", "parent_c_why")
+
+
+def _snapshot_sql(at):
+    return f"""(SELECT v.id, v.status, v.frequency, u.parent_id, w.status AS parent_status FROM (SELECT *, {at} AS at FROM v_control_v) v
+LEFT JOIN (SELECT x.id, x.tx_from, min(p.parent_id) AS parent_id FROM v_control_v x JOIN v_parent_v p ON p.child_id = x.id AND p.tx_from <= x.tx_from AND (p.tx_to IS NULL OR p.tx_to > x.tx_from) GROUP BY 1, 2) u ON u.id = v.id AND u.tx_from = v.tx_from
+LEFT JOIN v_control_v w ON w.id = u.parent_id AND w.tx_from <= v.tx_from AND (w.tx_to IS NULL OR w.tx_to > v.tx_from) WHERE v.tx_from = v.at)"""
+
+
+_FIRST, _SECOND = "(SELECT created_on FROM v_control k WHERE k.id = v_control_v.id)", "(SELECT created_on + INTERVAL 300 DAY FROM v_control k WHERE k.id = v_control_v.id)"
+
+
+@query("version_diff_parents", f"WITH a AS {_snapshot_sql(_FIRST)}, b AS {_snapshot_sql(_SECOND)} " + " UNION ALL ".join(f"SELECT a.id, '{c}' AS field, CAST(a.{c} AS VARCHAR) AS before, CAST(b.{c} AS VARCHAR) AS after FROM a JOIN b ON a.id = b.id WHERE a.{c} IS DISTINCT FROM b.{c}" for c in ("status", "frequency", "parent_id", "parent_status")))
+def version_diff_parents(t):
+    """Two versions of each row, the parent and its status as of each of them."""
+    began = t.control.select(F.col("id").alias("_i"), "created_on")
+    versions = t.control_v.join(began, F.col("id") == F.col("_i")).drop("_i")
+    return T.diff_versions(versions, t.parent_v, "id", F.col("created_on"), F.col("created_on") + F.expr("INTERVAL 300 DAY"), ["status", "frequency"], ["status"])
+
+
+_TREE_DUMP = "SELECT src AS parent_id, CASE WHEN src = 'nation:3' AND dst LIKE '%5' THEN dst || 'x' ELSE dst END AS child_id FROM v_edge WHERE src <> 'nation:7' AND dst <> 'nation:7'"
+_TREE_NODES = "SELECT parent_id AS node_id FROM n UNION SELECT child_id FROM n"
+
+
+@query("org_edges_scd2", f"""WITH n AS ({_TREE_DUMP}), nodes AS ({_TREE_NODES}), o AS (SELECT src AS parent_id, dst AS child_id FROM v_edge),
+gone AS (SELECT parent_id AS id FROM o WHERE parent_id NOT IN (SELECT node_id FROM nodes) UNION SELECT child_id FROM o WHERE child_id NOT IN (SELECT node_id FROM nodes)),
+diff AS (SELECT parent_id FROM (SELECT * FROM o EXCEPT SELECT * FROM n) WHERE parent_id IN (SELECT node_id FROM nodes) UNION SELECT parent_id FROM (SELECT * FROM n EXCEPT SELECT * FROM o))
+SELECT parent_id, child_id, TIMESTAMP '{AT}' AS tx_from, CASE WHEN parent_id IN (SELECT parent_id FROM diff) OR parent_id IN (SELECT id FROM gone) OR child_id IN (SELECT id FROM gone) THEN TIMESTAMP '{LATER}' END AS tx_to FROM o
+UNION ALL SELECT parent_id, child_id, TIMESTAMP '{LATER}', NULL FROM n WHERE parent_id IN (SELECT parent_id FROM diff)""")
+def org_edges_scd2(t):
+    """A node goes, with its edges both ways; another one's children change, so all its edges begin anew."""
+    child = F.when((F.col("src") == "nation:3") & F.col("dst").endswith("5"), F.concat("dst", F.lit("x"))).otherwise(F.col("dst"))
+    dump = t.edge.where("src <> 'nation:7' AND dst <> 'nation:7'").select(F.col("src").alias("parent_id"), child.alias("child_id"))
+    nodes = dump.select(F.col("parent_id").alias("node_id")).union(dump.select("child_id")).distinct()
+    old = t.edge.select(F.col("src").alias("parent_id"), F.col("dst").alias("child_id"), stamp(AT).alias("tx_from"), F.lit(None).cast("timestamp_ntz").alias("tx_to"))
+    return T.merge_children(old, dump, nodes, stamp(LATER))
+
+
+@query("theme_parent_resolve", """WITH th AS (SELECT concat('RTH-', left(sha256(concat(p_brand, '|', p_type)), 12)) AS theme_id, p_brand AS source, CASE WHEN p_partkey % 3 = 0 THEN 'Expired' ELSE 'Active' END AS status, p_partkey AS position FROM part WHERE p_partkey % 2 = 0)
+SELECT p_partkey AS id, p_brand AS parent_source, (SELECT max_by(theme_id, position) FROM th WHERE status = 'Active' AND source = p_brand) AS parent_id FROM part""")
+def theme_parent_resolve(t):
+    themes = t.part.where("p_partkey % 2 = 0").select(
+        F.concat(F.lit("RTH-"), F.substring(F.sha2(F.concat_ws("|", "p_brand", "p_type"), 256), 1, 12)).alias("theme_id"), F.col("p_brand").alias("source"),
+        F.when(F.col("p_partkey") % 3 == 0, "Expired").otherwise("Active").alias("status"), F.col("p_partkey").alias("position"))
+    return T.theme_parents(t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("parent_source")), themes)
+
+
+@query("edges_deferred", "SELECT parent_id, child_id, parent_id IN (SELECT id FROM v_base) AND child_id IN (SELECT id FROM v_base) AS ready FROM v_parent")
+def edges_deferred(t):
+    """Edges that can be written once the base rows are there, and those that wait."""
+    ready, waiting = T.deferred(t.parent, t.base)
+    return ready.withColumn("ready", F.lit(True)).unionByName(waiting.withColumn("ready", F.lit(False)))

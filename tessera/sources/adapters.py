@@ -39,6 +39,12 @@ VIEWS = {
     "version": "SELECT user_id AS id, event_id, event_type AS state, value AS amount, props, ts AS tx_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS tx_to FROM {events}",
     "similar": """SELECT a.o_orderkey AS id, b.o_orderkey AS similar_id, CAST(1 AS INT) AS rank, CAST(6000 + 40 * ((a.o_orderkey * 7 + b.o_orderkey) % 100) AS DOUBLE) / 10000 AS score FROM {orders} a JOIN {orders} b
       ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND (a.o_orderkey + b.o_orderkey) % 3 = 0""",
+    "control_v": """SELECT id, status, level, frequency, created_on AS tx_from, CASE WHEN id % 4 = 0 THEN created_on + INTERVAL 300 DAY END AS tx_to FROM {control}
+      UNION ALL SELECT id, 'Active', level, 'later', created_on + INTERVAL 300 DAY, NULL FROM {control} WHERE id % 4 = 0""",
+    "criteria_v": """SELECT c.id, c.c_what, c.c_why, c.c_frequency, c.c_evidence, o.created_on + INTERVAL 10 DAY AS tx_from, CASE WHEN c.id % 3 = 0 THEN o.created_on + INTERVAL 200 DAY END AS tx_to FROM {criteria} c JOIN {control} o ON o.id = c.id
+      UNION ALL SELECT c.id, 'no', c.c_why, c.c_frequency, 'yes', o.created_on + INTERVAL 200 DAY, NULL FROM {criteria} c JOIN {control} o ON o.id = c.id WHERE c.id % 3 = 0""",
+    "parent_v": """SELECT p.parent_id, p.child_id, o.created_on AS tx_from, CASE WHEN p.child_id % 2 = 0 THEN o.created_on + INTERVAL 150 DAY END AS tx_to FROM {parent} p JOIN {control} o ON o.id = p.child_id
+      UNION ALL SELECT CASE WHEN p.parent_id >= 5 THEN p.parent_id - 5 ELSE p.parent_id END, p.child_id, o.created_on + INTERVAL 150 DAY, NULL FROM {parent} p JOIN {control} o ON o.id = p.child_id WHERE p.child_id % 2 = 0""",
     "base": "SELECT * FROM {control} WHERE status = 'Active' AND coalesce(key_control, FALSE)",
 }
 

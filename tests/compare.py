@@ -10,7 +10,7 @@ from tessera.sources.adapters import TABLES
 
 
 def shown(v) -> str:
-    if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
         return "null"
     if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)):
         return repr(round(float(v), 9) + 0.0)
