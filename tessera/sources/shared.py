@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept where other executors can read it; a folder of this machine only where none is set, as in tests."""
+    """df, computed once and kept where other executors can read it; a folder of this machine only where none is set and all runs on it."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='tessera-')}")
     return df.checkpoint()

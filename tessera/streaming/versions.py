@@ -4,29 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import temporal
-from ..sources import readers
+from ..sources import readers, stores
 
 
-def merge_batch(folder: str, key: str, columns: Sequence[str], at: str):
-    """A foreachBatch function: merges the last row of each key; the time of the version is the batch's latest ``at``."""
+def merge_batch(folder: str, key: str, columns: Sequence[str], at: str, stream: str = ""):
+    """A foreachBatch function: merges the last row of each key; the time of the version is the batch's latest ``at``.
 
-    def merge(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
+    Stream and batch number are the commit's tag, so a batch that comes again after a failure is merged once.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        tag = f"{stream}#{number}"
+        if batch.isEmpty() or stores.tagged(spark, folder, tag):
+            return
+        last_commit = stores.current(spark, folder)
         now = F.lit(batch.agg(F.max(at).alias("m")).first().m).cast(batch.schema[at].dataType)
         last = readers.last_by_id(batch.select(key, *columns, at), key, F.col(at)).select(key, *columns)
-        try:
-            versions = readers.read_version(spark, folder)
-        except AnalysisException:
+        if last_commit is None:
             versions = last.limit(0).withColumns({"tx_from": now, "tx_to": F.lit(None).cast(batch.schema[at].dataType)})
-        readers.write_version(temporal.merge(versions, last, key, list(columns), now), folder)
+        else:
+            versions = stores.read_version(spark, folder, last_commit[1])
+        stores.write_version(temporal.merge(versions, last, key, list(columns), now), folder, tag)
 
     return merge
 
@@ -34,4 +38,4 @@ def merge_batch(folder: str, key: str, columns: Sequence[str], at: str):
 def ingest(spark: SparkSession, source: str, schema: str, folder: str, checkpoint: str, key: str, columns: Sequence[str], at: str) -> StreamingQuery:
     """Takes in what is new in a folder of JSON lines, in order of arrival, and ends."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source)
-    return stream.writeStream.foreachBatch(merge_batch(folder, key, columns, at)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(merge_batch(folder, key, columns, at, checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import dashboard, graph, ingest, search, similarity, temporal
-from tessera.sources import readers
+from tessera.sources import generators, readers, shards, stores
 
 
 def test_closure_ends_on_cycles_and_at_its_depth(spark):
@@ -130,3 +130,131 @@ def test_versions_stream(spark, tmp_path):
     versions.ingest(spark, f"{tmp_path}/in", "id int, x string, at timestamp_ntz", folder, f"{tmp_path}/cp", "id", ["x"], "at").awaitTermination()
     rows = {(r.id, r.x, r.tx_to is None) for r in readers.read_version(spark, folder).collect()}
     assert rows == {(1, "a", False), (1, "c", True), (2, "b", True)}
+
+
+def test_a_batch_that_comes_again_is_merged_once(spark, tmp_path):
+    from tessera.streaming import versions
+
+    merge = versions.merge_batch(f"{tmp_path}/store", "id", ["x"], "at", "one")
+    rows = lambda x, day: spark.sql(f"SELECT 1 AS id, '{x}' AS x, timestamp_ntz '2024-01-0{day}' AS at")
+    for number, x in ((0, "a"), (1, "b"), (1, "b"), (0, "a")):
+        merge(rows(x, number + 1), number)
+    assert stores.list_versions(spark, f"{tmp_path}/store").count() == 2
+    versions.merge_batch(f"{tmp_path}/store", "id", ["x"], "at", "another")(rows("c", 5), 0)
+    assert sorted((r.x, r.tx_to is None) for r in readers.read_version(spark, f"{tmp_path}/store").collect()) == [("a", False), ("b", False), ("c", True)]
+
+
+def test_version_folders_restore_compare_and_seed(spark, tmp_path):
+    folder = f"{tmp_path}/store"
+    assert stores.list_versions(spark, folder).count() == 0
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id int, v string")
+    b = spark.createDataFrame([(2, "y"), (3, "z"), (4, "w"), (5, "u")], "id int, v string")
+    assert stores.seed_version(a, folder) and not stores.seed_version(b, folder)
+    one = stores.current(spark, folder)[1]
+    two = stores.write_version(b, folder)
+    got = stores.compare_versions(stores.read_version(spark, folder, one), stores.read_version(spark, folder), "id").first()
+    assert tuple(got) == (3, 4, 2, 1, 1, 1, 33.33)
+    assert stores.compared_commits(spark, folder, one, two).first().later == two
+    stores.restore_version(spark, folder, one)
+    assert stores.read_version(spark, folder).count() == 3 and stores.list_versions(spark, folder).count() == 3
+    with pytest.raises(ValueError):
+        stores.restore_version(spark, folder, "none")
+    with pytest.raises(FileNotFoundError):
+        stores.read_version(spark, f"{tmp_path}/nothing")
+
+
+def test_wide_csv_in_several_parts_and_files(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    for name in "ab":
+        (tmp_path / f"csv/{name}.csv").write_text("".join(f"preamble {i}\n" for i in range(10)) + ",h1,h2\n" + "".join(f",{name}{i},{i}\n" for i in range(400)) + "\n")
+    bound = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("600", bound):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {tuple(r) for r in readers.read_wide_csv(spark, f"{tmp_path}/csv", "h1 string, h2 int").collect()}
+            assert got == {(f"{name}{i}", i) for name in "ab" for i in range(400)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bound)
+
+
+def test_arrow_shards_make_a_pool(spark, tmp_path):
+    import pyarrow as pa
+
+    texts = {0: ["a", None, "b"], 2: [" ", "e"], 10: ["f", "g"], 1: ["c", "d"]}
+    for shard, rows in texts.items():
+        table = pa.table({"text": pa.array(rows, pa.string())})
+        new = pa.ipc.new_file if shard % 2 else pa.ipc.new_stream
+        with new(f"{tmp_path}/part-7-{shard:05d}.arrow", table.schema) as out:
+            out.write_table(table, max_chunksize=1)
+    pool = shards.text_pool(shards.read_arrow_shards(spark, f"{tmp_path}/*.arrow", "text string"), "text")
+    assert [tuple(r) for r in pool.orderBy("position").collect()] == list(enumerate("abcdefg"))
+    got = [tuple(r) for r in shards.scattered(pool, ["what", "why", "where"]).orderBy("entity").collect()]
+    assert got == [(0, "a", "b", "c"), (1, "d", "e", "f"), (2, "g", None, None)]
+    vectors = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "row long, v array<double>")
+    index = spark.createDataFrame([("k", 0), ("k", 1), ("l", 7)], "id string, row long")
+    assert sorted(map(tuple, shards.indexed_vectors(vectors, index, "id", ["v"]).collect())) == [("k", [2.0]), ("l", None)]
+
+
+def test_reading_with_limits_and_keys(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("".join(f'{{"id": {i}, "v": "{i}"}}\n' for i in (3, 1, 2)))
+    assert [r.id for r in readers.read_jsonl_unique(spark, f"{tmp_path}/x.jsonl", "id int, v string", "id", 2).collect()] == [1, 2]
+    (tmp_path / "y.jsonl").write_text('{"id": 1, "v": "a"}\n{"id": 1, "v": "b"}\n')
+    with pytest.raises(ValueError):
+        readers.read_jsonl_unique(spark, f"{tmp_path}/y.jsonl", "id int, v string", "id")
+    rows = spark.range(1000).withColumn("v", F.col("id") % 7)
+    assert readers.scroll(rows, "id", 10, 9999).count() == 500 and readers.scroll(rows, "id", 997).count() == 2 and readers.scroll(rows, "id", limit=0).count() == 1
+    assert readers.retrieve(rows, "id", list(range(600))).count() == 500 and readers.facet_values(rows, F.col("id"), 1000).count() == 100
+    assert readers.point(rows, "id", 5).first().v == 5 and readers.delete_by_key(rows, rows.where("v = 0"), "id").count() == 857
+    target = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "id int, x string, y string")
+    new = spark.createDataFrame([(1, "X", "Y", ["y"]), (9, "n", "n", ["x"])], "id int, x string, y string, changed array<string>")
+    assert sorted(map(tuple, readers.update_fields(target, new, "id").collect())) == [(1, "a", "Y"), (2, "c", "d")]
+    ids = spark.createDataFrame([("UPL-2024-0009",), ("UPL-2024-0010",), ("UPL-2023-12345",), ("X-2024-9999",), (None,)], "id string")
+    assert (readers.next_id(ids, "id", "UPL", 2024), readers.next_id(ids, "id", "UPL", 2023), readers.next_id(ids, "id", "UPL", 2025)) == ("UPL-2024-0011", "UPL-2023-12346", "UPL-2025-0001")
+
+
+def test_generated_rows_keep_their_shares(spark):
+    profile = {"level": {"Level 1": 0.2, "Level 2": 0.8}, "status": {"Active": 3, "Expired": 1}}
+    rows = generators.generated(spark, 20000, profile, 7)
+    assert rows.where("level = 'Level 1'").count() == pytest.approx(4000, rel=0.1) and rows.where("status = 'Active'").count() == pytest.approx(15000, rel=0.05)
+    assert rows.repartition(3).orderBy("id").limit(50).collect() == generators.generated(spark, 50, profile, 7).orderBy("id").collect()
+    later = generators.delta(rows, "id", "status", changed=0.1, gone=0.05, new=0.02)
+    kinds = {r.change: r.n for r in temporal.delta(rows, later, "id", ["level", "status"]).groupBy("change").agg(F.count("*").alias("n")).collect()}
+    assert kinds["disappeared"] == pytest.approx(1000, rel=0.2) and kinds["changed"] == pytest.approx(2000, rel=0.2) and kinds["new"] == pytest.approx(400, rel=0.3)
+
+
+def test_invariants_report_each_kind_of_violation(spark):
+    rows = spark.sql("""SELECT id, CAST(a AS timestamp_ntz) AS tx_from, CAST(b AS timestamp_ntz) AS tx_to FROM VALUES
+      (1, '2024-01-01', NULL), (1, '2024-02-01', NULL), (2, '2024-01-01', '2024-03-01'), (2, '2024-02-01', NULL), (3, '2024-02-01', '2024-01-01'), (4, '2024-01-01', '2024-02-01'), (4, '2024-02-01', NULL) t(id, a, b)""")
+    assert {tuple(r) for r in temporal.invariants(rows, "id").collect()} == {("several current", 1), ("overlap", 1), ("overlap", 2), ("ends early", 3)}
+
+
+def test_tree_edges_follow_a_dump(spark):
+    edges = spark.sql("SELECT parent_id, child_id, timestamp_ntz '2024-01-01' AS tx_from, CAST(NULL AS timestamp_ntz) AS tx_to FROM VALUES ('a', 'b'), ('a', 'c'), ('b', 'd'), ('c', 'e'), ('x', 'y') t(parent_id, child_id)")
+    dump = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("b", "f")], "parent_id string, child_id string")
+    nodes = spark.createDataFrame([(n,) for n in "abcdfx"], "node_id string")
+    got = {(r.parent_id, r.child_id, r.tx_to is None, r.tx_from.month) for r in temporal.merge_children(edges, dump, nodes, F.lit("2024-05-01").cast("timestamp_ntz")).collect()}
+    # b's children changed, e and y went, so c's and x's only edges end; a's stay
+    assert got == {("a", "b", True, 1), ("a", "c", True, 1), ("b", "d", False, 1), ("b", "d", True, 5), ("b", "f", True, 5), ("c", "e", False, 1), ("x", "y", False, 1)}
+
+
+def test_toolbar_and_cursors():
+    from tessera.operators import explore
+
+    assert [explore.offset_of(explore.cursor(n)) for n in (0, 150)] == [0, 150] and explore.offset_of("?") == explore.offset_of(None) == 0
+
+
+def test_forest_equals_the_plain_way(spark):
+    pairs = similarity.nearest(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"), "vec_id", "embedding", 3).select(F.col("key").alias("a"), F.col("other").alias("b"), "score")
+    top: dict = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    want = set()
+    for score, a, b in sorted({(-r.score, min(r.a, r.b), max(r.a, r.b)) for r in pairs.collect()}):
+        if root(a) != root(b):
+            top[root(a)] = root(b)
+            want.add((a, b))
+    assert {(r.a, r.b) for r in similarity.spanning_forest(pairs).collect()} == want
