@@ -64,6 +64,52 @@ def tokens(value: Column, stop: tuple[str, ...] = ()) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
 
 
+#: Accented Latin letters and what they are without accents.
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def folded(value: Column) -> Column:
+    """The text without the accents of Latin letters."""
+    return F.translate(value, ACCENTED, PLAIN)
+
+
+def compact_list(value: Column) -> Column:
+    """A list without nulls; null is empty."""
+    return F.coalesce(F.array_compact(value), F.array().cast("array<string>"))
+
+
+def title(value: Column) -> Column:
+    """Each word with a capital first letter, the rest in lower case."""
+    return F.initcap(F.trim(value))
+
+
+def dispatched_cast(value: Column) -> Column:
+    """A date from a text in one of two forms (yyyy-MM-dd, or dd-MMM-yyyy), chosen by pattern; null for others."""
+    iso, named = value.rlike(r"^\d{4}-\d{2}-\d{2}"), value.rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{4}$")
+    return F.when(iso, F.try_to_date(F.substring(value, 1, 10), "yyyy-MM-dd")).when(named, F.try_to_date(value, "d-MMM-yyyy"))
+
+
+def canonical_value(json: Column) -> Column:
+    """A type-tagged key of a JSON value, equal for equal values: numbers by value, objects with sorted keys, null for what isn't JSON."""
+    v = F.try_parse_json(json)
+    kind = F.regexp_extract(F.schema_of_variant(v), r"^\w+", 0)
+    number = F.try_variant_get(v, "$", "double")
+    text = F.when(kind.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.concat(F.lit("number:"), number.cast("string")))
+    text = text.when(kind == "STRING", F.concat(F.lit("string:"), F.try_variant_get(v, "$", "string")))
+    text = text.when(kind == "BOOLEAN", F.concat(F.lit("boolean:"), F.try_variant_get(v, "$", "string"))).when(kind == "VOID", "null")
+    return F.when(v.isNotNull(), text.otherwise(F.concat(F.lower(kind), F.lit(":"), F.to_json(v))))
+
+
+def yes_if(value: Column) -> Column:
+    """yes where there is a text that isn't blank, else no."""
+    return F.when(F.coalesce(F.trim(value) != "", F.lit(False)), "yes").otherwise("no")
+
+
+def pick(catalogue: Column, seed: Column) -> Column:
+    """The entry of a sorted list that a seed falls on; null for an empty list."""
+    return F.when(F.size(catalogue) > 0, F.try_element_at(catalogue, (F.pmod(seed, F.greatest(F.size(catalogue), F.lit(1))) + 1).cast("int")))
+
+
 def uuid5(value: Column, namespace: str) -> Column:
     """The name-based identifier (version 5) of a text under a namespace."""
     digest = F.substring(F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(value, "UTF-8"))), 1, 32)

@@ -20,11 +20,18 @@ def score(columns: Sequence[str], prefix: str = "") -> Column:
 
 
 def histogram(scores: DataFrame, most: int) -> DataFrame:
-    """score, n, mean, median, total: one row for each score from 0 to most, empty ones too."""
-    bins = scores.sparkSession.range(most + 1).select(F.col("id").cast("int").alias("score"))
-    counts = scores.groupBy(F.least("score", F.lit(most)).cast("int").alias("score")).agg(F.count("*").alias("n"))
-    whole = scores.agg(F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 2).alias("mean"), F.round(F.coalesce(F.median("score"), F.lit(0.0)), 2).alias("median"), F.count("*").alias("total"))
-    return bins.join(counts, "score", "left").select("score", F.coalesce("n", F.lit(0)).alias("n")).crossJoin(F.broadcast(whole))
+    """score, n, mean, median, total: one row for each score from 0 to most, empty ones too.
+
+    Scores are counted once; all else comes from the counts, of which there are as many as different scores.
+    """
+    counts = scores.groupBy("score").agg(F.count("*").alias("n"))
+    whole = counts.agg(
+        F.round(F.coalesce(F.sum(F.col("score") * F.col("n")) / F.sum("n"), F.lit(0.0)), 2).alias("mean"),
+        F.round(F.coalesce(F.percentile("score", F.lit(0.5), F.col("n")), F.lit(0.0)), 2).alias("median"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.collect_list(F.struct(F.least("score", F.lit(most)).alias("score"), "n")).alias("_counts"))
+    of = lambda i: F.aggregate(F.filter("_counts", lambda x: x["score"] == i), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    bins = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("score"), of(i).alias("n")))
+    return whole.select(F.inline(bins), "mean", "median", "total")
 
 
 def own_scores(base: DataFrame, criteria: DataFrame, columns: Sequence[str], level: str) -> DataFrame:
@@ -107,8 +114,40 @@ def snapshot(base: DataFrame, histograms: dict[str, DataFrame], counts: DataFram
     return out
 
 
-def trend(points: DataFrame, at: str, limit: int) -> DataFrame:
-    """The newest points, oldest first, with the number of all."""
+def inventory(rows: DataFrame, at: str, since: Column, done: Column) -> DataFrame:
+    """One row: all rows, those since a time, and the latest time of those that are done."""
+    return rows.agg(F.count("*").alias("total"), count_where(F.col(at) >= since).alias("today"), F.max(F.when(done, F.col(at))).alias("last_success"))
+
+
+def catalogue(tables: dict[str, DataFrame], kinds: dict[str, tuple[str, str]]) -> DataFrame:
+    """name, category, domain, n of each table; kinds: category and domain by the part of a name before its first underscore, else other."""
+    each = []
+    for name, df in tables.items():
+        category, domain = kinds.get(name, kinds.get(name.split("_")[0], ("other", "other")))
+        each.append(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(category).alias("category"), F.lit(domain).alias("domain"), "n"))
+    return reduce(DataFrame.unionAll, each)
+
+
+def packed(rows: DataFrame, label: str, value: str, name: str) -> DataFrame:
+    """One row: a small table's values by label, as a map in order of labels."""
+    entry = F.struct(F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("value"))
+    return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))
+
+
+def whole_snapshot(parts: Sequence[DataFrame]) -> DataFrame:
+    """One row of tables of one row each."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.crossJoin(F.broadcast(part))
+    return out
+
+
+def trend(points: DataFrame, at: str, limit: int, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """The newest points of a range (its ends included), oldest first, with the number of all in it."""
+    if start is not None:
+        points = points.where(F.col(at) >= start)
+    if end is not None:
+        points = points.where(F.col(at) <= end)
     total = points.agg(F.count("*").alias("total"))
     return points.orderBy(F.desc(at)).limit(limit).crossJoin(F.broadcast(total)).orderBy(at)
 

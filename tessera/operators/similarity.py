@@ -13,20 +13,25 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..sources.shared import saved
 from .search import dot
+from .temporal import merge
 
 #: Categories of a pair's rounded score.
 NEAR, WEAK = 0.90, 0.60
 
 
-def term_weights(rows: DataFrame, key: str, column: str, most: int = 10_000) -> DataFrame:
-    """key, term, weight: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), of unit length; the ``most`` terms by corpus frequency."""
+def term_weights(rows: DataFrame, key: str, column: str, most: int = 10_000, fold: bool = False) -> DataFrame:
+    """key, term, weight: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), of unit length; the ``most`` terms by corpus frequency.
+
+    Texts are split once; a row's norm comes from the list of its own terms.  fold: without accents.
+    """
     n = rows.agg(F.count("*").alias("n"))
-    tf = rows.select(key, F.explode(X.tokens(F.col(column))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    text = X.folded(F.col(column)) if fold else F.col(column)
+    tf = saved(rows.select(key, F.explode(X.tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
     vocabulary = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).orderBy(F.desc("all"), "term").limit(most).crossJoin(F.broadcast(n))
     idf = vocabulary.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = tf.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    lists = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("terms"))
+    return lists.select(key, "norm", F.inline("terms")).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def pair_cosine(weights: DataFrame, pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
@@ -43,19 +48,26 @@ def normalise(vectors: DataFrame, column: str, least: float = 0.01) -> DataFrame
     return out.withColumn("unit", F.when(F.col("valid"), F.transform(column, lambda x: x.cast("double") / F.col("norm"))))
 
 
-def nearest(vectors: DataFrame, key: str, column: str, k: int, block: int = 2000, first: int = 1, last: int | None = None) -> DataFrame:
-    """key, other, score: each vector's k nearest by cosine (above 0, itself left out; ties by key).
+def nearest(
+    vectors: DataFrame, key: str, column: str, k: int, block: int = 2000, first: int = 1, last: int | None = None,
+    asked: DataFrame | None = None, among: DataFrame | None = None,
+) -> DataFrame:
+    """key, other, score, rank: each vector's k nearest by cosine (above 0, itself left out; ties by key).
 
-    Vectors are dealt into blocks of about ``block`` rows; each pair of blocks is
-    one matrix product, which gives its own k best, and a window keeps the k best
-    of all blocks.  Every pair is compared.
+    Only keys of ``asked`` get a list, and only keys of ``among`` are in one (tables
+    with the key; all keys where there are none).  Both sides are dealt into blocks
+    of about ``block`` rows; each pair of blocks is one matrix product, which gives
+    its own k best, and a window keeps the k best of all blocks.  Every pair of the
+    two sides is compared.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    rows = vectors.select(F.col(key).cast("long").alias("key"), F.slice(column, first, (last or 1 << 30) - first + 1).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = rows.select("key", "v", "own", others.alias("other"), F.lit(True).alias("asks"))
-    there = rows.select("key", "v", F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("own"), F.lit(False).alias("asks")).select("key", "v", "own", "other", "asks")
+    every = vectors.select(F.col(key).cast("long").alias("key"), F.slice(column, first, (last or 1 << 30) - first + 1).alias("v"))
+    side = lambda keys: every if keys is None else every.join(keys.select(F.col(key).cast("long").alias("key")), "key", "left_semi")
+    one, two = side(asked), side(among)
+    blocks = [max(1, -(-x.count() // block)) for x in (one, two)]
+    dealt = lambda rows, n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asks = one.select("key", "v", dealt(one, blocks[0]).alias("own"), each(blocks[1]).alias("other"), F.lit(True).alias("asks"))
+    there = two.select("key", "v", dealt(two, blocks[1]).alias("other"), each(blocks[0]).alias("own"), F.lit(False).alias("asks")).select("key", "v", "own", "other", "asks")
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.asks], pdf[~pdf.asks]
@@ -72,9 +84,65 @@ def nearest(vectors: DataFrame, key: str, column: str, k: int, block: int = 2000
         row, col = np.nonzero(taken > 0)
         return pd.DataFrame({"key": names[row], "other": other[order[row, col]], "score": taken[row, col]})
 
-    met = asked.unionAll(there).groupBy("own", "other").applyInPandas(best, "key long, other long, score double")
+    met = asks.unionAll(there).groupBy("own", "other").applyInPandas(best, "key long, other long, score double")
+    return best_of(met, k)
+
+
+def best_of(lists: DataFrame, k: int) -> DataFrame:
+    """The k best of each key's entries, with their rank; ties by the other key."""
     w = Window.partitionBy("key").orderBy(F.desc("score"), "other")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return lists.select("key", "other", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def updated_nearest(lists: DataFrame, vectors: DataFrame, changed: DataFrame, key: str, column: str, k: int, **how) -> tuple[DataFrame, DataFrame]:
+    """The k nearest after some vectors came, changed or went, and the keys whose list may have changed.
+
+    lists: the k nearest before; vectors: all of now; changed: the keys (key).  A
+    changed vector gets a new list.  Of the others, those whose list was full and
+    lost an entry are compared with all again, as what was behind it isn't known; the
+    rest keep their list, and the changed vectors that beat its last entry come in.
+    """
+    c = changed.select(F.col(key).cast("long").alias("key")).distinct()
+    now = vectors.select(F.col(key).cast("long").alias("key"))
+    same = now.join(c, "key", "left_anti")
+    old = lists.select("key", "other", "score").join(c, "key", "left_anti").join(now, "key", "left_semi")
+    is_in = c.select(F.col("key").alias("other"))
+    lost = old.join(is_in, "other", "left_semi").select("key").distinct()
+    full = old.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("key")
+    again = saved(lost.join(full, "key", "left_semi").union(c.join(now, "key", "left_semi")).distinct())
+    rest = same.join(again, "key", "left_anti")
+    name = lambda df: df.withColumnRenamed("key", key)
+    fresh = nearest(vectors, key, column, k, asked=name(again), **how).select("key", "other", "score")
+    came = nearest(vectors, key, column, k, asked=name(rest), among=name(c), **how).select("key", "other", "score")
+    held = old.join(is_in, "other", "left_anti").join(again, "key", "left_anti")
+    last = held.groupBy("key").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    came = saved(came.join(last, "key", "left").where(F.coalesce(F.col("n"), F.lit(0)) < k).unionByName(came.join(last, "key").where((F.col("n") >= k) & (F.col("score") >= F.col("least")))).select("key", "other", "score"))
+    out = saved(fresh.unionByName(best_of(held.unionByName(came), k).drop("rank")))
+    return best_of(out, k), again.union(came.select("key")).union(lost).distinct()
+
+
+def rebuild_mode(n: int, changed: int, affected: int, forced: bool = False, guard: int = 20_000) -> str:
+    """full, incremental or skip: full when forced, when as many changed as there are, or when a hub makes too many affected."""
+    if forced or n and changed >= n or affected > guard:
+        return "full"
+    return "incremental" if changed else "skip"
+
+
+def rescanned(vectors: DataFrame, key: str, column: str, parts: Sequence[tuple[int, int]], asked: DataFrame, k: int = 200) -> DataFrame:
+    """The k candidates of some keys by the mean cosine of all parts (of the valid ones, where a part has no length)."""
+    units = vectors
+    for i, (lo, hi) in enumerate(parts):
+        units = normalise(units.withColumn("_p", F.slice(column, lo, hi - lo + 1)), "_p")
+        units = units.withColumn(f"_u{i}", F.coalesce("unit", F.array_repeat(F.lit(0.0), hi - lo + 1))).drop("_p", "norm", "valid", "unit")
+    joined = units.select(key, F.concat(*(f"_u{i}" for i in range(len(parts)))).alias("_v"))
+    return nearest(joined, key, "_v", k, asked=asked)
+
+
+def pair_versions(versions: DataFrame, touched: DataFrame, pairs: DataFrame, now: Column, columns: Sequence[str] = ("score", "category", "rank")) -> DataFrame:
+    """Versions of pairs (key, other) after the touched keys' pairs were made anew: what changed or went is closed, what is new is opened."""
+    mine = versions.join(touched.select("key"), "key", "left_semi")
+    others = versions.join(touched.select("key"), "key", "left_anti")
+    return others.unionByName(merge(mine.select("key", "other", *columns, "tx_from", "tx_to"), pairs, ["key", "other"], columns, now, close_missing=True).select(others.columns))
 
 
 def part_cosines(parts: Sequence[tuple[int, int]]):

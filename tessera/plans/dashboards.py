@@ -146,7 +146,7 @@ def trend_points(t):
 
 @query("inventory_stats", "SELECT count(*) AS total, coalesce(count(*) FILTER (WHERE created_on >= DATE '2001-07-31'), 0) AS today, max(created_on) FILTER (WHERE status = 'Active') AS last_success FROM v_control")
 def inventory_stats(t):
-    return t.control.agg(F.count("*").alias("total"), D.count_where(F.col("created_on") >= F.lit("2001-07-31").cast("date")).alias("today"), F.max(F.when(F.col("status") == "Active", F.col("created_on"))).alias("last_success"))
+    return D.inventory(t.control, "created_on", F.lit("2001-07-31").cast("date"), F.col("status") == "Active")
 
 
 @query("parent_score_card", "SELECT p.child_id AS id, p.parent_id, " + ", ".join(f"lower(c.{c}) = 'yes' AS {c}" for c in L1) + f", {_yes(L1, 'c.')} AS yes_count, 7 AS total FROM v_parent p JOIN v_criteria c ON c.id = p.parent_id")
@@ -179,3 +179,53 @@ def table_catalogue(t):
     for p in parts[1:]:
         out = out.unionAll(p)
     return out
+
+
+#: Category and domain of the tables, by name.
+KINDS = {
+    "region": ("reference", "org"), "nation": ("reference", "org"), "customer": ("entity", "org"), "supplier": ("entity", "org"), "part": ("reference", "theme"),
+    "orders": ("entity", "control"), "lineitem": ("relation", "control"), "events": ("version", "control"), "embeddings": ("model", "control"),
+}
+EVERY = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("table_catalogue_all", " UNION ALL ".join("SELECT '{0}' AS name, '{1}' AS category, '{2}' AS domain, count(*) AS n FROM {0}".format(x, *KINDS.get(x, ("other", "other"))) for x in EVERY))
+def table_catalogue_all(t):
+    return D.catalogue({x: getattr(t, x) for x in EVERY}, KINDS)
+
+
+@query("trend_range", "WITH p AS (SELECT strftime(created_on, '%Y-%m') AS month, count(*) AS n FROM v_base GROUP BY 1), r AS (SELECT * FROM p WHERE month >= '1996-03' AND month <= '1999-06') SELECT month, n, (SELECT count(*) FROM r) AS total FROM (SELECT * FROM r ORDER BY month DESC LIMIT 12)")
+def trend_range(t):
+    points = t.base.groupBy(D.month("created_on").alias("month")).agg(F.count("*").alias("n"))
+    return D.trend(points, "month", 12, F.lit("1996-03"), F.lit("1999-06"))
+
+
+def snapshot_parts(t):
+    """Tables of one row: the portfolio's counts, histograms, pass rates, attributes, largest functions and themes."""
+    bins = lambda scores, most, name: D.packed(D.histogram(scores, most), "score", "n", name)
+    kinds = D.attribute_counts(t.base, ["status", "level", "frequency"]).select(F.concat_ws("/", "attribute", "value").alias("label"), "n")
+    functions = D.top_by_count(t.base.select("id").join(t.owns, "id"), "node_id")
+    themes = D.top_by_count(t.base.select("id").join(t.theme, "id"), "theme")
+    return [
+        _summary(t.base).select("total", "level1", "level2", "key_controls"), bins(_l1(t), 7, "l1_bins"), bins(_l2(t), 14, "l2_bins"),
+        D.packed(criterion_pass_rates(t), "criterion", "rate", "pass_rates"), D.packed(kinds, "label", "n", "attributes"),
+        D.packed(functions, "node_id", "n", "functions"), D.packed(themes, "theme", "n", "themes"),
+    ]
+
+
+def _map_sql(label, value, rows):
+    return f"(SELECT string_agg(concat({label}, '=', CAST(CAST({value} AS DECIMAL(18, 4)) AS VARCHAR)), ',' ORDER BY CAST({label} AS VARCHAR)) FROM ({rows}))"
+
+
+@query("snapshot_whole", f"""WITH a AS ({L1_SCORES}), b AS ({L2_SCORES}), rates AS (WITH r AS (SELECT * FROM v_base b JOIN v_criteria c USING (id)) {" UNION ALL ".join(
+    f"SELECT '{c}' AS criterion, round(count(*) FILTER (WHERE level = '{level}' AND lower({c}) = 'yes') / count(*) FILTER (WHERE level = '{level}'), 4) AS rate FROM r" for level, names in (("Level 1", L1), ("Level 2", L2)) for c in names)})
+SELECT (SELECT count(*) FROM v_base) AS total, (SELECT count(*) FROM v_base WHERE level = 'Level 1') AS level1,
+{_map_sql("score", "n", "SELECT x.score, count(a.score) AS n FROM (SELECT unnest(range(0, 8)) AS score) x LEFT JOIN a ON a.score = x.score GROUP BY 1")} AS l1_bins,
+{_map_sql("criterion", "rate", "SELECT * FROM rates")} AS pass_rates,
+{_map_sql("label", "n", "SELECT concat(attribute, '/', CASE WHEN coalesce(value, '') = '' THEN 'Unknown' ELSE value END) AS label, count(*) AS n FROM (SELECT 'status' AS attribute, status AS value FROM v_base UNION ALL SELECT 'level', level FROM v_base UNION ALL SELECT 'frequency', frequency FROM v_base) GROUP BY 1")} AS attributes,
+{_map_sql("node_id", "n", "SELECT o.node_id, count(DISTINCT b.id) AS n FROM v_base b JOIN v_owns o ON o.id = b.id GROUP BY 1 ORDER BY n DESC, o.node_id LIMIT 20")} AS functions,
+{_map_sql("theme", "n", "SELECT theme, count(DISTINCT b.id) AS n FROM v_base b JOIN v_theme t ON t.id = b.id GROUP BY 1 ORDER BY n DESC, theme LIMIT 20")} AS themes""")
+def snapshot_whole(t):
+    """One row with all parts of a snapshot; maps are shown as texts in order of labels."""
+    shown = lambda name: F.array_join(F.transform(F.map_entries(name), lambda e: F.concat_ws("=", e["key"], e["value"].cast("decimal(18,4)").cast("string"))), ",").alias(name)
+    return D.whole_snapshot(snapshot_parts(t)).select("total", "level1", *map(shown, ("l1_bins", "pass_rates", "attributes", "functions", "themes")))

@@ -75,9 +75,9 @@ def criteria_derive(t):
 
 @query("theme_pick", "WITH c AS (SELECT list_sort(list_distinct(list(p_type))) AS cat FROM part) SELECT o_orderkey AS id, cat[CAST(o_orderkey * 7919 % len(cat) AS INT) + 1] AS theme FROM orders, c")
 def theme_pick(t):
-    cat = t.part.agg(F.array_sort(F.collect_set("p_type")).alias("cat"))
+    cat = t.part.agg(F.array_sort(F.collect_set("p_type")).alias("cat"))  # the kinds of parts
     rows = t.orders.select(F.col("o_orderkey").alias("id")).crossJoin(F.broadcast(cat))
-    return rows.select("id", F.element_at("cat", (F.pmod(F.col("id") * 7919, F.size("cat")) + 1).cast("int")).alias("theme"))
+    return rows.select("id", X.pick(F.col("cat"), F.col("id") * 7919).alias("theme"))
 
 
 @query("feature_mask", "SELECT c.id, status = 'Active' AND coalesce(key_control, FALSE) AND level = 'Level 1' AND nullif(trim(frequency), '') IS NOT NULL AS mask FROM v_control c")
@@ -90,3 +90,32 @@ def id_sequence(t):
     ids = t.events.select(F.concat(F.lit("UPL-"), F.date_format("ts", "yyyy"), F.lit("-"), F.lpad((F.col("event_id") + 1).cast("string"), 5, "0")).alias("id"))
     last = ids.groupBy(F.regexp_extract("id", r"^UPL-(\d{4})-", 1).alias("year")).agg(F.max(F.regexp_extract("id", r"-(\d+)$", 1).cast("long")).alias("n"))
     return last.select("year", F.concat(F.lit("UPL-"), "year", F.lit("-"), F.lpad((F.col("n") + 1).cast("string"), 5, "0")).alias("next"))
+
+
+@query("title_case", "SELECT p_partkey AS id, array_to_string(list_transform(string_split(lower(trim(p_name)), ' '), lambda w: concat(upper(w[1]), w[2:])), ' ') AS name FROM part")
+def title_case(t):
+    return t.part.select(F.col("p_partkey").alias("id"), X.title(F.col("p_name")).alias("name"))
+
+
+@query("dispatched_dates", """WITH r AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT00:00:00') WHEN 1 THEN strftime(o_orderdate, '%d-%b-%Y') ELSE 'none' END AS raw, o_orderdate FROM orders)
+SELECT id, CASE WHEN id % 3 <> 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM r""")
+def dispatched_dates(t):
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "dd-MMM-yyyy")).otherwise("none")
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.date_format(X.dispatched_cast(raw), "yyyy-MM-dd").alias("day"))
+
+
+@query("compact_lists", "SELECT p_partkey AS id, array_to_string(list_filter([CASE WHEN p_partkey % 2 = 0 THEN p_brand END, p_type, CASE WHEN p_partkey % 3 = 0 THEN p_name END], lambda x: x IS NOT NULL), '|') AS names FROM part")
+def compact_lists(t):
+    names = F.array(F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")), F.col("p_type"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")))
+    return t.part.select(F.col("p_partkey").alias("id"), F.array_join(X.compact_list(names), "|").alias("names"))
+
+
+@query("point_id_digits", """SELECT page_id, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', substr('89ab', (CAST(concat('0x', substr(h, 17, 1)) AS INT) & 3) + 1, 1), substr(h, 18, 3), '-', substr(h, 21, 12)) AS point
+FROM (SELECT page_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || url::BLOB) AS h FROM pages)""")
+def point_id_digits(t):
+    return t.pages.select("page_id", X.uuid5(F.col("url"), "6ba7b810-9dad-11d1-80b4-00c04fd430c8").alias("point"))
+
+
+@query("presence_flags", "SELECT id, CASE WHEN coalesce(trim(frequency), '') <> '' THEN 'yes' ELSE 'no' END AS has_frequency FROM v_control")
+def presence_flags(t):
+    return t.control.select("id", X.yes_if(F.col("frequency")).alias("has_frequency"))

@@ -50,17 +50,25 @@ def vector_topk(t):
     return M.nearest(t.embeddings, "vec_id", "embedding", 10)
 
 
-def scored(t):
-    """Candidate pairs (each part's 50 nearest) with their scores; the second signal is the vectors' whole cosine."""
-    near = [M.nearest(t.embeddings, "vec_id", "embedding", 50, first=lo, last=hi).select("key", "other") for lo, hi in PARTS.values()]
-    pairs = reduce(lambda a, b: a.union(b), near).distinct()
-    side = lambda k: t.embeddings.select(F.col("vec_id").alias(k), F.col("embedding").alias(f"_{k}"))
+def candidates(vectors, lists=None):
+    """Pairs of each part's 50 nearest."""
+    near = lists or [M.nearest(vectors, "vec_id", "embedding", 50, first=lo, last=hi) for lo, hi in PARTS.values()]
+    return reduce(lambda a, b: a.union(b), [x.select("key", "other") for x in near]).distinct()
+
+
+def pair_scores(vectors, pairs):
+    """Scores of pairs; the second signal is the vectors' whole cosine."""
+    side = lambda k: vectors.select(F.col("vec_id").alias(k), F.col("embedding").alias(f"_{k}"))
     both = pairs.join(side("key"), "key").join(side("other"), "other")
     cos = M.part_cosines([*PARTS.values(), (1, 64)])(F.col("_key"), F.col("_other"))
     each = both.select("key", "other", cos.alias("c"))
     return each.select("key", "other", M.pair_score([(F.get("c", F.lit(i)), F.get("c", F.lit(len(PARTS)))) for i in range(len(PARTS))]).alias("score"))
 
 
+def scored(t):
+    return pair_scores(t.embeddings, candidates(t.embeddings))
+
+
 #: The table's vectors are spread out: categories begin lower than the defaults.
 CLOSE, LOOSE = 0.40, 0.25
 
@@ -83,11 +91,19 @@ def similar_topk(t):
 
 @query("similar_incremental", f"WITH {_SCORED}, {_TOP3} SELECT * FROM top3")
 def similar_incremental(t):
-    """Pairs kept from before the rows with label 3 came, refreshed: the same as a full rebuild."""
-    changed = t.embeddings.where("label = 3").select(F.col("vec_id").alias("key"))
-    every = saved(scored(t))
-    old = every.join(changed, "key", "left_anti").join(changed.select(F.col("key").alias("other")), "other", "left_anti").select("key", "other", "score")
-    return M.refresh(M.top_pairs(old, "key", "other", near=CLOSE, weak=LOOSE), every, changed, "key", "other", near=CLOSE, weak=LOOSE)
+    """Lists and pairs from before the rows with label 3 came, brought up to date: the same as a full rebuild.
+
+    Only changed vectors, and those whose lists they touch, are compared and scored again.
+    """
+    changed = t.embeddings.where("label = 3").select("vec_id")
+    before = t.embeddings.where("label <> 3")
+    old = [saved(M.nearest(before, "vec_id", "embedding", 50, first=lo, last=hi)) for lo, hi in PARTS.values()]
+    kept = M.top_pairs(pair_scores(before, candidates(before, old)), "key", "other", near=CLOSE, weak=LOOSE)
+    new, touched = zip(*(M.updated_nearest(x, t.embeddings, changed, "vec_id", "embedding", 50, first=lo, last=hi) for x, (lo, hi) in zip(old, PARTS.values())))
+    touched = saved(reduce(lambda a, b: a.union(b), touched).distinct())
+    pairs = candidates(t.embeddings, new).join(touched, "key", "left_semi")
+    fresh = M.top_pairs(pair_scores(t.embeddings, pairs), "key", "other", near=CLOSE, weak=LOOSE)
+    return kept.join(touched, "key", "left_anti").select(fresh.columns).unionByName(fresh)
 
 
 @query("kth_threshold", f"WITH {_SCORED}, {_TOP3} SELECT e.vec_id AS key, CASE WHEN count(t.other) = 3 THEN min(t.score) ELSE 0 END AS threshold FROM embeddings e LEFT JOIN top3 t ON t.key = e.vec_id GROUP BY 1")
@@ -105,3 +121,39 @@ def matrix_pairs(t):
 def similarity_mst(t):
     pairs = M.nearest(t.embeddings, "vec_id", "embedding", 3).select(F.col("key").alias("a"), F.col("other").alias("b"), "score")
     return M.spanning_forest(pairs)
+
+
+_FOLDED = _TF.replace("lower(coalesce(text, ''))", "lower(strip_accents(coalesce(text, '')))")
+
+
+@query("tfidf_weights_folded", f"WITH {_FOLDED} SELECT doc_id, term, round(weight, 6) AS weight FROM wt")
+def tfidf_weights_folded(t):
+    """Accents are taken off before texts are split."""
+    return folded_weights(t).withColumn("weight", F.round("weight", 6))
+
+
+def folded_weights(t):
+    return M.term_weights(t.documents.select("doc_id", "text"), "doc_id", "text", fold=True)
+
+
+_CANDIDATES = _SCORED.split(", sc AS")[0]
+_TEXT_SCORE = " + ".join(f"(least(greatest({_cos('a', 'b', p)}, 0), 1) + least(greatest(coalesce(x.cosine, 0), 0), 1)) / 2" for p in PARTS)
+
+
+@query("pair_score_text", f"""WITH {_FOLDED}, {_CANDIDATES}, cs AS (SELECT c.key, c.other, sum(x.weight * y.weight) AS cosine FROM cand c JOIN wt x ON x.doc_id = c.key JOIN wt y ON y.doc_id = c.other AND y.term = x.term GROUP BY 1, 2)
+SELECT c.key, c.other, round(({_TEXT_SCORE}) / 3, 4) AS score FROM cand c JOIN embeddings a ON a.vec_id = c.key JOIN embeddings b ON b.vec_id = c.other LEFT JOIN cs x ON x.key = c.key AND x.other = c.other""")
+def pair_score_text(t):
+    """Each feature's two signals: its vectors' cosine, and that of the texts' term weights."""
+    pairs = saved(candidates(t.embeddings))
+    text = M.pair_cosine(folded_weights(t), pairs, "doc_id", "key", "other")
+    side = lambda k: t.embeddings.select(F.col("vec_id").alias(k), F.col("embedding").alias(f"_{k}"))
+    both = text.join(side("key"), "key").join(side("other"), "other")
+    each = both.select("key", "other", "cosine", M.part_cosines([*PARTS.values()])(F.col("_key"), F.col("_other")).alias("c"))
+    return each.select("key", "other", M.pair_score([(F.get("c", F.lit(i)), F.col("cosine")) for i in range(len(PARTS))]).alias("score"))
+
+
+@query("similar_rescan", f"""SELECT key, other, score, rank::INT AS rank FROM (SELECT a.vec_id AS key, b.vec_id AS other, round(({" + ".join(_cos("a", "b", p) for p in PARTS)}) / 3, 6) AS score,
+row_number() OVER (PARTITION BY a.vec_id ORDER BY round(({" + ".join(_cos("a", "b", p) for p in PARTS)}) / 3, 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.label = 3) WHERE rank <= 30 AND score > 0""")
+def similar_rescan(t):
+    """The thirty candidates of some keys by the mean of all parts' cosines."""
+    return M.rescanned(t.embeddings, "vec_id", "embedding", list(PARTS.values()), t.embeddings.where("label = 3").select("vec_id"), 30)
