@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,3 +54,90 @@ def payload_filter(text: str, payload: str = "payload", ids: str = "id") -> Colu
 def last_row(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+@dataclass(frozen=True)
+class RecordRules:
+    """What a line of JSON is to be.
+
+    fields: the kind of each field: string, boolean, strings (a list without nulls)
+    or entries (a list of objects); a ? after it allows null.  Every field is to be
+    there, and no other.  nested: the fields of each list of objects, all texts or
+    null, one at least not null.  parallel: pairs of lists of one length.
+    """
+
+    key: str
+    fields: dict[str, str]
+    pattern: str
+    parent: str | None = None
+    nested: dict[str, Sequence[str]] = field(default_factory=dict)
+    parallel: Sequence[tuple[str, str]] = ()
+
+
+_FOUND = "array<struct<rule:string,field:string>>"
+
+
+def _found(rule: str, name: str, bad: Column) -> Column:
+    return F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("field")))
+
+
+def _part(name: str, kind: str) -> Column:
+    return F.try_variant_get("v", f"$.{name}", kind)
+
+
+def _kind(name: str) -> Column:
+    return F.schema_of_variant(_part(name, "variant"))
+
+
+def _is(name: str, wanted: str) -> Column:
+    kind, plain = _kind(name), wanted.rstrip("?")
+    if plain == "strings":
+        ok = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(_part(name, "array<string>"), lambda x: x.isNull())
+    elif plain == "entries":
+        ok = kind.startswith("ARRAY<OBJECT") | (kind == "ARRAY<VOID>")
+    else:
+        ok = kind == {"string": "STRING", "boolean": "BOOLEAN"}[plain]
+    return F.coalesce(ok | (kind == "VOID") if wanted.endswith("?") else ok, F.lit(False))
+
+
+def _bad_entries(name: str, inner: Sequence[str]) -> Column:
+    """Whether a list of objects has one with other fields, other types, or nothing but nulls."""
+
+    def bad(x: Column) -> Column:
+        kinds = F.array(*(F.coalesce(F.schema_of_variant(F.try_variant_get(x, f"$.{i}", "variant")), F.lit("?")) for i in inner))
+        typed, some = F.forall(kinds, lambda k: k.isin("STRING", "VOID")), F.exists(kinds, lambda k: k == "STRING")
+        keys = F.array_sort(F.json_object_keys(F.to_json(x)))
+        return F.coalesce(~typed | ~some | (keys != F.array(*map(F.lit, sorted(inner)))), F.lit(True))
+
+    return _kind(name).startswith("ARRAY<OBJECT") & F.exists(_part(name, "array<variant>"), bad)
+
+
+def record_violations(lines: DataFrame, rules: RecordRules) -> DataFrame:
+    """line, key, rule, field: all that is wrong with records (line, value: a JSON text each; blank ones are left out).
+
+    Rules: json, missing, unknown, type, pattern, parent, entry, parallel, duplicate
+    and reference (a parent that no record is).  A record that isn't an object only has json.
+    """
+    rows = lines.where(F.trim("value") != "").select("line", "value", F.try_parse_json("value").alias("v"))
+    present = F.json_object_keys("value")
+    has = lambda name: F.array_contains(present, name)
+    broken = [_found("missing", name, ~has(name)) for name in rules.fields]
+    broken += [_found("type", name, has(name) & ~_is(name, wanted)) for name, wanted in rules.fields.items()]
+    for rule, name in (("pattern", rules.key), ("parent", rules.parent)):
+        if name:
+            broken.append(_found(rule, name, (_kind(name) == "STRING") & ~_part(name, "string").rlike(rules.pattern)))
+    broken += [_found("entry", name, _bad_entries(name, inner)) for name, inner in rules.nested.items()]
+    broken += [_found("parallel", a, F.size(_part(a, "array<string>")) != F.size(_part(b, "array<string>"))) for a, b in rules.parallel]
+    others = F.array_except(present, F.array(*map(F.lit, rules.fields)))
+    unknown = F.coalesce(F.transform(others, lambda x: F.struct(F.lit("unknown").alias("rule"), x.alias("field"))), F.array().cast(_FOUND))
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    every = F.when(is_object, F.concat(F.array_compact(F.array(*broken)), unknown)).otherwise(F.array(F.struct(F.lit("json").alias("rule"), F.lit("").alias("field"))))
+    key = F.when(is_object, _part(rules.key, "string"))
+    own = rows.select("line", key.alias("key"), F.inline(every))
+    up = F.when(is_object, _part(rules.parent, "string")) if rules.parent else F.lit(None).cast("string")
+    keys = rows.select("line", key.alias("key"), up.alias("up")).where("key IS NOT NULL")
+    first = keys.groupBy("key").agg(F.min("line").alias("first"), F.count("*").alias("n"))
+    twice = keys.join(first.where("n > 1"), "key").where(F.col("line") > F.col("first"))
+    lost = keys.where("up IS NOT NULL").join(first.select(F.col("key").alias("up")), "up", "left_anti")
+    shown = lambda df, rule, name: df.select("line", "key", F.lit(rule).alias("rule"), F.lit(name).alias("field"))
+    return own.unionByName(shown(twice, "duplicate", rules.key)).unionByName(shown(lost, "reference", rules.parent or ""))

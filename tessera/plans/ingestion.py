@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ingest as I
+from ..sources import generators, shards, stores
 from ..sources import readers as S
 from .registry import query
 
@@ -43,9 +44,9 @@ def edge_build(t):
     return I.build_edges(_lists(t), "id", "related", "related_id").select("id", "target")
 
 
-@query("payload_filter", """SELECT event_id, props FROM events WHERE json_extract_string(props, '$.k') = '42' AND event_id < 5000""")
+@query("payload_filter", """SELECT event_id, props FROM events WHERE json_extract_string(props, '$.k') = '42'""")
 def payload_filter(t):
-    return t.events.where(I.payload_filter("k:42", "props", "event_id") & (F.col("event_id") < 5000)).select("event_id", "props")
+    return t.events.where(I.payload_filter("k:42", "props", "event_id")).select("event_id", "props")
 
 
 @query("payload_filter_whole", """SELECT event_id, props FROM events WHERE json_extract_string(props, '$.k') = '42'""")
@@ -65,12 +66,12 @@ def table_page(t):
 
 @query("point_lookup", "SELECT * FROM orders WHERE o_orderkey = 7")
 def point_lookup(t):
-    return t.orders.where("o_orderkey = 7").limit(1)
+    return S.point(t.orders, "o_orderkey", 7)
 
 
 @query("sample_rows", "SELECT vec_id, label FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 20")
 def sample_rows(t):
-    return t.embeddings.where("label = 3").select("vec_id", "label").orderBy("vec_id").limit(20)
+    return S.scroll(t.embeddings.select("vec_id", "label"), "vec_id", limit=20, where=F.col("label") == 3)
 
 
 @query("insert_ignore", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, upper(c_name) FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0")
@@ -99,10 +100,63 @@ def numbered_pool(t):
 
 @query("facet_counts", "SELECT json_extract_string(props, '$.k') AS value, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, value LIMIT 100")
 def facet_counts(t):
-    return t.events.groupBy(F.get_json_object("props", "$.k").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(100)
+    return S.facet_values(t.events, F.get_json_object("props", "$.k"))
 
 
 @query("latest_date", "SELECT * FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)")
 def latest_date(t):
     dated = t.orders.withColumn("date", F.date_format("o_orderdate", "yyyy-MM-dd"))
     return S.latest_partition(dated).drop("date")
+
+
+RULES = I.RecordRules(
+    key="control_id", pattern=r"^CTRL-[0-9]{10}$", parent="parent_control_id",
+    fields={"control_id": "string", "parent_control_id": "string?", "sox_relevant": "boolean?", "admins": "strings", "admin_gpns": "strings", "related_functions": "entries"},
+    nested={"related_functions": ["id", "comment"]}, parallel=[("admins", "admin_gpns")])
+
+
+def _records(t):
+    """A JSON line for each order, some of them wrong."""
+    k = F.col("o_orderkey")
+    number = lambda n: F.concat(F.lit("CTRL-"), F.lpad(n.cast("string"), 10, "0"))
+    own = F.when(k % 50 == 0, F.concat(F.lit("CTRL-"), F.lpad(k.cast("string"), 9, "0"))).otherwise(number(k))
+    parent = F.when(k % 5 != 0, F.concat(F.lit('"'), number(k - k % 5), F.lit('"'))).otherwise("null")
+    value = F.concat(
+        F.lit('{"control_id": "'), own, F.lit('", "parent_control_id": '), parent, F.lit(', "sox_relevant": '), F.when(k % 31 == 0, '"yes"').otherwise("true"),
+        F.lit(', "admins": ["a"], "admin_gpns": '), F.when(k % 17 == 0, "[]").otherwise('["1"]'),
+        F.lit(', "related_functions": [{"id": '), F.when(k % 13 == 0, "null").otherwise('"f"'), F.lit(', "comment": null}]}'))
+    return t.orders.select(k.alias("line"), F.when(k % 101 == 0, "{").otherwise(value).alias("value"))
+
+
+@query("record_rules", """WITH k AS (SELECT o_orderkey AS line FROM orders), g AS (SELECT * FROM k WHERE line % 101 <> 0)
+SELECT line, 'json' AS rule, '' AS field FROM k WHERE line % 101 = 0 UNION ALL SELECT line, 'pattern', 'control_id' FROM g WHERE line % 50 = 0 UNION ALL SELECT line, 'type', 'sox_relevant' FROM g WHERE line % 31 = 0
+UNION ALL SELECT line, 'parallel', 'admins' FROM g WHERE line % 17 = 0 UNION ALL SELECT line, 'entry', 'related_functions' FROM g WHERE line % 13 = 0
+UNION ALL SELECT line, 'reference', 'parent_control_id' FROM g WHERE line % 5 <> 0 AND line - line % 5 NOT IN (SELECT line FROM g WHERE line % 50 <> 0)""")
+def record_rules(t):
+    return I.record_violations(_records(t), RULES).select("line", "rule", "field")
+
+
+@query("generated_rows", """WITH u AS (SELECT i AS id, CAST(concat('0x', left(md5(concat_ws('|', CAST(i AS VARCHAR), 'level', '7')), 8)) AS BIGINT) / 4294967296.0 AS u, CAST(concat('0x', left(md5(concat_ws('|', CAST(i AS VARCHAR), 'status', '7')), 8)) AS BIGINT) / 4294967296.0 AS v FROM (SELECT unnest(range(5000)) AS i))
+SELECT id, CASE WHEN u < 0.2 THEN 'Level 1' ELSE 'Level 2' END AS level, CASE WHEN v < 0.75 THEN 'Active' ELSE 'Expired' END AS status FROM u""")
+def generated_rows(t):
+    return generators.generated(t.spark, 5000, {"level": {"Level 1": 1, "Level 2": 4}, "status": {"Active": 3, "Expired": 1}}, 7)
+
+
+@query("vector_update", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS c_name, c_mktsegment FROM customer WHERE c_custkey % 7 <> 0")
+def vector_update(t):
+    """Named fields of some rows change, and some rows go."""
+    rows = t.customer.select("c_custkey", "c_name", "c_mktsegment")
+    new = rows.where("c_custkey % 3 = 0").select("c_custkey", F.upper("c_name").alias("c_name"), F.lit("x").alias("c_mktsegment"), F.array(F.lit("c_name")).alias("changed"))
+    return S.delete_by_key(S.update_fields(rows, new, "c_custkey"), t.customer.where("c_custkey % 7 = 0"), "c_custkey")
+
+
+@query("pool_fields", "SELECT CAST(rn // 3 AS BIGINT) AS entity, max(CASE WHEN rn % 3 = 0 THEN doc_id END) AS what, max(CASE WHEN rn % 3 = 1 THEN doc_id END) AS why, max(CASE WHEN rn % 3 = 2 THEN doc_id END) AS \"where\" FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents) GROUP BY 1")
+def pool_fields(t):
+    return shards.scattered(S.numbered(t.documents.select("doc_id"), "doc_id"), ["what", "why", "where"], "doc_id")
+
+
+@query("versions_compared", "SELECT count(a.o_orderkey) AS before, count(b.o_orderkey) AS after, count(*) FILTER (WHERE a.o_orderkey IS NULL) AS added, count(*) FILTER (WHERE b.o_orderkey IS NULL) AS removed, count(*) FILTER (WHERE a.s <> b.s) AS changed, count(*) FILTER (WHERE a.s = b.s) AS unchanged, round(100.0 * (count(b.o_orderkey) - count(a.o_orderkey)) / count(a.o_orderkey), 2) AS pct FROM (SELECT o_orderkey, o_orderstatus AS s FROM orders WHERE o_orderkey % 4 <> 0) a FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 3 <> 0) b ON a.o_orderkey = b.o_orderkey")
+def versions_compared(t):
+    rows = t.orders.select("o_orderkey", "o_orderstatus")
+    after = rows.where("o_orderkey % 3 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return stores.compare_versions(rows.where("o_orderkey % 4 <> 0"), after, "o_orderkey")

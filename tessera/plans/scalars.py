@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import explore as E
+from ..sources import readers as S
 from .registry import query
 
 
@@ -88,8 +89,7 @@ def feature_mask(t):
 @query("id_sequence", "SELECT strftime(ts, '%Y') AS year, concat('UPL-', strftime(ts, '%Y'), '-', lpad(CAST(count(*) + 1 AS VARCHAR), 5, '0')) AS next FROM events GROUP BY 1, strftime(ts, '%Y')")
 def id_sequence(t):
     ids = t.events.select(F.concat(F.lit("UPL-"), F.date_format("ts", "yyyy"), F.lit("-"), F.lpad((F.col("event_id") + 1).cast("string"), 5, "0")).alias("id"))
-    last = ids.groupBy(F.regexp_extract("id", r"^UPL-(\d{4})-", 1).alias("year")).agg(F.max(F.regexp_extract("id", r"-(\d+)$", 1).cast("long")).alias("n"))
-    return last.select("year", F.concat(F.lit("UPL-"), "year", F.lit("-"), F.lpad((F.col("n") + 1).cast("string"), 5, "0")).alias("next"))
+    return S.next_ids(ids, "id", "UPL", 5)
 
 
 @query("title_case", "SELECT p_partkey AS id, array_to_string(list_transform(string_split(lower(trim(p_name)), ' '), lambda w: concat(upper(w[1]), w[2:])), ' ') AS name FROM part")
@@ -119,3 +119,9 @@ def point_id_digits(t):
 @query("presence_flags", "SELECT id, CASE WHEN coalesce(trim(frequency), '') <> '' THEN 'yes' ELSE 'no' END AS has_frequency FROM v_control")
 def presence_flags(t):
     return t.control.select("id", X.yes_if(F.col("frequency")).alias("has_frequency"))
+
+
+@query("canonical_keys", "SELECT CASE WHEN event_id % 3 = 0 THEN concat('string:', event_type) WHEN event_id % 3 = 1 THEN concat('number:', CAST(CAST(event_id AS DOUBLE) AS VARCHAR)) ELSE 'boolean:true' END AS value, count(*) AS n FROM events GROUP BY 1")
+def canonical_keys(t):
+    raw = F.when(F.col("event_id") % 3 == 0, F.to_json(F.col("event_type").try_cast("variant"))).when(F.col("event_id") % 3 == 1, F.col("event_id").cast("string")).otherwise("true")
+    return t.events.groupBy(X.canonical_value(raw).alias("value")).agg(F.count("*").alias("n"))

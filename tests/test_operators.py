@@ -258,3 +258,63 @@ def test_forest_equals_the_plain_way(spark):
             top[root(a)] = root(b)
             want.add((a, b))
     assert {(r.a, r.b) for r in similarity.spanning_forest(pairs).collect()} == want
+
+
+RULES = ingest.RecordRules(
+    key="control_id", pattern=r"^CTRL-\d{10}$", parent="parent_control_id",
+    fields={"control_id": "string", "parent_control_id": "string?", "sox_relevant": "boolean?", "admins": "strings", "admin_gpns": "strings", "related_functions": "entries"},
+    nested={"related_functions": ["id", "comment"]}, parallel=[("admins", "admin_gpns")])
+
+
+def test_record_rules_name_all_that_is_wrong(spark):
+    import json
+
+    good = {"control_id": "CTRL-0000000001", "parent_control_id": None, "sox_relevant": True, "admins": ["a"], "admin_gpns": ["1"], "related_functions": [{"id": "f", "comment": None}]}
+    row = lambda n, **kw: json.dumps({**good, "control_id": f"CTRL-{n:010d}", **kw})
+    lines = {
+        1: row(1), 2: row(2, parent_control_id="CTRL-0000000001"), 3: "{not json", 4: "[1]", 5: row(5, control_id="CTRL-5"), 6: row(6, parent_control_id="x"),
+        7: row(7, sox_relevant="yes"), 8: row(8, admins=["a", None], admin_gpns=["1", "2"]), 9: row(9, admins=["a", "b"]), 10: row(10, related_functions=[{"id": None, "comment": None}]),
+        11: row(11, related_functions=[]), 12: row(12, extra=1), 13: json.dumps({k: v for k, v in json.loads(row(13)).items() if k != "admins"}), 14: row(1), 15: row(15, parent_control_id="CTRL-9999999999"),
+        16: "  ", 17: row(17, related_functions=[{"id": "f", "comment": None, "more": 1}]), 18: row(18, related_functions=[{"id": 3, "comment": None}]), 19: row(19, control_id=7), 20: row(20, related_functions=None),
+    }
+    got = ingest.record_violations(spark.createDataFrame(list(lines.items()), "line int, value string"), RULES)
+    assert {(r.line, r.rule, r.field) for r in got.collect()} == {
+        (3, "json", ""), (4, "json", ""), (5, "pattern", "control_id"), (6, "parent", "parent_control_id"), (6, "reference", "parent_control_id"), (7, "type", "sox_relevant"), (8, "type", "admins"),
+        (9, "parallel", "admins"), (10, "entry", "related_functions"), (12, "unknown", "extra"), (13, "missing", "admins"), (14, "duplicate", "control_id"), (15, "reference", "parent_control_id"),
+        (17, "entry", "related_functions"), (18, "entry", "related_functions"), (19, "type", "control_id"), (20, "type", "related_functions")}
+
+
+def test_lists_brought_up_to_date_equal_a_rebuild(spark):
+    import random
+
+    rng = random.Random(2)
+    vector = lambda: [float(rng.randrange(-3, 4)) for _ in range(4)]
+    before = {i: vector() for i in range(80)}
+    now = {i: v for i, v in before.items() if i not in (3, 9)} | {5: vector(), 70: vector(), 100: vector(), 101: vector()}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id long, v array<double>")
+    changed = spark.createDataFrame([(i,) for i in (3, 9, 5, 70, 100, 101)], "id long")
+    old = similarity.nearest(frame(before), "id", "v", 6, block=30)
+    new, touched = similarity.updated_nearest(old, frame(now), changed, "id", "v", 6, block=30)
+    rows = lambda df: {(r.key, r.other): (r.score, r["rank"]) for r in df.collect()}
+    want = rows(similarity.nearest(frame(now), "id", "v", 6))
+    assert rows(new) == want
+    was, names = rows(old), {r.key for r in touched.collect()}
+    assert {k for (k, o) in set(was) ^ set(want)} <= names | {3, 9} and len(names) < 78  # not all are compared again
+    modes = [similarity.rebuild_mode(*x) for x in ((100, 0, 0), (100, 3, 10), (100, 100, 0), (10**6, 3, 30_000), (5, 0, 0, True))]
+    assert modes == ["skip", "incremental", "full", "full", "full"]
+
+
+def test_versions_of_pairs_close_and_open(spark):
+    old = spark.sql("""SELECT key, other, score, category, rank, timestamp_ntz '2024-01-01' AS tx_from, CAST(NULL AS timestamp_ntz) AS tx_to
+      FROM VALUES (1L, 2L, 0.9D, 'n', 1), (1L, 3L, 0.7D, 'w', 2), (2L, 1L, 0.9D, 'n', 1) t(key, other, score, category, rank)""")
+    pairs = spark.createDataFrame([(1, 2, 0.9, "n", 1), (1, 4, 0.8, "w", 2)], "key long, other long, score double, category string, rank int")
+    got = similarity.pair_versions(old, spark.createDataFrame([(1,)], "key long"), pairs, F.lit("2024-02-01").cast("timestamp_ntz"))
+    assert {(r.key, r.other, r.tx_from.month, r.tx_to is None) for r in got.collect()} == {(1, 2, 1, True), (1, 3, 1, False), (1, 4, 2, True), (2, 1, 1, True)}
+
+
+def test_canonical_values(spark):
+    pairs = [("1", "number:1.0"), ("1.0", "number:1.0"), ('"1"', "string:1"), ("true", "boolean:true"), ("null", "null"), ("nope{", None), (None, None)]
+    got = [r[0] for r in spark.createDataFrame([(a,) for a, _ in pairs], "x string").select(X.canonical_value(F.col("x"))).collect()]
+    assert got == [b for _, b in pairs]
+    a, b = (spark.createDataFrame([(t,)], "x string").select(X.canonical_value(F.col("x"))).first()[0] for t in ('{"a": 1, "b": [2]}', '{"b": [2], "a": 1}'))
+    assert a == b and a.startswith("object:")
