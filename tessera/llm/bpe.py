@@ -1,8 +1,9 @@
 """BPE encoding and decoding by per-prefix dynamic programming.
 
 For each prefix of a word there is exactly one token that can end its encoding.
-A suffix automaton of the vocabulary gives the tokens that end at a prefix,
-longest first; the first that can stand after the last token of the prefix before
+An automaton over the suffixes of prefixes (the trie of the vocabulary's tokens with
+suffix links: its state is the longest suffix of a prefix that begins a token) gives
+the tokens that end at a prefix, longest first; the first that can stand after the last token of the prefix before
 it (the pair-compatibility test) is stored, and following these back from the end
 of the word gives the ids.  Words of a batch advance together, a byte at a time.
 
@@ -11,7 +12,9 @@ undoing the merges of both in order of rank, no pair that meets at the border ma
 be a merge of a rank below those still undone.
 
 Results for odd input: a null or empty text has no ids; repeated rows each have a
-result; a null document id is kept; other columns are left out.
+result; a null document id is kept; a very long text is encoded in pieces between
+words, which gives the same ids; there are no ties, as each prefix has one last token; an
+empty table gives an empty one; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations

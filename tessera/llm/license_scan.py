@@ -9,7 +9,8 @@ are literals of fixed size inside the expressions.  DataFrame functions only.
 
 Results for odd input: null and empty texts, and segments of one word, have no
 bigrams and match nothing; repeated lines and rows each match; a segment's ties
-go to the first notice by name; other columns are left out.
+go to the first notice by name; a null id is kept; very long texts are taken whole; an
+empty table gives an empty one; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations

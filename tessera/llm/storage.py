@@ -11,16 +11,24 @@ from .arrays import NULL_ID
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this machine only where that is unset, as in tests."""
+    """spark.checkpoint.dir; a folder of this machine only where that is unset and all runs on it, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = known or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         if not known:
             spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Takes away a folder that these modules wrote and that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, where it outlives executors."""
     spark = df.sparkSession
