@@ -1,8 +1,12 @@
 """From raw documents to token ids: rules, near copies, benchmarks, secrets, tokens.
 
-Each stage takes all that the one before kept, as written to Parquet.  Rows that
-share a doc_id are one document: what drops one of them drops all.  A row with a
-null id is a document of its own, after all others.
+Each stage takes all that the one before kept, as written to Parquet.
+
+Results for odd input: rows that share a doc_id are one document, and what drops one
+of them drops all; a row with a null id is a document of its own, after all others; a
+null or empty text fails the quality rules; of equal documents the smallest id stays;
+texts of any length are taken whole; an empty table passes every stage as an empty one;
+columns beside those of documents stay until the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from tessera.llm.decontaminate import decontaminate
 from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.secret_scan import mask_secrets
-from tessera.llm.storage import apart, given_id, shared_folder
+from tessera.llm.storage import apart, given_id, removed, shared_folder
 
 
 def _without(docs: DataFrame, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -72,4 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            removed(spark, f"{folder}/{i - 1}")  # the stage after it is written
     return STAGES[-1][1](spark, docs, sf_dir)
