@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import arrays as A
 from .substring_dedup import covered
 from .storage import apart, given_id
-from .superkmer import Spec, repeated_spans
+from .superkmer import Spec, distinct_strings, repeated_spans
 
 MINIMISER_BYTES = 20
 #: Bytes of strings in one suffix list (strings with one minimiser are in one list, however many they are).
@@ -97,11 +97,8 @@ def repeats_by_suffixes(k: int):
     """For a bucket of packed strings: (doc, first window, windows) of the windows that a smaller document also has."""
 
     def find(doc, start, count, length, key, text):
-        offset = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
-        begin = offset[:-1]
         data = np.frombuffer(text, np.uint8)
-        strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(offset), pa.py_buffer(text)])
-        one = strings.dictionary_encode().indices.to_numpy().astype(np.int64)
+        one, begin = distinct_strings(length, text)
         kinds = int(one.max(initial=-1)) + 1
         least = np.full(kinds, A.NULL_ID, np.int64)
         np.minimum.at(least, one, doc)

@@ -11,7 +11,9 @@ m-grams of all texts in 2**CLASS_BITS classes, and windows around a boilerplate
 phrase then take another m-gram as their key, which spreads them over the buckets.
 The bitmap of crowded classes has a fixed size (2**CLASS_BITS bits).  Repeats of a
 packed string inside a piece are resolved before the shuffle, so that a passage
-in many texts reaches its bucket once per piece.
+in many texts reaches its bucket once per piece; there, whenever FOLD_BYTES have
+come together, equal strings are one again, so that a hot bucket holds as much as it
+has different strings.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ BUCKET_BYTES = 6 << 20
 HELD_BYTES = 32 << 20
 #: Bytes of text of the documents whose runs or spans come back to one place (their home).
 HOME_TEXT = 16 << 20
+#: Raw bytes of packed strings that a bucket holds before equal ones are folded.
+FOLD_BYTES = 48 << 20
 
 
 @dataclass(frozen=True)
@@ -386,22 +390,63 @@ def _shared_dealer(spec: Spec, buckets: int, homes: int) -> Callable:
     return lambda batches: deal_runs(found(batches), spec, buckets, homes)
 
 
-def gatherer(spec: Spec, buckets: int, homes: int, repeats: Callable) -> Callable:
+Strings = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]
+
+
+def distinct_strings(length: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each string, equal ones having one, and where each string begins in text."""
+    offset = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
+    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offset), pa.py_buffer(text)])
+    return strings.dictionary_encode().indices.to_numpy().astype(np.int64), offset[:-1]
+
+
+def folded(spec: Spec, strings: Strings) -> tuple[Strings, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of equal strings those that may still be the first, and (doc, first window, windows) of the others, which repeat."""
+    doc, start, count, length, key, text = strings
+    one, begin = distinct_strings(length, text)
+    by = np.lexsort((start, doc, one))
+    head = np.append(True, one[by[1:]] != one[by[:-1]])
+    lead = by[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    later = (doc[by] > doc[lead]) | ((doc[by] == doc[lead]) & (start[by] > start[lead]) & spec.within)
+    stay, gone = np.sort(by[~later]), by[later]
+    raw = A.gather(np.frombuffer(text, np.uint8), begin[stay], begin[stay] + length[stay])
+    return (doc[stay], start[stay], count[stay], length[stay], key[stay], raw), (doc[gone], start[gone], count[gone])
+
+
+def gatherer(spec: Spec, buckets: int, homes: int, repeats: Callable, fold_bytes: int = FOLD_BYTES) -> Callable:
     """A mapInArrow function over partitions sorted by bucket: packed spans by home.
 
     repeats(doc, start, count, length, key, text) gives (doc, first window, windows) of the repeated windows of a bucket.
     """
 
+    def unpacked(packed: bytes) -> Strings:
+        (doc, start, count, more, key), text = unpack(packed, KINDS)
+        return np.cumsum(doc), start, count, more + count + (spec.k - 1), key, text
+
+    def together(parts: list[Strings]) -> Strings:
+        *columns, texts = zip(*parts)
+        return (*(np.concatenate(x) for x in columns), b"".join(texts))
+
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, packed in _by_bucket(batches):
-            if bucket >= buckets:
-                yield _dealt([bucket - buckets] * len(packed), packed)
-                continue
-            parts = [unpack(x, KINDS) for x in packed]
-            doc = np.concatenate([np.cumsum(p[0][0]) for p in parts])
-            start, count, length, key = (np.concatenate([p[0][i] for p in parts]) for i in range(1, 5))
-            found = repeats(doc, start, count, length + count + (spec.k - 1), key, b"".join(p[1] for p in parts))
-            yield _dealt(*spans_by_home(*found, homes))
+        bucket, parts, size, limit = -1, [], 0, fold_bytes
+        for batch in batches:
+            for b, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist()):
+                if b != bucket:
+                    if parts:
+                        yield _dealt(*spans_by_home(*repeats(*together(parts)), homes))
+                    bucket, parts, size, limit = b, [], 0, fold_bytes
+                if b >= buckets:
+                    yield _dealt([b - buckets], [packed])
+                    continue
+                parts.append(unpacked(packed))
+                size += len(parts[-1][5]) + 28 * len(parts[-1][0])
+                if size > limit:
+                    kept, known = folded(spec, together(parts))
+                    yield _dealt(*spans_by_home(*known, homes))
+                    parts, size = [kept], len(kept[5]) + 28 * len(kept[0])
+                    limit = max(fold_bytes, 2 * size)  # so that a bucket of different strings isn't folded at every part
+        if parts:
+            yield _dealt(*spans_by_home(*repeats(*together(parts)), homes))
 
     return collect
 

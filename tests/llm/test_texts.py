@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, jaccard_join, license_scan, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_files
+from tessera.llm import bpe, decontaminate, jaccard_join, license_scan, quality_rules, secret_scan, substring_dedup, suffix_dedup, superkmer, token_files
 
 from ..compare import as_text, oracle_rows
 from . import fixtures as X
@@ -80,6 +81,33 @@ def test_suffix_dedup_of_many_small_alphabets(spark):
         assert got[i].n_removed == sum(gone)
 
 
+@pytest.mark.parametrize("within", [False, True])
+def test_a_hot_bucket_is_folded_as_it_comes(within):
+    """The same spans whether a bucket's parts are folded on the way or not, and few strings held."""
+    rng = random.Random(7)
+    spec = superkmer.Spec(6, 3, within, within)
+    repeats = (substring_dedup.repeats_by_sort if within else suffix_dedup.repeats_by_suffixes)(6)
+    say = [" ".join(rng.choice("ab") for _ in range(9)) + " " if within else "".join(rng.choice("abc") for _ in range(9)) for _ in range(5)]
+    parts = []
+    for _ in range(40):
+        doc = np.array(sorted(rng.randrange(60) for _ in range(8)), np.int64)
+        text = [rng.choice(say) for _ in doc]
+        count = np.full(8, 4, np.int32)
+        more = np.array([len(t) for t in text], np.int32) - count - 5
+        start = np.array([rng.randrange(0, 50, 10) for _ in doc], np.int32)
+        parts.append(superkmer.pack([np.diff(doc, prepend=0), start, count, more, np.zeros(8, np.uint32)], "".join(text).encode()))
+    batch = pa.RecordBatch.from_pydict({"bucket": pa.array([0] * len(parts), pa.int32()), "packed": pa.array(parts, pa.binary())})
+    found = []
+    for limit in (1 << 30, 300):
+        spans = set()
+        for out in superkmer.gatherer(spec, 1, 1, repeats, limit)(iter([batch])):
+            for packed in out.column("packed").to_pylist():
+                doc, start, count = superkmer.unpack(packed, superkmer.SPANS)[0]
+                spans |= {(d, s + i) for d, s, c in zip(np.cumsum(doc).tolist(), start.tolist(), count.tolist()) for i in range(c)}
+        found.append(spans)
+    assert found[0] == found[1] and found[0]
+
+
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     kinds = [("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE, lambda m: len(m[2]) >= 12), ("access", r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 18), ("hex", r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 16)]
     return sorted((m.start(), k, kind, m.end()) for k, (kind, pattern, flags, long) in enumerate(kinds) for m in re.finditer(pattern, text, flags) if long(m))
