@@ -39,7 +39,13 @@ def consistency_check(t):
     return both.withColumn("gap", F.abs(F.col("rows") - F.col("vectors")))
 
 
-@query("ann_precision_at_k")
+_COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+_NEAR = f"SELECT a.vec_id AS key, b.vec_id AS other, round({_COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id"
+
+
+@query("ann_precision_at_k", f"""WITH t AS (SELECT * FROM ({_NEAR}) WHERE rank <= 50 AND score > 0), e AS (SELECT key, list(other) AS a FROM t WHERE rank <= 10 GROUP BY 1),
+n AS (SELECT key, list(other) AS b FROM (SELECT t.key, t.other, row_number() OVER (PARTITION BY key ORDER BY score DESC, other) AS r FROM t JOIN embeddings x ON x.vec_id = key JOIN embeddings y ON y.vec_id = other WHERE x.label = y.label) WHERE r <= 10 GROUP BY 1)
+SELECT count(*) AS queries, round(avg(s), 4) AS mean, round(stddev_pop(s), 4) AS deviation FROM (SELECT len(list_intersect(a, coalesce(b, []))) / least(10, len(a)) AS s FROM e LEFT JOIN n USING (key))""")
 def ann_precision_at_k(t):
     """Precision of nearest neighbours within a label against all neighbours."""
     exact = M.nearest(t.embeddings, "vec_id", "embedding", 10).groupBy("key").agg(F.collect_set("other").alias("a"))

@@ -41,7 +41,8 @@ def composite_id(t):
     return t.customer.select("c_custkey", node.alias("node_id"), X.source_id(node).alias("source"))
 
 
-@query("point_id")
+@query("point_id", """SELECT page_id, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', substr('89ab', (CAST(concat('0x', substr(h, 17, 1)) AS INT) & 3) + 1, 1), substr(h, 18, 3), '-', substr(h, 21, 12)) AS point
+FROM (SELECT page_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || url::BLOB) AS h FROM pages)""")
 def point_id(t):
     return t.pages.select("page_id", X.uuid5(F.col("url"), "6ba7b810-9dad-11d1-80b4-00c04fd430c8").alias("point"))
 
@@ -110,12 +111,6 @@ def compact_lists(t):
     return t.part.select(F.col("p_partkey").alias("id"), F.array_join(X.compact_list(names), "|").alias("names"))
 
 
-@query("point_id_digits", """SELECT page_id, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', substr('89ab', (CAST(concat('0x', substr(h, 17, 1)) AS INT) & 3) + 1, 1), substr(h, 18, 3), '-', substr(h, 21, 12)) AS point
-FROM (SELECT page_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || url::BLOB) AS h FROM pages)""")
-def point_id_digits(t):
-    return t.pages.select("page_id", X.uuid5(F.col("url"), "6ba7b810-9dad-11d1-80b4-00c04fd430c8").alias("point"))
-
-
 @query("presence_flags", "SELECT id, CASE WHEN coalesce(trim(frequency), '') <> '' THEN 'yes' ELSE 'no' END AS has_frequency FROM v_control")
 def presence_flags(t):
     return t.control.select("id", X.yes_if(F.col("frequency")).alias("has_frequency"))
