@@ -7,6 +7,10 @@ with a notice of b bigrams needs between t / (2 - t) * b and (2 - t) / t * b
 bigrams, and t / 2 of the segment's own must occur in some notice.  The notices
 are literals of fixed size inside the expressions.  DataFrame functions only.
 
+``license_windows`` looks for licence paragraphs, and for notices inside longer lines
+or wrapped over lines: windows of as many words as a template has, each beginning
+with one of its bigrams, in texts that hold enough of the template's bigrams at all.
+
 Results for odd input: null and empty texts, and segments of one word, have no
 bigrams and match nothing; repeated lines and rows each match; a segment's ties
 go to the first notice by name; a null id is kept; very long texts are taken whole; an
@@ -35,13 +39,39 @@ NOTICES = {
     "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
     "mpl-2.0": ["This work is subject to the terms of the Mozilla Public License, version 2.0."],
 }
+#: The first paragraphs of licence texts and the usual file headers, for windows.
+PARAGRAPHS = {
+    "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ],
+    "bsd-3-clause": [
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "gpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    ],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "mit": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+}
 LEAST = 0.8
 JUNK = r"[^a-z0-9.]+"
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a notice, by the rules that segments follow."""
+    return [w for w in (x.strip(".") for x in re.sub(JUNK, " ", text.lower()).split(" ")) if w]
+
+
 def bigrams_of(text: str) -> list[str]:
-    """The bigrams of a notice, by the rules that segments follow."""
-    words = [w for w in (x.strip(".") for x in re.sub(JUNK, " ", text.lower()).split(" ")) if w]
+    words = words_of(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
@@ -77,6 +107,38 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return scored.select("doc_id", "segment", F.col("b.n").alias("license"), (-F.col("b.d")).alias("dice"))
 
 
+def license_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
+    """doc_id, license, template (its number), start (word of the text, from 0), n_words and dice: for each template the first of its best windows, where that reaches least.
+
+    templates: the paragraphs and the notices where none are given.  A window at the end of a text is shorter.
+    """
+    given = templates if templates is not None else {k: PARAGRAPHS.get(k, []) + NOTICES.get(k, []) for k in {**PARAGRAPHS, **NOTICES}}
+    shapes = [(name, i, len(words_of(text)), bigrams_of(text)) for name in sorted(given) for i, text in enumerate(given[name])]
+    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+
+    def grams(w: Column) -> Column:
+        """The bigrams of a text in order, none for a text of one word."""
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+        return F.when(F.size(w) >= 2, pairs).otherwise(F.array().cast("array<string>"))
+
+    def best(g: Column, own: list[str], size: int) -> Column:
+        literal = F.array(*map(F.lit, own))
+        enough = F.size(F.array_intersect(g, literal)) >= len(own) * least / (2 - least)
+        starts = F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(literal, x), i)), lambda i: i.isNotNull())
+        dice = lambda part: F.round(2.0 * F.size(F.array_intersect(part, literal)) / (F.size(part) + len(own)), 4)
+        scores = F.transform(starts, lambda i: F.struct((-dice(F.array_distinct(F.slice(g, i + 1, size - 1)))).alias("d"), i.alias("at"), F.least(F.size(g) - i + 1, F.lit(size)).alias("n")))
+        return F.when(enough, F.array_min(scores))
+
+    def found(g: Column) -> Column:
+        entries = [F.struct(F.lit(name).alias("license"), F.lit(i).alias("template"), best(g, own, size).alias("b")) for name, i, size, own in shapes if own]
+        return F.filter(F.array(*entries), lambda e: e["b"]["d"] <= -least)
+
+    # each step binds what it computes to a lambda's variable, so that nothing is computed twice
+    bags = F.transform(F.array(segment_words(F.col("_text"))), grams)
+    hits = rows.select("doc_id", F.explode(F.flatten(F.transform(bags, found))).alias("e"))
+    return hits.select("doc_id", "e.license", "e.template", F.col("e.b.at").cast("long").alias("start"), F.col("e.b.n").cast("long").alias("n_words"), (-F.col("e.b.d")).alias("dice"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -376,6 +376,49 @@ def test_license_scan_equals_sql(spark):
     assert as_text(got) == as_text(oracle_rows(license_scan.ORACLE, X.SF)) and len(got)
 
 
+def best_windows(text: str, templates: dict[str, list[str]]) -> set[tuple]:
+    """License, template, start, words and Dice coefficient of each template's best window, the plain way."""
+    words, out = license_scan.words_of(text), set()
+    for name, texts in templates.items():
+        for i, template in enumerate(texts):
+            own, size = set(license_scan.bigrams_of(template)), len(license_scan.words_of(template))
+            scores = []
+            for at in range(len(words) - 1):
+                part = words[at : at + size]
+                if f"{words[at]} {words[at + 1]}" in own:
+                    grams = {f"{a} {b}" for a, b in zip(part, part[1:])}
+                    scores.append((-np.floor(2 * len(grams & own) / (len(grams) + len(own)) * 10000 + 0.5) / 10000, at, len(part)))
+            if scores and min(scores)[0] <= -license_scan.LEAST:
+                d, at, n = min(scores)
+                out.add((name, i, at, n, round(-d, 4)))
+    return out
+
+
+def test_license_windows(spark):
+    """Wrapped, indented, quoted and slightly changed paragraphs inside longer texts; clean texts have none."""
+    import textwrap
+
+    rng = random.Random(17)
+    say = lambda n: " ".join(rng.choice("we may use this software under the terms of a license for any copy with or without notice and name".split()) for _ in range(n))
+    every = {k: license_scan.PARAGRAPHS.get(k, []) + license_scan.NOTICES.get(k, []) for k in {**license_scan.PARAGRAPHS, **license_scan.NOTICES}}
+    rows, planted = [], {}
+    for name, texts in every.items():
+        for i, text in enumerate(texts):
+            w = text.split(" ")
+            changed = " ".join(x for j, x in enumerate(w) if j % 17 != 11)
+            for body in ("\n".join(f" * {x}" for x in textwrap.wrap(text, 50)), f"{say(20)} {text.upper()} {say(20)}", "// " + changed if len(w) > 20 else text):
+                planted[10**6 + len(rows)] = (name, i)
+                rows.append((10**6 + len(rows), say(40) + "\n" + body + "\n" + say(30), None, None, None))
+    clean = range(2 * 10**6, 2 * 10**6 + 30)
+    rows += [(i, say(rng.randrange(200)), None, None, None) for i in clean] + [(3 * 10**6, None, None, None, None), (3 * 10**6 + 1, "one", None, None, None)] + X.own_documents(60)
+    got: dict[int, set] = {}
+    for r in license_scan.license_windows(X.frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add((r.license, r.template, r.start, r.n_words, r.dice))
+    assert all(where in {(n, i) for n, i, *_ in got[k]} for k, where in planted.items()) and not set(got) & set(clean)
+    for i, text, *_ in rows:
+        assert got.get(i, set()) == best_windows(text or "", every), i
+
+
 def test_license_scan_of_odd_rows(docs):
     assert license_scan.license_scan(docs).where("doc_id >= 100000 or doc_id is null").count() == 0
 
