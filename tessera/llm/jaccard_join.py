@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .components import components
 from .storage import apart, given_id, saved
-from .superkmer import CLASS_BITS, SEGMENT_BITS, class_counts, crowded_classes, flags, pack, text_pieces, unpack
+from .superkmer import CLASS_BITS, SEGMENT_BITS, crowded_classes, flags, pack, text_pieces, unpack
 
 SHINGLE, PERCENT = 5, 80
 #: Bytes of text for each bucket of prefix shingles, and sets in a block of a cluster.

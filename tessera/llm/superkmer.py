@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import arrays as A
@@ -32,6 +33,8 @@ CLASS_BITS = 20
 SEGMENT_BITS = 14
 #: A class is crowded above this many times the middle class and this many m-grams.
 CROWDED_TIMES, CROWDED_LEAST = 8, 64
+#: Partitions whose class counts one task sums, segment by segment.
+PARTITIONS_SUMMED = 256
 #: Raw bytes of packed strings that a bucket should have.
 BUCKET_BYTES = 6 << 20
 #: Raw bytes of packed strings that a task holds before it compresses them by bucket.
@@ -143,28 +146,43 @@ def class_counts(hashes_of: Callable[[np.ndarray, np.ndarray], np.ndarray | None
         pack = zstandard.ZstdCompressor(level=1).compress
         parts = counts.reshape(-1, 1 << SEGMENT_BITS)
         if size:
-            yield pa.RecordBatch.from_pydict({"segment": pa.array(range(len(parts)), pa.int32()), "size": pa.array([size] + [0] * (len(parts) - 1), pa.int64()), "counts": [pack(x.tobytes()) for x in parts]})
+            group = TaskContext.get().partitionId() // PARTITIONS_SUMMED
+            rows = {"segment": pa.array(range(len(parts)), pa.int32()), "part": pa.array([group] * len(parts), pa.int32())}
+            yield pa.RecordBatch.from_pydict(rows | {"size": pa.array([size] + [0] * (len(parts) - 1), pa.int64()), "counts": [pack(x.tobytes()) for x in parts]})
 
     return count
 
 
-def _sum_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch]) -> tuple[dict[int, np.ndarray], dict[int, int]]:
     sums: dict[int, np.ndarray] = {}
     size: dict[int, int] = {}
     for batch in batches:
-        for segment, n, packed in zip(*(c.to_pylist() for c in batch.columns)):
+        for segment, n, packed in zip(*(batch.column(c).to_pylist() for c in ("segment", "size", "counts"))):
             x = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.int64)
             sums[segment] = sums.get(segment, 0) + x
             size[segment] = size.get(segment, 0) + n
+    return sums, size
+
+
+def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums, size = _sums(batches)
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for segment, x in sums.items():
+        yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "size": pa.array([size[segment]], pa.int64()), "counts": [pack(x.tobytes())]})
+
+
+def _crowded_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums, size = _sums(batches)
     for segment, x in sums.items():
         crowded = x > max(CROWDED_LEAST, CROWDED_TIMES * float(np.median(x)))
         yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "size": pa.array([size[segment]], pa.int64()), "crowded": [np.packbits(crowded).tobytes()]})
 
 
 def crowded_classes(docs: DataFrame, hashes_of: Callable) -> tuple[bytes, int]:
-    """The bitmap of crowded hash classes (of fixed size) and the bytes of all texts."""
-    counted = docs.mapInArrow(class_counts(hashes_of), "segment int, size long, counts binary")
-    rows = counted.repartition("segment").mapInArrow(_sum_segments, "segment int, size long, crowded binary").collect()  # 2**(CLASS_BITS - SEGMENT_BITS) rows
+    """The bitmap of crowded hash classes (of fixed size) and the bytes of all texts. Counts of PARTITIONS_SUMMED partitions are summed before all are."""
+    counted = docs.mapInArrow(class_counts(hashes_of), "segment int, part int, size long, counts binary")
+    summed = counted.repartition("segment", "part").mapInArrow(_partial_sums, "segment int, size long, counts binary")
+    rows = summed.repartition("segment").mapInArrow(_crowded_segments, "segment int, size long, crowded binary").collect()  # 2**(CLASS_BITS - SEGMENT_BITS) rows
     bits = {r.segment: bytes(r.crowded) for r in rows}
     empty = bytes(1 << SEGMENT_BITS - 3)
     return b"".join(bits.get(i, empty) for i in range(1 << CLASS_BITS - SEGMENT_BITS)), sum(r.size for r in rows)
