@@ -427,7 +427,7 @@ def folded(spec: Spec, strings: Strings) -> tuple[Strings, tuple[np.ndarray, np.
     lead = by[np.flatnonzero(head)[np.cumsum(head) - 1]]
     later = (doc[by] > doc[lead]) | ((doc[by] == doc[lead]) & (start[by] > start[lead]) & spec.within)
     stay, gone = np.sort(by[~later]), by[later]
-    raw = A.gather(np.frombuffer(text, np.uint8), begin[stay], begin[stay] + length[stay])
+    raw = b"".join([text[a:b] for a, b in zip(begin[stay].tolist(), (begin[stay] + length[stay]).tolist())])
     return (doc[stay], start[stay], count[stay], length[stay], key[stay], raw), (doc[gone], start[gone], count[gone])
 
 
@@ -442,7 +442,9 @@ def gatherer(spec: Spec, buckets: int, homes: int, repeats: Callable, fold_bytes
         return np.cumsum(doc), start, count, more + count + (spec.k - 1), key, text
 
     def together(parts: list[Strings]) -> Strings:
+        """All parts as one; the list is empty then, so that nothing is held twice."""
         *columns, texts = zip(*parts)
+        parts.clear()
         return (*(np.concatenate(x) for x in columns), b"".join(texts))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,7 +454,7 @@ def gatherer(spec: Spec, buckets: int, homes: int, repeats: Callable, fold_bytes
                 if b != bucket:
                     if parts:
                         yield _dealt(*spans_by_home(*repeats(*together(parts)), homes))
-                    bucket, parts, size, limit = b, [], 0, fold_bytes
+                    bucket, size, limit = b, 0, fold_bytes
                 if b >= buckets:
                     yield _dealt([b - buckets], [packed])
                     continue
@@ -461,7 +463,8 @@ def gatherer(spec: Spec, buckets: int, homes: int, repeats: Callable, fold_bytes
                 if size > limit:
                     kept, known = folded(spec, together(parts))
                     yield _dealt(*spans_by_home(*known, homes))
-                    parts, size = [kept], len(kept[5]) + 28 * len(kept[0])
+                    parts.append(kept)
+                    size = len(kept[5]) + 28 * len(kept[0])
                     limit = max(fold_bytes, 2 * size)  # so that a bucket of different strings isn't folded at every part
         if parts:
             yield _dealt(*spans_by_home(*repeats(*together(parts)), homes))
