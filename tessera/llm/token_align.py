@@ -29,6 +29,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,15 @@ from .storage import saved
 #: Irregular pairs that are sent to every task at most (16 bytes each).
 TABLE = 1 << 20
 #: Characters of parts, and links, that are held between texts.
-HELD_TEXT, HELD_LINKS = 16 << 20, 4 << 20
+HELD_TEXT, HELD_LINKS = 24 << 20, 6 << 20
 #: Pairs that a task holds before it gives their sums away.
 HELD_PAIRS = 1 << 20
 #: Bytes of text for which links are arrays at a time.
 PIECE = 1 << 20
-_ODD = re.compile(r" \s|\s |^\s|\s$")
+#: Characters of parts that are encoded together, with the spaces between them.
+JOINED = 1 << 16
+#: Before the key of a part with white space at an end: a character that no text of Spark's begins a part with twice.
+_KEPT = "\ud800"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -90,13 +94,16 @@ class Vocabularies:
 
 
 class Parts:
-    """Alignments of the distinct parts of texts: numbers of tokens, groups and links, the links' codes, and the groups as text."""
+    """Alignments of the distinct parts of texts: numbers of tokens, groups and links, the links' codes, and (with_text) the groups as text."""
 
-    def __init__(self, known: Vocabularies):
-        self.known, self.age = known, 0
+    def __init__(self, known: Vocabularies, with_text: bool = True):
+        self.known, self.age, self.with_text = known, 0, with_text
+        shown = ([f"{i}{mark}".encode() for i in range(n)] for n, mark in ((len(known.a_bytes), ","), (len(known.a_bytes), "|"), (len(known.b_bytes), ","), (len(known.b_bytes), ";")))
+        self.names = [x for part in shown for x in part] if with_text else []
         self.clear()
 
     def clear(self) -> None:
+        #: the number of each part; -1 where white space is at an end of it, as then it isn't to be cut there
         self.number: dict[str, int] = {}
         self.shown: list[bytes] = []
         self.text, self.age = 0, self.age + 1
@@ -110,51 +117,103 @@ class Parts:
         """Numbers of the parts of all texts, one after the other, and where each text's begin."""
         if self.text > HELD_TEXT or len(self.codes) > HELD_LINKS:
             self.clear()
-        split = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) if t else [] for t in texts]
-        self._add(list(dict.fromkeys(p for parts in split for p in parts if p not in self.number)))
+        split = [t.split(" ") if t else [] for t in texts]
         number = self.number
-        flat = np.array([number[p] for parts in split for p in parts], np.int64)
-        return flat, np.concatenate(([0], np.cumsum([len(x) for x in split]))).astype(np.int64)
+        new = set().union(*split) - number.keys()
+        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        number.update(dict.fromkeys(odd, -1))
+        self._add(sorted(new - odd))
+        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64)
+        size = np.array([len(x) for x in split], np.int64)
+        first = np.concatenate(([0], np.cumsum(size)))
+        again = np.unique(np.searchsorted(first, np.flatnonzero(flat < 0), "right") - 1)
+        if len(again):
+            cut = [[_KEPT + p if not p or p[0].isspace() or p[-1].isspace() else p for p in _CUT.split(texts[i])] for i in again.tolist()]
+            self._add(sorted({p for parts in cut for p in parts if p not in number}))
+            own = dict(zip(again.tolist(), (np.array([number[p] for p in parts], np.int64) for parts in cut)))
+            flat = np.concatenate([own[i] if i in own else flat[p:q] for i, (p, q) in enumerate(zip(first[:-1].tolist(), first[1:].tolist()))])
+            size[again] = [len(x) for x in cut]
+            first = np.concatenate(([0], np.cumsum(size)))
+        return flat, first
+
+    def _encoded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B for all parts, and which parts' bytes differ (they have no ids)."""
+        known = self.known
+        a, b, bad = [], [], np.zeros(len(parts), bool)
+        at = 0
+        while at < len(parts):
+            alone = parts[at].startswith(_KEPT)
+            end, size = at + 1, len(parts[at])
+            while not alone and end < len(parts) and size < JOINED and not parts[end].startswith(_KEPT):
+                size += len(parts[end]) + 1
+                end += 1
+            text = parts[at].removeprefix(_KEPT) if alone else " ".join(parts[at:end])
+            if not self._encode(text, a, b):
+                for i in range(at, end):
+                    bad[i] = not self._encode(parts[i].removeprefix(_KEPT), a, b)
+            at = end
+        flat = lambda lists: np.array([i for x in lists for i in x], np.int64)
+        return flat(a), flat(b), bad
+
+    def _encode(self, text: str, a: list[list[int]], b: list[list[int]]) -> bool:
+        known, want = self.known, (" " + text).encode()
+        x, y = known.a.encode(" " + text, add_special_tokens=False).ids, known.b.encode(text, num_threads=1)
+        if b"".join(map(known.a_bytes.__getitem__, x)) != want or b"".join(map(known.b_bytes.__getitem__, y)) != want:
+            return False
+        a.append(x)
+        b.append(y)
+        return True
 
     def _add(self, new: list[str]) -> None:
+        """Parts with white space at an end come behind ``_KEPT`` and are encoded alone."""
         known, n = self.known, len(new)
         if not n:
             return
-        a = [x.ids for x in known.a.encode_batch([" " + p for p in new], add_special_tokens=False)]
-        b = known.b.encode(new, num_threads=1)
-        want = [(" " + p).encode() for p in new]
-        bad = np.array([b"".join(map(known.a_bytes.__getitem__, x)) != w or b"".join(map(known.b_bytes.__getitem__, y)) != w for x, y, w in zip(a, b, want)], bool)
-        a, b = ([[] if no else x for x, no in zip(side, bad)] for side in (a, b))
-        counts = np.zeros((n, 5), np.int64)
-        counts[:, 0], counts[:, 1], counts[:, 4] = [len(x) for x in a], [len(x) for x in b], bad
-        ids_a, ids_b = (np.array([i for x in side for i in x], np.int64) for side in (a, b))
+        ids_a, ids_b, bad = self._encoded(new)
+        length = np.array([len(p.removeprefix(_KEPT).encode()) + 1 for p in new], np.int64)
+        edge = np.cumsum(np.where(bad, 0, length))  # where each part ends in the bytes of all
         end_a, end_b = np.cumsum(known.a_size[ids_a]), np.cumsum(known.b_size[ids_b])
         cut = np.intersect1d(end_a, end_b, assume_unique=True)  # a part's end is one of both
         group_a, group_b = np.searchsorted(cut, end_a), np.searchsorted(cut, end_b)
         in_a, in_b = np.bincount(group_a, minlength=len(cut)), np.bincount(group_b, minlength=len(cut))
         first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
-        of_part = np.repeat(np.arange(n), counts[:, 0])[first_a] if len(cut) else first_a
-        counts[:, 2] = np.bincount(of_part, minlength=n)
+        until = lambda ends: np.diff(np.searchsorted(ends, edge, "right"), prepend=0)
         links = in_a * in_b
-        counts[:, 3] = np.bincount(of_part, weights=links, minlength=n).astype(np.int64)
+        before = np.concatenate(([0], np.cumsum(links)))
+        of_groups = until(cut)
+        to = before[np.cumsum(of_groups)]
+        counts = np.stack((until(end_a), until(end_b), of_groups, np.diff(to, prepend=0), bad), 1).astype(np.int64)
         group = np.repeat(np.arange(len(cut)), links)
-        place = A.ranges(np.zeros(len(cut), np.int64), links)
+        place = np.arange(len(group)) - before[group]
         x, y = ids_a[first_a[group] + place // in_b[group]], ids_b[first_b[group] + place % in_b[group]]
-        names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        shown = [",".join(names_a[p : p + k]) + "|" + ",".join(names_b[q : q + m]) for p, k, q, m in zip(first_a.tolist(), in_a.tolist(), first_b.tolist(), in_b.tolist())]
-        edge = np.concatenate(([0], np.cumsum(counts[:, 2]))).tolist()
-        self.shown += [";".join(shown[p:q]).encode() for p, q in zip(edge[:-1], edge[1:])]
-        self.number.update(zip(new, range(len(self.number), len(self.number) + n)))
+        if self.with_text:
+            self.shown += self._shown(ids_a, ids_b, group_a, group_b, counts[:, 0] + counts[:, 1])
+        self.number.update(zip(new, range(len(self.counts), len(self.counts) + n)))
         self.text += sum(map(len, new))
         self.counts = np.concatenate((self.counts, counts))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(counts[:, 3])))
+        self.first = np.concatenate((self.first, self.first[-1] + to))
         self.codes = np.concatenate((self.codes, x << known.shift | y))
         self.exact = np.concatenate((self.exact, (links[group] == 1) & (known.same[x] == y)))
 
+    def _shown(self, ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, tokens: np.ndarray) -> list[bytes]:
+        """The groups of each part as text: ids with the mark behind them, in order of groups, A before B."""
+        n_a = len(self.known.a_bytes)
+        last = lambda group: np.diff(group, append=-1) != 0
+        name = np.concatenate((ids_a + n_a * last(group_a), 2 * n_a + ids_b + len(self.known.b_bytes) * last(group_b)))
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        marked = list(map(self.names.__getitem__, name[order].tolist()))
+        edge = np.concatenate(([0], np.cumsum(tokens))).tolist()
+        return [b"".join(marked[p:q])[:-1] for p, q in zip(edge[:-1], edge[1:])]
+
+
+@lru_cache(1)
+def vocabularies(a_path: str, b_path: str) -> Vocabularies:
+    return Vocabularies(a_path, b_path)
+
 
 @lru_cache(1)
-def parts_of(a_path: str, b_path: str) -> Parts:
-    return Parts(Vocabularies(a_path, b_path))
+def parts_of(a_path: str, b_path: str, with_text: bool) -> Parts:
+    return Parts(vocabularies(a_path, b_path), with_text)
 
 
 def _pieces(parts: Parts, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -182,14 +241,12 @@ def _distinct(parts: Parts, flat: np.ndarray, first: np.ndarray) -> tuple[np.nda
     at = A.ranges(parts.first[flat], links)
     row, code, exact = np.repeat(row, links), parts.codes[at], parts.exact[at]
     a = code >> known.shift
-    # the fast path: marks in an array of texts and A's ids
-    seen = np.zeros((len(first) - 1, len(known.same)), bool)
-    seen[row[exact], a[exact]] = True
-    row, code, a = row[~exact], code[~exact], a[~exact]
     same = known.same[a] == code & ((1 << known.shift) - 1)
-    seen[row[same], a[same]] = True  # an identity pair may be in an irregular group, too
-    bits = 2 * known.shift + 2
-    return seen.sum(0), np.unique(row[~same] << bits | code[~same]) & ((1 << bits) - 1)
+    wide = len(known.same)
+    # the fast path: exact groups, and identity pairs that are in an irregular group, count for a document once in a vector
+    seen = np.bincount(np.unique(row[exact | same] * wide + a[exact | same]) % wide, minlength=wide)
+    rest, bits = ~(exact | same), 2 * known.shift + 2
+    return seen, np.unique(row[rest] << bits | code[rest]) & ((1 << bits) - 1)
 
 
 def _counted(a_path: str, b_path: str):
@@ -203,23 +260,21 @@ def _counted(a_path: str, b_path: str):
         return pa.RecordBatch.from_pydict({"code": pa.array(code, pa.int64()), "n": pa.array(n, pa.int64())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = parts_of(a_path, b_path)
+        parts = parts_of(a_path, b_path, False)
         known = parts.known
         identity = np.zeros(len(known.same), np.int64)
         held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         for _, flat, first in _pieces(parts, batches):
-            for lo in range(0, len(first) - 1, 256):  # texts that are marked at a time
-                hi = min(lo + 256, len(first) - 1)
-                seen, codes = _distinct(parts, flat[first[lo] : first[hi]], first[lo : hi + 1] - first[lo])
-                identity += seen
-                held.append((codes, np.ones(len(codes), np.int64)))
-                size += len(codes)
+            seen, codes = _distinct(parts, flat, first)
+            identity += seen
+            held.append((codes, np.ones(len(codes), np.int64)))
+            size += len(codes)
             if size > HELD_PAIRS:
                 held = [sums(*(np.concatenate(x) for x in zip(*held)))]
                 size = len(held[0][0])
                 if size > HELD_PAIRS // 2:
                     yield batch_of(*held[0])
-                    held, size = held[:0] + [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+                    held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         yield batch_of(*sums(*(np.concatenate(x) for x in zip(*held))))
         a = np.flatnonzero(identity)
         yield batch_of(a << known.shift | known.same[a], identity[a])
@@ -273,7 +328,7 @@ RARE = "doc_id long, h long, code long, best long, links long"
 
 def _aligned(a_path: str, b_path: str, weights, digest: bool):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = parts_of(a_path, b_path)
+        parts = parts_of(a_path, b_path, True)
         sums = _Sums(parts, weights.value)
         for rows, flat, first in _pieces(parts, batches):
             each = np.concatenate((parts.counts[:, :4], sums.now()[0][:, ::-1]), axis=1)[flat]
@@ -292,7 +347,7 @@ def _rare(a_path: str, b_path: str, weights):
     """mapInArrow: the links of each text that the table lacks, added up by pair."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = parts_of(a_path, b_path)
+        parts = parts_of(a_path, b_path, False)
         sums = _Sums(parts, weights.value)
         for rows, flat, first in _pieces(parts, batches):
             known = sums.now()[1]
@@ -319,7 +374,7 @@ def token_align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", a
     """
     spark = df.sparkSession
     paths = a_path or public_tokenizers.path("byte_bpe_50k.json"), b_path or public_tokenizers.path("piece_bpe_32k.model")
-    known = Vocabularies(*paths)
+    known = vocabularies(*paths)
     docs = A.documents(df, id_col, text_col)
     pairs = saved(docs.mapInArrow(_counted(*paths), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
     a, b = F.shiftright("code", known.shift), F.col("code").bitwiseAND((1 << known.shift) - 1)

@@ -176,6 +176,7 @@ def plain_alignment(libraries, texts: list[str | None]) -> list[tuple]:
         x = a.encode(" " + text, add_special_tokens=False) if text else None
         y = b.encode(text) if text else []
         left = [bytes(byte[c] for c in t) for t in x.tokens] if x else []
+        ids = x.ids if x else []
         right = [bytes([int(b.id_to_piece(i)[1:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in y]
         groups = []
         if text and b"".join(left) == b"".join(right) == (" " + text).encode():
@@ -183,7 +184,7 @@ def plain_alignment(libraries, texts: list[str | None]) -> list[tuple]:
             own_a, own_b = [], []
             while i < len(left) or j < len(right):
                 if at_a <= at_b and i < len(left):
-                    own_a.append(x.ids[i])
+                    own_a.append(ids[i])
                     at_a, i = at_a + len(left[i]), i + 1
                 else:
                     own_b.append(y[j])
