@@ -29,7 +29,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -119,11 +119,14 @@ class Parts:
             self.clear()
         split = [t.split(" ") if t else [] for t in texts]
         number = self.number
-        new = set().union(*split) - number.keys()
+        every = list(chain.from_iterable(split))
+        flat = np.fromiter(map(number.get, every, repeat(-2)), np.int64, len(every))
+        lacking = np.flatnonzero(flat == -2).tolist()
+        new = {every[i] for i in lacking}
         odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
         number.update(dict.fromkeys(odd, -1))
-        self._add(sorted(new - odd))
-        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64)
+        self._add(list(new - odd))
+        flat[lacking] = [number[every[i]] for i in lacking]
         size = np.array([len(x) for x in split], np.int64)
         first = np.concatenate(([0], np.cumsum(size)))
         again = np.unique(np.searchsorted(first, np.flatnonzero(flat < 0), "right") - 1)
@@ -231,11 +234,19 @@ def _pieces(parts: Parts, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[p
             yield batch.slice(lo, hi - lo), flat, first
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order, by sorting in place."""
+    values.sort()
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 def _distinct(parts: Parts, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many of the texts have each A id in an identity pair, and the codes of the others, one for each text that has it."""
     known = parts.known
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    own = np.unique(row << 40 | flat)  # each part once for a text
+    own = distinct(row << 40 | flat)  # each part once for a text
     row, flat = own >> 40, own & ((1 << 40) - 1)
     links = parts.counts[flat, 3]
     at = A.ranges(parts.first[flat], links)
@@ -244,9 +255,9 @@ def _distinct(parts: Parts, flat: np.ndarray, first: np.ndarray) -> tuple[np.nda
     same = known.same[a] == code & ((1 << known.shift) - 1)
     wide = len(known.same)
     # the fast path: exact groups, and identity pairs that are in an irregular group, count for a document once in a vector
-    seen = np.bincount(np.unique(row[exact | same] * wide + a[exact | same]) % wide, minlength=wide)
+    seen = np.bincount(distinct(row[exact | same] * wide + a[exact | same]) % wide, minlength=wide)
     rest, bits = ~(exact | same), 2 * known.shift + 2
-    return seen, np.unique(row[rest] << bits | code[rest]) & ((1 << bits) - 1)
+    return seen, distinct(row[rest] << bits | code[rest]) & ((1 << bits) - 1)
 
 
 def _counted(a_path: str, b_path: str):
