@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..operators import similarity as M
-from ..sources.shared import saved
+from ..operators import vector_index as V
+from ..sources.shared import new_folder, saved
 from .registry import query
 
 _TF = "tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}')) AS term FROM documents) GROUP BY 1, 2), voc AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 10000), raw AS (SELECT doc_id, tf.term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN voc ON voc.term = tf.term), wt AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"
@@ -157,3 +158,32 @@ row_number() OVER (PARTITION BY a.vec_id ORDER BY round(({" + ".join(_cos("a", "
 def similar_rescan(t):
     """The thirty candidates of some keys by the mean of all parts' cosines."""
     return M.rescanned(t.embeddings, "vec_id", "embedding", list(PARTS.values()), t.embeddings.where("label = 3").select("vec_id"), 30)
+
+
+ASKED = "vec_id % 50 = 0"
+_ASKED_TOP = f"SELECT key, other, score, rank::INT AS rank FROM ({_TOP.format(c='list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])')} WHERE a.{ASKED}) WHERE rank <= 10 AND score > 0"
+
+
+def vector_index(t, lists=None):
+    return V.build(t.embeddings, "vec_id", "embedding", new_folder(t.spark, "vector-index"), lists)
+
+
+@query("vector_index_all_lists", _ASKED_TOP)
+def vector_index_all_lists(t):
+    """A search of the kept index that leaves no list out and ranks every code exactly: the same as brute force."""
+    index, n = vector_index(t), t.embeddings.count()
+    return index.search(t.embeddings.where(ASKED), "vec_id", "embedding", 10, probe=V.LISTS, short=n)
+
+
+@query("vector_index_recall", f"SELECT count(DISTINCT key) AS queries, TRUE AS reached FROM ({_ASKED_TOP})")
+def vector_index_recall(t):
+    """Whether the kept index, with the probes that it chose, finds nine of ten exact neighbours."""
+    index, asked = vector_index(t), t.embeddings.where(ASKED)
+    exact = M.nearest(t.embeddings, "vec_id", "embedding", 10, asked=asked.select("vec_id"))
+    return V.recall(index.search(asked, "vec_id", "embedding", 10), exact).select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query("vector_knn_pruned", f"SELECT key, other, score, rank::INT AS rank FROM ({_TOP.format(c='list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])')}) WHERE rank <= 10 AND score > 0")
+def vector_knn_pruned(t):
+    """All vectors' ten nearest, exactly: a block goes only where it may hold a better neighbour."""
+    return vector_index(t).pruned_nearest(t.embeddings, "vec_id", "embedding", 10)[0]
