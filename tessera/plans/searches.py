@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import explore as E
 from ..operators import graph as G
 from ..operators import search as S
+from ..operators.text_index import TextIndex
+from ..sources.shared import new_folder
 from .registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
@@ -162,3 +164,41 @@ def search_hybrid_candidates(t):
     vectors = t.embeddings.withColumnRenamed("vec_id", "doc_id")
     vector = {p: VECTOR[PARTS[p][0] - 1 : PARTS[p][1]] for p in ("what", "why")}
     return S.hybrid(index(t), vectors, "doc_id", "thth erer", {p: named(p) for p in PARTS}, vector, english(t))
+
+
+def kept_index(t):
+    return TextIndex.build(t.documents.select("doc_id", "text", "source"), "doc_id", ["text", "source"], new_folder(t.spark, "text-index"))
+
+
+def updated_index(t):
+    """An index of other texts (every seventh one missing, every eleventh one another's) that is brought up to date, a stranger taken out."""
+    docs = t.documents.select("doc_id", "text", "source")
+    old = docs.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 11 == 0, F.lit("thth erer thth")).otherwise(F.col("text")))
+    stranger = docs.select(F.lit(-5).cast("long").alias("doc_id"), F.lit("erer thth").alias("text"), F.lit("none").alias("source")).limit(1)
+    index = TextIndex.build(old.unionByName(stranger), "doc_id", ["text", "source"], new_folder(t.spark, "text-index"))
+    index.update(docs.where("doc_id % 7 = 0"), "doc_id")
+    index.update(docs.where("doc_id % 11 = 0"), "doc_id", stranger.select("doc_id"))
+    return index
+
+
+@query("search_kept_index", f"WITH {_INDEX}, {_KEYWORD} SELECT doc_id, score, rank::INT AS rank FROM kw WHERE rank <= 2000")
+def search_kept_index(t):
+    """Keyword search that reads its terms' postings of a kept index alone."""
+    return kept_index(t).search("thth erer", key="doc_id")[0]
+
+
+@query("search_kept_top", f"WITH {_INDEX}, {_KEYWORD} SELECT doc_id, score, rank FROM ({_RANKED} (SELECT doc_id, round(2.5::DOUBLE * score, 6) AS score FROM (SELECT doc_id, sum(s) AS score FROM (SELECT doc_id, field, count(*) AS n, sum(1 + ln(tf)) AS s FROM idx WHERE term IN ('thth', 'erer') GROUP BY 1, 2) WHERE n = 2 AND field = 'text' GROUP BY 1) WHERE doc_id IN {_ENGLISH})) WHERE rank <= 10")
+def search_kept_top(t):
+    """The ten best of the candidates by weighted fields: blocks whose bound is too low aren't read."""
+    return kept_index(t).search("thth erer", 10, {"text": 2.5, "source": 1.0}, english(t), "doc_id")[0]
+
+
+@query("search_updated_index", f"WITH {_INDEX} SELECT doc_id, field, term, tf FROM idx")
+def search_updated_index(t):
+    """What counts in an index after two updates: the same as in one made anew."""
+    return updated_index(t).postings().withColumnRenamed("key", "doc_id")
+
+
+@query("search_updated_top", f"WITH {_INDEX}, {_KEYWORD} SELECT doc_id, score, rank::INT AS rank FROM kw WHERE rank <= 10")
+def search_updated_top(t):
+    return updated_index(t).search("thth erer", 10, key="doc_id")[0]

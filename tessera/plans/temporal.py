@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import similarity as M
 from ..operators import temporal as T
+from ..sources.shared import new_folder
+from ..sources.table_store import TableStore
 from .registry import query
 
 AT, LATER = "2024-01-10 00:00:00", "2024-01-20 23:59:59"
@@ -218,3 +221,45 @@ def edges_deferred(t):
     """Edges that can be written once the base rows are there, and those that wait."""
     ready, waiting = T.deferred(t.parent, t.base)
     return ready.withColumn("ready", F.lit(True)).unionByName(waiting.withColumn("ready", F.lit(False)))
+
+
+def history_store(t):
+    return TableStore.create(history(t), new_folder(t.spark, "table-store"), "id", 16)
+
+
+@query("store_scd2_merge", _merge_sql(False))
+def store_scd2_merge(t):
+    """The merge in a kept store: only buckets of the dump's keys are read and written."""
+    store = history_store(t)
+    store.merge(dump(t), lambda rows, new: T.merge(rows, new, "id", STATE, stamp(LATER)))
+    return store.read()
+
+
+@query("store_versions", f"WITH h AS ({HISTORY}), up AS (SELECT id, 'held' AS state, amount, props, tx_from, tx_to FROM h WHERE id % 50 = 0) SELECT 'now' AS version, * FROM h WHERE id % 50 <> 0 UNION ALL SELECT 'now', * FROM up UNION ALL SELECT 'first', * FROM h")
+def store_versions(t):
+    """Of three commits (deletion, restore, replacement) the first and the last are read."""
+    store = history_store(t)
+    store.delete(store.read().where("id % 3 = 0").select("id"))
+    store.restore(0)
+    held = store.read().where("id % 50 = 0").withColumn("state", F.lit("held"))
+    store.upsert(held)
+    return store.read().withColumn("version", F.lit("now")).unionByName(store.read(0).withColumn("version", F.lit("first")))
+
+
+_PAIRS_OLD = "SELECT id AS key, similar_id AS other, score FROM v_similar WHERE (id + similar_id) % 4 <> 1"
+_PAIRS_NEW = "SELECT id AS key, similar_id AS other, CASE WHEN similar_id % 5 = 0 THEN score / 2 ELSE score END AS score FROM v_similar WHERE id % 3 = 0 AND (id + similar_id) % 4 <> 2"
+
+
+@query("pair_versions", f"""WITH o AS ({_PAIRS_OLD}), n AS ({_PAIRS_NEW})
+SELECT o.key, o.other, o.score, TIMESTAMP '{AT}' AS tx_from, CASE WHEN o.key % 3 = 0 AND (n.key IS NULL OR n.score <> o.score) THEN TIMESTAMP '{LATER}' END AS tx_to FROM o LEFT JOIN n ON n.key = o.key AND n.other = o.other
+UNION ALL SELECT n.key, n.other, n.score, TIMESTAMP '{LATER}', NULL FROM n LEFT JOIN o ON n.key = o.key AND n.other = o.other WHERE o.key IS NULL OR o.score <> n.score""")
+def pair_versions(t):
+    """Versions of similar pairs after those of some keys were made anew, in a kept store."""
+    s = t.similar.select(F.col("id").alias("key"), F.col("similar_id").alias("other"), "score")
+    total = F.col("key") + F.col("other")
+    none = F.lit(None).cast("timestamp_ntz")
+    store = TableStore.create(s.where(total % 4 != 1).withColumns({"tx_from": stamp(AT), "tx_to": none}), new_folder(t.spark, "table-store"), "key", 16)
+    pairs = s.where((F.col("key") % 3 == 0) & (total % 4 != 2)).withColumn("score", F.when(F.col("other") % 5 == 0, F.col("score") / 2).otherwise(F.col("score")))
+    touched = t.control.where("id % 3 = 0").select(F.col("id").alias("key"))
+    store.merge(touched, lambda rows, keys: M.pair_versions(rows, keys, pairs, stamp(LATER), ["score"]))
+    return store.read()

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import temporal
 from ..sources import readers, stores
+from ..sources.table_store import TableStore
 
 
 def merge_batch(folder: str, key: str, columns: Sequence[str], at: str, stream: str = ""):
@@ -35,6 +36,21 @@ def merge_batch(folder: str, key: str, columns: Sequence[str], at: str, stream:
     return merge
 
 
+def merge_into(store: TableStore, columns: Sequence[str], at: str, stream: str = ""):
+    """A foreachBatch function like merge_batch's, for a store in buckets: a batch rewrites only those of its keys, and comes in once."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        key = store.keys[0]
+        kind = batch.schema[at].dataType
+        now = F.lit(batch.agg(F.max(at).alias("m")).first().m).cast(kind)
+        last = readers.last_by_id(batch.select(key, *columns, at), key, F.col(at)).select(key, *columns)
+        store.merge(last, lambda rows, new: temporal.merge(rows, new, key, list(columns), now), stream=stream, batch=number)
+
+    return merge
+
+
 def ingest(spark: SparkSession, source: str, schema: str, folder: str, checkpoint: str, key: str, columns: Sequence[str], at: str) -> StreamingQuery:
     """Takes in what is new in a folder of JSON lines, in order of arrival, and ends."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source)
