@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import explore as E
 from ..operators import graph as G
+from ..operators import intervals as N
 from .registry import query
 
 
@@ -259,3 +260,25 @@ def scope_mask(t):
 @query("details", "SELECT c.id, c.status, c.level, e.c_what, e.c_frequency FROM v_control c LEFT JOIN v_criteria e ON e.id = c.id WHERE c.id IN (2, 4, 11, 123)")
 def details(t):
     return E.detail(t.control, t.criteria, [2, 4, 11, 123], ["status", "level"], ["c_what", "c_frequency"])
+
+
+@query("interval_labels", "WITH RECURSIVE up AS (SELECT node_id AS node, node_id AS top FROM v_node UNION ALL SELECT u.node, e.src FROM up u JOIN v_edge e ON e.dst = u.top) SELECT n.node_id AS node, (SELECT count(*) FROM up WHERE node = n.node_id)::INT - 1 AS level, (SELECT count(*) FROM up WHERE top = n.node_id) AS size FROM v_node n")
+def interval_labels(t):
+    return N.labels(t.edge, t.node.select(F.col("node_id").alias("node"))).nodes.select("node", "level", "size")
+
+
+@query("interval_descendants", _closure_sql("SELECT 'region:1' AS node, 0 AS level UNION ALL SELECT 'nation:3', 0"))
+def interval_descendants(t):
+    """What is below two nodes: one range join over the labels."""
+    return N.below(N.labels(t.edge), _seed(t, "region:1", "nation:3"))
+
+
+@query("interval_ancestors", _closure_sql("SELECT 'customer:7' AS node, 0 AS level UNION SELECT 'supplier:9', 0", up=True))
+def interval_ancestors(t):
+    return N.above(N.labels(t.edge), _seed(t, "customer:7", "supplier:9"))
+
+
+@query("interval_facet", f"SELECT DISTINCT id FROM v_owns WHERE node_id IN (SELECT node FROM ({_closure_sql("SELECT 'region:2' AS node, 0 AS level")}))")
+def interval_facet(t):
+    """Controls that anything below a region owns."""
+    return G.facet(t.owns, N.below(N.labels(t.edge), _seed(t, "region:2")))
