@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 from ..operators import explore as E
 from ..operators import graph as G
 from ..operators import intervals as N
+from ..operators.substring_index import SubstringIndex
+from ..sources.shared import new_folder
 from .registry import query
 
 
@@ -282,3 +284,19 @@ def interval_ancestors(t):
 def interval_facet(t):
     """Controls that anything below a region owns."""
     return G.facet(t.owns, N.below(N.labels(t.edge), _seed(t, "region:2")))
+
+
+def node_index(t):
+    return SubstringIndex.build(t.node, "node_id", ["name", "node_id"], new_folder(t.spark, "substring-index"))
+
+
+@query("node_search_indexed", "SELECT node_id, name FROM v_node WHERE name ILIKE '%r#0000000_4%' OR node_id ILIKE '%nation:1%' ORDER BY name, node_id LIMIT 50")
+def node_search_indexed(t):
+    """Only nodes with the patterns' trigrams are read."""
+    return E.first_nodes(node_index(t).like({"%r#0000000_4%": ["name"], "%nation:1%": ["node_id"]}))
+
+
+@query("node_like", "SELECT node_id, name FROM v_node WHERE name ILIKE '%0001_' OR name ILIKE 'a%i_A'")
+def node_like(t):
+    """All nodes that patterns fit, one with a wild card for a character, one anchored at both ends with no trigram at all."""
+    return node_index(t).like({"%0001_": ["name"], "a%i_A": ["name"]}).select("node_id", "name")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import explore as E
 from ..operators import graph as G
 from ..operators import search as S
+from ..operators.substring_index import SubstringIndex
 from ..operators.text_index import TextIndex
 from ..sources.shared import new_folder
 from .registry import query
@@ -88,7 +89,10 @@ def entity_brief(t):
     return E.brief(t.control, [1, 5, 9, 42, 77], ["status", "price"])
 
 
-@query("docs_search", "SELECT doc_id, score, snippet FROM (SELECT doc_id, (CASE WHEN contains(lower(source), 'src1') THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(text), 'src1') THEN 1.0 ELSE 0 END + CASE WHEN contains(lower(source), 'the') THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(text), 'the') THEN 1.0 ELSE 0 END)::DOUBLE AS score, substr(text, greatest(instr(lower(text), 'src1') - 20, 1), 60) AS snippet FROM documents WHERE (contains(lower(source), 'src1') OR contains(lower(text), 'src1')) AND (contains(lower(source), 'the') OR contains(lower(text), 'the'))) ORDER BY score DESC, doc_id LIMIT 20")
+_DOCS = "SELECT doc_id, score, snippet FROM (SELECT doc_id, (CASE WHEN contains(lower(source), 'src1') THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(text), 'src1') THEN 1.0 ELSE 0 END + CASE WHEN contains(lower(source), 'the') THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(text), 'the') THEN 1.0 ELSE 0 END)::DOUBLE AS score, substr(text, greatest(instr(lower(text), 'src1') - 20, 1), 60) AS snippet FROM documents WHERE (contains(lower(source), 'src1') OR contains(lower(text), 'src1')) AND (contains(lower(source), 'the') OR contains(lower(text), 'the'))) ORDER BY score DESC, doc_id LIMIT 20"
+
+
+@query("docs_search", _DOCS)
 def docs_search(t):
     return S.weighted_contains(t.documents, "doc_id", {"source": 3.0, "text": 1.0}, "src1 the")
 
@@ -202,3 +206,18 @@ def search_updated_index(t):
 @query("search_updated_top", f"WITH {_INDEX}, {_KEYWORD} SELECT doc_id, score, rank::INT AS rank FROM kw WHERE rank <= 10")
 def search_updated_top(t):
     return updated_index(t).search("thth erer", 10, key="doc_id")[0]
+
+
+def substring_index(t):
+    return SubstringIndex.build(t.documents.select("doc_id", "text", "source"), "doc_id", ["text", "source"], new_folder(t.spark, "substring-index"))
+
+
+@query("docs_search_indexed", _DOCS)
+def docs_search_indexed(t):
+    """Documents are ranked among those with all trigrams of each word."""
+    return S.weighted_contains(substring_index(t).all_words(["src1", "the"]), "doc_id", {"source": 3.0, "text": 1.0}, "src1 the")
+
+
+@query("docs_like", "SELECT doc_id FROM documents WHERE text ILIKE '%thth_ing%the%' OR source ILIKE '%rc1_'")
+def docs_like(t):
+    return substring_index(t).like({"%thth_ing%the%": ["text"], "%rc1_": ["source"]}).select("doc_id")
