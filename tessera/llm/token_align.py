@@ -43,7 +43,7 @@ from .storage import saved
 #: Irregular pairs that are sent to every task at most (16 bytes each).
 TABLE = 1 << 20
 #: Characters of parts, and links, that are held between texts.
-HELD_TEXT, HELD_LINKS = 24 << 20, 6 << 20
+HELD_TEXT, HELD_LINKS = 20 << 20, 5 << 20
 #: Pairs that a task holds before it gives their sums away.
 HELD_PAIRS = 1 << 20
 #: Bytes of text for which links are arrays at a time.
