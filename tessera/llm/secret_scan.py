@@ -3,16 +3,20 @@
 Fixed patterns find assignments, access keys and long hexadecimal runs.  Values in
 a credential context that the patterns leave (shorter ones, other key names) are
 weighed by a guess cost: dynamic programming over the whole value finds its cheapest
-segmentation into words, dates, repeats (of ``LONGEST_UNIT`` characters at most),
-keyboard walks and brute-force spans, in powers of ten of guesses.  Words are the fixed
-ones below and then those of a public tokenizer's vocabulary, most frequent first.  A value that costs ``LEAST_COST`` or more is a secret, and
-so is a shorter one of 6 characters or more that costs as much as brute force over
-all of it.  Where a pattern's span ends inside a value, the whole value is a guess
-span too, so that no rest of it stays.
+segmentation into words, dates, repeats, keyboard walks and brute-force spans, in
+powers of ten of guesses.  Words are the fixed ones below and then those of a public
+tokenizer's vocabulary, most frequent first.  Every word, every date, every part of a
+walk of 3 keys or more and every repeat (two or more of a unit that isn't a repeat itself,
+of any length, from any place) can be a segment.  A value that costs ``LEAST_COST`` or more
+is a secret, and so is a shorter one of 6 characters or more that costs as much as brute
+force over all of it.  Where a pattern's span ends inside a value, the value up to an ``&``
+with a key and ``=`` is weighed in the same way, and is a guess span too where it passes, so
+that no rest of a secret stays; what follows the ``&`` is looked at for itself.
 
 Results for odd input: a null or empty text has no spans; repeated rows each have
-a result; a null id is kept; a value of any length is weighed whole, in steps that grow with
-its length; of segmentations that cost the same the cost counts, not which one it is; an
+a result; a null id is kept; a value of any length is weighed whole: its runs are found in
+steps that grow as its length times the logarithm of that, and segments are followed only
+from places that cost less than a secret; of segmentations that cost the same the cost counts, not which one it is; an
 empty table gives an empty one; other columns are left out (``secret_scan``) or stay as
 they are, whatever their names (``mask_secrets``).
 """
@@ -44,7 +48,8 @@ CONTEXT = re.compile(r"""(password|passwd|passphrase|pwd|secret|token|api[_-]?ke
 #: One of these, in lower case, is in every text that ASSIGN or CONTEXT match.
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "api", "credential", "auth")
 LEAST_COST = 8.0
-LONGEST_UNIT = 64
+#: Where a value ends for a query string: the next key and its sign.
+NEXT_KEY = re.compile(r"&(?:amp;)?[A-Za-z0-9_.\[\]-]+=")
 #: Words that guessing starts with, most common first.
 WORDS = """password admin welcome letmein monkey dragon master login secret token user guest root test default changeme
 qwerty abc summer winter spring autumn love iloveyou sunshine princess football baseball shadow michael jordan superman
@@ -55,7 +60,8 @@ banana silver golden purple yellow green black white red blue happy lucky star a
 rock tiger lion eagle wolf bear snake phoenix london paris berlin madrid boston texas america england france germany
 key api pass word pwd auth the and for you with this that none null true false""".split()
 LEET = str.maketrans("013457@$!", "oieastasi")
-DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
+YEAR, MONTH, DAY, MARK = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])", r"[-/._]?"
+DATES = [re.compile(x) for x in (YEAR + MARK + MONTH + MARK + DAY, DAY + MARK + MONTH + MARK + YEAR, YEAR)]
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (x + y * 0.5, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 PLACE |= dict(zip('~!@#$%^&*()_+{}|:"<>?', map(PLACE.get, r"`1234567890-=[]\;',./")))
@@ -79,76 +85,171 @@ def _near(a: str, b: str) -> bool:
     return bool(p and q and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1)
 
 
-def repeats(value: str) -> Iterator[tuple[int, int, int]]:
-    """(start, end, unit): for each unit length the longest runs of whole units, from their start and up to their end."""
-    n = len(value)
-    for unit in range(1, min(LONGEST_UNIT, n // 2) + 1):
-        i = 0
-        while i + 2 * unit <= n:
-            j = i
-            while j + unit < n and value[j] == value[j + unit]:
-                j += 1
-            if j - i >= unit:
-                whole = (j - i + unit) // unit * unit
-                yield i, i + whole, unit
-                if i + whole < j + unit:
-                    yield j + unit - whole, j + unit, unit
-            i = j + 1
-
-
-def matches(value: str, path: str | None = None) -> Iterator[tuple[int, int, float]]:
-    """(start, end, log10 of guesses) of the words, dates, repeats and keyboard walks in a value."""
-    rank_of, longest = ranks(path or words_path())
-    low = value.lower() if len(value.lower()) == len(value) else value
-    plain = low.translate(LEET)
-    n = len(value)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + longest) + 1):
+def _common(codes: list[int]) -> list[int]:
+    """For each place the length of what it has in common with the start."""
+    n = len(codes)
+    out, lo, hi = [n] + [0] * (n - 1), 0, 0
+    for i in range(1, n):
+        k = min(hi - i, out[i - lo]) if i < hi else 0
+        while i + k < n and codes[k] == codes[i + k]:
+            k += 1
+        if i + k > hi:
+            lo, hi = i, i + k
+        out[i] = k
+    return out
+
+
+def runs(value: str) -> list[tuple[int, int, int]]:
+    """(start, end, unit) of each longest run of a unit of any length, whole at least twice, that isn't a repeat itself.
+
+    Halves are searched for themselves; a run across the middle goes on from one unit beside it.
+    """
+    codes = [*map(ord, value)]
+    found: dict[int, list[tuple[int, int]]] = {}
+    spans = [(0, len(codes))]
+    while spans:
+        lo, hi = spans.pop()
+        mid = (lo + hi) // 2
+        if mid == lo:
+            continue
+        spans += [(lo, mid), (mid, hi)]
+        left, right, whole = codes[lo:mid][::-1], codes[mid:hi], codes[lo:hi]
+        ahead, behind = _common(right), _common(left)
+        to_right = _common([*right, -1, *whole])[len(right) + 1 :]
+        to_left = _common([*left, -1, *whole[::-1]])[len(left) + 1 :]
+        for unit in range(1, len(right) + 1):
+            after = ahead[unit] if unit < len(right) else 0
+            before = to_left[len(right) - unit] if unit < len(right) else min(to_left[0], len(left))
+            if after + before >= unit:
+                found.setdefault(unit, []).append((mid - before, mid + unit + after))
+        for unit in range(1, len(left) + 1):
+            before = behind[unit] if unit < len(left) else 0
+            after = to_right[len(left) - unit]
+            if after + before >= unit:
+                found.setdefault(unit, []).append((mid - unit - before, mid + after))
+    least: dict[tuple[int, int], int] = {}
+    for unit in sorted(found):
+        last = 0
+        for start, end in sorted(found[unit], key=lambda x: (x[0], -x[1])):
+            if end > last:  # else it's a part of the one before
+                least.setdefault((start, end), unit)  # a longer unit of the same run is a repeat of this one
+                last = end
+    return [(a, b, unit) for (a, b), unit in least.items()]
+
+
+class Words:
+    """The words and dates that start at a place of a value, with the log10 of their guesses."""
+
+    def __init__(self, value: str, path: str | None):
+        self.value, (self.rank_of, self.longest) = value, ranks(path or words_path())
+        self.low = value.lower() if len(value.lower()) == len(value) else value
+        self.plain = self.low.translate(LEET)
+
+    def at(self, i: int) -> Iterator[tuple[int, float]]:
+        low, plain, rank_of = self.low, self.plain, self.rank_of
+        for j in range(i + 3, min(len(low), i + self.longest) + 1):
             rank = rank_of.get(low[i:j]) or rank_of.get(plain[i:j])
             if rank:
-                part = value[i:j]
+                part = self.value[i:j]
                 upper = sum(c.isupper() for c in part)
                 shape = 0 if not upper else math.log10(2) if part[0].isupper() and upper == 1 or upper == len(part) else math.log10(sum(math.comb(len(part), k) for k in range(1, upper + 1)) + 1)
                 swapped = sum(a != b for a, b in zip(low[i:j], plain[i:j])) if low[i:j] not in rank_of else 0
-                yield i, j, math.log10(rank + 1) + shape + swapped * math.log10(2)
-    for m in DATE.finditer(low):
-        yield m.start(), m.end(), math.log10(120) if len(m[0]) == 4 else math.log10(365 * 120) + (len(m[0]) > 8) * math.log10(4)
-    for i, j, unit in repeats(value):
-        yield i, j, _unit_cost(value[i : i + unit], path) + math.log10((j - i) // unit + 1)
-    i = 0
-    while i < n - 2:
-        j, turns, last = i + 1, 1, None
-        while j < n and _near(low[j - 1], low[j]):
-            step = (PLACE[low[j]][0] - PLACE[low[j - 1]][0], PLACE[low[j]][1] - PLACE[low[j - 1]][1])
-            turns += step != last and last is not None
-            last = step
-            j += 1
-        if j - i >= 3:
-            yield i, j, math.log10(47) + turns * math.log10(4) + math.log10(j - i)
-        i = max(i + 1, j - 1)
+                yield j, math.log10(rank + 1) + shape + swapped * math.log10(2)
+        for pattern in DATES:
+            if m := pattern.match(low, i):
+                yield m.end(), math.log10(120) if len(m[0]) == 4 else math.log10(365 * 120) + (len(m[0]) > 8) * math.log10(4)
+
+
+def _walks(low: str) -> tuple[list[int], list[int], list[int]]:
+    """For each place the start and the end of the walk it is in, and how often walks have turned up to it."""
+    n = len(low)
+    start, end, turned = [*range(n)], [*range(1, n + 1)], [0] * n
+    last = None
+    for i in range(1, n):
+        near = _near(low[i - 1], low[i])
+        step = (PLACE[low[i]][0] - PLACE[low[i - 1]][0], PLACE[low[i]][1] - PLACE[low[i - 1]][1]) if near else None
+        turned[i] = turned[i - 1] + (near and last is not None and step != last)
+        last = step
+        if near:
+            start[i] = start[i - 1]
+    for i in range(n - 2, -1, -1):
+        if start[i + 1] == start[i]:
+            end[i] = end[i + 1]
+    return start, end, turned
+
+
+def _least(starts: list[tuple[int, float]], at: int, growth) -> float:
+    """The least of level + growth(length) of segments from starts to a place.
+
+    growth slows down with length: a start that a later one of a lower level beats, or a
+    later one that is already dearer than an earlier one, is beaten from here on and goes.
+    """
+    kept: list[tuple[int, float]] = []
+    low = math.inf
+    for start, level in starts:
+        here = level + growth(at - start)
+        if here < low:
+            while kept and kept[-1][1] >= level:
+                kept.pop()
+            kept.append((start, level))
+            low = here
+    starts[:] = kept
+    return low
 
 
 @lru_cache(maxsize=4096)
-def _unit_cost(unit: str, path: str | None) -> float:
-    return cost(unit, path)
+def _unit_cost(unit: str, path: str | None, limit: float) -> float:
+    return cost(unit, path, limit)
 
 
-def cost(value: str, path: str | None = None) -> float:
-    """log10 of the guesses for the cheapest segmentation of a value.
+def cost(value: str, path: str | None = None, limit: float = math.inf) -> float:
+    """log10 of the guesses for the cheapest segmentation of a value; limit, if it is that or more.
 
     A brute-force span costs ten guesses a character, and each further segment twice as many.
     """
-    ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, guesses in matches(value, path):
-        ends.setdefault(j, []).append((i, guesses))
-    step = math.log10(2)
-    best = [0.0]
-    brute = [math.inf]  # the best that ends in a brute-force span
-    for j in range(1, len(value) + 1):
-        span = min(brute[j - 1] + 1, best[j - 1] + (step if j > 1 else 0) + 1)
-        brute.append(span)
-        best.append(min([span, *(best[i] + guesses + (step if i else 0) for i, guesses in ends.get(j, ()))]))
-    return best[-1]
+    n, turn, walk = len(value), math.log10(4), math.log10(47)
+    words = Words(value, path)
+    begin, end, turned = _walks(words.low)
+    starting: dict[int, list[tuple[int, int, int, list]]] = {}
+    for a, b, unit in runs(value):
+        starting.setdefault(a, []).append((a, b, unit, [[] for _ in range(min(unit, b - a - 2 * unit + 1))]))
+    best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)  # brute: the best that ends in a brute-force span
+    inside: list[tuple[int, int, int, list]] = []
+    walks: list[tuple[int, float]] = []
+    reach = 0
+    for i in range(n + 1):
+        if i > reach:
+            return limit
+        step = math.log10(2) if i else 0.0
+        before = lambda at: best[at] + (math.log10(2) if at else 0.0)
+        inside = [run for run in inside if run[1] >= i]
+        for a, b, unit, by_start in inside:
+            at = i - 2 * unit
+            if at >= a:
+                starts = by_start[(at - a) % unit]
+                if best[at] < limit and (own := _unit_cost(value[at : at + unit], path, limit)) < limit:
+                    starts.append((at, before(at) + own))
+                if starts:
+                    best[i] = min(best[i], _least(starts, i, lambda size, unit=unit: math.log10(size // unit + 1)))
+        if i >= 1 and walks and begin[i - 1] > walks[-1][0]:
+            walks = []
+        at = i - 3
+        if at >= 0 and begin[i - 1] <= at and best[at] < limit:
+            walks.append((at, before(at) + walk + (1 - turned[at + 1]) * turn))
+        if walks:
+            best[i] = min(best[i], _least(walks, i, math.log10) + turned[i - 1] * turn)
+        best[i] = min(best[i], brute[i])
+        if i == n:
+            return min(best[n], limit)
+        inside += starting.get(i, ())
+        if best[i] >= limit:
+            continue
+        brute[i + 1] = min(brute[i], best[i] + step) + 1
+        reach = max(reach, i + 1, end[i], *(b for _, b, unit, _ in inside if i + 2 * unit <= b))
+        for j, guesses in words.at(i):
+            best[j] = min(best[j], best[i] + step + guesses)
+            reach = max(reach, j)
+    return min(best[n], limit)
 
 
 def find_secrets(text: str, path: str | None = None) -> list[tuple[int, int, int]]:
@@ -162,17 +263,20 @@ def find_secrets(text: str, path: str | None = None) -> list[tuple[int, int, int
         out += taken
         edges = iter(taken)
         span = next(edges, None)
-        for m in CONTEXT.finditer(text):
-            start, end = m.span(2)
-            end = start + len(m[2].rstrip(".!?)"))
+        m = CONTEXT.search(text)
+        while m:
+            start, stop = m.span(2)
             while span and span[2] <= m.start():
                 span = next(edges, None)
-            if span and span[0] <= start < span[2]:  # the base pattern's value: what it leaves of it goes too
-                end = start + len(m[2].rstrip(".?)"))
-                if end > span[2]:
+            after_base = span and span[0] <= start < span[2]  # the base pattern's value: what it leaves of a secret goes too
+            if after_base and (then := NEXT_KEY.search(text, span[2], stop)):
+                stop = then.start()
+            end = start + len(text[start:stop].rstrip(".?)" if after_base else ".!?)"))
+            least = min(LEAST_COST, end - start)
+            if end > span[2] if after_base else end - start >= 6:
+                if cost(text[start:end], path, least) >= least:
                     out.append((start, 3, end))
-            elif end - start >= 6 and cost(text[start:end], path) >= min(LEAST_COST, end - start):
-                out.append((start, 3, end))
+            m = CONTEXT.search(text, stop)
     return sorted(out)
 
 

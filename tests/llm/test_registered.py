@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from tessera.llm import decontaminate, quality_rules, queries, secret_scan
 
 from . import fixtures as X
-from .test_texts import base_spans, edits_inside, least_determinant, repeats
+from .test_texts import all_costs, base_spans, edits_inside, least_determinant, repeats
 
 
 @pytest.fixture(scope="module")
@@ -35,17 +35,6 @@ def run(spark, name: str) -> dict:
     return X.by_id(queries.QUERIES[name](spark, X.SF).collect())
 
 
-def least_cost(value: str) -> float:
-    """The least cost over all segmentations, from the end of the value to its start."""
-    step, from_here = np.log10(2), [0.0] * (len(value) + 1)
-    spans = list(secret_scan.matches(value))
-    for at in range(len(value) - 1, -1, -1):
-        lead = step if at else 0.0
-        brute = [lead + (b - at) + from_here[b] for b in range(at + 1, len(value) + 1)]
-        from_here[at] = min(brute + [lead + c + from_here[b] for a, b, c in spans if a == at])
-    return from_here[0]
-
-
 def test_op2(spark, texts):
     got = run(spark, "op2_secret_scan")
     assert set(got) == set(texts)
@@ -56,15 +45,18 @@ def test_op2(spark, texts):
         assert got[i].base_sha256 == X.sha(",".join(shown))
         spans = [s for s in got[i].spans.split(",") if s]
         assert [s for s in spans if not s.startswith("guess")] == shown
-        # values in a credential context that no assign span meets, weighed over every segmentation
-        want = set()
-        for m in secret_scan.CONTEXT.finditer(text):
-            value = m[2].rstrip(".!?)")
-            if not any(a <= m.start(2) < b and kind == "assign" for a, _, kind, b in base) and len(value) >= 6:
-                if least_cost(value) >= min(secret_scan.LEAST_COST, len(value)):
-                    want.add((m.start(2), m.start(2) + len(value)))
-        guess = {tuple(map(int, s.split(":")[1:])) for s in spans if s.startswith("guess")}
-        assert {g for g in guess if not any(a <= g[0] < b and kind == "assign" for a, _, kind, b in base)} == want
+        # values in a credential context, weighed over every segmentation; at an assign span up to the next key
+        want, at = set(), 0
+        while m := secret_scan.CONTEXT.search(text, at):
+            start, at = m.span(2)
+            close = [b for a, _, kind, b in base if kind == "assign" and a <= start < b]
+            if close:
+                then = re.search(r"&(amp;)?[\w.\[\]-]+=", text[close[0] : at], re.ASCII)
+                at = close[0] + then.start() if then else at
+            value = text[start:at].rstrip(".?)" if close else ".!?)")
+            if (start + len(value) > close[0] if close else len(value) >= 6) and all_costs(value) >= min(secret_scan.LEAST_COST, len(value)):
+                want.add((start, start + len(value)))
+        assert {tuple(map(int, s.split(":")[1:])) for s in spans if s.startswith("guess")} == want
 
 
 def test_op3(spark, texts, ids):

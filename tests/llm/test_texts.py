@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import random
 import re
 import zlib
@@ -123,23 +125,67 @@ def test_secret_scan(docs):
         assert [s for s in got[i].spans.split(",") if s and not s.startswith("guess")] == shown
 
 
-def all_costs(value: str) -> float:
-    """The least cost over all segmentations, by trying each."""
-    spans: dict[tuple[int, int], float] = {}
-    for a, b, c in secret_scan.matches(value):
-        spans[a, b] = min(c, spans.get((a, b), 99))
-    step = np.log10(2)
+@functools.lru_cache(maxsize=1)
+def word_ranks() -> dict[str, int]:
+    import json
+
+    vocabulary = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))["model"]["vocab"]
+    out = {}
+    for w in [*secret_scan.WORDS, *(t[:-4] for t in sorted(vocabulary, key=vocabulary.get) if t.endswith("</w>") and len(t) >= 7 and t[:-4].isalpha())]:
+        out.setdefault(w, len(out) + 1)
+    return out
 
-    def best(at: int, first: bool) -> float:
-        if at == len(value):
-            return 0.0
-        lead = 0 if first else step
-        return min([lead + (b - at) + best(b, False) for b in range(at + 1, len(value) + 1)] + [lead + c + best(b, False) for (a, b), c in spans.items() if a == at])
 
-    return best(0, True)
+def is_date(s: str) -> bool:
+    parts = [re.fullmatch(r"(\d{4})[-/._]?(\d\d)[-/._]?(\d\d)", s), re.fullmatch(r"(\d\d)[-/._]?(\d\d)[-/._]?(\d{4})", s)]
+    fits = [p and tuple(map(int, p.groups()[::turn])) for p, turn in zip(parts, (1, -1))]
+    return any(f and 1900 <= f[0] < 2100 and 1 <= f[1] <= 12 and 1 <= f[2] <= 31 for f in fits)
+
+
+def walk_turns(s: str) -> int | None:
+    """The directions of a keyboard walk, one after the other counted anew, or None."""
+    rows = ["`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./"]
+    shifted = dict(zip('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./"))
+    where = [next(((x + y / 2, y) for y, row in enumerate(rows) if (x := row.find(shifted.get(c, c))) >= 0), None) for c in s]
+    if None in where or len(s) < 3:
+        return None
+    moves = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(where, where[1:])]
+    if any(m == (0, 0) or max(map(abs, m)) > 1 for m in moves):
+        return None
+    return 1 + sum(a != b for a, b in zip(moves, moves[1:]))
+
+
+@functools.lru_cache(maxsize=None)
+def segment_cost(s: str) -> float:
+    """The least guesses of a value as one segment that isn't brute force, the plain way."""
+    ranks, low, costs = word_ranks(), s.lower(), [np.inf]
+    plain = "".join(dict(zip("013457@$!", "oieastasi")).get(c, c) for c in low)
+    word = low if low in ranks else plain
+    if len(s) >= 3 and word in ranks:
+        upper = sum(c.isupper() for c in s)
+        shape = 0 if not upper else np.log10(2) if upper == len(s) or (upper == 1 and s[0].isupper()) else np.log10(1 + sum(math.comb(len(s), k) for k in range(1, upper + 1)))
+        costs.append(np.log10(ranks[word] + 1) + shape + np.log10(2) * sum(a != b for a, b in zip(low, word)))
+    if re.fullmatch(r"(19|20)\d\d", s):
+        costs.append(np.log10(120))
+    if is_date(s):
+        costs.append(np.log10(365 * 120) + (len(s) > 8) * np.log10(4))
+    if (turns := walk_turns(low)) is not None:
+        costs.append(np.log10(47) + turns * np.log10(4) + np.log10(len(s)))
+    unit = (s + s).find(s, 1)  # the least rotation that gives s again: its unit
+    if unit < len(s):
+        costs.append(all_costs(s[:unit]) + np.log10(len(s) // unit + 1))
+    return min(costs)
+
+
+def all_costs(value: str) -> float:
+    """The least cost over all segmentations, by trying each of them from every place."""
+    best = [0.0]
+    for end in range(1, len(value) + 1):
+        best.append(min(best[at] + np.log10(2) * (at > 0) + min(end - at, segment_cost(value[at:end])) for at in range(end)))
+    return best[-1]
 
 
-@pytest.mark.parametrize("value", ["", "password", "P4ssw0rd!", "2024-01-31", "qwertyui", "aaaaabab", "xK9#mPq2", "summer2019x", "zzTop12"])
+@pytest.mark.parametrize("value", ["", "password", "P4ssw0rd!", "2024-01-31", "qwertyui", "aaaaabab", "xK9#mPq2", "summer2019x", "zzTop12", "1919901231", "zxcvbnmonkey", "xummersummersummers", "19991999-12-3112", "mamamamaMa", "qazwsxqazwsxqazw", "!QAZxsw2", "aaaa1aaaa1aaaa1a", "aşkŞaşk"])
 def test_guess_cost_is_the_least(value):
     assert secret_scan.cost(value) == pytest.approx(all_costs(value))
 
@@ -155,17 +201,54 @@ def test_long_values_are_weighed_whole(n):
     assert not secret_scan.find_secrets(f"pwd: {'z' * n}") and secret_scan.find_secrets(f"pwd: {noise}")
 
 
-def test_repeats_are_those_of_every_unit():
+def test_guess_cost_of_random_values_is_the_least():
+    """Values made of words, dates, walks, repeats and noise, against every segmentation; with a limit, what is below it."""
+    rng = random.Random(31)
+    bits = ["summer", "Pass", "1990-12-31", "31121990", "20", "19", "qwer", "zxcv", "asdfds", "ababab", "xyzxyz", "7", "K", "#", "q1w2", "monkey", "aa", "_"]
+    for turn in range(150):
+        if turn % 3:
+            value = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 6)))
+        else:
+            value = "".join(rng.choice(["ab", "qwsa", "1290"][turn % 9 // 3]) for _ in range(rng.randrange(1, 22)))
+        want = all_costs(value)
+        assert secret_scan.cost(value) == pytest.approx(want), value
+        assert secret_scan.cost(value, limit=5.0) == pytest.approx(min(want, 5.0)), value
+
+
+@pytest.mark.parametrize("unit", [63, 64, 65, 66, 127, 500])
+def test_repeats_have_units_of_any_length(unit):
+    rng = random.Random(unit)
+    one = "".join(rng.choice("bcdfghjkmnpqrtvxzBCDFGHJKLMNP") for _ in range(unit))
+    assert secret_scan.cost(one * 20) == pytest.approx(secret_scan.cost(one) + np.log10(21))
+    assert secret_scan.cost("%" + one * 3 + "%") <= 1 + secret_scan.cost(one) + np.log10(4) + 1 + 2 * np.log10(2) + 1e-9
+
+
+def test_runs_are_all_of_them():
     rng = random.Random(6)
-    for _ in range(200):
-        value = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 14)))
-        found = set(secret_scan.repeats(value))
-        assert all(value[i:j] == value[i : i + unit] * ((j - i) // unit) and j - i >= 2 * unit for i, j, unit in found)
-        for i in range(len(value)):
-            for unit in range(1, len(value)):
-                for times in range(2, (len(value) - i) // unit + 1):
-                    if value[i : i + unit * times] == value[i : i + unit] * times:  # inside one that is given, or across it
-                        assert any(a <= i + unit and i <= b and b - a >= unit * times for a, b, u in found if u == unit)
+    for _ in range(300):
+        value = "".join(rng.choice("abc"[: rng.randrange(1, 4)]) for _ in range(rng.randrange(0, 24)))
+        want = set()
+        for unit in range(1, len(value) // 2 + 1):
+            same = [value[i] == value[i + unit] for i in range(len(value) - unit)]
+            for a in range(len(same)):
+                if same[a] and (a == 0 or not same[a - 1]):
+                    b = next((j for j in range(a, len(same)) if not same[j]), len(same)) + unit
+                    own = value[a : a + unit]
+                    if b - a >= 2 * unit and (own + own).find(own, 1) == unit:
+                        want.add((a, b, unit))
+        found = secret_scan.runs(value)
+        assert len(found) == len(set(found)) and set(found) == want, value
+
+
+def test_guess_spans_are_weighed():
+    """What follows a base span in its value is a secret's rest only where the whole is dear, and up to the next key."""
+    text = "GET /x?token=abcdefabcdef&page=2&lang=english&sort=date"
+    assert secret_scan.masked(text, secret_scan.find_secrets(text)) == "GET /x?[SECRET]&page=2&lang=english&sort=date"
+    text = "x?secret=aaaaaaaaaaaaaaaa#top"
+    assert secret_scan.masked(text, secret_scan.find_secrets(text)) == "x?[SECRET]#top"
+    text = "x?secret=aaaaaaaaaaaaaaaa&amp;pwd=xK9#mPq27&page=2"
+    assert "xK9" not in secret_scan.masked(text, secret_scan.find_secrets(text))
+    assert not secret_scan.find_secrets("pwd: 1919901231") and not secret_scan.find_secrets("pwd: zxcvbnmonkey")
 
 
 def test_planted_credentials_are_found_and_words_are_not():
