@@ -438,20 +438,71 @@ def test_decontaminate_finds_parts_and_short_items(spark):
     assert by[4] == "Tiny\nq?" and by[6] == "日本" and len(by[7]) >= len(long) and long[220:360] in texts[1]
 
 
-def test_decontaminate_finds_whole_long_items_by_their_parts(spark):
-    """Near copies of an item above LONG, edited all over within its budget, and texts that only share its words."""
+def found_in(item: str, *texts: str) -> list[tuple]:
+    """Row, start, end and edits of the passages of one item in texts, without Spark."""
+    raw = [t.encode() for t in texts]
+    at = np.concatenate(([0], np.cumsum([len(t) for t in raw])))
+    got = decontaminate.passages(decontaminate.Items([item.encode()]), np.frombuffer(b"".join(raw), np.uint8), at)
+    return list(zip(*(x.tolist() for x in (got[0], got[2], got[3], got[4]))))
+
+
+def with_edits(item: str, places: list[int]) -> str:
+    out = list(item)
+    for i in places:
+        out[i] = "z"
+    return "".join(out)
+
+
+@pytest.mark.parametrize("sizes", [[100, 127, 128, 129, 159, 160], [*range(600, 728)], [4095, 4096, 4097, 4160], [10_000]])
+def test_decontaminate_at_the_edit_budget(sizes):
+    """Items of any length, with all the edits that the whole allows, crowded into the ends of parts or anywhere."""
+    rng = random.Random(sizes[0])
+    for n in sizes:
+        item = "x" + "".join(rng.choice("abcdefgh    ") for _ in range(n - 2)) + "x"
+        item = re.sub("  ", " y", item)
+        edits = min(int(n * decontaminate.RATE), (n - decontaminate.Q) // decontaminate.Q)
+        crowded = [i for i in range(n) if i % 128 >= 64 and i % 4 == 0][:edits]
+        crowded += [i for i in range(n) if i not in set(crowded)][1 : 1 + edits - len(crowded)]
+        texts = [with_edits(item, crowded), "q " * 40 + with_edits(item, sorted(rng.sample(range(1, n - 1), edits))) + " r" * 30, "q r " * (n // 4)]
+        got = found_in(item, *texts)
+        whole = {r: (a, b, e) for r, a, b, e in got if b - a > n - 2 * edits - 1}
+        assert set(whole) == {0, 1} and all(e <= edits for *_, e in whole.values()), n
+        assert all(r in whole for r, *_ in got)
+        if n < 200 or n % 16 == 0 and n < 1000:
+            for r, (a, b, e) in whole.items():
+                assert edits_inside(item, texts[r]) == e == edits_inside(item, texts[r][a:b]), n
+
+
+def test_decontaminate_takes_the_nearest_of_many_passages():
+    """Hundreds of passages of one item in one text, whole ones and parts, none over another."""
+    rng = random.Random(20)
+    say = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    item = say(400)
+    bits = [rng.choice([item, item[60:260], with_edits(item, rng.sample(range(400), 40))]) for _ in range(300)]
+    text, want, at = "", [], 0
+    for bit in bits:
+        text += bit + "-" * 60
+        want.append((at, at + len(bit)))
+        at = len(text)
+    got = sorted((a, b) for _, a, b, _ in found_in(item, text))
+    assert all(b <= c for (_, b), (c, _) in zip(got, got[1:]))
+    for (a, b), bit in zip(want, bits):
+        inside = [(c, d) for c, d in got if c < b and a < d]
+        assert len(inside) == 1 and (len(bit) < 400 or abs(inside[0][0] - a) <= 40 and abs(inside[0][1] - b) <= 40)
+
+
+def test_decontaminate_finds_whole_long_items(spark):
+    """Near copies of long items, edited all over within the budget, and texts that only share their words; repeated rows each have theirs."""
     rng = random.Random(19)
     say = lambda n: "".join(rng.choice("abcdefgh    ") for _ in range(n)).strip()
-    item = say(decontaminate.LONG + 900)
-    near = list(item)
-    for at in rng.sample(range(len(near)), int(len(near) * decontaminate.RATE * 0.9)):
-        near[at] = rng.choice("xyz")
+    item = re.sub(" +", " ", say(6000))  # its normalised form
+    near = with_edits(item, rng.sample(range(len(item)), int(len(item) * decontaminate.RATE * 0.9)))
     words = item.split()
     rng.shuffle(words)
-    rows = [(1, "".join(near)), (2, say(60) + item + say(60)), (3, " ".join(words)), (4, say(6000)), (5, item[:100])]
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    got = decontaminate.decontaminate(X.frame(spark, [(*r, None, None, None) for r in rows]), bench).collect()
-    assert {r.doc_id for r in got} == {1, 2}
+    rows = [(1, near), (2, say(60) + item + say(60)), (3, " ".join(words)), (4, say(6000)), (5, item[:100]), (2, item)]
+    bench = spark.createDataFrame([("one", item), (None, "an item without an id, which is long enough")], "item_id string, text string")
+    got = decontaminate.decontaminate(X.frame(spark, [(*r, None, None, None) for r in rows] + [(6, "so: An item without\nan id, which is long enough.", None, None, None)]), bench).collect()
+    assert sorted((r.doc_id, r.item_id or "") for r in got) == [(1, "one"), (2, "one"), (2, "one"), (6, "")]
 
 
 def test_license_scan_equals_sql(spark):
