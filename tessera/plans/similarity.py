@@ -141,7 +141,11 @@ _CANDIDATES = _SCORED.split(", sc AS")[0]
 _TEXT_SCORE = " + ".join(f"(least(greatest({_cos('a', 'b', p)}, 0), 1) + least(greatest(coalesce(x.cosine, 0), 0), 1)) / 2" for p in PARTS)
 
 
-@query("pair_score_text", f"""WITH {_FOLDED}, {_CANDIDATES}, cs AS (SELECT c.key, c.other, sum(x.weight * y.weight) AS cosine FROM cand c JOIN wt x ON x.doc_id = c.key JOIN wt y ON y.doc_id = c.other AND y.term = x.term GROUP BY 1, 2)
+# the pairs meet their terms in two written steps, so that no plan joins all texts of a term first
+@query("pair_score_text", f"""WITH {_FOLDED}, {_CANDIDATES},
+own AS MATERIALIZED (SELECT doc_id, term, weight FROM wt),
+half AS MATERIALIZED (SELECT c.key, c.other, x.term, x.weight FROM cand c JOIN own x ON x.doc_id = c.key),
+cs AS (SELECT x.key, x.other, sum(x.weight * y.weight) AS cosine FROM half x JOIN own y ON y.doc_id = x.other AND y.term = x.term GROUP BY 1, 2)
 SELECT c.key, c.other, round(({_TEXT_SCORE}) / 3, 4) AS score FROM cand c JOIN embeddings a ON a.vec_id = c.key JOIN embeddings b ON b.vec_id = c.other LEFT JOIN cs x ON x.key = c.key AND x.other = c.other""")
 def pair_score_text(t):
     """Each feature's two signals: its vectors' cosine, and that of the texts' term weights."""
