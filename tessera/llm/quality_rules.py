@@ -5,22 +5,26 @@ statistics.  For each (language, source) there are three starts: medians and med
 deviations; mean and covariance of all rows; and those of the half that lies in the
 smallest box around the medians.  From each, concentration steps take mean and
 covariance of the ``SHARE`` rows nearest to the last estimate until no determinant
-falls any more, and the start that ends with the least one is the estimate.  A text
-whose Mahalanobis distance from it passes ``CUTOFF`` is rejected.  The vectors are
+falls any more, and the start that ends with the least one is the estimate.  The same
+is done for each language and for all texts.  A group's centre and precision (inverse
+scatter) are a mean of its own and its language's, which leans on all texts in the same
+way; the own share is n / (n + ``PRIOR_ROWS``), n being the rows beyond those that a
+scatter needs to have full rank.  It grows smoothly, so no size turns one estimate into
+another, and a few wild rows can't widen what is above them.  A text whose Mahalanobis distance passes ``CUTOFF`` is rejected.  The vectors are
 integers (thousandths), so sums and percentiles are exact, the same for any
 partitioning, and combined before the shuffle; a group of any size comes down to one
-row for each start.  DataFrame functions only.
+row for each start, and leaves the rounds once it has settled.  DataFrame functions only.
 
 Results for odd input: a null or empty text has no words and fails the base rules;
-a null language or source counts as the empty one; a group of fewer than
-``LEAST_ROWS`` texts is judged by the estimate of its language, and where that has
-fewer too, by that of all texts; of starts with one determinant the first counts; repeated
+a null language or source counts as the empty one; a group of one text is judged
+nearly as its language has it; of starts with one determinant the first counts; repeated
 rows each have a result; a null id is kept; very long texts are taken whole; an empty
 table gives an empty one; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,12 +42,15 @@ FALL, STEPS = 1e-3, 50
 STARTS = ("medians", "means", "box")
 #: Squared Mahalanobis distance: the chi-square law with four degrees of freedom passes it once in 1e9.
 CUTOFF = 50.0
-LEAST_ROWS = 50
 #: A table with a row for each group is broadcast up to this many rows, which are counted first.
 BROADCAST_GROUPS = 20_000
 #: A ridge: the standard deviation, in thousandths, whose square is added to each value's variance, so that a group of equal rows has an estimate.
 FLOORS = (60, 100, 100, 100)
 D = len(FLOORS)
+#: The rows that the estimate above a group counts for: as many as an estimate has values.
+PRIOR_ROWS = D + D * (D + 1) // 2
+#: Stands for every source, or every language, in the keys of an estimate above groups; own keys are marked, so that none is taken for it.
+EVERY, MARK = "*", "="
 
 
 def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -102,15 +109,20 @@ KEYS = ["_lang", "_source"]
 PARAMETERS = [*KEYS, "rows", *(f"m{i}" for i in range(D)), *(f"l{i}{j}" for i in range(D) for j in range(i + 1))]
 
 
-def with_distance(vectors: DataFrame, estimate: DataFrame, how: str = "inner") -> DataFrame:
-    """vectors with the squared Mahalanobis distance d2 from their group's estimate."""
-    out = vectors.join(estimate, KEYS, how)
+def with_form(df: DataFrame, low: str = "l") -> tuple[DataFrame, Column]:
+    """df with columns for it, and the squared length of x less m by the Cholesky factor whose columns begin with ``low``."""
     for i in range(D):
         y = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(i):
-            y = y - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        out = out.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, D)), F.col("y0") * F.col("y0")))
+            y = y - F.col(f"{low}{i}{k}") * F.col(f"_y{low}{k}")
+        df = df.withColumn(f"_y{low}{i}", y / F.col(f"{low}{i}{i}"))
+    return df, sum((F.col(f"_y{low}{i}") * F.col(f"_y{low}{i}") for i in range(1, D)), F.col(f"_y{low}0") * F.col(f"_y{low}0"))
+
+
+def with_distance(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
+    """vectors with the squared Mahalanobis distance d2 from their group's estimate."""
+    out, form = with_form(vectors.join(estimate, KEYS))
+    return out.withColumn("d2", form)
 
 
 def per_group(df: DataFrame) -> DataFrame:
@@ -137,70 +149,91 @@ def with_determinant(estimate: DataFrame) -> DataFrame:
     return estimate.select(*PARAMETERS, "start", sum((F.log(f"l{i}{i}") for i in range(1, D)), F.log("l00")).alias("det"))
 
 
-def nearest(rows: DataFrame, share: float) -> DataFrame:
+def nearest(rows: DataFrame, share: float, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Of each group and start the share of rows with the least step."""
     reach = rows.groupBy(*KEYS, "start").agg(F.percentile("step", F.lit(share)).alias("reach"))
-    return rows.join(per_group(reach), [*KEYS, "start"]).where(F.col("step") <= F.ceil("reach"))
+    return rows.join(hint(reach), [*KEYS, "start"]).where(F.col("step") <= F.ceil("reach"))
 
 
-def started(vectors: DataFrame, starts: tuple[str, ...]) -> DataFrame:
-    """The first estimate of each group for each start."""
+def started(vectors: DataFrame, starts: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The first estimate of each group for each start, and whether such a table is broadcast: a function that marks it so if its rows, counted here, are few."""
     names = [f"m{i}" for i in range(D)]
-    medians = per_group(vectors.groupBy(*KEYS).agg(F.count("*").alias("rows"), *(F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in range(D))))
+    medians = saved(vectors.groupBy(*KEYS).agg(F.count("*").alias("rows"), *(F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in range(D))))
+    hint = F.broadcast if medians.count() * len(starts) <= BROADCAST_GROUPS else lambda df: df
     off = [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(D)]
-    spread = vectors.join(medians, KEYS).groupBy(*KEYS).agg(*(F.first(c).alias(c) for c in ("rows", *names)), *(F.percentile(off[i], F.lit(0.5)).alias(f"a{i}") for i in range(D)))
+    spread = vectors.join(hint(medians), KEYS).groupBy(*KEYS).agg(*(F.first(c).alias(c) for c in ("rows", *names)), *(F.percentile(off[i], F.lit(0.5)).alias(f"a{i}") for i in range(D)))
     scale = [F.greatest(F.col(f"a{i}") * 1.4826, F.lit(float(FLOORS[i]))) for i in range(D)]
-    spread = per_group(spread.select(*KEYS, "rows", *names, *(scale[i].alias(f"a{i}") for i in range(D))))
+    spread = saved(spread.select(*KEYS, "rows", *names, *(scale[i].alias(f"a{i}") for i in range(D))))
     out = []
     for n, start in enumerate(starts):
         if start == "medians":
-            out.append(with_determinant(spread.select(*KEYS, "rows", *names, *((F.col(f"a{i}") if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(D) for j in range(i + 1)), F.lit(n).alias("start"))))
+            diagonal = [(F.col(f"a{i}") if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(D) for j in range(i + 1)]
+            out.append(with_determinant(spread.select(*KEYS, "rows", *names, *diagonal, F.lit(n).alias("start"))))
         else:
-            rows = vectors.join(spread, KEYS).withColumns({"start": F.lit(n), "step": F.floor(F.greatest(*(off[i] / F.col(f"a{i}") for i in range(D))) * 1000)})
-            out.append(fitted(rows if start == "means" else nearest(rows, 0.5), 1.0))
-    return per_group(reduce(DataFrame.union, out))
+            step = F.floor(F.greatest(*(off[i] / F.col(f"a{i}") for i in range(D))) * 1000)
+            rows = vectors.join(hint(spread), KEYS).withColumns({"start": F.lit(n), "step": step})
+            out.append(fitted(rows if start == "means" else nearest(rows, 0.5, hint), 1.0))
+    return saved(reduce(DataFrame.union, out)), hint
 
 
 def estimates(vectors: DataFrame, steps: int = STEPS, starts: tuple[str, ...] = STARTS[:1]) -> DataFrame:
     """A row of PARAMETERS for each group: centre and Cholesky factor of the scatter with the least determinant that the starts lead to."""
-    estimate, group = started(vectors, starts), [*KEYS, "start"]
+    (moving, hint), group, ended = started(vectors, starts), [*KEYS, "start"], []
     for _ in range(steps):
-        far = with_distance(vectors, estimate).withColumn("step", F.floor(F.log1p("d2") * 1000))
-        before, estimate = estimate, per_group(fitted(nearest(far, SHARE), CONSISTENCY))
-        fell = estimate.join(before.select(*group, F.col("det").alias("_before")), group).agg(F.max(F.col("_before") - F.col("det")).alias("most"), F.min(F.col("_before") - F.col("det")).alias("least")).first()
-        if fell.most is None or max(fell.most, -fell.least) <= FALL:
+        far = with_distance(vectors, hint(moving)).withColumn("step", F.floor(F.log1p("d2") * 1000))
+        after = fitted(nearest(far, SHARE, hint), CONSISTENCY).join(hint(moving.select(*group, F.col("det").alias("_before"))), group)
+        after = saved(after.withColumn("_moves", F.abs(F.col("_before") - F.col("det")) > FALL).drop("_before"))
+        ended.append(after.where(~F.col("_moves")).drop("_moves"))
+        moving = after.where("_moves").drop("_moves")
+        if moving.isEmpty():
             break
-    best = estimate.groupBy(*KEYS).agg(F.min(F.struct("det", "start")).alias("best")).select(*KEYS, "best.start")
-    return per_group(estimate.join(per_group(best), group).select(*PARAMETERS))
-
-
-def every_estimate(vectors: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """A row of PARAMETERS for each group: its own estimate, or that of its language or of all texts where fewer than least_rows are in it."""
-    groups = vectors.groupBy(*KEYS).agg(F.count("*").alias("own"))
-    langs = groups.groupBy("_lang").agg(F.sum("own").alias("all"))
-    level = F.when(F.col("own") >= least_rows, 0).when(F.col("all") >= least_rows, 1).otherwise(2)
-    groups = per_group(groups.join(langs, "_lang").select(*KEYS, level.alias("level")))
-    levels = {r.level for r in groups.select("level").distinct().collect()} or {0}
-    out = []
-    for n in sorted(levels):
-        own = groups.where(F.col("level") == n)
-        rows = vectors.join(own.select(*KEYS), KEYS) if n == 0 else vectors.join(F.broadcast(own.select("_lang").distinct()), "_lang", "left_semi") if n == 1 else vectors
-        pool = {"_source": F.lit("")} if n else {}
-        pool |= {"_lang": F.lit("")} if n == 2 else {}
-        found = estimates(rows.withColumns(pool) if pool else rows, starts=STARTS)
-        to = own.select(*(F.col(k).alias(f"_own{k}") for k in KEYS), *(pool.get(k, F.col(k)).alias(k) for k in KEYS))
-        out.append(to.join(found, KEYS).drop(*KEYS).withColumnsRenamed({f"_own{k}": k for k in KEYS}).select(*PARAMETERS))
-    return reduce(DataFrame.union, out)
-
-
-def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ("doc_id",), least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF) -> DataFrame:
+    found = saved(reduce(DataFrame.union, [*ended, moving]))
+    best = found.groupBy(*KEYS).agg(F.min(F.struct("det", "start")).alias("best")).select(*KEYS, "best.start")
+    return saved(found.join(hint(best), group).select(*PARAMETERS))
+
+
+def with_pools(vectors: DataFrame) -> DataFrame:
+    """Each vector three times: under its marked keys, under its language and under all texts."""
+    lang, source = (F.concat(F.lit(MARK), F.col(k)) for k in KEYS)
+    keys = lambda *of: F.struct(*(c.alias(k) for c, k in zip(of, KEYS)))
+    return vectors.select(F.inline(F.array(keys(lang, source), keys(lang, F.lit(EVERY)), keys(F.lit(EVERY), F.lit(EVERY)))), *(f"x{i}" for i in range(D)))
+
+
+def share_of(rows: Column, prior: float) -> Column:
+    """What a group's own estimate counts for."""
+    beyond = F.greatest(rows - (D + 1), F.lit(0))
+    return beyond / (beyond + prior)
+
+
+def every_estimate(vectors: DataFrame, prior: float = PRIOR_ROWS) -> DataFrame:
+    """A row for each group: its centre m, and three Cholesky factors (own, lang and every) with the weights of their precisions."""
+    found = estimates(with_pools(vectors), starts=STARTS)
+    every = F.col(KEYS[0]) == EVERY
+    named = lambda df, name, *keys: df.select(*keys, F.col("rows").alias(f"{name}n"), *(F.col(c).alias(f"{name}{c[1:]}" if c[0] == "l" else f"{name}{c}") for c in PARAMETERS[len(KEYS) + 1 :]))
+    own = named(found.where(F.col(KEYS[1]) != EVERY), "own", *KEYS)
+    langs = named(found.where(~every & (F.col(KEYS[1]) == EVERY)), "lang", KEYS[0])
+    whole = named(found.where(every), "every", F.lit(EVERY).alias("_every"))
+    out = own.join(per_group(langs), KEYS[0]).withColumn("_every", F.lit(EVERY)).join(F.broadcast(whole), "_every")  # one row
+    first, second = share_of(F.col("ownn"), prior), share_of(F.col("langn"), prior)
+    weights = {"own": first, "lang": (1 - first) * second, "every": (1 - first) * (1 - second)}
+    centre = {f"m{i}": sum((w * F.col(f"{name}m{i}") for name, w in weights.items()), F.lit(0.0)) for i in range(D)}
+    out = out.withColumns(centre | {f"{name}w": w for name, w in weights.items()})
+    keys = [F.expr(f"substr({k}, {len(MARK) + 1})").alias(k) for k in KEYS]
+    return out.select(*keys, *centre, *(f"{name}{c}" for name in weights for c in ("w", *(f"{i}{j}" for i in range(D) for j in range(i + 1)))))
+
+
+def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ("doc_id",), prior: float = PRIOR_ROWS, cutoff: float = CUTOFF) -> DataFrame:
     """The columns ``keep`` of df with its statistics, base_failed, distance2 (null only where the base rules leave no text of its group) and kept."""
     own = df.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.coalesce(F.col(lang_col), F.lit("")).alias("_lang"), F.coalesce(F.col(source_col), F.lit("")).alias("_source"), F.col(text_col).alias("_text"))
     stats = statistics(own, "_text").drop("_text")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     vectors = saved(vector(stats.withColumn("base_failed", failed)))
     passed = vectors.where(~F.col("base_failed")).select(*KEYS, *(f"x{i}" for i in range(D)))
-    judged = with_distance(vectors, per_group(every_estimate(passed, least_rows)), "left")
+    judged, d2 = vectors.join(per_group(every_estimate(passed, prior)), KEYS, "left"), F.lit(0.0)
+    for name in ("own", "lang", "every"):
+        judged, form = with_form(judged, name)
+        d2 = d2 + F.col(f"{name}w") * form
+    judged = judged.withColumn("d2", d2)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
     return judged.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("d2", 3).alias("distance2"))
 

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from tessera.llm import decontaminate, quality_rules, queries, secret_scan
 
 from . import fixtures as X
-from .test_texts import all_costs, base_spans, edits_inside, least_determinant, repeats
+from .test_texts import all_costs, base_spans, drawn, edits_inside, least_determinant, repeats
 
 
 @pytest.fixture(scope="module")
@@ -103,7 +103,7 @@ def test_op8(spark, texts):
 
 
 def verdicts(rows: list[tuple]) -> dict[int, bool]:
-    """Whether each document is kept, the plain way: base rules, and distances in its group, its language or all texts."""
+    """Whether each document is kept, the plain way: base rules, and distances by its group's estimate, drawn to its language's and to that of all texts."""
     stats = {r[0]: (*repeats(r[1]), len([x for x in (r[1] or "").split("\n") if X.WORD.search(x)])) for r in rows}
     failed = {i: s[0] < 20 or 100 * s[4] > 30 * s[0] for i, s in stats.items()}
     half_up = lambda v: np.floor(v * 1000 + 0.5)
@@ -112,15 +112,17 @@ def verdicts(rows: list[tuple]) -> dict[int, bool]:
     passed = [i for i in stats if not failed[i]]
     own = lambda i: [j for j in passed if group[j] == group[i]]
     lang = lambda i: [j for j in passed if group[j][0] == group[i][0]]
-    fits, out = {}, {i: False for i in stats}
+    out = {i: False for i in stats}
+    if passed:
+        fit = lambda members: (len(members), *least_determinant(np.stack([vector[j] for j in members])))
+        _, middle, scatter = fit(passed)
+        whole = middle, np.linalg.inv(scatter)
+        langs = {group[i][0]: drawn(fit(lang(i)), whole) for i in {group[i][0]: i for i in passed}.values()}
+        groups = {group[i]: drawn(fit(own(i)), langs[group[i][0]]) for i in {group[i]: i for i in passed}.values()}
     for i in passed:
-        members = own(i) if len(own(i)) >= quality_rules.LEAST_ROWS else lang(i) if len(lang(i)) >= quality_rules.LEAST_ROWS else passed
-        key = tuple(members)
-        if key not in fits:
-            fits[key] = least_determinant(np.stack([vector[j] for j in members]))
-        center, cov = fits[key]
+        center, precision = groups[group[i]]
         d = vector[i] - center
-        out[i] = bool(d @ np.linalg.inv(cov) @ d <= quality_rules.CUTOFF)
+        out[i] = bool(d @ precision @ d <= quality_rules.CUTOFF)
     return out
 
 

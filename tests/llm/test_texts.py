@@ -618,6 +618,16 @@ def test_distances_equal_numpy(spark):
         np.testing.assert_allclose(low @ low.T, cov, rtol=1e-6, atol=1e-3)
 
 
+def test_no_size_changes_the_rule(spark):
+    """A source that differs from its language: each further text of it moves a distance by a little, at any number of texts."""
+    rng = random.Random(8)
+    say = lambda size: " ".join("".join(rng.choice("abcdefghij") for _ in range(max(1, round(rng.gauss(size, 2))))) for _ in range(80))
+    others, own = [(i, say(5), "en", "web", None) for i in range(200)], [(1000 + i, say(7), "en", "own", None) for i in range(51)]
+    ask = lambda n: X.by_id(quality_rules.quality_rules(X.frame(spark, others + own[:n])).collect())[1000].distance2
+    at = [ask(n) for n in (48, 49, 50, 51)]
+    assert max(at) - min(at) <= 0.25 * max(max(at), 1.0)
+
+
 def least_determinant(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Centre and scatter of rows by concentration from three starts, the plain way."""
     ridge = np.diag(np.square(quality_rules.FLOORS, dtype=float))
@@ -638,6 +648,14 @@ def least_determinant(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return min(ends, key=lambda e: e[0])[1:]
 
 
+def drawn(fit: tuple, above: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and precision of n rows, drawn to those above them."""
+    n, center, cov = fit
+    beyond = max(n - 5, 0)
+    share = beyond / (beyond + quality_rules.PRIOR_ROWS)
+    return share * center + (1 - share) * above[0], share * np.linalg.inv(cov) + (1 - share) * above[1]
+
+
 def test_verdicts_equal_numpy(spark):
     """Two populations in one source, and rows that would draw a mean away: distances and verdicts as the plain way has them."""
     rng = random.Random(14)
@@ -646,12 +664,16 @@ def test_verdicts_equal_numpy(spark):
     rows += [(1000 + i, say(rng.randrange(30, 200), 9, 0.6), "en", "web", None) for i in range(40)]
     rows += [(2000 + i, say(rng.randrange(30, 200), 6, 0.1), "en", "wiki", None) for i in range(80)]
     got = X.by_id(quality_rules.quality_rules(X.frame(spark, rows)).collect())
-    for source in ("web", "wiki"):
-        ids = [r[0] for r in rows if r[3] == source and not got[r[0]].base_failed]
+    found = {}
+    for source in ("web", "wiki", "*"):
+        ids = [r[0] for r in rows if source in (r[3], "*") and not got[r[0]].base_failed]
         values = [(np.log(got[i].word_chars / got[i].n_words), np.sqrt(got[i].n_symbols / got[i].n_words), np.sqrt(got[i].n_dup_lines), np.sqrt(got[i].n_repeat_words / got[i].n_words)) for i in ids]
         x = np.floor(np.array(values) * 1000 + 0.5)
-        center, cov = least_determinant(x)
-        d2 = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
+        found[source] = ids, x, (len(x), *least_determinant(x))
+    whole = found.pop("*")[2]  # of the language, and of all texts
+    for ids, x, fit in found.values():
+        center, precision = drawn(fit, (whole[1], np.linalg.inv(whole[2])))
+        d2 = np.einsum("ij,jk,ik->i", x - center, precision, x - center)
         assert [got[i].kept for i in ids] == (d2 <= quality_rules.CUTOFF).tolist()
         np.testing.assert_allclose([got[i].distance2 for i in ids], d2, rtol=0.02, atol=0.02)
     assert not all(got[1000 + i].kept for i in range(40)) and all(got[i].kept for i in range(160))
