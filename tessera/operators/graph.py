@@ -27,6 +27,23 @@ def closure(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
     return seen
 
 
+def paths(top: DataFrame, edges: DataFrame, depth: int = 10, join: str = " / ") -> DataFrame:
+    """node_id, level, path: every way down from the nodes of top in at most ``depth`` steps; a node of several parents has a row for each way.
+
+    A job for each level, written once and read by the next; a cycle is walked until depth ends it.
+    """
+    step = saved(edges.select(F.col("src").alias("node_id"), "dst"))
+    front = saved(top.select("node_id", F.lit(0).alias("level"), F.col("node_id").alias("path")))
+    out = front
+    for level in range(1, depth + 1):
+        down = front.join(step, "node_id").select(F.col("dst").alias("node_id"), F.lit(level).alias("level"), F.concat("path", F.lit(join), "dst").alias("path"))
+        front = saved(down)
+        if front.isEmpty():
+            break
+        out = out.unionAll(front)
+    return out
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 

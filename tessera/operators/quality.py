@@ -23,10 +23,12 @@ def profile(fields: DataFrame) -> DataFrame:
 
 
 def top_values(fields: DataFrame, k: int) -> DataFrame:
+    """The k most frequent values of each field, with their share; a task passes on k rows of a field."""
     counts = fields.where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("field")
-    out = counts.withColumns({"pct": F.round(100.0 * F.col("n") / F.sum("n").over(w), 2), "_rn": F.row_number().over(w.orderBy(F.desc("n"), "value"))})
-    return out.where(F.col("_rn") <= k).drop("_rn")
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))
+    most = counts.withColumn("_rn", rank).where(F.col("_rn") <= k).drop("_rn")
+    total = fields.where(F.col("value").isNotNull()).groupBy("field").agg(F.count("*").alias("_all"))
+    return most.join(total, "field").select("field", "value", "n", F.round(100.0 * F.col("n") / F.col("_all"), 2).alias("pct"))
 
 
 def vector_profile(vectors: DataFrame, column: str, dim: int) -> DataFrame:

@@ -64,11 +64,12 @@ def merge(versions: DataFrame, incoming: DataFrame, key: str | Sequence[str], co
 
 
 def invariants(versions: DataFrame, key: str) -> DataFrame:
-    """rule, key: keys with several current rows, versions that end before they begin, and overlaps."""
-    w = Window.partitionBy(key).orderBy("tx_from")
+    """rule, key: keys with several current rows, versions that end before they begin, and versions that begin before an earlier one has ended."""
+    end = F.coalesce("tx_to", F.lit("9999-12-31").cast("timestamp_ntz"))
+    before = Window.partitionBy(key).orderBy("tx_from", end).rowsBetween(Window.unboundedPreceding, -1)
     several = versions.where(F.col("tx_to").isNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("several current").alias("rule"), key)
     backward = versions.where(F.col("tx_to") <= F.col("tx_from")).select(F.lit("ends early").alias("rule"), key)
-    overlap = versions.withColumn("_next", F.lead("tx_from").over(w)).where(F.coalesce(F.col("tx_to"), F.lit("9999-12-31").cast("timestamp_ntz")) > F.col("_next")).select(F.lit("overlap").alias("rule"), key)
+    overlap = versions.withColumn("_last", F.max(end).over(before)).where(F.col("_last") > F.col("tx_from")).select(F.lit("overlap").alias("rule"), key)
     return several.unionAll(backward).unionAll(overlap)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import bitmap_facets as B
 from ..operators import explore as E
 from ..operators import graph as G
 from ..operators import intervals as N
@@ -50,9 +51,7 @@ def tree_preload(t):
 
 @query("tree_levels", "WITH RECURSIVE walk AS (SELECT node_id, 0 AS level, node_id AS path FROM v_node WHERE node_id NOT IN (SELECT dst FROM v_edge) UNION ALL SELECT e.dst, w.level + 1, w.path || ' / ' || e.dst FROM walk w JOIN v_edge e ON e.src = w.node_id) SELECT node_id, level::INT AS level, path FROM walk")
 def tree_levels(t):
-    walk = """WITH RECURSIVE walk(node_id, level, path) AS (SELECT n.node_id, 0, n.node_id FROM {node} n LEFT ANTI JOIN {edge} x ON x.dst = n.node_id
-      UNION ALL SELECT e.dst, w.level + 1, concat(w.path, ' / ', e.dst) FROM walk w JOIN {edge} e ON e.src = w.node_id WHERE w.level < 10) SELECT * FROM walk"""
-    return t.spark.sql(walk, node=t.node, edge=t.edge)
+    return G.paths(G.roots(t.node, t.edge), t.edge)
 
 
 @query("taxonomy_tree", "SELECT p.o_orderkey AS id, count(c.o_orderkey) AS n_expired, coalesce(min(c.o_orderkey), -1) AS first FROM orders p LEFT JOIN orders c ON c.o_orderkey - c.o_orderkey % 5 = p.o_orderkey AND c.o_orderkey % 5 <> 0 AND c.o_orderstatus = 'F' WHERE p.o_orderkey % 5 = 0 AND p.o_orderstatus = 'O' GROUP BY 1")
@@ -89,6 +88,40 @@ def facet_or(t):
     return G.any_of(_customer_facet(t), _theme_facet(t))
 
 
+def facet_bitmaps(t):
+    edges = B.edges_of(t.control, ["status", "level", "frequency"]).unionByName(B.edges_of(t.theme, ["theme"]))
+    return B.BitmapFacets.build(edges, new_folder(t.spark, "facets"))
+
+
+_ASKED = {"theme": ["ECONOMY", "PROMO"], "status": ["Active", "Expired"], "frequency": ["1-URGENT", "5-LOW"]}
+_THEMES, _STATUS, _FREQUENCY = "SELECT id FROM v_theme WHERE theme IN ('ECONOMY', 'PROMO')", "SELECT id FROM v_control WHERE status IN ('Active', 'Expired')", "SELECT id FROM v_control WHERE frequency IN ('1-URGENT', '5-LOW')"
+_FACETS = """SELECT 'status' AS facet, status AS value, id FROM v_control UNION ALL SELECT 'level', level, id FROM v_control
+UNION ALL SELECT 'frequency', frequency, id FROM v_control WHERE frequency <> '' UNION ALL SELECT 'theme', theme, id FROM v_theme"""
+
+
+@query("facet_bitmap_and", f"{_THEMES} INTERSECT {_STATUS} INTERSECT {_FREQUENCY}")
+def facet_bitmap_and(t):
+    """Controls with a value of each facet, by bitmaps."""
+    return B.ids_of(facet_bitmaps(t).selected(_ASKED))
+
+
+@query("facet_bitmap_or", f"{_THEMES} UNION SELECT id FROM v_control WHERE status = 'Approval Pending'")
+def facet_bitmap_or(t):
+    return B.ids_of(facet_bitmaps(t).selected({"theme": ["ECONOMY", "PROMO"], "status": ["Approval Pending"]}, every=False))
+
+
+@query("facet_bitmap_counts", f"SELECT facet, value, count(DISTINCT id) AS n FROM ({_FACETS}) WHERE id IN ({_THEMES} INTERSECT {_STATUS} INTERSECT {_FREQUENCY}) GROUP BY 1, 2")
+def facet_bitmap_counts(t):
+    """What the chosen controls have in each facet."""
+    kept = facet_bitmaps(t)
+    return kept.counts(kept.selected(_ASKED))
+
+
+@query("facet_bitmap_totals", f"SELECT facet, value, count(DISTINCT id) AS n FROM ({_FACETS}) GROUP BY 1, 2")
+def facet_bitmap_totals(t):
+    return facet_bitmaps(t).counts()
+
+
 @query("facet_via_unit", "WITH u AS (SELECT function_node AS n FROM v_unit WHERE unit_id % 10 = 1 UNION SELECT location_node FROM v_unit WHERE unit_id % 10 = 1), leaf AS (SELECT dst AS node FROM v_edge JOIN u ON src = n UNION SELECT n FROM u) SELECT DISTINCT id FROM (SELECT * FROM v_owns UNION ALL SELECT * FROM v_related) e WHERE node_id IN (SELECT node FROM leaf)")
 def facet_via_unit(t):
     units = t.unit.where("unit_id % 10 = 1")
@@ -193,14 +226,19 @@ def group_results(t):
 
 @query("page_slice", "SELECT id, total, total > 150 AS has_more FROM (SELECT id, row_number() OVER (ORDER BY price DESC, id) AS rn, count(*) OVER () AS total FROM v_base) WHERE rn > 100 AND rn <= 150")
 def page_slice(t):
-    page = E.page_slice(t.base.select("id", "price"), [F.desc("price"), "id"], E.cursor(100), 50)
-    return page.select("id", "total", "has_more")
+    return _page_behind(t.base.select("id", "price"), ["-price", "id"], 100, 50).select("id", "total", "has_more")
+
+
+def _page_behind(rows, order, skipped, size):
+    """The page after the first ``skipped`` rows, by the cursor that these end with."""
+    before = E.page_after(rows, order, None, skipped).agg(F.max("next_cursor")).first()[0]
+    return E.page_after(rows, order, before, size)
 
 
-@query("page_cursor", """SELECT id, total, total > 75 AS has_more, CASE WHEN total > 75 THEN to_base64('75'::BLOB) END AS next_cursor
-FROM (SELECT id, row_number() OVER (ORDER BY created_on, id) AS rn, count(*) OVER () AS total FROM v_base) WHERE rn > 50 AND rn <= 75""")
+@query("page_cursor", """SELECT id, total, total > 75 AS has_more, CASE WHEN total > 75 THEN max(CASE WHEN rn = 75 THEN CAST(to_json([CAST(created_on AS VARCHAR), CAST(id AS VARCHAR)]) AS VARCHAR) END) OVER () END AS next_cursor
+FROM (SELECT id, created_on, row_number() OVER (ORDER BY created_on, id) AS rn, count(*) OVER () AS total FROM v_base) WHERE rn > 50 AND rn <= 75""")
 def page_cursor(t):
-    return E.page_slice(t.base.select("id", "created_on"), ["created_on", "id"], E.cursor(50), 25).drop("created_on")
+    return _page_behind(t.base.select("id", "created_on"), ["created_on", "id"], 50, 25).drop("created_on")
 
 
 @query("counted_page", "SELECT c_custkey, count(*) OVER () AS total FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 50")

@@ -237,10 +237,55 @@ def test_tree_edges_follow_a_dump(spark):
     assert got == {("a", "b", True, 1), ("a", "c", True, 1), ("b", "d", False, 1), ("b", "d", True, 5), ("b", "f", True, 5), ("c", "e", False, 1), ("x", "y", False, 1)}
 
 
-def test_toolbar_and_cursors():
+def test_pages_by_cursor_are_all_rows_once(spark):
+    """Ties, nulls and both directions; a cursor that doesn't fit gives the first page."""
     from tessera.operators import explore
 
-    assert [explore.offset_of(explore.cursor(n)) for n in (0, 150)] == [0, 150] and explore.offset_of("?") == explore.offset_of(None) == 0
+    rows = [(i, None if i % 5 == 0 else i % 3, None if i % 7 == 0 else f"n{i % 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, a int, b string").repartition(3)
+    for order in (["a", "-b", "id"], ["-a", "b", "-id"]):
+        want = [r.id for r in df.orderBy(*explore._sorted_by(order)).collect()]
+        got, after = [], None
+        while True:
+            page = explore.page_after(df, order, after, 9).orderBy(*explore._sorted_by(order)).collect()
+            got += [r.id for r in page]
+            assert {r.total for r in page} == {40} and len({(r.has_more, r.next_cursor) for r in page}) == 1
+            after = page[0].next_cursor
+            if not page[0].has_more:
+                break
+        assert got == want and after is None
+        for broken in ("?", "[1, 2]", '{"a": 1}', '["1"]', "[1, 2, 3]"):
+            assert sorted(r.id for r in explore.page_after(df, order, broken, 9).collect()) == sorted(want[:9])
+
+
+def test_long_version_over_two_later_ones(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP_NTZ'2020-01-01', TIMESTAMP_NTZ'2020-12-01'), (1, TIMESTAMP_NTZ'2020-02-01', TIMESTAMP_NTZ'2020-03-01'), (1, TIMESTAMP_NTZ'2020-04-01', TIMESTAMP_NTZ'2020-05-01'), (2, TIMESTAMP_NTZ'2020-01-01', TIMESTAMP_NTZ'2020-02-01'), (2, TIMESTAMP_NTZ'2020-02-01', NULL) AS v(id, tx_from, tx_to)")
+    assert [tuple(r) for r in temporal.invariants(rows, "id").collect()] == [("overlap", 1)] * 2
+
+
+def test_bitmap_facets_equal_sets(spark, tmp_path):
+    """Ids on both sides of zero and of buckets' ends, added rows, repeated and missing ones."""
+    import random
+
+    from tessera.operators.bitmap_facets import BitmapFacets, ids_of
+
+    rng = random.Random(3)
+    ids = [0, 1, 2, -1, 32767, 32768, 32769, -32767, -32768, -32769, 10**12, *(rng.randrange(-10**5, 10**5) for _ in range(300))]
+    rows = [(f, rng.choice("xyz"), i) for i in ids for f in "ab" if rng.random() < 0.8]
+    odd = [("a", None, 5), ("a", "x", None), *rows[:20]]
+    frame = lambda part: spark.createDataFrame(part, "facet string, value string, id bigint")
+    kept = BitmapFacets.build(frame(rows[:200] + odd), f"file://{tmp_path}/facets")
+    kept.add(frame(rows[150:]))
+    has = lambda f, values: {i for g, v, i in rows if g == f and v in values}
+    got = lambda df: sorted(r.id for r in ids_of(df).collect())
+    assert got(kept.selected({"a": "xy", "b": "z"})) == sorted(has("a", "xy") & has("b", "z"))
+    assert got(kept.selected({"a": "x", "b": "z"}, every=False)) == sorted(has("a", "x") | has("b", "z"))
+    assert got(kept.selected({"a": "x", "none": "z"})) == []
+    among = has("a", "x")
+    want = {(f, v): len(has(f, v) & among) for f in "ab" for v in "xyz"}
+    assert {(r.facet, r.value): r.n for r in kept.counts(kept.selected({"a": "x"})).collect()} == {k: n for k, n in want.items() if n}
+    empty = BitmapFacets.build(frame([]), f"file://{tmp_path}/none")
+    assert empty.counts().count() == 0 and got(empty.selected({"a": "x"})) == []
 
 
 def test_forest_equals_the_plain_way(spark):
