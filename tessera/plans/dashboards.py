@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dashboard as D
+from ..operators.kept_sums import KeptSums, median_of, version_changes
+from ..operators.temporal import as_of
 from ..sources.adapters import L1, L2
+from ..sources.shared import new_folder
 from .registry import query
 
 AS_OF, MONTHS = "2001-08-15", 24
@@ -229,3 +232,35 @@ def snapshot_whole(t):
     """One row with all parts of a snapshot; maps are shown as texts in order of labels."""
     shown = lambda name: F.array_join(F.transform(F.map_entries(name), lambda e: F.concat_ws("=", e["key"], e["value"].cast("decimal(18,4)").cast("string"))), ",").alias(name)
     return D.whole_snapshot(snapshot_parts(t)).select("total", "level1", *map(shown, ("l1_bins", "pass_rates", "attributes", "functions", "themes")))
+
+
+#: The times of three states of the controls; the dashboard of the last comes from the first and two deltas.
+MERGES = ("1994-06-01", "1996-01-01", "1997-10-01")
+
+
+def _board(t):
+    """The kept dashboard of controls after two merges."""
+    price = t.control.select("id", F.col("price").cast("decimal(18,2)").alias("price"), F.floor(F.col("price") / 1000).cast("int").alias("band"))
+    priced = lambda rows: rows.join(price, "id")
+    at = [F.lit(text).cast("timestamp_ntz") for text in MERGES]
+    kept = KeptSums.build(priced(as_of(t.control_v, at[0])), new_folder(t.spark, "board"), ["status", "level", "band"], ["price"])
+    for since, until, name in zip(at, at[1:], MERGES[1:]):
+        opened, closed = version_changes(t.control_v, since, until)
+        kept.change(priced(opened), priced(closed), name)
+    return kept
+
+
+_BOARD_SQL = f"""b AS (SELECT v.status, v.level, o.price, floor(o.price / 1000)::INT AS band FROM v_control_v v JOIN v_control o ON o.id = v.id
+WHERE v.tx_from <= TIMESTAMP '{MERGES[-1]}' AND (v.tx_to IS NULL OR v.tx_to > TIMESTAMP '{MERGES[-1]}'))"""
+
+
+@query("kept_dashboard", f"WITH {_BOARD_SQL} SELECT status, level, count(*) AS n, sum(CAST(price AS DECIMAL(18, 2)))::DOUBLE AS price, median(band)::DOUBLE AS median_band FROM b GROUP BY 1, 2")
+def kept_dashboard(t):
+    """Counts, sums and medians by status and level after two merges, from sums kept by what these opened and closed."""
+    whole = _board(t).rows().groupBy("status", "level")
+    return whole.agg(F.sum("n").alias("n"), F.sum("price").cast("double").alias("price"), median_of("band").alias("median_band"))
+
+
+@query("kept_histogram", f"WITH {_BOARD_SQL} SELECT level, band, count(*) AS n FROM b GROUP BY 1, 2")
+def kept_histogram(t):
+    return _board(t).rows().groupBy("level", "band").agg(F.sum("n").alias("n"))

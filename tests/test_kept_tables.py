@@ -171,3 +171,68 @@ def test_updates_equal_a_rebuild(spark, tmp_path):
     assert len(index.segments) == 1 and sorted(map(tuple, index.postings().collect())) == want == sorted(map(tuple, late.postings().collect()))
     with pytest.raises(RuntimeError):
         late.compact()
+
+
+def test_sums_kept_by_deltas_equal_whole_ones(spark, tmp_path):
+    """Merges, a batch that comes again, a writer that loses the race, compaction, missing values and empty changes."""
+    import random
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators.kept_sums import KeptSums, median_of
+    from tessera.sources import commits
+
+    rng = random.Random(6)
+    schema = "a string, b int, price decimal(18,2), k int"
+    row = lambda: (rng.choice([None, "x", "y"]), rng.choice([None, 1, 2, 7]), rng.choice([None, Decimal("1.25"), Decimal("-3.10")]), rng.choice([None, 5, -5]))
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+
+    def plain(rows):
+        out: dict = {}
+        for a, b, price, k in rows:
+            n, p, q = out.get((a, b), (0, Decimal(0), 0))
+            out[a, b] = n + 1, p + (price or 0), q + (k or 0)
+        return out
+
+    held, folder = [row() for _ in range(60)], f"file://{tmp_path}/sums"
+    kept = KeptSums.build(frame(held), folder, ["a", "b"], ["price", "k"])
+    got = lambda: {(r.a, r.b): (r.n, r.price, r.k) for r in kept.rows().collect()}
+    for merge in range(2):
+        closed, opened = held[:25], [row() for _ in range(10)]
+        held = held[25:] + opened
+        assert kept.change(frame(opened), frame(closed), f"m{merge}") and not kept.change(frame(opened), frame(closed), f"m{merge}")
+        assert got() == plain(held)
+    real, raced = commits.put, []
+
+    def put(*args):  # another writer is first
+        if not raced:
+            raced.append(KeptSums(spark, folder, ["a", "b"], ["price", "k"]))
+            assert raced[0].change(frame(held[:3]), frame([]), "other")
+        return real(*args)
+
+    commits.put = put
+    try:
+        assert kept.change(frame([]), frame(held[:1]), "mine")
+    finally:
+        commits.put = real
+    assert got() == plain(held[1:] + held[:3])
+    kept.compact()
+    assert got() == plain(held[1:] + held[:3]) and len(commits.latest(spark, folder)[1]["segments"]) == 1
+    values = sorted(b for _, b, *_ in held[1:] + held[:3] if b is not None)
+    middle = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+    assert kept.rows().where("b IS NOT NULL").agg(median_of("b")).first()[0] == middle
+    assert kept.change(frame([]), frame(held[1:] + held[:3])) and got() == {}
+    with pytest.raises(ValueError):
+        kept.change(frame([]).withColumn("k", F.lit(1.5)), frame([]))
+
+
+def test_versions_that_a_time_opens_and_closes(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.kept_sums import version_changes
+
+    rows = [("held", 1, None), ("closed", 1, 7), ("opened", 6, None), ("passed", 6, 8), ("later", 12, None), ("at", 5, 10), ("from", 10, 11)]
+    df = spark.createDataFrame(rows, "id string, tx_from int, tx_to int")
+    opened, closed = version_changes(df, F.lit(5), F.lit(10))
+    assert {r.id for r in opened.collect()} == {"opened", "from"} and {r.id for r in closed.collect()} == {"closed", "at"}
