@@ -23,6 +23,13 @@ def version_list(df: DataFrame, key: str, order: Sequence[str] = ("tx_from",)) -
     return df.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
+def may_run(jobs: DataFrame, group: str, order: Sequence[str], state: Column, skipped: Sequence[str], failed: Sequence[str]) -> DataFrame:
+    """jobs but for skipped ones, with ``before``, the state of the one before in its group (null for the first), and may_run: it isn't a failed one."""
+    left = jobs.where(~F.coalesce(state.isin(*skipped), F.lit(False)))
+    before = F.lag(state).over(Window.partitionBy(group).orderBy(*order))
+    return left.withColumn("before", before).withColumn("may_run", ~F.coalesce(F.col("before").isin(*failed), F.lit(False)))
+
+
 def version_diff(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """key, field, before, after: fields that differ between two states, nulls compared as values."""
     pair = a.select(key, *(F.col(c).cast("string").alias(f"_a_{c}") for c in columns)).join(b.select(key, *(F.col(c).cast("string").alias(f"_b_{c}") for c in columns)), key)

@@ -136,10 +136,11 @@ def record_rules(t):
     return I.record_violations(_records(t), RULES).select("line", "rule", "field")
 
 
-@query("generated_rows", """WITH u AS (SELECT i AS id, CAST(concat('0x', left(md5(concat_ws('|', CAST(i AS VARCHAR), 'level', '7')), 8)) AS BIGINT) / 4294967296.0 AS u, CAST(concat('0x', left(md5(concat_ws('|', CAST(i AS VARCHAR), 'status', '7')), 8)) AS BIGINT) / 4294967296.0 AS v FROM (SELECT unnest(range(5000)) AS i))
+@query("generated_rows", """WITH u AS (SELECT i AS id, CAST(concat('0x', left(md5(concat_ws('|', CAST(i AS VARCHAR), 'level', '7')), 8)) AS BIGINT) / 4294967296.0 AS u, CAST(concat('0x', left(md5(concat_ws('|', CAST(i AS VARCHAR), 'status', '7')), 8)) AS BIGINT) / 4294967296.0 AS v FROM (SELECT c_custkey AS i FROM customer))
 SELECT id, CASE WHEN u < 0.2 THEN 'Level 1' ELSE 'Level 2' END AS level, CASE WHEN v < 0.75 THEN 'Active' ELSE 'Expired' END AS status FROM u""")
 def generated_rows(t):
-    return generators.generated(t.spark, 5000, {"level": {"Level 1": 1, "Level 2": 4}, "status": {"Active": 3, "Expired": 1}}, 7)
+    """Categories drawn for each customer."""
+    return generators.labelled(t.customer.select(F.col("c_custkey").alias("id")), "id", {"level": {"Level 1": 1, "Level 2": 4}, "status": {"Active": 3, "Expired": 1}}, 7)
 
 
 @query("vector_update", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS c_name, c_mktsegment FROM customer WHERE c_custkey % 7 <> 0")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import similarity as M
 from ..operators import temporal as T
@@ -152,8 +151,8 @@ def latest_by_key(t):
 
 @query("predecessor_check", "SELECT event_id, user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) <> 'error', TRUE) AS may_run FROM events WHERE event_type <> 'view'")
 def predecessor_check(t):
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return t.events.where("event_type <> 'view'").select("event_id", "user_id", before.alias("before"), F.coalesce(before != "error", F.lit(True)).alias("may_run"))
+    jobs = T.may_run(t.events.dropna(subset=["event_type"]), "user_id", ["event_id"], F.col("event_type"), ["view"], ["error"])
+    return jobs.select("event_id", "user_id", "before", "may_run")
 
 
 EXPORT_AT = "1999-12-31 23:59:59.999999"

@@ -21,10 +21,14 @@ def weighted(u: Column, weights: dict[str, float]) -> Column:
     return out.otherwise(list(weights)[-1])
 
 
+def labelled(rows: DataFrame, key: str, profile: dict[str, dict[str, float]], seed: int = 0) -> DataFrame:
+    """rows with a column for each category of a profile, which depends on the key alone."""
+    return rows.withColumns({name: weighted(draw(F.col(key), name, seed), weights) for name, weights in profile.items()})
+
+
 def generated(spark: SparkSession, n: int, profile: dict[str, dict[str, float]], seed: int = 0) -> DataFrame:
     """id from 0 and a column for each category of a profile."""
-    rows = spark.range(n)
-    return rows.select("id", *(weighted(draw(F.col("id"), name, seed), weights).alias(name) for name, weights in profile.items()))
+    return labelled(spark.range(n), "id", profile, seed)
 
 
 def delta(rows: DataFrame, key: str, column: str, changed: float, gone: float, new: float, seed: int = 0, shift: int = 1 << 40) -> DataFrame:
