@@ -85,17 +85,17 @@ UNION ALL SELECT n.id, n.state, n.amount, n.props, TIMESTAMP '{LATER}', NULL FRO
 
 @query("scd2_merge", _merge_sql(False))
 def scd2_merge(t):
-    return T.merge(history(t), dump(t), "id", STATE, stamp(LATER))
+    return T.merge(history(t), dump(t), "id", STATE, stamp(LATER), repeats=True)
 
 
 @query("org_scd2", _merge_sql(True) + f" UNION ALL SELECT h.id, 'Inactive', h.amount, h.props, TIMESTAMP '{LATER}', NULL FROM h WHERE tx_to IS NULL AND id NOT IN (SELECT id FROM n)")
 def org_scd2(t):
-    return T.merge(history(t), dump(t), "id", STATE, stamp(LATER), close_missing=True).unionAll(T.disappeared_rows(history(t), dump(t), "id", STATE, stamp(LATER), "state"))
+    return T.merge(history(t), dump(t), "id", STATE, stamp(LATER), close_missing=True, repeats=True).unionAll(T.disappeared_rows(history(t), dump(t), "id", STATE, stamp(LATER), "state"))
 
 
 @query("unit_scd2", _merge_sql(True) + f" UNION ALL SELECT h.id, h.state, h.amount, h.props, TIMESTAMP '{LATER}', NULL FROM h WHERE tx_to IS NULL AND id NOT IN (SELECT id FROM n)")
 def unit_scd2(t):
-    return T.merge(history(t), dump(t), "id", STATE, stamp(LATER), close_missing=True).unionAll(T.disappeared_rows(history(t), dump(t), "id", STATE, stamp(LATER), None))
+    return T.merge(history(t), dump(t), "id", STATE, stamp(LATER), close_missing=True, repeats=True).unionAll(T.disappeared_rows(history(t), dump(t), "id", STATE, stamp(LATER), None))
 
 
 @query("theme_scd2", f"""WITH o AS (SELECT concat('RTH-', left(sha256(concat(c_mktsegment, '|', CAST(c_nationkey AS VARCHAR))), 12)) AS theme_id, c_mktsegment AS name, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 GROUP BY c_mktsegment, c_nationkey),
@@ -230,7 +230,7 @@ def history_store(t):
 def store_scd2_merge(t):
     """The merge in a kept store: only buckets of the dump's keys are read and written."""
     store = history_store(t)
-    store.merge(dump(t), lambda rows, new: T.merge(rows, new, "id", STATE, stamp(LATER)))
+    store.merge(dump(t), lambda rows, new: T.merge(rows, new, "id", STATE, stamp(LATER), repeats=True))
     return store.read()
 
 
