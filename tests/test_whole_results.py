@@ -34,3 +34,23 @@ def test_a_key_that_a_dump_repeats(spark):
     got = temporal.merge(old, dump, "id", ["x"], F.lit("2024-01-09").cast("timestamp_ntz"), repeats=True)
     want = [(1, "a", day(1), day(2))] * 2 + [(1, "b", day(2), None), (1, "b", day(2), day(9)), (1, "c", day(9), None)] + [(2, "a", day(1), day(3))] * 2 + [(2, "a", day(9), None)] * 2
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_streamed_neighbours_and_pair_values(spark):
+    import numpy as np
+
+    from tessera.operators import similarity
+
+    g = np.random.default_rng(3)
+    m = g.normal(size=(700, 6)).round(1)
+    m[300:330] = m[5]  # ties by key
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, v array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    score = np.round(u @ u.T, 6)
+    want = {(i, j): s for i in range(700) for j, s in sorted(((j, score[i, j]) for j in range(700) if j != i and score[i, j] > 0), key=lambda x: (-x[1], x[0]))[:4]}
+    near = similarity.nearest(v, "id", "v", 4, block=90)
+    got = {(r.key, r.other): r.score for r in near.collect()}
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 2e-6 for x in want)
+    assert "Window" not in near._jdf.queryExecution().toString()  # no list of a pair of blocks leaves its task
+    each = similarity.pair_values(near.select("key", "other"), v, "id", "v", [(1, 3), (1, 6)], block=100).collect()
+    assert len(each) == len(want) and all(abs(r.c[1] - got[r.key, r.other]) < 2e-6 for r in each)
