@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import saved
-from .similarity import best_of
+from .similarity import TASKS, _streamed, best_of, streamed_nearest
 
 SAMPLE, LISTS, RINGS, CELL = 20_000, 2048, 8, 4096
 #: Asked vectors of a cell that are compared at a time, and rows that a list has on average.
@@ -202,6 +202,8 @@ class VectorIndex:
             return spark.createDataFrame([], "key long, other long, score double, rank int")
         asks = rows_of(asked, key, column, model.dim)
         probe, short = min(probe or model.probe, len(model.centres)), short or 8 * k + 32
+        if probe == len(model.centres) and short >= self.rings().agg(F.sum("n")).first()[0]:  # nothing is left out
+            return streamed_nearest(asks, self.table("vectors").select("key", "v"), k)
         sent = saved(asks.mapInArrow(_probes(model, probe), "key long, v array<double>, list int"))
         lists = sorted(r[0] for r in sent.select("list").distinct().collect())  # LISTS at most
         goes = sent.join(F.broadcast(self.rings().select("list", "ring", "cells")), "list")
@@ -222,13 +224,37 @@ class VectorIndex:
         near = saved(_compared(first, self.table("vectors"), "v array<double>", _vector_scores(model.dim, k), k))
         last = best_of(near, k).groupBy("key").agg(F.count("*").alias("m"), F.min("score").alias("least")).select("key", F.when(F.col("m") >= k, F.col("least")).otherwise(0.0).alias("least"))
         table = rings.toArrow()  # LISTS * RINGS rows at most
-        bounded = asks.join(last, "key", "left").select("key", "v", F.coalesce("least", F.lit(0.0)).alias("least"))
-        more = saved(bounded.mapInArrow(_within(model, table), "key long, v array<double>, list int, ring int, cells int, n long"))
-        far = _compared(more, self.table("vectors"), "v array<double>", _vector_scores(model.dim, k), k)
-        counted = first.select("n").unionAll(more.select("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compared"))
+        bounded = asks.join(last, "key", "left").join(first.select("key", "list").distinct(), "key").select("key", "v", F.coalesce("least", F.lit(0.0)).alias("least"), "list")
+        blocks = self._blocks(bounded)
+        own = F.col("start") + F.pmod(F.xxhash64("key"), "parts").cast("int")
+        bounded = saved(bounded.join(F.broadcast(blocks), "list").select(own.alias("own"), "key", "v", "least"))
+        within = bounded.repartition("own").mapInArrow(_within(model, table), "own int, list int, ring int")
+        wanted = saved(within.distinct())  # rings that some vector of a block needs
+        there = self.table("vectors").join(F.broadcast(wanted), ["list", "ring"]).select("own", F.lit(True).alias("there"), "key", "v")
+        sides = bounded.select("own", F.lit(False).alias("there"), "key", "v").unionAll(there)
+        met = sides.repartition(2 * max(1, blocks.agg(F.sum("parts")).first()[0] or 1), "own").sortWithinPartitions("own", "there")
+        found = met.mapInArrow(_streamed(k), "key long, other long, score double, rank int")
+        most = bounded.groupBy("own").agg(F.count("*").alias("m"))
+        more = wanted.join(F.broadcast(rings.select("list", "ring", "n")), ["list", "ring"]).join(F.broadcast(most), "own").select((F.col("n") * F.col("m")).alias("n"))
+        counted = more.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compared"))
         every = asks.agg(F.count("*").alias("asks")).crossJoin(F.broadcast(rings.agg(F.sum("n").alias("rows"))))  # one row each
         count = counted.crossJoin(F.broadcast(every)).select("compared", (F.col("asks") * F.col("rows")).alias("pairs"))
-        return best_of(near.unionByName(far), k), count
+        return found, count
+
+    def _blocks(self, asks: DataFrame) -> DataFrame:
+        """list, start, parts: the blocks of asked vectors (list, ...) of each list; lists near to each other share one, a large one is cut."""
+        sizes = {r.list: r.n for r in asks.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS at most
+        block = ASKED * max(1, min(4, sum(sizes.values()) // (ASKED * TASKS)))
+        groups = max(1, min(len(self.model.centres), round(sum(sizes.values()) / block)))
+        near = (self.model.centres @ directions(centres_of(self.model.centres, groups)).T).argmax(1)
+        rows, start, held = [], 0, 0
+        for x in sorted(sizes, key=lambda x: (near[x], x)):
+            if held and (held + sizes[x] > block):
+                start, held = start + 1, 0
+            parts = max(1, -(-sizes[x] // block))
+            rows.append((int(x), start, parts))
+            start, held = (start + parts, 0) if parts > 1 else (start, held + sizes[x])
+        return self.spark.createDataFrame(rows, "list int, start int, parts int")
 
 
 def _probes(model: Model, probe: int):
@@ -244,22 +270,23 @@ def _probes(model: Model, probe: int):
 
 
 def _within(model: Model, rings: pa.Table):
-    """mapInArrow over (key, v, least): the rings, but for those of the nearest centre, that may hold a score of ``least`` or more."""
-    cols = {c: rings.column(c).to_numpy() for c in ("list", "ring", "cells", "n", "low", "high")}
+    """mapInArrow over (own, key, v, least): for each block the rings that may hold a score of ``least`` or more for one of its vectors."""
+    cols = {c: rings.column(c).to_numpy() for c in ("list", "ring", "low", "high")}
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                angles = model.angles(matrix(part.column("v"), model.dim))
-                own = np.argsort(angles, axis=1, kind="stable")[:, 0]
-                to = angles[:, cols["list"]]
+                to = model.angles(matrix(part.column("v"), model.dim))[:, cols["list"]]
                 bound = np.maximum(0, np.maximum(to - cols["high"], cols["low"] - to))
-                least = part.column("least").to_numpy(zero_copy_only=False)
-                row, ring = np.nonzero((np.cos(np.minimum(bound, np.pi)) >= least[:, None] - SLACK) & (cols["list"][None, :] != own[:, None]))
-                out = {"key": part.column("key").take(pa.array(row)), "v": part.column("v").take(pa.array(row))}
-                kinds = {"list": pa.int32(), "ring": pa.int32(), "cells": pa.int32(), "n": pa.int64()}
-                yield pa.RecordBatch.from_pydict(out | {c: pa.array(cols[c][ring], t) for c, t in kinds.items()})
+                least, own = part.column("least").to_numpy(zero_copy_only=False), part.column("own").to_numpy()
+                may = np.cos(np.minimum(bound, np.pi)) >= least[:, None] - SLACK
+                for x in np.unique(own).tolist():
+                    found[x] = found.get(x, False) | may[own == x].any(0)
+        for x, some in found.items():
+            ring = np.flatnonzero(some)
+            yield pa.RecordBatch.from_pydict({"own": pa.array(np.full(len(ring), x), pa.int32()), **{c: pa.array(cols[c][ring], pa.int32()) for c in ("list", "ring")}})
 
     return within
 
