@@ -54,3 +54,17 @@ def test_streamed_neighbours_and_pair_values(spark):
     assert "Window" not in near._jdf.queryExecution().toString()  # no list of a pair of blocks leaves its task
     each = similarity.pair_values(near.select("key", "other"), v, "id", "v", [(1, 3), (1, 6)], block=100).collect()
     assert len(each) == len(want) and all(abs(r.c[1] - got[r.key, r.other]) < 2e-6 for r in each)
+
+
+def test_forest_of_a_long_chain(spark):
+    import time
+
+    from tessera.operators import similarity
+
+    n = 300  # scores that rise along it point all nodes to its end
+    edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.col("id").cast("double").alias("score"))
+    extra = spark.range(0, n - 2, 7).select(F.col("id").alias("a"), (F.col("id") + 2).alias("b"), F.lit(-1.0).alias("score"))
+    began = time.time()
+    got = similarity.spanning_forest(edges.unionAll(extra))
+    assert {(r.a, r.b) for r in got.collect()} == {(i, i + 1) for i in range(n)}
+    assert time.time() - began < 120
