@@ -83,3 +83,13 @@ def test_views_have_one_plan_and_the_rows_of_their_sql(spark):
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     for name in ("version_diff_parents", "export_at_time"):  # a union of joins loses its partitions while a query runs
         assert "Union" not in registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_criteria_and_units_join_and_copy_no_raw_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    plan = lambda name: registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("cascade_suggest", "cascade_all"):
+        join = plan(name).split("Join Inner", 1)[1]
+        assert join.count("Aggregate") >= 2  # both sides' different values
+    for name in ("criterion_pass_rates", "snapshot_whole"):
+        assert "Expand" not in plan(name)
