@@ -93,3 +93,22 @@ def test_criteria_and_units_join_and_copy_no_raw_rows(spark):
         assert join.count("Aggregate") >= 2  # both sides' different values
     for name in ("criterion_pass_rates", "snapshot_whole"):
         assert "Expand" not in plan(name)
+
+
+def test_pairs_of_texts_meet_by_blocks(spark):
+    import random
+
+    from tessera.operators import similarity
+
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i * 37, " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(12)))) for i in range(300)], "id long, text string")
+    keys = [rng.randrange(305) * 37 for _ in range(1600)]
+    pairs = spark.createDataFrame(sorted(set(zip(keys[::2], keys[1::2]))), "a long, b long")
+    own: dict = {}
+    for r in similarity.term_weights(docs, "id", "text", 30).collect():
+        own.setdefault(r.id, {})[r.term] = r.weight
+    near = similarity.pair_cosine(similarity.term_vectors(docs, "id", "text", 30), pairs, "id", "a", "b", block=40)
+    got = {(r.a, r.b): r.cosine for r in near.collect()}
+    want = {(r.a, r.b): sum(w * own.get(r.b, {}).get(term, 0.0) for term, w in own.get(r.a, {}).items()) for r in pairs.collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want) and max(want.values()) > 0.5
+    assert "term" not in near._jdf.queryExecution().optimizedPlan().toString().replace("terms", "")  # no pair is joined with its terms
