@@ -24,9 +24,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..sources import commits
 from ..sources.shared import saved
-from .search import STOP_WORDS, among, inverted_index, ranked
+from .search import STOP_WORDS, among, ranked
 
 BLOCK_BITS, BUCKETS = 10, 64
 POSTINGS = "term string, field string, block long, keys array<struct<key: bigint, tf: bigint>>, most double, bucket int"
@@ -49,9 +50,16 @@ class TextIndex:
     def build(cls, rows: DataFrame, key: str, fields: Sequence[str], folder: str, buckets: int = BUCKETS) -> TextIndex:
         made = cls.__new__(cls)
         made.spark, made.folder, made.number, made.segments, made.fields, made.buckets = rows.sparkSession, folder, -1, [], list(fields), buckets
-        made._commit([made._written(inverted_index(rows, key, fields).withColumnRenamed(key, "key"), None)])
+        made._commit([made._written(made._inverted(rows, key), None)])
         return made
 
+    def _inverted(self, rows: DataFrame, key: str) -> DataFrame:
+        """key, field, term, tf; texts are dealt out by block of keys before they are split, so that words are counted, and blocks made, where they are."""
+        block = F.shiftright(F.col("key").cast("long"), BLOCK_BITS)
+        dealt = rows.select(F.col(key).alias("key"), *self.fields).withColumn("block", block).repartition("block")
+        each = dealt.select("block", "key", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f), STOP_WORDS).alias("terms")) for f in self.fields))))
+        return each.select("block", "key", "field", F.explode("terms").alias("term")).groupBy("block", "key", "field", "term").agg(F.count("*").alias("tf"))
+
     def _commit(self, segments: list[str]) -> None:
         said = {"segments": segments, "fields": self.fields, "buckets": self.buckets}
         if not commits.put(self.spark, self.folder, self.number + 1, said):
@@ -62,11 +70,10 @@ class TextIndex:
         return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
 
     def _written(self, index: DataFrame, keys: DataFrame | None) -> str:
-        """Writes (key, field, term, tf) as a segment, and the keys whose older postings don't count."""
+        """Writes (block, key, field, term, tf) as a segment, and the keys whose older postings don't count."""
         name = uuid.uuid4().hex
-        block = F.shiftright(F.col("key").cast("long"), BLOCK_BITS)
         entry = F.struct(F.col("key").cast("long").alias("key"), "tf")
-        rows = index.where("key IS NOT NULL").groupBy("term", "field", block.alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("keys"), F.max(1 + F.log("tf")).alias("most"))
+        rows = index.where("key IS NOT NULL").groupBy("block", "term", "field").agg(F.sort_array(F.collect_list(entry)).alias("keys"), F.max(1 + F.log("tf")).alias("most"))
         rows = rows.withColumn("bucket", self._bucket()).repartition("bucket", F.pmod("block", F.lit(8)))  # a common term's blocks are several tasks'
         rows.sortWithinPartitions("bucket", "term", "field", "block").write.partitionBy("bucket").parquet(f"{self.folder}/postings/{name}")
         if keys is not None:
@@ -105,11 +112,11 @@ class TextIndex:
         changed = saved(changed.select(key, *self.fields))
         keys = changed.select(F.col(key).alias("key"))
         keys = keys if gone is None else keys.union(gone.select(F.col(key).alias("key")))
-        self._commit([*self.segments, self._written(inverted_index(changed, key, self.fields).withColumnRenamed(key, "key"), keys)])
+        self._commit([*self.segments, self._written(self._inverted(changed, key), keys)])
 
     def compact(self) -> None:
         """All that counts as one segment; the older ones stay for whoever reads an older commit."""
-        self._commit([self._written(self.postings(), None)])
+        self._commit([self._written(self.postings().withColumn("block", F.shiftright("key", BLOCK_BITS)), None)])
 
     def search(self, query: str, limit: int = 2000, weights: dict[str, float] | None = None, candidates: DataFrame | None = None, key: str = "key") -> tuple[DataFrame, DataFrame]:
         """key, score, rank of the best rows with all terms of the query in one field; and a row with the blocks that hold such rows and those read.

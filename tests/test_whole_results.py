@@ -112,3 +112,15 @@ def test_pairs_of_texts_meet_by_blocks(spark):
     want = {(r.a, r.b): sum(w * own.get(r.b, {}).get(term, 0.0) for term, w in own.get(r.a, {}).items()) for r in pairs.collect()}
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want) and max(want.values()) > 0.5
     assert "term" not in near._jdf.queryExecution().optimizedPlan().toString().replace("terms", "")  # no pair is joined with its terms
+
+
+def test_postings_are_made_where_their_block_is(spark):
+    from tessera.operators.text_index import TextIndex
+
+    made = TextIndex.__new__(TextIndex)
+    made.fields = ["text"]
+    rows = spark.createDataFrame([(1, "one two two"), (2, "two"), (5000, "two one")], "id long, text string")
+    got = made._inverted(rows, "id")
+    assert sorted(map(tuple, got.collect())) == [(0, 1, "text", "one", 1), (0, 1, "text", "two", 2), (0, 2, "text", "two", 1), (4, 5000, "text", "one", 1), (4, 5000, "text", "two", 1)]
+    plan = got.groupBy("block", "term", "field").agg(F.collect_list("key"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
