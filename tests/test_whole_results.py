@@ -124,3 +124,8 @@ def test_postings_are_made_where_their_block_is(spark):
     assert sorted(map(tuple, got.collect())) == [(0, 1, "text", "one", 1), (0, 1, "text", "two", 2), (0, 2, "text", "two", 1), (4, 5000, "text", "one", 1), (4, 5000, "text", "two", 1)]
     plan = got.groupBy("block", "term", "field").agg(F.collect_list("key"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
+
+
+def test_a_snapshot_makes_criteria_once(spark):
+    plan = registry.QUERIES["snapshot_whole"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "c_what" in plan  # distinct suppliers of an order are counted before, for all parts
