@@ -38,6 +38,8 @@ SAMPLE, LISTS, RINGS, CELL = 20_000, 2048, 8, 4096
 ASKED, LIST_ROWS = 2048, 512
 PARTS, WORDS = 16, 256
 RECALL, TRIED = 0.95, 200
+#: Rows of asked vectors and their lists that a task makes at a time.
+SENT = 16_384
 #: Scores are rounded to six decimals, so a bound this much worse may still tie.
 SLACK = 2e-6
 CELLS = "list int, ring int, cell int, key long, v array<double>"
@@ -258,13 +260,17 @@ class VectorIndex:
 
 
 def _probes(model: Model, probe: int):
+    """mapInArrow over (key, v): a row for each of the ``probe`` nearest lists; about ``SENT`` rows leave at a time."""
+    step = max(1, SENT // max(1, probe))
+
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                m = matrix(batch.column("v"), model.dim)
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                m = matrix(part.column("v"), model.dim)
                 lists = np.argsort(model.angles(m), axis=1, kind="stable")[:, :probe]
                 row = np.repeat(np.arange(len(m)), lists.shape[1])
-                yield pa.RecordBatch.from_pydict({"key": batch.column("key").take(pa.array(row)), "v": batch.column("v").take(pa.array(row)), "list": pa.array(lists.ravel(), pa.int32())})
+                yield pa.RecordBatch.from_pydict({"key": part.column("key").take(pa.array(row)), "v": part.column("v").take(pa.array(row)), "list": pa.array(lists.ravel(), pa.int32())})
 
     return probes
 

@@ -129,3 +129,17 @@ def test_postings_are_made_where_their_block_is(spark):
 def test_a_snapshot_makes_criteria_once(spark):
     plan = registry.QUERIES["snapshot_whole"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan and "c_what" in plan  # distinct suppliers of an order are counted before, for all parts
+
+
+def test_asked_vectors_leave_for_their_lists_in_bounded_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators import vector_index as V
+
+    g = np.random.default_rng(1)
+    model = V.Model(8, V.directions(g.normal(size=(100, 8))), [], np.zeros((100, 7)))
+    asked = pa.RecordBatch.from_pydict({"key": pa.array(np.arange(1000)), "v": pa.array(list(g.normal(size=(1000, 8))), pa.list_(pa.float64()))})
+    sent = list(V._probes(model, 60)(iter([asked])))
+    assert max(b.num_rows for b in sent) <= V.SENT and sum(b.num_rows for b in sent) == 60_000
+    assert [k for b in sent for k in b.column("key").to_pylist()] == np.repeat(np.arange(1000), 60).tolist()
