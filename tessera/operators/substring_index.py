@@ -67,7 +67,8 @@ class SubstringIndex:
         spark.createDataFrame([(key, list(fields), blocks, buckets, rows.schema[key].dataType.simpleString())], "key string, fields array<string>, blocks int, buckets int, kind string").coalesce(1).write.parquet(f"{folder}/about")
         held = rows.where(F.col(key).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block"), F.struct(*rows.columns).alias("row"))
         held.repartitionByRange("_block").sortWithinPartitions("_block").write.parquet(f"{folder}/rows")
-        back = spark.read.parquet(f"{folder}/rows").select("_block", F.col(f"row.{key}").alias("key"), *(F.col(f"row.{f}").alias(f"f{i}") for i, f in enumerate(fields)))
+        # read again by whole blocks: a trigram's keys in a block are met in one task, so only whole postings are sent on
+        back = spark.read.parquet(f"{folder}/rows").select("_block", F.col(f"row.{key}").alias("key"), *(F.col(f"row.{f}").alias(f"f{i}") for i, f in enumerate(fields))).repartition("_block")
         each = back.select("_block", "key", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), trigrams(F.col(f"f{i}")).alias("grams")) for i, f in enumerate(fields)))))
         posts = each.select("_block", "key", "field", F.explode("grams").alias("gram")).groupBy("gram", "field", "_block").agg(F.collect_set("key").alias("keys"))
         posts = posts.withColumn("bucket", cls._bucket(buckets)).repartition("bucket", F.pmod("_block", F.lit(8))).sortWithinPartitions("bucket", "gram", "field", "_block")
