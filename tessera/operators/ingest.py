@@ -81,18 +81,14 @@ def _found(rule: str, name: str, bad: Column) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("field")))
 
 
-def _part(name: str, kind: str) -> Column:
-    return F.try_variant_get("v", f"$.{name}", kind)
+def _as(value: Column, kind: str) -> Column:
+    return F.try_variant_get(value, "$", kind)
 
 
-def _kind(name: str) -> Column:
-    return F.schema_of_variant(_part(name, "variant"))
-
-
-def _is(name: str, wanted: str) -> Column:
-    kind, plain = _kind(name), wanted.rstrip("?")
+def _is(value: Column, kind: Column, wanted: str) -> Column:
+    plain = wanted.rstrip("?")
     if plain == "strings":
-        ok = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(_part(name, "array<string>"), lambda x: x.isNull())
+        ok = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(_as(value, "array<string>"), lambda x: x.isNull())
     elif plain == "entries":
         ok = kind.startswith("ARRAY<OBJECT") | (kind == "ARRAY<VOID>")
     else:
@@ -100,16 +96,15 @@ def _is(name: str, wanted: str) -> Column:
     return F.coalesce(ok | (kind == "VOID") if wanted.endswith("?") else ok, F.lit(False))
 
 
-def _bad_entries(name: str, inner: Sequence[str]) -> Column:
+def _bad_entries(value: Column, kind: Column, inner: Sequence[str]) -> Column:
     """Whether a list of objects has one with other fields, other types, or nothing but nulls."""
 
     def bad(x: Column) -> Column:
-        kinds = F.array(*(F.coalesce(F.schema_of_variant(F.try_variant_get(x, f"$.{i}", "variant")), F.lit("?")) for i in inner))
-        typed, some = F.forall(kinds, lambda k: k.isin("STRING", "VOID")), F.exists(kinds, lambda k: k == "STRING")
-        keys = F.array_sort(F.json_object_keys(F.to_json(x)))
-        return F.coalesce(~typed | ~some | (keys != F.array(*map(F.lit, sorted(inner)))), F.lit(True))
+        typed, some = F.forall(x["kinds"], lambda k: k.isin("STRING", "VOID")), F.array_contains(x["kinds"], "STRING")
+        return F.coalesce(~typed | ~some | (F.array_sort(x["keys"]) != F.array(*map(F.lit, sorted(inner)))), F.lit(True))
 
-    return _kind(name).startswith("ARRAY<OBJECT") & F.exists(_part(name, "array<variant>"), bad)
+    each = F.transform(_as(value, "array<map<string,variant>>"), lambda x: F.struct(F.map_keys(x).alias("keys"), F.transform(F.map_values(x), F.schema_of_variant).alias("kinds")))
+    return kind.startswith("ARRAY<OBJECT") & F.exists(each, bad)
 
 
 def record_violations(lines: DataFrame, rules: RecordRules) -> DataFrame:
@@ -118,26 +113,33 @@ def record_violations(lines: DataFrame, rules: RecordRules) -> DataFrame:
     Rules: json, missing, unknown, type, pattern, parent, entry, parallel, duplicate
     and reference (a parent that no record is).  A record that isn't an object only has json.
     """
-    rows = lines.where(F.trim("value") != "").select("line", "value", F.try_parse_json("value").alias("v"))
-    present = F.json_object_keys("value")
-    has = lambda name: F.array_contains(present, name)
-    broken = [_found("missing", name, ~has(name)) for name in rules.fields]
-    broken += [_found("type", name, has(name) & ~_is(name, wanted)) for name, wanted in rules.fields.items()]
-    for rule, name in (("pattern", rules.key), ("parent", rules.parent)):
-        if name:
-            broken.append(_found(rule, name, (_kind(name) == "STRING") & ~_part(name, "string").rlike(rules.pattern)))
-    broken += [_found("entry", name, _bad_entries(name, inner)) for name, inner in rules.nested.items()]
-    broken += [_found("parallel", a, F.size(_part(a, "array<string>")) != F.size(_part(b, "array<string>"))) for a, b in rules.parallel]
-    others = F.array_except(present, F.array(*map(F.lit, rules.fields)))
-    unknown = F.coalesce(F.transform(others, lambda x: F.struct(F.lit("unknown").alias("rule"), x.alias("field"))), F.array().cast(_FOUND))
-    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    every = F.when(is_object, F.concat(F.array_compact(F.array(*broken)), unknown)).otherwise(F.array(F.struct(F.lit("json").alias("rule"), F.lit("").alias("field"))))
-    key = F.when(is_object, _part(rules.key, "string"))
-    own = rows.select("line", key.alias("key"), F.inline(every))
-    up = F.when(is_object, _part(rules.parent, "string")) if rules.parent else F.lit(None).cast("string")
-    keys = rows.select("line", key.alias("key"), up.alias("up")).where("key IS NOT NULL")
-    first = keys.groupBy("key").agg(F.min("line").alias("first"), F.count("*").alias("n"))
-    twice = keys.join(first.where("n > 1"), "key").where(F.col("line") > F.col("first"))
-    lost = keys.where("up IS NOT NULL").join(first.select(F.col("key").alias("up")), "up", "left_anti")
-    shown = lambda df, rule, name: df.select("line", "key", F.lit(rule).alias("rule"), F.lit(name).alias("field"))
-    return own.unionByName(shown(twice, "duplicate", rules.key)).unionByName(shown(lost, "reference", rules.parent or ""))
+    parsed = lines.where(F.trim("value") != "").select("line", F.try_parse_json("value").alias("v"))
+    names = {name: f"k{i}" for i, name in enumerate(dict.fromkeys([*rules.fields, rules.key, *([rules.parent] if rules.parent else []), *rules.nested]))}
+
+    def every(x: Column) -> Column:
+        m, kind = x["m"], lambda name: x[names[name]]
+        has = lambda name: F.map_contains_key(m, name)
+        broken = [_found("missing", name, ~has(name)) for name in rules.fields]
+        broken += [_found("type", name, has(name) & ~_is(m[name], kind(name), wanted)) for name, wanted in rules.fields.items()]
+        for rule, name in (("pattern", rules.key), ("parent", rules.parent)):
+            if name:
+                broken.append(_found(rule, name, (kind(name) == "STRING") & ~_as(m[name], "string").rlike(rules.pattern)))
+        broken += [_found("entry", name, _bad_entries(m[name], kind(name), inner)) for name, inner in rules.nested.items()]
+        broken += [_found("parallel", a, F.size(_as(m[a], "array<string>")) != F.size(_as(m[b], "array<string>"))) for a, b in rules.parallel]
+        others = F.array_except(F.map_keys(m), F.array(*map(F.lit, rules.fields)))
+        unknown = F.coalesce(F.transform(others, lambda y: F.struct(F.lit("unknown").alias("rule"), y.alias("field"))), F.array().cast(_FOUND))
+        return F.when(m.isNotNull(), F.concat(F.array_compact(F.array(*broken)), unknown)).otherwise(F.array(F.struct(F.lit("json").alias("rule"), F.lit("").alias("field"))))
+
+    # A record's fields and their kinds are made once, and the rules are a lambda over them: all rules in one
+    # generated method would be too long for the JVM to compile.
+    whole = parsed.select("line", _as(F.col("v"), "map<string,variant>").alias("m"))
+    facts = F.struct("m", *(F.schema_of_variant(F.col("m")[name]).alias(k) for name, k in names.items()))
+    own = whole.select("line", _as(F.col("m")[rules.key], "string").alias("key"), F.inline(F.flatten(F.transform(F.array(facts), every))))
+    # fields of an object only: a path finds none in other values; a filter on what inline gives doesn't go below it and parse again
+    text = lambda name: F.try_variant_get("v", f"$.{name}", "string") if name else F.lit(None).cast("string")
+    keys = parsed.select("line", F.inline(F.array(F.struct(text(rules.key).alias("key"), text(rules.parent).alias("up"))))).where("key IS NOT NULL")
+    first = keys.groupBy("key").agg(F.min("line").alias("first"), F.lit(True).alias("known"))
+    named = keys.select("line", "key", F.inline(F.array(F.struct(F.col("key").alias("k"), F.lit(False).alias("refers")), F.struct(F.col("up").alias("k"), F.lit(True).alias("refers"))))).where("k IS NOT NULL")
+    met = named.join(first.withColumnRenamed("key", "k"), "k", "left").where(F.when(F.col("refers"), F.col("known").isNull()).otherwise(F.col("line") > F.col("first")))
+    shown = lambda yes, no: F.when(F.col("refers"), yes).otherwise(no)
+    return own.unionByName(met.select("line", "key", shown("reference", "duplicate").alias("rule"), shown(rules.parent or "", rules.key).alias("field")))

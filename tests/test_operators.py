@@ -329,6 +329,23 @@ def test_record_rules_name_all_that_is_wrong(spark):
         (17, "entry", "related_functions"), (18, "entry", "related_functions"), (19, "type", "control_id"), (20, "type", "related_functions")}
 
 
+def test_record_rules_parse_a_record_once_a_pass(spark):
+    lines = spark.createDataFrame([(1, '{"control_id": "CTRL-0000000001"}')], "line int, value string")
+    plan = ingest.record_violations(lines, RULES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") <= 3  # what is wrong with each, keys and the first line of each key
+    assert plan.count("schemaOfVariant(") <= len(RULES.fields) + 1 and "json_object_keys" not in plan
+
+
+def test_record_rules_of_keys_named_many_times(spark):
+    import json
+
+    row = lambda n, up=None: json.dumps({"control_id": n, "parent_control_id": up, "sox_relevant": None, "admins": [], "admin_gpns": [], "related_functions": []})
+    c = lambda n: f"CTRL-{n:010d}"
+    lines = [(0, row(c(1))), *((i, row(c(i + 1), c(1))) for i in range(1, 50)), *((i, row(c(7), c(999))) for i in range(50, 60)), (60, '{"control_id": null}'), (61, '[{"control_id": "x"}]'), (62, '"control_id"'), (63, "null")]
+    got = sorted((r.line, r.key, r.rule, r.field) for r in ingest.record_violations(spark.createDataFrame(lines, "line int, value string"), RULES).where("line < 60 OR line > 60").collect())
+    assert got == sorted([(i, c(7), rule, name) for i in range(50, 60) for rule, name in (("duplicate", "control_id"), ("reference", "parent_control_id"))] + [(i, None, "json", "") for i in (61, 62, 63)])
+
+
 def test_lists_brought_up_to_date_equal_a_rebuild(spark):
     import random
 
