@@ -131,6 +131,12 @@ def test_a_snapshot_makes_criteria_once(spark):
     assert "collect_set" not in plan and "c_what" in plan  # distinct suppliers of an order are counted before, for all parts
 
 
+def test_a_snapshot_gathers_no_table_on_the_driver(spark):
+    for name in ("snapshot_whole", "top_themes"):  # their files are small, so Spark would send them to all tasks by way of the driver
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_asked_vectors_leave_for_their_lists_in_bounded_batches():
     import numpy as np
     import pyarrow as pa
