@@ -114,6 +114,28 @@ def test_pairs_of_texts_meet_by_blocks(spark):
     assert "term" not in near._jdf.queryExecution().optimizedPlan().toString().replace("terms", "")  # no pair is joined with its terms
 
 
+def test_vectors_of_terms_travel_packed_and_only_where_asked(spark):
+    import random
+
+    from tessera.operators import similarity
+
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(400)}" for _ in range(150))) for i in range(60)] + [(90, "zz zz"), (91, None)], "id long, text string")
+    asked = spark.createDataFrame([(i,) for i in (*range(10), 10, 10, 90, 91, 95)], "id long")
+    vectors = similarity.term_vectors(docs, "id", "text", 300, only=asked)
+    rows = {r.id: r for r in vectors.rows.collect()}
+    assert set(range(11)) <= set(rows) <= {*range(11), 90}  # a text without a frequent term has none
+    own: dict = {}
+    for r in similarity.term_weights(docs, "id", "text", 300).collect():  # the vocabulary is that of all texts
+        own.setdefault(r.id, {})[r.term] = r.weight
+    assert sum(len(rows[i].packed) for i in range(11)) < 5 * sum(len(own[i]) for i in range(11))  # a number and a weight take 12 bytes
+    pairs = spark.createDataFrame([(a, b, [float(a), 0.5], f"{b}") for a in (0, 3, 10, 90, 91) for b in (1, 3, 10, 91, 95)], "a long, b long, c array<double>, d string")
+    got = similarity.pair_cosine(vectors, pairs, "id", "a", "b").collect()
+    assert sorted((r.a, r.b, r.c, r.d) for r in got) == sorted(map(tuple, pairs.collect()))  # other columns stay
+    for r in got:
+        assert abs(r.cosine - sum(w * own.get(r.b, {}).get(term, 0.0) for term, w in own.get(r.a, {}).items())) < 1e-12
+
+
 def test_postings_are_made_where_their_block_is(spark):
     from tessera.operators.text_index import TextIndex
 
