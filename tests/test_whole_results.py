@@ -136,6 +136,17 @@ def test_vectors_of_terms_travel_packed_and_only_where_asked(spark):
         assert abs(r.cosine - sum(w * own.get(r.b, {}).get(term, 0.0) for term, w in own.get(r.a, {}).items())) < 1e-12
 
 
+def test_words_are_counted_in_parts_of_so_many_texts(spark, monkeypatch):
+    from tessera.operators import similarity
+
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 3} x{i}") for i in range(60)] + [(60, None)], "id long, text string")
+    monkeypatch.setattr(similarity, "COUNTED", 10)  # else Spark fills a task by the bytes of its texts, and words take many times that
+    counted = similarity._counted(docs, 61, "id", "text", False, spark.createDataFrame([(3,), (3,), (60,)], "id long"))
+    assert 3 < len(counted.inputFiles()) <= 7
+    got = {r.id: (r.asked, sorted(map(tuple, r.terms))) for r in counted.collect()}
+    assert got == {i: (i == 3, [(f"w{i % 3}", 2), (f"x{i}", 1)]) for i in range(60)}
+
+
 def test_postings_are_made_where_their_block_is(spark):
     from tessera.operators.text_index import TextIndex
 
